@@ -53,7 +53,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is removed when the application ends."""
     path = f"{shared_dir(spark).rstrip('/')}/scratch-{name}-{uuid.uuid4().hex}"
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop_path)
+    files = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(hadoop_path)  # only what exists can be marked
+    files.deleteOnExit(hadoop_path)
     return path
 
 
@@ -66,7 +68,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Materialise a large table as Parquet in the shared folder and reread it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

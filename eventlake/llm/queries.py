@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, simhash
+from . import chat, langid, licenses, media, mixing, ngram, packing, simhash, urls, vectors
 from .common import crc_mod, table
 
 
@@ -14,10 +14,49 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return told.select("page_id", "host", "path", "rule", "verdict", "block_share")
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = media.loaded(media.stored(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        F.crc32("pcm").alias("pcm_crc32"),
+    )
+
+
+def op4_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.split_scores(table(spark, sf_dir, "documents"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{tricky}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return chat.read_back(chat.examples(turns.union(more)))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_report(table(spark, sf_dir, "documents"))
 
@@ -31,9 +70,16 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_urls": op2_urls,
+    "op3_media": op3_media,
+    "op4_ngram": op4_ngram,
+    "op5_chat": op5_chat,
     "op6_mixing": op6_mixing,
+    "op7_licenses": op7_licenses,
+    "op8_vectors": op8_vectors,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Only what SQL can express over whole tables; tests/llm holds the others against brute force.
+ORACLE_SQL: dict[str, str] = {"op5_chat": chat.ORACLE_SQL}
