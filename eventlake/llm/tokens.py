@@ -39,7 +39,7 @@ class WordEncoder:
     that haven't come for long.
     """
 
-    def __init__(self, path: str | None = None, cached: int = 300_000, near: int = 100_000):
+    def __init__(self, path: str | None = None, cached: int = 120_000, near: int = 60_000):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.model, self.cached, self.near = self.tokenizer.model, cached, near
         self.pattern = regex.compile(PATTERN)
