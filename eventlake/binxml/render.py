@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 
 from . import values as V
 from .tree import Element, Entity, Instruction, Placeholder
 from .values import DecodeError, Value
 
+# Elements nest up to 512 deep, and a level takes a few frames.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 5000))
+
 DECLARATION = '<?xml version="1.0" encoding="utf-8"?>\n'
 ENTITIES = {"quot": '"', "apos": "'", "amp": "&", "lt": "<", "gt": ">"}
 _XML_TEXT = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;"})
