@@ -157,7 +157,8 @@ def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     last = F.col("start") + F.col("size") - 1
     pieces = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / b), F.floor(last / b))).otherwise(F.array(F.lit(-1).cast("long")))))
     pieces = pieces.withColumn("from", F.greatest(F.col("block") * b - F.col("start"), F.lit(0))).withColumn("to", F.least((F.col("block") + 1) * b - F.col("start"), F.col("size")))
-    joined = pieces.join(times, ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # Both sides grow with the corpus; the hint keeps a low estimate from broadcasting one.
+    joined = pieces.join(times.hint("merge"), ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     return (
         joined.groupBy("src", "bucket", "start", "nth", "doc_id", "source", "size", "hash", "source_size", "target")
         .agg(F.sum(F.when(F.col("size") > 0, (F.col("to") - F.col("from")) * F.col("times")).otherwise(F.lit(0))).alias("taken"), F.array_sort(F.collect_list(F.when((F.col("size") > 0) & (F.col("times") > 0), F.struct("from", "to", "times")))).alias("spans"))
