@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json as codec
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from .render import single_keys, to_json, to_xml, type_of
-from .tree import Decoder, Element, name_entry
+from .program import Program, compiled, json_texts, shape_of, xml_texts
+from .render import parsed, to_json, to_xml, type_of
+from .tree import Decoder, Element, Instance, name_entry
 from .values import DecodeError, filetime, guid_text
 
 HEADER_BLOCK, CHUNK, RECORD_HEADER, RECORDS_AT = 4096, 65536, 24, 512
@@ -63,6 +65,7 @@ class Chunk:
         flags, crc = struct.unpack_from("<II", d, 120)
         self.header = {"first_record_number": numbers[0], "last_record_number": numbers[1], "first_record_id": numbers[2], "last_record_id": numbers[3], "header_size": size, "last_record_offset": last, "free_space_offset": free, "events_crc": events_crc, "flags": flags, "header_crc": crc, "record_count": max(0, numbers[3] - numbers[2] + 1)}
         self.known: dict[int, tuple[str, int]] = {}
+        self.programs: dict[tuple, Program | None] = {}
         self.decoder = Decoder(d, self.name, self.settings.ansi_codec, self.settings.offline)
 
     def checksums(self) -> tuple[bool, bool]:
@@ -107,6 +110,25 @@ class Chunk:
                 return
             at += size
 
+    def single_instance(self, at: int, size: int) -> Instance | None:
+        """The record's template instance, if the record is a fragment header and one instance."""
+        d, start, end = self.data, at + RECORD_HEADER, at + size - 4
+        if end - start < 14 or d[start] != 0x0F or d[start + 4] != 0x0C:
+            return None
+        made, after = self.decoder.instance(start + 5)
+        return made if after >= end or d[after] == 0 else None
+
+    def rendered(self, made: Instance, *, xml: bool) -> tuple[str, bool] | None:
+        """(text, whether JSON keys can't repeat) of an instance by its shape's program; None if the plain way is needed."""
+        shape = shape_of(made.values)
+        if shape is None:
+            return None
+        key = made.offset, xml, shape
+        if key not in self.programs:
+            self.programs[key] = compiled(self.decoder.template(made.offset), made.values, xml=xml, separate=self.settings.separate_attributes, indent=self.settings.indent)
+        program = self.programs[key]
+        return None if program is None else (program.fill(xml_texts(made.values) if xml else json_texts(made.values)), program.unique)
+
     def tree(self, at: int, size: int) -> Element:
         return self.decoder.parse(at + RECORD_HEADER, size - RECORD_HEADER - 4, template=False, depth=0)
 
@@ -136,9 +158,6 @@ def safe_time(n: int) -> datetime | None:
         return None
 
 
-_TIME_PATHS = ("TimeCreated_attributes", "TimeCreated")
-
-
 def system_columns(document: dict) -> dict:
     """EventID, Level, Provider and Channel by the viewer's rules."""
     event = document.get("Event")
@@ -176,10 +195,9 @@ def system_columns(document: dict) -> dict:
     return {"EventID": integer(event_id), "Level": integer(level) if isinstance(level, int) and not isinstance(level, bool) else 4, "Provider": shown or "", "Channel": channel if isinstance(channel, str) else ""}
 
 
-def decode_chunk(data: bytes, settings: Settings = Settings(), *, xml: bool = False, json: bool = True) -> Iterator[dict]:
-    """A dict for each record, or for each error: record_id, ts, row_in_chunk, Raw, the viewer's columns, xml, error."""
-    import json as codec
-
+def decode_chunk(data: bytes, settings: Settings = Settings(), *, xml: bool = False, json: bool = True, programs: bool = True) -> Iterator[dict]:
+    """A dict for each record, or for each error: record_id, ts, row_in_chunk, Raw, the
+    viewer's columns, xml, error. Without ``programs`` all records take the plain way."""
     try:
         chunk = Chunk(data, settings)
         if settings.validate_checksums and not all(chunk.checksums()):
@@ -194,12 +212,18 @@ def decode_chunk(data: bytes, settings: Settings = Settings(), *, xml: bool = Fa
         at, size, record_id, time = r
         row = {"row_in_chunk": i, "record_id": signed(record_id), "ts": safe_time(time)}
         try:
-            tree = chunk.tree(at, size)
+            made = chunk.single_instance(at, size) if programs else None
+            fast_json = chunk.rendered(made, xml=False) if made and json else None
+            fast_xml = chunk.rendered(made, xml=True) if made and xml else None
+            tree = None if (not json or fast_json) and (not xml or fast_xml) else chunk.tree(at, size)
             if json:
-                raw = single_keys(to_json(tree, separate=settings.separate_attributes))
-                row |= {"Raw": raw, **system_columns(codec.loads(raw))}
+                if fast_json and fast_json[1]:
+                    raw, document = fast_json[0], codec.loads(fast_json[0])
+                else:
+                    raw, document = parsed(fast_json[0] if fast_json else to_json(tree, separate=settings.separate_attributes))
+                row |= {"Raw": raw, **system_columns(document)}
             if xml:
-                row["xml"] = to_xml(tree, indent=settings.indent)
+                row["xml"] = fast_xml[0] if fast_xml else to_xml(tree, indent=settings.indent)
         except (DecodeError, struct.error, RecursionError) as e:
             row["error"] = error(e if isinstance(e, DecodeError) else DecodeError("Deserialization", str(e), at))
         if row["record_id"] is None:

@@ -15,12 +15,36 @@ sys.setrecursionlimit(max(sys.getrecursionlimit(), 5000))
 
 DECLARATION = '<?xml version="1.0" encoding="utf-8"?>\n'
 ENTITIES = {"quot": '"', "apos": "'", "amp": "&", "lt": "<", "gt": ">"}
-_XML_TEXT = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;"})
-_XML_ATTRIBUTE = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;"})
+TEXT_ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;"})
+ATTRIBUTE_ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;"})
 _JSON = str.maketrans({**{chr(i): f"\\u{i:04X}" for i in range(0x20)}, '"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"})
 _LONE = re.compile("[\ud800-\udfff]")
 
 
+class Hole(Value):
+    """A value that isn't there yet: it renders as a mark with its slot."""
+
+    __slots__ = ()
+
+    @property
+    def empty(self) -> bool:
+        return False
+
+    @property
+    def expandable(self) -> int:
+        return 0
+
+    def text(self) -> str:
+        return f"\ue000{self.data}t\ue001"
+
+    def json(self) -> str | None:
+        return self.text() if V.INT8 <= self.kind <= V.UINT64 or self.kind == V.BOOL else None
+
+
+def drop_lone(text: str) -> str:
+    return text if text.isascii() else _LONE.sub("", text)
+
+
 def escape_json(text: str) -> str:
     """The inside of a JSON string; lone surrogates are dropped."""
     return (_LONE.sub("", text) if not text.isascii() else text).translate(_JSON)
@@ -37,6 +61,8 @@ def _content(nodes: list) -> bool:
 def _xml_node(n: object, table: dict) -> str:
     if isinstance(n, str):
         return n.translate(table)
+    if isinstance(n, Hole):
+        return f"\ue000{n.data}{'a' if table is ATTRIBUTE_ESCAPES else 't'}\ue001"
     if isinstance(n, Value):
         return n.text().translate(table)
     if isinstance(n, Entity):
@@ -58,14 +84,14 @@ def _xml_inline(nodes: list) -> str:
             else:
                 out.append(f"<?{n.target}?>")
         else:
-            out.append(_xml_node(n, _XML_TEXT))
+            out.append(_xml_node(n, TEXT_ESCAPES))
         i += 1
     return "".join(out)
 
 
 def _xml(e: Element, level: int, indent: bool, out: list[str]) -> None:
     pad, line = ("  " * level, "\n") if indent else ("", "")
-    attrs = "".join(f' {name}="{"".join(_xml_node(n, _XML_ATTRIBUTE) for n in nodes)}"' for name, nodes in e.attrs if _content(nodes))
+    attrs = "".join(f' {name}="{"".join(_xml_node(n, ATTRIBUTE_ESCAPES) for n in nodes)}"' for name, nodes in e.attrs if _content(nodes))
     out.append(f"{pad}<{e.name}{attrs}>")
     if not e.children:
         # An empty element closes on a line of its own, except Binary.
@@ -196,13 +222,18 @@ def _unique(pairs: list[tuple[str, object]]) -> dict:
     return made
 
 
-def single_keys(text: str) -> str:
-    """JSON in which a repeated key stands once, with its last value."""
+def parsed(text: str) -> tuple[str, object]:
+    """JSON in which a repeated key stands once, with its last value; and its value. One
+    parse is enough unless a key repeats."""
     try:
-        json.loads(text, object_pairs_hook=_unique)
-        return text
+        return text, json.loads(text, object_pairs_hook=_unique)
     except _Repeated:
-        return json.dumps(json.loads(text), ensure_ascii=False, separators=(",", ":"))
+        value = json.loads(text)
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":")), value
+
+
+def single_keys(text: str) -> str:
+    return parsed(text)[0]
 
 
 def type_of(value: object) -> str:

@@ -26,9 +26,9 @@ def decode(root, values=(), **settings):
     """(xml, json text) of a record of one template instance."""
     w = ChunkWriter()
     assert w.add(1, T0, Template(G, root), list(values))
-    row = next(decode_chunk(w.finish(), Settings(**settings), xml=True))
-    assert not row.get("error"), row
-    return row["xml"], row["Raw"]
+    both = [next(decode_chunk(w.finish(), Settings(**settings), xml=True, programs=p)) for p in (False, True)]
+    assert both[0] == both[1] and not both[0].get("error"), both
+    return both[0]["xml"], both[0]["Raw"]
 
 
 def data_of(children, values=(), **settings):
@@ -211,6 +211,29 @@ def test_any_bytes_give_rows_not_exceptions(noise):
     assert all("error" in r or "Raw" in r for r in rows)
 
 
+TEXT = st.text(st.characters(codec="utf-16-le", exclude_characters="\0"), max_size=12)
+SLOT = st.one_of(
+    TEXT.map(lambda s: (V.STRING, s)),
+    st.integers(0, 2**32 - 1).map(lambda n: (V.UINT32, n)),
+    st.booleans().map(lambda b: (V.BOOL, b)),
+    st.just((V.NULL, None)),
+    st.floats(allow_nan=False, width=64).map(lambda x: (V.REAL64, x)),
+    st.binary(max_size=5).map(lambda b: (V.BINARY, b)),
+    st.lists(TEXT, max_size=3).map(lambda x: (V.STRING | V.ARRAY, x)),
+    st.lists(st.integers(0, 99), max_size=3).map(lambda x: (V.UINT16 | V.ARRAY, x)),
+)
+
+
+@given(st.lists(st.tuples(SLOT, SLOT, SLOT, SLOT), min_size=1, max_size=6), st.booleans(), st.booleans())
+def test_programs_equal_the_plain_way(records, separate, indent):
+    root = E("Event", [("a", Sub(0))], [E("S", [("b", ["x", Sub(1)]), ("c", Sub(2, optional=False))], [Sub(3)]), E("M", [], ["t", Sub(0), Sub(1)]), E("EventData", [], [E("Data", [("Name", Sub(2))], [Sub(3)]), E("Data", [], [Sub(1, optional=False)]), E("Binary", [], [Sub(0)])])])
+    w = ChunkWriter()
+    for i, values in enumerate(records):
+        assert w.add(i + 1, T0, Template(G, root), list(values))
+    data, settings = w.finish(), Settings(separate_attributes=separate, indent=indent)
+    assert list(decode_chunk(data, settings, xml=True)) == list(decode_chunk(data, settings, xml=True, programs=False))
+
+
 # The data source
 
 
