@@ -66,7 +66,14 @@ def utf16_text(b: Column) -> Column:
 
 
 def ansi_text(b: Column, charset: str = "windows-1252") -> Column:
-    return F.replace(F.decode(b, charset), F.lit("\0"), F.lit(""))
+    """Text of single bytes without NULs. Spark decodes ISO 8859-1 and the Unicode forms;
+    another single-byte set is decoded as ISO 8859-1 and its letters are exchanged."""
+    if charset.lower() in ("iso-8859-1", "us-ascii", "utf-8"):
+        return F.replace(F.decode(b, charset), F.lit("\0"), F.lit(""))
+    pairs = [(chr(i), bytes([i]).decode(charset, "ignore")) for i in range(0x80, 0x100)]
+    pairs = [(x, y) for x, y in pairs if y and x != y]
+    text = F.translate(F.decode(b, "iso-8859-1"), "".join(x for x, _ in pairs), "".join(y for _, y in pairs))
+    return F.replace(text, F.lit("\0"), F.lit(""))
 
 
 def json_escaped(c: Column) -> Column:
