@@ -19,6 +19,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -137,12 +138,12 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts of a slice, and where each text ends."""
     each = [word_hashes(t) for t in part.column("text").to_pylist()]
     ends = np.cumsum([len(e) for e in each])
-    return np.fromiter((h for e in each for h in e), np.uint64, int(ends[-1]) if len(each) else 0), ends
+    return np.fromiter(chain.from_iterable(each), np.uint64, int(ends[-1]) if len(each) else 0), ends
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", chars=4 << 20):
         held.append(_tokens(part)[0])
         if sum(map(len, held)) > HELD:
             yield _blobs(*_sorted_counts(np.concatenate(held)))
@@ -244,7 +245,7 @@ def _count_bigrams(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Ngrams = sent.value
         table, held = Words(m), []
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", chars=4 << 20):
             hashes, ends = _tokens(part)
             if not len(hashes):
                 continue
@@ -415,7 +416,7 @@ class Scorer:
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", chars=4 << 20):
             hashes, ends = _tokens(part)
             known, base, score = scorer.score(hashes, ends)
             kept = part.schema.names
