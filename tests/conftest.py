@@ -2,6 +2,10 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
+
+settings.register_profile("repo", deadline=None, max_examples=60)
+settings.load_profile("repo")
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
