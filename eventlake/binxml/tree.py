@@ -110,7 +110,8 @@ class Decoder:
         at += 4 * n
         made = []
         for size, kind in described:
-            V.type_name(kind)
+            if kind not in V.VALID:
+                V.type_name(kind)
             value, after = read(kind, data, at, size, self.codec)
             made.append((kind, value))
             # The declared size counts, whatever the value took; it never goes back.

@@ -36,6 +36,10 @@ def type_name(kind: int) -> str:
     return base + ("Array" if kind & ARRAY else "")
 
 
+#: Type bytes that there are, so that a valid one costs no look-up of its name.
+VALID = frozenset(k for k in range(256) if (k & 0x7F if k & ARRAY else k) in NAMES and not (k & ARRAY and k & 0x7F >= HANDLE))
+
+
 @dataclass(frozen=True, slots=True)
 class Value:
     """A typed value that isn't text. An array's data is a list of items of its element type."""
