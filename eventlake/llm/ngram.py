@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, renamed, schema_with, scratch_path, slices, words, written
 
-#: Shards of each table, by the top bits of a key.
-SHARD_BITS = 8
-SHARDS = 1 << SHARD_BITS
+#: Shards of each table are powers of two by the top bits of a key: one for each this many
+#: bytes of input, so that a shard's merge stays in a task's memory at any size; and bounds.
+SHARD_BYTES = 64 << 20
+LEAST_BITS, MOST_BITS = 8, 16
 #: Hash of the token that ends every text.
 END = xxhash.xxh64_intdigest(b"</s>", 1)
 #: Tokens that a counting task holds before it sends what it has.
@@ -48,6 +49,7 @@ class Ngrams:
     vocabulary: int
     word_files: dict[int, tuple[str, int]]
     word_base: list[int]
+    bits: int = LEAST_BITS
     bigram_files: dict[int, tuple[str, int]] = field(default_factory=dict)
     stat_files: dict[int, tuple[str, int]] = field(default_factory=dict)
     bigram_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
@@ -122,9 +124,9 @@ def _sorted_counts(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _blobs(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def _blobs(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """Sorted keys, cut by their top bits."""
-    cuts = np.searchsorted(keys, np.arange(1, SHARDS, dtype=np.uint64) << np.uint64(64 - SHARD_BITS))
+    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
     edges = np.concatenate([[0], cuts, [len(keys)]])
     rows = [(s, int(b - a), _pack(keys[a:b]), _squeeze(counts[a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "n", "keys", "counts"])
@@ -141,15 +143,18 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(each), np.uint64, int(ends[-1]) if len(each) else 0), ends
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    for part in slices(batches, "text", chars=4 << 20):
-        held.append(_tokens(part)[0])
-        if sum(map(len, held)) > HELD:
-            yield _blobs(*_sorted_counts(np.concatenate(held)))
-            held.clear()
-    if held:
-        yield _blobs(*_sorted_counts(np.concatenate(held)))
+def _count_words(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for part in slices(batches, "text", chars=4 << 20):
+            held.append(_tokens(part)[0])
+            if sum(map(len, held)) > HELD:
+                yield _blobs(*_sorted_counts(np.concatenate(held)), bits)
+                held.clear()
+        if held:
+            yield _blobs(*_sorted_counts(np.concatenate(held)), bits)
+
+    return run
 
 
 def _save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
@@ -215,7 +220,7 @@ class Words:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of each sorted hash; (-1, 0) if it isn't there."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for s, a, b in _runs(hashes):
+        for s, a, b in _runs(hashes, self.m.bits):
             if s in self.m.word_files:
                 keys, c = self._shard(s)
                 at = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
@@ -225,8 +230,8 @@ class Words:
         return ids, counts
 
 
-def _runs(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    shard = (sorted_keys >> np.uint64(64 - SHARD_BITS)).astype(np.int64)
+def _runs(sorted_keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    shard = (sorted_keys >> np.uint64(64 - bits)).astype(np.int64)
     starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
     for a, b in zip(starts, np.append(starts[1:], len(shard)), strict=True):
         yield int(shard[a]), int(a), int(b)
@@ -253,10 +258,10 @@ def _count_bigrams(sent):
             ids = table.find(unique)[0][back]
             held.append(mix((_pairs(ids, ends, m.vocabulary).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)))
             if sum(map(len, held)) > HELD:
-                yield _blobs(*_sorted_counts(np.concatenate(held)))
+                yield _blobs(*_sorted_counts(np.concatenate(held)), m.bits)
                 held.clear()
         if held:
-            yield _blobs(*_sorted_counts(np.concatenate(held)))
+            yield _blobs(*_sorted_counts(np.concatenate(held)), m.bits)
 
     return run
 
@@ -274,8 +279,13 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _save_bigrams(folder: str, vocabulary: int):
-    wide = -(-(vocabulary + 1) // SHARDS)
+def _wide(vocabulary: int, bits: int) -> int:
+    """Word ids of a shard of statistics."""
+    return -(-(vocabulary + 1) // (1 << bits))
+
+
+def _save_bigrams(folder: str, vocabulary: int, bits: int):
+    wide = _wide(vocabulary, bits)
 
     def partial(kind: str, ids: np.ndarray, values: list[np.ndarray]) -> Iterator[dict]:
         for s in np.unique(ids // wide):
@@ -299,8 +309,8 @@ def _save_bigrams(folder: str, vocabulary: int):
     return run
 
 
-def _save_stats(folder: str, vocabulary: int):
-    wide = -(-(vocabulary + 1) // SHARDS)
+def _save_stats(folder: str, vocabulary: int, bits: int):
+    wide = _wide(vocabulary, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _by_shard(batches):
@@ -322,21 +332,23 @@ def train(docs: DataFrame) -> Ngrams:
     spark = docs.sparkSession
     folder = scratch_path(spark, "ngrams")
     texts = docs.select("text")
-    found = written(texts.mapInArrow(_count_words, BLOBS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_words(folder), "shard int, path string, n long, total long"), "words").collect()
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate from the files
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // SHARD_BYTES).bit_length()))
+    found = written(texts.mapInArrow(_count_words(bits), BLOBS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_words(folder), "shard int, path string, n long, total long"), "words").collect()
     by = {r["shard"]: r for r in found}
     base, upto = [], 0
-    for s in range(SHARDS):
+    for s in range(1 << bits):
         base.append(upto)
         upto += by[s]["n"] if s in by else 0
     if upto >= (1 << 32) - 1:
         raise ValueError("more than 2^32 distinct words: ids need a wider key")
-    model = Ngrams(sum(r["total"] for r in found), upto, {s: (r["path"], r["n"]) for s, r in by.items()}, base)
+    model = Ngrams(sum(r["total"] for r in found), upto, {s: (r["path"], r["n"]) for s, r in by.items()}, base, bits)
     if not model.tokens:
         return model
     sent = spark.sparkContext.broadcast(model)  # a path for each shard
-    parts = written(texts.mapInArrow(_count_bigrams(sent), BLOBS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_bigrams(folder, upto), PARTIAL), "bigrams")
+    parts = written(texts.mapInArrow(_count_bigrams(sent), BLOBS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_bigrams(folder, upto, bits), PARTIAL), "bigrams")
     files = parts.where("kind = 'file'").select("shard", "path", "n", "size", "of_counts").collect()
-    stats = written(parts.where("kind != 'file'").repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_stats(folder, upto), PARTIAL), "stats").select("shard", "path", "n", "of_counts").collect()
+    stats = written(parts.where("kind != 'file'").repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_stats(folder, upto, bits), PARTIAL), "stats").select("shard", "path", "n", "of_counts").collect()
     total = lambda rows, k: sum(r["of_counts"][k] for r in rows)
     model.bigram_files = {r["shard"]: (r["path"], r["n"], r["size"]) for r in files}
     model.stat_files = {r["shard"]: (r["path"], r["n"]) for r in stats}
@@ -353,11 +365,11 @@ class Scorer:
 
     def __init__(self, m: Ngrams):
         self.m, self.words, self.bigrams, self.stats = m, Words(m), {}, {}
-        self.wide = -(-(m.vocabulary + 1) // SHARDS)
+        self.wide = _wide(m.vocabulary, m.bits)
 
     def _bigram_counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        for s, a, b in _runs(keys):
+        for s, a, b in _runs(keys, self.m.bits):
             if s in self.m.bigram_files:
                 if s not in self.bigrams:
                     path, n, size = self.m.bigram_files[s]
