@@ -1,6 +1,8 @@
 import os
 import sys
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # before numpy: Spark's tasks are the parallelism
+
 import pytest
 from hypothesis import settings
 
