@@ -57,13 +57,14 @@ def strategies(bins: int, depth: int) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """min |a x - b| over x >= 0, by active sets (Lawson and Hanson)."""
+    """min |a x - b| over x >= 0, by active sets (Lawson and Hanson). A column that leaves as
+    soon as it has entered waits until another one has moved the solution."""
     n = a.shape[1]
-    x, active = np.zeros(n), np.zeros(n, bool)
+    x, active, waiting = np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
     scale = max(float(np.abs(b).max(initial=0.0)), 1.0)
     for _ in range(rounds or 3 * a.shape[0]):
         gain = a.T @ (b - a @ x)
-        gain[active] = -np.inf
+        gain[active | waiting] = -np.inf
         best = int(np.argmax(gain))
         if gain[best] <= 1e-7 * scale:
             break
@@ -83,14 +84,19 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
             x[~active] = 0
             if not active.any():
                 break
+        if active[best]:
+            waiting[:] = False
+        else:
+            waiting[best] = True
     return x
 
 
 def solve(histogram: np.ndarray, config: PackConfig) -> list[tuple[tuple[int, ...], float]]:
     """Strategies and repeat counts for a histogram of remainders by bin (1..window/quantum)."""
     bins = config.window // config.quantum
-    every = strategies(bins, config.depth)
-    if not histogram.sum():
+    # A strategy with a bin that is empty could never be used.
+    every = [s for s in strategies(bins, config.depth) if all(histogram[b - 1] > 0 for b in s)]
+    if not every:
         return []
     a = np.zeros((bins, len(every)), np.float32)
     for j, s in enumerate(every):
