@@ -126,7 +126,13 @@ def train(ruled: DataFrame, config: UrlConfig = UrlConfig()) -> UrlModel:
     stats = np.zeros((config.suffix_buckets, 2))
     for r in labelled.select("host", "label").mapInArrow(_suffix_counts(config.suffix_buckets), "bucket int, seen long, blocked long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("blocked").alias("blocked")).collect():
         stats[r["bucket"]] = r["seen"], r["blocked"]
-    rows = labelled.select("url", "label", F.xxhash64("url").alias("h")).orderBy("h", "url").limit(config.max_rows).collect()
+    hashed = labelled.select("url", "label", F.xxhash64("url").alias("h"))
+    least = lambda df: df.orderBy("h", "url").limit(config.max_rows).collect()
+    share = 1.5 * config.max_rows / max(1.0, stats[:, 0].sum() / 2)  # a URL counts in two buckets
+    # Few more rows than are taken pass the hash, so tasks don't each send that many. If one
+    # URL is so frequent that none passes, all may.
+    rows = least(hashed.where(F.col("h") < int((1 << 64) * share) - (1 << 63))) if share < 1 else []
+    rows = rows or least(hashed)
     x = np.array([features(r["url"], stats) for r in rows], np.float64).reshape(-1, len(FEATURES))
     return UrlModel(fit(x, np.array([r["label"] for r in rows], np.float64), rounds=config.rounds, depth=config.depth), stats)
 
