@@ -33,8 +33,8 @@ from .common import crc_mod, renamed, schema_with, scratch_path, slices, words,
 
 #: Shards of each table are powers of two by the top bits of a key: one for each this many
 #: bytes of input, so that a shard's merge stays in a task's memory at any size; and bounds.
-SHARD_BYTES = 64 << 20
-LEAST_BITS, MOST_BITS = 8, 16
+SHARD_BYTES = 16 << 20
+LEAST_BITS, MOST_BITS = 6, 18
 #: Hash of the token that ends every text.
 END = xxhash.xxh64_intdigest(b"</s>", 1)
 #: Tokens that a counting task holds before it sends what it has.
