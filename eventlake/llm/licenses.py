@@ -140,32 +140,48 @@ class Index:
 
 
 def best_runs(s: np.ndarray, t: np.ndarray, run: int, least: float, base: int) -> list[tuple[int, int, float]]:
-    """Disjoint runs of at most ``run`` shingles with the share ``least`` of t's, from the left;
-    of overlapping ones the fullest, then the first. As (start, length, share)."""
+    """Disjoint runs of at most ``run`` shingles with the share ``least`` of t's, from the left: as
+    many as there can be; of those the fullest, then the shortest, then the first. As (start, length, share)."""
     at = np.minimum(np.searchsorted(t, s), len(t) - 1)
     where = np.flatnonzero(t[at] == s)
-    found: list[tuple[int, int, int]] = []
+    place, kind = where.tolist(), at[where].tolist()
     counts: dict[int, int] = {}
+    # Of the hits before each: (runs, shingles held, minus length) of the best choice, and its last run.
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]
+    last: list[tuple[int, int, int] | None] = [None]
     low = 0
-    for high in range(len(where)):
-        counts[int(at[where[high]])] = counts.get(int(at[where[high]]), 0) + 1
-        while where[high] - where[low] >= run:
-            k = int(at[where[low]])
-            counts[k] -= 1
-            if not counts[k]:
-                del counts[k]
+    for high, k in enumerate(kind):
+        counts[k] = counts.get(k, 0) + 1
+        # A hit that comes again inside the run adds nothing to it, nor to any later one.
+        while place[high] - place[low] >= run or counts[kind[low]] > 1:
+            counts[kind[low]] -= 1
+            if not counts[kind[low]]:
+                del counts[kind[low]]
             low += 1
-        if len(counts) >= least * len(t):
-            found.append((int(where[low]), int(where[high]) + 1, len(counts)))
+        top, chosen, held = best[high], None, len(counts)
+        if held >= least * len(t):
+            left = dict(counts)
+            for first in range(low, high + 1):
+                if held < least * len(t):
+                    break
+                n, full, length = best[first]
+                value = (n + 1, full + held, length - (place[high] + 1 - place[first]))
+                if value > top:
+                    top, chosen = value, (first, high, held)
+                left[kind[first]] -= 1
+                held -= not left[kind[first]]
+        best.append(top)
+        last.append(chosen)
     out: list[tuple[int, int, float]] = []
-    group: list[tuple[int, int, int]] = []
-    for f in [*found, (1 << 62, 1 << 62, 0)]:
-        if group and f[0] >= max(g[1] for g in group):
-            best = max(group, key=lambda g: (g[2], -g[0], -g[1]))
-            out.append((base + best[0], best[1] - best[0], best[2] / len(t)))
-            group = []
-        group.append(f)
-    return out
+    end = len(place)
+    while end:
+        if last[end] is None:
+            end -= 1
+        else:
+            first, high, held = last[end]
+            out.append((base + place[first], place[high] + 1 - place[first], held / len(t)))
+            end = first
+    return out[::-1]
 
 
 @cache

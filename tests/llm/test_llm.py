@@ -389,6 +389,31 @@ def test_licenses_against_every_run(spark):
     assert licenses.scanned(odd(spark)).count() == 0 and licenses.scanned(odd(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("gap", [0, 2])
+def test_licenses_gives_each_of_adjacent_places(spark, gap):
+    names = sorted(licenses.TEMPLATES)
+    rows = [(i, f" {'between ' * gap}".join([licenses.TEMPLATES[n]] * 4)) for i, n in enumerate(names)]
+    got = defaultdict(list)
+    for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"], r["license"]].append((r["first_word"], r["words"], r["containment"]))
+    for i, n in enumerate(names):
+        long = len(re.findall(r"\w+", licenses.TEMPLATES[n]))
+        assert sorted(got[i, n]) == [(k * (long + gap), long, 1.0) for k in range(4)]
+
+
+@given(st.lists(st.integers(0, 7), max_size=40))
+def test_best_runs_are_as_many_as_can_be(xs):
+    s, t, run, least = np.array(xs, np.uint64), np.arange(1, 6, dtype=np.uint64), 7, 0.8
+    most = [0]  # runs in the first n shingles, by trying each last run
+    for n in range(1, len(xs) + 1):
+        ends = [most[i] + 1 for i in range(max(0, n - run), n) if len(set(xs[i:n]) & {1, 2, 3, 4, 5}) >= 4]
+        most.append(max([most[n - 1], *ends]))
+    got = licenses.best_runs(s, t, run, least, 100)
+    assert len(got) == most[-1]
+    assert all(a + n <= b for (a, n, _), (b, _, _) in zip(got, got[1:], strict=False))
+    assert all(n <= run and share == len(set(xs[a - 100 : a - 100 + n]) & {1, 2, 3, 4, 5}) / 5 >= least for a, n, share in got)
+
+
 # 8 Vectors
 
 
