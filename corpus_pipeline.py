@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import langid, mixing, packing, simhash
+from eventlake.llm import langid, mixing, neardup, packing
 from eventlake.llm.common import table, written
 
 
@@ -19,8 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: the least doc_id."""
-    return simhash.deduplicated(docs)
+    """Keep one document of each group of near-duplicates (five-word shingles, Jaccard
+    similarity 0.8): the least doc_id."""
+    return neardup.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

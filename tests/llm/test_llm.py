@@ -15,7 +15,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from eventlake.llm import boosting, chat, langid, licenses, media, mixing, ngram, packing, queries, simhash, urls, vectors
+from eventlake.llm import boosting, chat, langid, licenses, media, mixing, neardup, ngram, packing, queries, simhash, urls, vectors
 from eventlake.llm.components import connected_components
 from eventlake.llm.tokens import encoder
 
@@ -583,3 +583,50 @@ def test_pipeline_stages(spark, sf):
     plan = {r["doc_id"]: r["taken"] for r in mixing.mix_plan(kept["near_dedup"]).collect()}
     assert words == plan
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).agg(F.sum("length")).first()[0] > 0
+
+
+def slow_kept(rows):
+    """Least id of each component of texts whose five-word shingles have a Jaccard similarity of 0.8."""
+
+    def shingled(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    s = {i: shingled(t) for i, t in rows}
+    return sorted(set(slow_components(s, lambda a, b: s[a] == s[b] or len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])).values()))
+
+
+@pytest.mark.parametrize("most_bucket", [2000, 3])
+def test_near_dedup_finds_edited_copies(spark, most_bucket):
+    rng, rows = np.random.default_rng(2), []
+    for base in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 100)]
+        rows.append((base * 10, " ".join(w)))
+        for copy in range(1, 8):  # two words replaced: 86 of 106 shingles shared
+            changed = list(w)
+            for at in (20 + int(rng.integers(10)), 60 + int(rng.integers(10))):
+                changed[at] = f"x{copy}"
+            rows.append((base * 10 + copy, " ".join(changed)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in neardup.deduplicated(df, neardup.NearDupConfig(most_bucket=most_bucket)).collect())
+    assert got == slow_kept(rows) == [base * 10 for base in range(40)]
+
+
+def test_pipeline_dedup_stage_against_all_pairs(spark):
+    import corpus_pipeline
+
+    rows = docs_of(spark, "/root/testdata/sf0.01").where("doc_id < 500").select("doc_id", "text").collect()
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows), "").collect())
+    assert got == slow_kept(map(tuple, rows))
+
+
+def test_near_dedup_edges(spark):
+    kept = neardup.deduplicated(odd(spark))
+    assert kept.columns == odd(spark).columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 6, 7, 8, 9]
+    assert neardup.deduplicated(odd(spark, [])).count() == 0
+    # An id with two texts, one of which resembles a smaller id's: neither group is lost.
+    texts = {c: " ".join(f"{c}{i}" for i in range(50)) for c in "ab"}
+    rows = [(1, texts["b"]), (5, texts["a"]), (5, texts["b"]), (9, texts["a"])]
+    got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, texts["b"]), (5, texts["a"])]
