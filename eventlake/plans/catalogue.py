@@ -160,6 +160,25 @@ _time_query("time_facet_hour", 0, 500)
 _time_query("time_facet_day", 0, 1 << 40)
 
 
+def _scaled_time_query(name: str, hours: int) -> None:
+    """All events, their times since the first divided so that they span ``hours`` at most."""
+    wide = hours * 3_600_000_000
+    scaled = f""", scaled AS (SELECT make_timestamp(low + (epoch_us(ts) - low) // ratio) AS ts
+  FROM logs, (SELECT min(epoch_us(ts)) AS low, greatest((max(epoch_us(ts)) - min(epoch_us(ts)) + {wide - 1}) // {wide}, 1) AS ratio FROM logs))"""
+
+    def run(spark, sf):
+        rows = logs(spark, sf).withColumn("ft", S.timestamp_to_filetime(F.col("ts")))
+        span = rows.agg(F.min("ft").alias("low"), F.max("ft").alias("high")).selectExpr("low", f"greatest((high - low + {10 * wide - 1}) div {10 * wide}, 1) AS ratio")
+        scaled = rows.crossJoin(F.broadcast(span)).withColumn("ft", F.expr("low + (ft - low) div 10 div ratio * 10"))
+        return facets.time_facet(scaled, S.filetime_to_timestamp(F.col("ft")))
+
+    query(name, sql(scaled + _time_sql("scaled", "ts", "true")))(run)
+
+
+_scaled_time_query("time_facet_minute_all", 2)
+_scaled_time_query("time_facet_hour_all", 48)
+
+
 @query("time_facet_from_json", sql(_time_sql("logs", "ts", "Level IN (2)")))
 def time_facet_from_json(spark, sf):
     return facets.time_facet(logs(spark, sf), S.event_time(Columns().get("time").expr()), Filters(level=(2,)))
@@ -343,7 +362,7 @@ def file_id(spark, sf):
 @query("template_join", "SELECT l_orderkey, l_linenumber, s_name FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_suppkey % 2 = 0")
 def template_join(spark, sf):
     instances = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit(" {K-"), F.col("l_suppkey").cast("string"), F.lit("}")).alias("guid"))
-    known = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("k-"), F.col("s_suppkey").cast("string")).alias("guid"), "s_name")
+    known = table(spark, sf, "supplier").select(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "k-").otherwise("other-"), F.col("s_suppkey").cast("string")).alias("guid"), "s_name")
     return templates.with_offline_template(instances, known).select("l_orderkey", "l_linenumber", "s_name")
 
 
