@@ -237,25 +237,36 @@ def fingerprint_links(classes: DataFrame, config: SimHashConfig = SimHashConfig(
 
 
 def near_duplicates(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
+    """doc_id, fp and component_id of every row; see ``_labelled``."""
+    return _labelled(docs.select("doc_id", "text"), config)
+
+
+def _labelled(docs: DataFrame, config: SimHashConfig, whole: bool = False) -> DataFrame:
     """doc_id, fp and component_id of every row.
 
     component_id is the least doc_id that links reach, the row's own included. Rows
     that repeat a doc_id go by their texts: each has the component of its own text. A
     null doc_id links with nothing and has a null component_id. An empty table gives
-    no rows; other columns aren't looked at.
+    no rows; other columns aren't looked at. With ``whole``, the text's given hash and the
+    component's own name (its least fingerprint) come too.
     """
-    rows = written(with_fingerprint(docs.select("doc_id", "text"), config).select("doc_id", "fp"), "fingerprints")
+    columns = ["doc_id", "fp", *(["hash"] if whole else [])]
+    rows = written(with_fingerprint(docs, config).select(*columns), "fingerprints")
     known = rows.where(F.col("doc_id").isNotNull())
     classes = checkpoint(known.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(fingerprint_links(classes, config))
-    labels = checkpoint(classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
-    return rows.join(labels, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    # Nodes are fingerprints: one id can be the least of several classes.
+    found = connected_components(fingerprint_links(classes.select("fp", F.col("fp").alias("rep")), config))
+    rooted = checkpoint(classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    labels = checkpoint(rooted.join(least, "root").select("fp", "root", "component_id"))
+    told = F.col("doc_id").isNotNull()
+    return rows.join(labels, "fp", "left").select("doc_id", "fp", *(F.when(told, F.col(c)).alias(c) for c in ("component_id", "root", "hash") if c == "component_id" or whole))
 
 
 def deduplicated(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """One row of each group of near-duplicates: that of the least doc_id. Of several rows
-    of that id, the one whose text's hash is least stays. Rows without an id stay."""
-    groups = near_duplicates(docs, config).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_")).distinct()
-    columns = docs.columns
-    kept = docs.join(groups, docs["doc_id"] == groups["kept_"]).withColumn("nth_", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return kept.where("nth_ = 1").select(*columns).union(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of near-duplicates: that of the least doc_id. Of several texts
+    of that id in the group, the one whose hash is least stays. Rows without an id stay."""
+    told = _labelled(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), config, whole=True).where(F.col("doc_id") == F.col("component_id"))
+    kept = told.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("k")).select(F.col("k.doc_id").alias("kept_"), F.col("k.hash").alias("hash_"))
+    met = docs.join(kept, (docs["doc_id"] == F.col("kept_")) & (F.xxhash64(docs["text"]) == F.col("hash_"))).withColumn("nth_", F.row_number().over(Window.partitionBy("kept_", "hash_").orderBy(F.lit(1))))
+    return met.where("nth_ = 1").select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))

@@ -119,6 +119,22 @@ def test_simhash_edges(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 6, 7, 8, 9]
 
 
+def test_simhash_keeps_groups_of_an_id_with_two_texts(spark):
+    texts = {c: " ".join(f"{c}{i}" for i in range(400)) for c in "abc"}
+    rows = [(1, texts["b"]), (3, texts["b"] + " end"), (5, texts["a"]), (5, texts["b"] + " end"), (9, texts["a"]), (2, texts["c"]), (2, texts["a"] + " x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {t: slow_fingerprint(t) for _, t in rows}
+    roots = slow_components(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3)
+    assert len(set(fp.values())) == 5 and len(set(roots.values())) == 3
+    least = {r: min(i for i, t in rows if roots[t] == r) for r in set(roots.values())}
+    assert sorted((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(df).collect()) == sorted((i, fp[t], least[roots[t]]) for i, t in rows)
+    kept = simhash.deduplicated(df).collect()
+    assert sorted((roots[r["text"]], r["doc_id"]) for r in kept) == sorted(least.items())
+    # Two groups whose least id is the same.
+    rows = [(5, texts["a"]), (5, texts["b"]), (6, texts["b"] + " end")]
+    assert sorted(map(tuple, simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == [(5, texts["a"]), (5, texts["b"])]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 50)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
