@@ -97,17 +97,19 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def _blocks_of_slots(seed: int, chunk: int = 1 << 16):
-    """Rows (src, n, first, count) to one row (src, block, copy) for each slot."""
+    """Rows (src, n, first, count, shard, before, slots) to one row (shard, slot, src, block) for
+    each slot. A keyed permutation of the shard's slots mixes its sources."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for src, n, first, count in zip(*(batch.column(c).to_pylist() for c in ("src", "n", "first", "count")), strict=True):
+            for src, n, first, count, shard, before, slots in zip(*(batch.column(c).to_pylist() for c in ("src", "n", "first", "count", "shard", "before", "slots")), strict=True):
                 at = first
                 while at < first + count:
                     turn = at // n
                     stop = min(at + chunk, first + count, (turn + 1) * n)
                     block = permuted(np.arange(at, stop) - turn * n, n, seed * 1_000_003 + src * 31 + turn)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), src, np.int32)), pa.array(block)], ["src", "block"])
+                    slot = permuted(np.arange(at, stop) - first + before, slots, seed * 1_000_003 + 500_009 + shard)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), shard, np.int32)), pa.array(slot), pa.array(np.full(len(block), src, np.int32)), pa.array(block)], ["shard", "slot", "src", "block"])
                     at = stop
 
     return run
@@ -118,14 +120,8 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("hash"))
 
 
-def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """How often the mix takes each part of each row: doc_id, source, size, hash,
-    source_size, target, taken, and spans (array of from, to, times: words of the row).
-
-    A null or empty text has size 0 and is never taken; a null source is a source of
-    its own, the last; a null or repeated doc_id is a row like any other (rows alike in
-    all of id, source and text are interchangeable). An empty table gives no rows.
-    """
+def _dealt(docs: DataFrame, config: MixConfig) -> tuple[DataFrame, DataFrame]:
+    """The slots (shard, slot, src, block), and the rows with their start in their source's stream."""
     spark: SparkSession = docs.sparkSession
     rows = written(sized(docs), "sizes")
     # One row a source: the driver needs their sizes for the shares.
@@ -135,16 +131,16 @@ def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     n_blocks = [-(-s // config.block) for s in sizes]
     slots = [min(int(config.most * n), round(t * n / s)) if s else 0 for n, s, t in zip(n_blocks, sizes, want, strict=True)]
     draws, first = [], [0] * len(sizes)
-    for shard in shard_counts(slots, config):
+    for number, shard in enumerate(shard_counts(slots, config)):
         for i, c in enumerate(shard):
             if c:
-                draws.append(Row(src=i, n=n_blocks[i], first=first[i], count=c))
+                draws.append(Row(src=i, n=n_blocks[i], first=first[i], count=c, shard=number, before=sum(shard[:i]), slots=sum(shard)))
                 first[i] += c
     sources = spark.createDataFrame([Row(source=name, src=i, source_size=sizes[i], target=want[i]) for i, (name, _) in enumerate(found)], "source string, src int, source_size long, target double")
     if len(found) <= config.broadcast_sources:
         sources = F.broadcast(sources)
-    drawn = spark.createDataFrame(draws, "src int, n long, first long, count long")
-    times = drawn.repartition(max(1, min(len(draws), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(_blocks_of_slots(config.seed), "src int, block long").groupBy("src", "block").agg(F.count("*").alias("times"))
+    drawn = spark.createDataFrame(draws, "src int, n long, first long, count long, shard int, before long, slots long")
+    slots_of = drawn.repartition(max(1, min(len(draws), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(_blocks_of_slots(config.seed), "shard int, slot long, src int, block long")
 
     # The place of each row in its source's stream: sums of whole buckets, then sums inside one.
     known = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(config.buckets)).cast("int"))
@@ -152,7 +148,38 @@ def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     before = bucket_sums.select("src", "bucket", (F.sum("bucket_size").over(Window.partitionBy("src").orderBy("bucket")) - F.col("bucket_size")).alias("before"))
     inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = known.withColumn("upto", F.sum("size").over(inside)).withColumn("nth", F.row_number().over(inside)).join(before, ["src", "bucket"]).withColumn("start", F.col("before") + F.col("upto") - F.col("size"))
+    return slots_of, placed
+
+
+def mixed_blocks(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+    """The mix by output shard: shard, slot (from 0 in each shard), source, block, words (an
+    array; the last block of a source may be short)."""
+    slots_of, placed = _dealt(docs, config)
+    b = F.lit(config.block)
+    texts = docs.select(F.col("doc_id").alias("id_"), F.xxhash64("text").alias("hash_"), "text").dropDuplicates(["id_", "hash_"])
+    met = placed.where("size > 0").join(texts, placed["doc_id"].eqNullSafe(texts["id_"]) & (placed["hash"] == texts["hash_"]))
+    split = F.array(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+    numbers = F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))
 
+    def cut(w, k):
+        low = F.greatest(k * b - F.col("start"), F.lit(0))
+        return F.struct(k.alias("block"), F.slice(w, (low + 1).cast("int"), (F.least((k + 1) * b - F.col("start"), F.col("size")) - low).cast("int")).alias("words"))
+
+    pieces = met.select("src", "source", "start", F.explode(F.transform(split, lambda w: F.transform(numbers, lambda k: cut(w, k)))[0]).alias("p"))
+    blocks = pieces.groupBy("src", "source", "p.block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "p.words"))), lambda x: x["words"])).alias("words"))
+    return slots_of.join(blocks.hint("merge"), ["src", "block"]).select("shard", "slot", "source", "block", "words")
+
+
+def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+    """How often the mix takes each part of each row: doc_id, source, size, hash,
+    source_size, target, taken, and spans (array of from, to, times: words of the row).
+
+    A null or empty text has size 0 and is never taken; a null source is a source of
+    its own, the last; a null or repeated doc_id is a row like any other (rows alike in
+    all of id, source and text are interchangeable). An empty table gives no rows.
+    """
+    slots_of, placed = _dealt(docs, config)
+    times = slots_of.groupBy("src", "block").agg(F.count("*").alias("times"))
     b = F.lit(config.block)
     last = F.col("start") + F.col("size") - 1
     pieces = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / b), F.floor(last / b))).otherwise(F.array(F.lit(-1).cast("long")))))

@@ -376,6 +376,20 @@ def test_mixing_edges_and_documents(spark):
     assert mixing.mix_plan(odd(spark, [])).count() == 0 and mixing.mixed_documents(odd(spark, [])).count() == 0
 
 
+def test_mixed_blocks_by_shard(spark):
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(i % 7 * 9 + 1)), "en", "abc"[i % 3], 0) for i in range(90)]
+    df, config = spark.createDataFrame(rows, DOCS), mixing.MixConfig(block=16, shard_slots=20)
+    got, plan = mixing.mixed_blocks(df, config).collect(), mixing.mix_plan(df, config).collect()
+    shards = defaultdict(list)
+    for r in got:
+        shards[r["shard"]].append(r["slot"])
+    assert len(shards) > 2 and all(sorted(s) == list(range(len(s))) for s in shards.values())
+    taken = Counter(int(w[1 : w.index("w")]) for r in got for w in r["words"])
+    assert taken == +Counter({r["doc_id"]: r["taken"] for r in plan})
+    same = {(r["source"], r["block"]): r["words"] for r in got}
+    assert all(same[r["source"], r["block"]] == r["words"] and len(r["words"]) <= 16 for r in got)
+
+
 # 7 Licenses
 
 
