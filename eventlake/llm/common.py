@@ -22,13 +22,25 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
-def words(text: str | None) -> list[bytes]:
+def raw_texts(column: pa.Array) -> list[bytes | None]:
+    """Texts as the bytes that the table holds; bytes that aren't UTF-8 are kept."""
+    return column.cast(pa.binary()).to_pylist()
+
+
+def texts(column: pa.Array) -> list[str | None]:
+    """Texts as strings; bytes that aren't UTF-8 become U+FFFD."""
+    return [None if t is None else t.decode("utf-8", "replace") for t in raw_texts(column)]
+
+
+def words(text: str | bytes | None) -> list[bytes]:
     """The words of a text as UTF-8, A-Z lower-cased; none for a null.
 
     ``bytes.lower`` and ``bytes.split`` know ASCII only, which is exactly the
     case folding and the white space that the word definition asks for.
     """
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not text:
+        return []
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).lower().split()
 
 
 def crc_mod(id_column: Column, modulus: int) -> Column:
@@ -37,12 +49,14 @@ def crc_mod(id_column: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh
-    temporary folder where the setting is absent (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the setting
+    is absent, a local master gets a temporary folder (tests); any other raises ValueError."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="checkpoint-")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(base)
@@ -77,7 +91,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, rows: int
     alone is longer, at most about ``chars`` bytes of the column ``text``."""
     for batch in batches:
         start, n = 0, batch.num_rows
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist() if text else [0] * n
+        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy().tolist() if text else [0] * n
         while start < n:
             stop, total = start, 0
             while stop < n and stop - start < rows and (stop == start or total + sizes[stop] <= chars):

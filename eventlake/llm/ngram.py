@@ -16,20 +16,19 @@ words, which the disk limit of this job doesn't hold (README has figures).
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_mod, renamed, schema_with, scratch_path, slices, words, written
+from .hasharrays import by_key, bytes_of, cut, pack, runs, save, small, sorted_counts, squeeze, unpack, widen
 
 #: Shards of each table are powers of two by the top bits of a key: one for each this many
 #: bytes of input, so that a shard's merge stays in a task's memory at any size; and bounds.
@@ -90,45 +89,12 @@ def discounts(of_counts: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for d, k in zip(made, (1, 2, 3), strict=True))
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted unsigned keys as compressed differences."""
-    return pa.compress(np.diff(keys, prepend=keys.dtype.type(0)).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(blob: bytes, n: int, dtype) -> np.ndarray:
-    kind = np.dtype(dtype)
-    return np.cumsum(np.frombuffer(pa.decompress(blob, n * kind.itemsize, codec="zstd"), kind), dtype=kind)
-
-
-def _small(counts: np.ndarray) -> np.ndarray:
-    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
-
-
-def _squeeze(values: np.ndarray) -> bytes:
-    return pa.compress(values.astype("<u8").tobytes(), codec="zstd", asbytes=True)
-
-
-def _widen(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob, n * 8, codec="zstd"), "<u8")
-
-
 BLOBS = "shard int, n long, keys binary, counts binary"
 
 
-def _sorted_counts(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
 def _blobs(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """Sorted keys, cut by their top bits."""
-    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    edges = np.concatenate([[0], cuts, [len(keys)]])
-    rows = [(s, int(b - a), _pack(keys[a:b]), _squeeze(counts[a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+    rows = [(s, b - a, pack(keys[a:b]), squeeze(counts[a:b])) for s, a, b in cut(keys, bits)]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "n", "keys", "counts"])
 
 
@@ -149,56 +115,23 @@ def _count_words(bits: int):
         for part in slices(batches, "text", chars=4 << 20):
             held.append(_tokens(part)[0])
             if sum(map(len, held)) > HELD:
-                yield _blobs(*_sorted_counts(np.concatenate(held)), bits)
+                yield _blobs(*sorted_counts(np.concatenate(held)), bits)
                 held.clear()
         if held:
-            yield _blobs(*_sorted_counts(np.concatenate(held)), bits)
+            yield _blobs(*sorted_counts(np.concatenate(held)), bits)
 
     return run
 
 
-def _save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
-    """Write arrays one after another, each from a multiple of 8; the path is new for each attempt."""
-    fs, path = pa.fs.FileSystem.from_uri(f"{folder}/{name}-{uuid.uuid4().hex}.bin")
-    with fs.open_output_stream(path) as out:
-        for a in arrays:
-            raw = np.ascontiguousarray(a).tobytes()
-            out.write(raw + b"\0" * (-len(raw) % 8))
-    return path if isinstance(fs, pa.fs.LocalFileSystem) else f"{folder}/{path.rpartition('/')[2]}"
-
-
-def _bytes_of(path: str) -> np.ndarray:
-    """The file's bytes, mapped into memory."""
-    if path.startswith("/"):
-        return np.memmap(path, np.uint8, "r")
-    fs, inner = pa.fs.FileSystem.from_uri(path)
-    with fs.open_input_file(inner) as f:
-        return np.frombuffer(f.read_buffer(), np.uint8)
-
-
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of one shard after another; the partition is sorted by shard."""
-    now, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if now is not None and row["shard"] != now:
-                yield now, rows
-                rows = []
-            now = row["shard"]
-            rows.append(row)
-    if now is not None:
-        yield now, rows
-
-
 def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    return _sorted_counts(np.concatenate([_unpack(r["keys"], r["n"], "<u8") for r in rows]), np.concatenate([_widen(r["counts"], r["n"]) for r in rows]))
+    return sorted_counts(np.concatenate([unpack(r["keys"], r["n"], "<u8") for r in rows]), np.concatenate([widen(r["counts"], r["n"]) for r in rows]))
 
 
 def _save_words(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in _by_shard(batches):
+        for (shard,), rows in by_key(batches, "shard"):
             keys, counts = _merged(rows)
-            path = _save(folder, f"words-{shard:03d}", [keys, counts.astype("<u8")])
+            path = save(folder, f"words-{shard:03d}", [keys, counts.astype("<u8")])
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "n": len(keys), "total": int(counts.sum())}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n", pa.int64()), ("total", pa.int64())]))
 
     return run
@@ -213,14 +146,14 @@ class Words:
     def _shard(self, s: int) -> tuple[np.ndarray, np.ndarray]:
         if s not in self.shards:
             path, n = self.m.word_files[s]
-            raw = _bytes_of(path)
+            raw = bytes_of(path)
             self.shards[s] = raw[: 8 * n].view("<u8"), raw[8 * n : 16 * n].view("<u8")
         return self.shards[s]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of each sorted hash; (-1, 0) if it isn't there."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for s, a, b in _runs(hashes, self.m.bits):
+        for s, a, b in runs(hashes, self.m.bits):
             if s in self.m.word_files:
                 keys, c = self._shard(s)
                 at = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
@@ -230,13 +163,6 @@ class Words:
         return ids, counts
 
 
-def _runs(sorted_keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    shard = (sorted_keys >> np.uint64(64 - bits)).astype(np.int64)
-    starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
-    for a, b in zip(starts, np.append(starts[1:], len(shard)), strict=True):
-        yield int(shard[a]), int(a), int(b)
-
-
 def _pairs(ids: np.ndarray, ends: np.ndarray, begin: int) -> np.ndarray:
     """The id before each token; ``begin`` at a text's start."""
     before = np.empty_like(ids)
@@ -258,10 +184,10 @@ def _count_bigrams(sent):
             ids = table.find(unique)[0][back]
             held.append(mix((_pairs(ids, ends, m.vocabulary).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)))
             if sum(map(len, held)) > HELD:
-                yield _blobs(*_sorted_counts(np.concatenate(held)), m.bits)
+                yield _blobs(*sorted_counts(np.concatenate(held)), m.bits)
                 held.clear()
         if held:
-            yield _blobs(*_sorted_counts(np.concatenate(held)), m.bits)
+            yield _blobs(*sorted_counts(np.concatenate(held)), m.bits)
 
     return run
 
@@ -290,19 +216,19 @@ def _save_bigrams(folder: str, vocabulary: int, bits: int):
     def partial(kind: str, ids: np.ndarray, values: list[np.ndarray]) -> Iterator[dict]:
         for s in np.unique(ids // wide):
             a, b = np.searchsorted(ids, [s * wide, (s + 1) * wide])
-            yield _row(kind=kind, shard=int(s), n=int(b - a), keys=_pack(ids[a:b].astype("<u8")), **{c: _squeeze(v[a:b]) for c, v in zip("abcd", values, strict=False)})
+            yield _row(kind=kind, shard=int(s), n=int(b - a), keys=pack(ids[a:b].astype("<u8")), **{c: squeeze(v[a:b]) for c, v in zip("abcd", values, strict=False)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in _by_shard(batches):
+        for (shard,), rows in by_key(batches, "shard"):
             keys, counts = _merged(rows)
-            small = _small(counts)
-            path = _save(folder, f"bigrams-{shard:03d}", [keys, small])
+            narrow = small(counts)
+            path = save(folder, f"bigrams-{shard:03d}", [keys, narrow])
             both = unmix(keys)
             first, second = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
             contexts, back = np.unique(first, return_inverse=True)
             sums = [np.bincount(back, w, len(contexts)).astype(np.int64) for w in (counts.astype(np.float64), counts == 1, counts == 2, counts >= 3)]
             followers, types = np.unique(second, return_counts=True)
-            out = [_row(kind="file", shard=shard, path=path, n=len(keys), size=small.dtype.itemsize, of_counts=_of_counts(counts)), *partial("context", contexts, sums), *partial("follower", followers, [types])]
+            out = [_row(kind="file", shard=shard, path=path, n=len(keys), size=narrow.dtype.itemsize, of_counts=_of_counts(counts)), *partial("context", contexts, sums), *partial("follower", followers, [types])]
             for at in range(0, len(out), 64):
                 yield pa.RecordBatch.from_pylist(out[at : at + 64], _PARTIAL)
 
@@ -313,13 +239,13 @@ def _save_stats(folder: str, vocabulary: int, bits: int):
     wide = _wide(vocabulary, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in _by_shard(batches):
+        for (shard,), rows in by_key(batches, "shard"):
             total = np.zeros((5, wide), "<i8")  # context total, types seen once, twice, more; continuation count
             for r in rows:
-                at = _unpack(r["keys"], r["n"], "<u8").astype(np.int64) - shard * wide
+                at = unpack(r["keys"], r["n"], "<u8").astype(np.int64) - shard * wide
                 for k, c in zip((0, 1, 2, 3) if r["kind"] == "context" else (4,), "abcd", strict=False):
-                    total[k][at] += _widen(r[c], r["n"]).astype(np.int64)
-            path = _save(folder, f"stats-{shard:03d}", [total])
+                    total[k][at] += widen(r[c], r["n"]).astype(np.int64)
+            path = save(folder, f"stats-{shard:03d}", [total])
             cont = total[4]
             yield pa.RecordBatch.from_pylist([_row(kind="stats", shard=shard, path=path, n=int((cont > 0).sum()), of_counts=[*_of_counts(cont), int((cont >= 3).sum()), int(cont.sum())])], _PARTIAL)
 
@@ -369,11 +295,11 @@ class Scorer:
 
     def _bigram_counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        for s, a, b in _runs(keys, self.m.bits):
+        for s, a, b in runs(keys, self.m.bits):
             if s in self.m.bigram_files:
                 if s not in self.bigrams:
                     path, n, size = self.m.bigram_files[s]
-                    raw = _bytes_of(path)
+                    raw = bytes_of(path)
                     self.bigrams[s] = raw[: 8 * n].view("<u8"), raw[8 * n : 8 * n + size * n].view(f"<u{size}")
                 known, c = self.bigrams[s]
                 at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
@@ -390,7 +316,7 @@ class Scorer:
             s = int(shard[a])
             if s in self.m.stat_files:
                 if s not in self.stats:
-                    self.stats[s] = _bytes_of(self.m.stat_files[s][0]).view("<i8").reshape(5, self.wide)
+                    self.stats[s] = bytes_of(self.m.stat_files[s][0]).view("<i8").reshape(5, self.wide)
                 out[:, a:b] = self.stats[s][:, ids[a:b] - s * self.wide]
         return out
 

@@ -570,12 +570,67 @@ def test_langid_held_out_accuracy(spark):
     assert len(got) > 200 and sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.97
 
 
-def test_langid_against_the_plain_form(spark, sf):
+def slow_langid(rows, longest=5, smoothing=0.5):
+    """Tables from (lang, text) rows by plain counting; gives text to (lang, score, fit)."""
+
+    def split(text):
+        runs = re.findall(r"[^\W\d_]+", (text or "").lower())
+        return [w for r in runs if (w := "".join(c for c in r if c.isalpha()))]
+
+    tables = [defaultdict(Counter) for _ in range(longest + 1)]
+    for lang, text in rows:
+        for w in split(text):
+            tables[0][w][lang] += 1
+            for k in range(1, longest + 1):
+                for i in range(len(w) + 3 - k):
+                    tables[k][f"_{w}_"[i : i + k]][lang] += 1
+    langs = sorted({lang for lang, text in rows if split(text)})
+    totals = [Counter() for _ in tables]
+    for table, total in zip(tables, totals, strict=True):
+        for by in table.values():
+            total.update(by)
+    log = lambda k, key: np.array([math.log((tables[k][key][g] + smoothing) / (totals[k][g] + smoothing * (len(tables[k]) + 1))) for g in langs])
+
+    def word(w):
+        if w in tables[0]:
+            return log(0, w), 1.0
+        for k in range(longest, 0, -1):
+            known = [g for i in range(len(w) + 3 - k) if (g := f"_{w}_"[i : i + k]) in tables[k]]
+            if known:
+                return sum(log(k, g) for g in known) / len(known), k / longest
+        return np.zeros(len(langs)), 0.0
+
+    def told(text):
+        each = [word(w) for w in split(text)]
+        if not each or not langs:
+            return "und", 0.0, 0.0
+        total = sum(s for s, _ in each)
+        best = int(np.argmax(total))
+        return langs[best], float(1 / np.exp(total - total[best]).sum()), sum(f for _, f in each) / len(each)
+
+    return told
+
+
+def test_langid_against_plain_counting(spark, sf):
     docs = docs_of(spark, sf)
-    model = langid.train(docs)
-    for r in langid.identify(docs, model, cached=50).collect():
-        lang, score = model.predict(r["text"])
-        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score)
+    rows = docs.collect()
+    told = slow_langid([(r["lang"], r["text"]) for r in rows if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1])
+    more = spark.createDataFrame([(i, t) for i, t in enumerate(["the xqzk wvvrtp", "日本語 и", "x²y ² don't", "a" * 5000, "mixed Straße élan " * 3])], "doc_id long, text string")
+    every = docs.select("doc_id", "text").union(more)
+    got = langid.identify(every, langid.train(docs), cached=50).collect()
+    assert len(got) == len(rows) + 5
+    for r in got:
+        lang, score, fit = told(r["text"])
+        assert r["score"] == pytest.approx(score) and r["fit"] == pytest.approx(fit)
+        assert r["lang_pred"] == lang or score < 0.5
+
+
+def test_langid_rejects_long_junk_and_keeps_clean_texts(spark, sf):
+    docs = docs_of(spark, sf)
+    junk = [(-1, "xqzk wvvrtp qqkzz bxxcd " * 200), (-2, "日本語 の テキスト " * 200), (-3, "привет мир как дела " * 200)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(junk, "doc_id long, text string"))
+    kept = [r["doc_id"] for r in langid.accepted(df, langid.train(docs)).collect()]
+    assert min(kept) >= 0 and len(kept) >= 0.98 * docs.count()
 
 
 def test_langid_edges(spark):
