@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,6 +102,58 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, rows: int
             start = stop
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], names: list[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition sorted by ``names``, cut between buckets: each batch has the whole of
+    some buckets, and about ``rows`` rows if none alone is larger. The rest isn't held."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        all_ = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        new = np.zeros(size - 1, bool)
+        for name in names:
+            values = all_.column(name).to_numpy(zero_copy_only=False)
+            new |= values[1:] != values[:-1]
+        cuts = np.flatnonzero(new)
+        if len(cuts):
+            at = int(cuts[-1]) + 1
+            yield all_.slice(0, at)
+            all_ = all_.slice(at)
+        held, size = [all_], all_.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def dealt(rows: DataFrame, bucket: list[str], by: str, most: int) -> DataFrame:
+    """Add ``part``, ``low`` and ``high``: a bucket with over ``most`` rows is cut into parts by a
+    hash of ``by``, and each pair of parts, (low, high), becomes a bucket of its own, so that all
+    its pairs meet in bounded tasks however its rows are spread. Sorted by bucket in partitions."""
+    sizes = rows.groupBy(*bucket).agg(F.count("*").alias("size")).where(F.col("size") > most)
+    large = checkpoint(sizes.select(*bucket, F.ceil(F.col("size") / most).cast("int").alias("parts")))
+    marked = rows.join(large, bucket, "left") if large.limit(1).count() else rows.withColumn("parts", F.lit(None).cast("int"))
+    marked = marked.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("parts"))).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("low"), F.greatest(p, F.col("part")).alias("high")))
+    alone = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
+    whole = [*bucket, "low", "high"]
+    return marked.withColumn("pair", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(pairs))).select("*", "pair.low", "pair.high").drop("parts", "pair").repartition(*whole).sortWithinPartitions(*whole)
+
+
+def starts_of(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Where each bucket of a sorted batch begins, and the number of rows."""
+    new = np.ones(batch.num_rows, bool)
+    if batch.num_rows:
+        new[1:] = False
+    for name in names:
+        values = batch.column(name).to_numpy(zero_copy_only=False)
+        new[1:] |= values[1:] != values[:-1]
+    return np.append(np.flatnonzero(new), batch.num_rows)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that the table doesn't have."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -8,9 +8,12 @@ fingerprint goes into one trie for each block, whose first 16 levels are that bl
 Each trie is joined with itself: pairs of nodes are walked together from the end of
 the block, differing bits add up, and a pair whose sum exceeds the budget is dropped
 with all that is below it. Nodes are ranges of a sorted array, so a level of all pairs
-is a few numpy operations. A task gives a spanning forest of the links that it found,
-never all pairs of a dense group. Buckets with over ``most_bucket`` classes are split
-into pairs of deeper nodes, which go to tasks of their own; no bucket is capped.
+is a few numpy operations. A task reads its buckets one after another and gives a
+spanning forest of the links that it found, never all pairs of a dense group. Buckets
+with over ``most_bucket`` classes are cut into parts, of which each pair is a bucket of
+its own; no bucket is capped.
+
+``neardup`` joins wider fingerprints the same way, from tries of its own.
 """
 
 from __future__ import annotations
@@ -21,28 +24,28 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, renamed, schema_with, slices, words, written
+from .common import checkpoint, dealt, raw_texts, renamed, schema_with, slices, starts_of, whole_buckets, words, written
 from .components import connected_components
 
 BITS = 64
+_BUCKET = ["tab", "key", "low", "high"]
 
 
 @dataclass(frozen=True)
 class SimHashConfig:
     shingle: int = 3
     distance: int = 3
-    #: Classes of a bucket beyond which it is split by this many further bits.
+    #: Classes of a bucket beyond which it is cut into parts.
     most_bucket: int = 50_000
-    split_bits: int = 6
-    #: Leaf pairs with at most so many fingerprint pairs are compared outright.
+    #: Node pairs with at most so many fingerprint pairs are compared outright.
     leaf_pairs: int = 64
 
 
-def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+def shingle_hashes(text: str | bytes | None, n: int) -> np.ndarray:
     """XXH64 (seed 42) of each n-word shingle, repeats included; of all words if there are fewer."""
     w = words(text)
     if not w:
@@ -51,26 +54,32 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(s, 42) for s in joined], dtype=np.uint64)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many rows of an array (n, words) of 64-bit numbers have each bit, low bits first."""
+    total = np.zeros(BITS * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 1 << 13):  # a bounded matrix of bits for a text of any length
+        part = np.ascontiguousarray(hashes[at : at + (1 << 13)]).view(np.uint8)
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return total
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """The bits set in over half of the hashes; zero for none."""
-    n, total = len(hashes), np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):  # a bounded matrix of bits for a text of any length
-        part = np.ascontiguousarray(hashes[at : at + (1 << 16)]).view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * bit_counts(hashes[:, None]) > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            made = np.array([fingerprint(shingle_hashes(t, n)) for t in part.column("text").to_pylist()], dtype=np.uint64)
+            made = np.array([fingerprint(shingle_hashes(t, n)) for t in raw_texts(part.column("text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made.view(np.int64))], [*part.schema.names, "fp"])
 
     return run
 
 
 def with_fingerprint(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """Add ``fp`` (the 64 bits as a long). A null text and a text without words have 0."""
+    """Add ``fp`` (the 64 bits as a long). A null text and a text without words have 0;
+    bytes that aren't UTF-8 are hashed as they are."""
     docs = renamed(docs, ["fp"])
     return docs.mapInArrow(_fingerprints(config.shingle), schema_with(docs, ("fp", T.LongType())))
 
@@ -108,10 +117,11 @@ def minimum_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def trie_links(value: np.ndarray, roots: list[tuple], distance: int, leaf_pairs: int = 64) -> np.ndarray:
     """Component labels (least index) of sorted fingerprints under links of ``distance`` bits.
 
-    value: the fingerprints, sorted within each root's ranges. roots: node pairs to
-    start from, as arrays (low a, high a, low b, high b, bits that differ, level).
+    value: the fingerprints (n, words), high bits first, sorted within each root's ranges.
+    roots: node pairs to start from, as arrays (low a, high a, low b, high b, bits that
+    differ, level).
     """
-    n = len(value)
+    n, levels = len(value), BITS * value.shape[1]
     label, cache = np.arange(n), {}
     found_a: list[np.ndarray] = []
     found_b: list[np.ndarray] = []
@@ -125,31 +135,43 @@ def trie_links(value: np.ndarray, roots: list[tuple], distance: int, leaf_pairs:
         found_a.clear()
         found_b.clear()
 
-    def compare(la, ha, lb, hb) -> None:
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal held
+        found_a.append(i)
+        found_b.append(j)
+        held += len(i)
+        if held > 1 << 21:
+            settle()
+
+    def compare(la, ha, lb, hb) -> None:
+        broad = (ha - la) * (hb - lb) > 512  # enough to compare a whole block at once
+        for a, b, c, d in zip(la[broad].tolist(), ha[broad].tolist(), lb[broad].tolist(), hb[broad].tolist(), strict=True):
+            differ = np.bitwise_count(value[a:b, None, 0] ^ value[None, c:d, 0]).astype(np.uint16)
+            for w in range(1, value.shape[1]):
+                differ += np.bitwise_count(value[a:b, None, w] ^ value[None, c:d, w])
+            i, j = np.nonzero(differ <= distance)
+            above = i + a < j + c
+            keep(i[above] + a, j[above] + c)
+        la, ha, lb, hb = (x[~broad] for x in (la, ha, lb, hb))
         sizes = np.cumsum((ha - la) * (hb - lb))
         at = 0
         while at < len(la):
-            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 21), side="right")))
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 19), side="right")))
             i, j = _expanded(la[at:stop], ha[at:stop], lb[at:stop], hb[at:stop])
-            near = np.bitwise_count(value[i] ^ value[j]) <= distance
-            found_a.append(i[near])
-            found_b.append(j[near])
-            held += int(near.sum())
-            if held > 1 << 21:
-                settle()
+            near = np.bitwise_count(value[i] ^ value[j]).sum(axis=1, dtype=np.int64) <= distance
+            keep(i[near], j[near])
             at = stop
 
     def ones_before(level: int) -> np.ndarray:
         if level not in cache:
             cache.clear()
-            cache[level] = np.concatenate([[0], np.cumsum((value >> np.uint64(BITS - 1 - level)) & np.uint64(1)).astype(np.int64)])
+            cache[level] = np.concatenate([[0], np.cumsum((value[:, level // BITS] >> np.uint64(BITS - 1 - level % BITS)) & np.uint64(1)).astype(np.int64)])
         return cache[level]
 
     stack = list(roots)
     while stack:
         la, ha, lb, hb, d, level = stack.pop()
-        small = ((ha - la) * (hb - lb) <= leaf_pairs) | (level >= BITS)
+        small = ((ha - la) * (hb - lb) <= leaf_pairs) | (level >= levels)
         compare(la[small], ha[small], lb[small], hb[small])
         la, ha, lb, hb, d = (x[~small] for x in (la, ha, lb, hb, d))
         if not len(la):
@@ -167,73 +189,81 @@ def trie_links(value: np.ndarray, roots: list[tuple], distance: int, leaf_pairs:
     return label
 
 
-def _rotated(fp: np.ndarray, block: np.ndarray, width: int) -> np.ndarray:
-    """The bits with block ``block`` (from the top) first."""
-    left = (block * width).astype(np.uint64)
-    return np.where(left == 0, fp, (fp << left) | (fp >> ((np.uint64(BITS) - left) & np.uint64(63))))
+def _keyed(orders: np.ndarray, width: int):
+    """Each code's key in each trie: the first ``width`` bits in that trie's order."""
+    weight = 1 << np.arange(width - 1, -1, -1, dtype=np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, rows=4096):
+            bits = np.unpackbits(codes_of(part.column("code")), axis=1)
+            keys = np.stack([bits[:, order[:width]].astype(np.int64) @ weight for order in orders], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(orders), dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("code"), part.column("rep"), lists], ["code", "rep", "keys"])
 
-def _join_tries(distance: int, split_bits: int, leaf_pairs: int):
-    width = BITS // (distance + 1)
+    return run
+
+
+def codes_of(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as rows of bytes."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
 
+
+def _join_tries(orders: np.ndarray, width: int, distance: int, leaf_pairs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        block, low, high, fp, rep = (t.column(c).to_numpy() for c in ("block", "low", "high", "fp", "rep"))
-        value = _rotated(fp.view(np.uint64), block, width)
-        order = np.lexsort((value, high, low, block))
-        block, low, high, value, rep = block[order], low[order], high[order], value[order], rep[order]
-        top = value >> np.uint64(BITS - width)
-        new = np.ones(len(value), bool)
-        new[1:] = (block[1:] != block[:-1]) | (top[1:] != top[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        start = np.flatnonzero(new)
-        stop = np.append(start[1:], len(value))
-        whole = low[start] < 0
-        zero = np.zeros(len(start), np.int64)
-        roots = [(start[whole], stop[whole], start[whole], stop[whole], zero[whole], width)]
-        # Of a split bucket: the node (low, low) with itself, or the nodes low and high with each other.
-        start, stop = start[~whole], stop[~whole]
-        if len(start):
-            sub = (value >> np.uint64(BITS - width - split_bits)) & np.uint64((1 << split_bits) - 1)
-            middle = np.array([s + np.searchsorted(sub[s:e], max(low[s], high[s])) if low[s] != high[s] else s for s, e in zip(start, stop, strict=True)])
-            lone = low[start] == high[start]
-            d = np.bitwise_count((low[start] ^ high[start]).astype(np.uint64)).astype(np.int64)
-            roots.append((start, np.where(lone, stop, middle), np.where(lone, start, middle), stop, d, width + split_bits))
-        label = trie_links(value, roots, distance, leaf_pairs)
-        linked = np.flatnonzero((label != np.arange(len(label))) & (rep[label] != rep))
-        if len(linked):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["a", "b"])
+        for rows in whole_buckets(batches, _BUCKET):
+            starts = starts_of(rows, _BUCKET)
+            if len(starts) - 1 == rows.num_rows:  # no bucket has two rows
+                continue
+            tab, low, part, rep = (rows.column(c).to_numpy() for c in ("tab", "low", "part", "rep"))
+            codes = codes_of(rows.column("code"))
+            value = np.empty((len(codes), codes.shape[1] // 8), np.uint64)
+            for t in np.unique(tab):
+                at = np.flatnonzero(tab == t)
+                for s in range(0, len(at), 1 << 14):  # a bounded matrix of bits
+                    value[at[s : s + (1 << 14)]] = np.ascontiguousarray(np.packbits(np.unpackbits(codes[at[s : s + (1 << 14)]], axis=1)[:, orders[t]], axis=1)).view(">u8")
+            bucket = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            second = part != low
+            order = np.lexsort((*value.T[::-1], second, bucket))
+            value, rep = value[order], rep[order]
+            start, stop = starts[:-1], starts[1:]
+            middle = stop - np.bincount(bucket, second, len(start)).astype(np.int64)
+            lone = rows.column("low").to_numpy()[start] == rows.column("high").to_numpy()[start]
+            zero = np.zeros(len(start), np.int64)
+            roots = [
+                (start[lone], stop[lone], start[lone], stop[lone], zero[lone], width),
+                (start[~lone], middle[~lone], middle[~lone], stop[~lone], zero[~lone], width),
+            ]
+            label = trie_links(value, roots, distance, leaf_pairs)
+            linked = np.flatnonzero((label != np.arange(len(label))) & (rep[label] != rep))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["a", "b"])
 
     return run
 
 
-def _rotated_column(fp: Column, block: Column, width: int) -> Column:
-    """The first ``width`` bits, and what follows, as Spark sees them: rotate left."""
-    left = (block * width).cast("int")
-    return F.call_function("shiftleft", fp, left).bitwiseOR(F.when(left == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", fp, F.lit(BITS) - left)))
+def code_links(classes: DataFrame, orders: np.ndarray, width: int, distance: int, *, most_bucket: int, leaf_pairs: int) -> DataFrame:
+    """Edges (a, b) of class ids that span, in each bucket, the links of ``distance`` bits.
+
+    classes: ``code`` (binary of one length, a multiple of 8 bytes) and ``rep`` (long).
+    orders: the order of the bits in each trie; classes that agree on the first ``width``
+    bits of a trie share a bucket.
+    """
+    keyed = classes.select("code", "rep").mapInArrow(_keyed(orders, width), "code binary, rep long, keys array<long>")
+    rows = keyed.select("code", "rep", F.posexplode("keys").alias("tab", "key"))
+    return dealt(rows, ["tab", "key"], "rep", most_bucket).mapInArrow(_join_tries(orders, width, distance, leaf_pairs), "a long, b long")
 
 
 def fingerprint_links(classes: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """Edges (a, b) of class ids that span the links between distinct fingerprints.
+    """Edges (a, b) of class ids that span all links between distinct fingerprints.
 
-    classes: ``fp`` (distinct longs) and ``rep`` (long). Buckets above ``most_bucket``
-    go to tasks as pairs of nodes ``split_bits`` levels deeper, of which no more than
-    ``distance`` bits differ.
+    classes: ``fp`` (distinct longs) and ``rep`` (long). Two that link agree on one of
+    ``distance + 1`` blocks of bits; a trie for each begins with it.
     """
-    blocks = config.distance + 1
-    width = BITS // blocks
-    rows = classes.select("fp", "rep", F.explode(F.array(*(F.lit(i) for i in range(blocks)))).alias("block"))
-    rows = rows.withColumn("turned", _rotated_column(F.col("fp"), F.col("block"), width))
-    rows = rows.withColumn("key", F.call_function("shiftrightunsigned", "turned", F.lit(BITS - width))).withColumn("sub", F.call_function("shiftrightunsigned", "turned", F.lit(BITS - width - config.split_bits)).bitwiseAND(F.lit((1 << config.split_bits) - 1)))
-    large = checkpoint(rows.groupBy("block", "key").agg(F.count("*").alias("n")).where(F.col("n") > config.most_bucket).select("block", "key", F.lit(True).alias("large")))
-    marked = rows.join(large, ["block", "key"], "left") if large.limit(1).count() else rows.withColumn("large", F.lit(None).cast("boolean"))
-    near = [m for m in range(1 << config.split_bits) if m.bit_count() <= config.distance]
-    others = F.transform(F.array(*(F.lit(m).cast("long") for m in near)), lambda m: F.struct(F.least(F.col("sub"), F.col("sub").bitwiseXOR(m)).alias("low"), F.greatest(F.col("sub"), F.col("sub").bitwiseXOR(m)).alias("high")))
-    none = F.array(F.struct(F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("high")))
-    dealt = marked.withColumn("part", F.explode(F.when(F.col("large"), others).otherwise(none))).select("block", "key", "part.low", "part.high", "fp", "rep")
-    return dealt.repartition("block", "key", "low", "high").select("block", "low", "high", "fp", "rep").mapInArrow(_join_tries(config.distance, config.split_bits, config.leaf_pairs), "a long, b long")
+    width = BITS // (config.distance + 1)
+    orders = np.stack([np.roll(np.arange(BITS), -block * width) for block in range(config.distance + 1)])
+    coded = classes.select(F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("code"), "rep")
+    return code_links(coded, orders, width, config.distance, most_bucket=config.most_bucket, leaf_pairs=config.leaf_pairs)
 
 
 def near_duplicates(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
