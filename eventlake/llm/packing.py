@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import renamed, slices, written
+from .common import raw_texts, renamed, slices, written
 from .tokens import encoder
 
 
@@ -58,11 +58,12 @@ def strategies(bins: int, depth: int) -> list[tuple[int, ...]]:
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """min |a x - b| over x >= 0, by active sets (Lawson and Hanson). A column that leaves as
-    soon as it has entered waits until another one has moved the solution."""
+    soon as it has entered waits until another one has moved the solution. Raises RuntimeError
+    if ``rounds`` (30 for each row of a) don't reach the optimum."""
     n = a.shape[1]
     x, active, waiting = np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
     scale = max(float(np.abs(b).max(initial=0.0)), 1.0)
-    for _ in range(rounds or 3 * a.shape[0]):
+    for _ in range(rounds or 30 * a.shape[0]):
         gain = a.T @ (b - a @ x)
         gain[active | waiting] = -np.inf
         best = int(np.argmax(gain))
@@ -88,6 +89,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
             waiting[:] = False
         else:
             waiting[best] = True
+    else:
+        raise RuntimeError("no optimum within the given rounds")
     return x
 
 
@@ -181,17 +184,19 @@ class Packer:
 def _tokenize(end_id: int, vocabulary: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        end = np.array([end_id], np.uint16).tobytes()
         for part in slices(batches, "text", rows=512):
-            made = [enc.ids(t).tobytes() + end for t in part.column("text").to_pylist()]
+            ids, size = enc.batch(raw_texts(part.column("text")))
+            ids = np.insert(ids, np.cumsum(size), end_id).astype("<u4")
+            offsets = np.append(0, np.cumsum(size + 1) * 4).astype(np.int32)
+            made = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
             kept = [c for c in part.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(made, pa.binary()), pa.array([len(m) // 2 for m in made], pa.int64())], [*kept, "ids", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), made, pa.array(size + 1, pa.int64())], [*kept, "ids", "doc_tokens"])
 
     return run
 
 
 def tokenized(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
-    """doc_id, ids (little-endian 16-bit ids, the end id last) and doc_tokens; a null text is empty."""
+    """doc_id, ids (little-endian 32-bit ids, the end id last) and doc_tokens; a null text is empty."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType())])
     return docs.select("doc_id", "text").mapInArrow(_tokenize(config.end_id, config.vocabulary), schema)
 
@@ -208,7 +213,7 @@ def _pack(plan, config: PackConfig):
             done, packer.pieces = packer.pieces, []
             for at in range(0, len(done), 4096):
                 part = done[at : at + 4096]
-                ids = [np.frombuffer(rows[r][1], np.uint16)[s : s + k].astype("<u4").tobytes() for r, s, k, _, _ in part]
+                ids = [rows[r][1][4 * s : 4 * (s + k)] for r, s, k, _, _ in part]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([rows[r][0] for r, *_ in part], pa.int64()),
@@ -216,7 +221,7 @@ def _pack(plan, config: PackConfig):
                         pa.array([k for _, _, k, *_ in part], pa.int64()),
                         pa.array(ids, pa.binary()),
                         pa.array([zlib.crc32(i) for i in ids], pa.int64()),
-                        pa.array([len(rows[r][1]) // 2 for r, *_ in part], pa.int64()),
+                        pa.array([len(rows[r][1]) // 4 for r, *_ in part], pa.int64()),
                         pa.array([q for *_, q, _ in part], pa.int64()),
                         pa.array([o for *_, o in part], pa.int64()),
                     ],
@@ -230,10 +235,10 @@ def _pack(plan, config: PackConfig):
         for part in slices(batches, "ids", rows=256):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist(), strict=True):
                 rows[n] = (doc_id, ids)
-                packer.add(n, len(ids) // 2)
+                packer.add(n, len(ids) // 4)
                 held += len(ids)
                 n += 1
-            if packer.waiting >= config.buffer or held > 32 << 20:
+            if packer.waiting >= config.buffer or held > 64 << 20:
                 yield from out(False)
                 held = sum(len(ids) for _, ids in rows.values())
         yield from out(True)
@@ -262,4 +267,5 @@ def packed(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
 
 
 def pack_report(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
+    """The pieces of ``packed`` without their ids."""
     return packed(renamed(docs, []), config).drop("ids")

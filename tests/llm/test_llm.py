@@ -560,6 +560,26 @@ def test_word_encoder_is_the_tokenizer():
         assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_letter_pieces_are_the_models():
+    e, rng = encoder(), np.random.default_rng(4)
+    vocabulary = [w.removesuffix("</w>") for w in e.tokenizer.get_vocab() if w.isascii() and w.removesuffix("</w>").isalpha()]
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(1, 14))) for _ in range(3000)]
+    words += [a[: rng.integers(1, len(a) + 1)] + b for a, b in zip(rng.choice(vocabulary, 5000), rng.choice(vocabulary, 5000), strict=True)]
+    words += ["".join(rng.choice(list("aeiouéèüößñç"), rng.integers(1, 9))) for _ in range(2000)]
+    words = [w.lower()[:100] for w in words]
+    ids, size = e.letters.encode(words)
+    got = np.split(ids, np.cumsum(size)[:-1])
+    assert [g.tolist() for g in got] == [e.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    # Every token of these letters is in the table, so none was left out as unreachable.
+    assert len(e.letters.coder._mergeable_ranks) > 40_000
+
+
+def test_packing_of_bytes_that_are_no_text(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text UNION ALL SELECT 1L, CAST(NULL AS STRING) UNION ALL SELECT NULL, 'b'")
+    rows = packing.packed(df).collect()
+    assert sum(r["length"] for r in rows) == len(encoder().tokenizer.encode("a\ufffdb", add_special_tokens=False).ids) + 1 + 1 + 2
+
+
 # 10 Language ID
 
 
