@@ -2,17 +2,21 @@
 
 A unit vector is padded and turned by a random rotation; its code is the signs of the
 turned components, and its factor is the inner product of the vector with its code's
-direction. ``<code_x, y> / factor_x`` is an unbiased estimate of ``<x, y>`` with a known
-spread, so a confidence bound decides: pairs whose upper bound is below the threshold
-are out, the others are recomputed in double precision from the vectors.
-
-Candidates meet in ``bands`` hash tables keyed by groups of code bits of rotations of
-their own; the number of bits follows the number of vectors, the number of bands the
-recall asked for at the threshold itself (more similar pairs meet more surely). No
-bucket is capped: one with over ``most_bucket`` rows is dealt out as pairs of parts, so
-any size is compared in bounded tasks. A pair that meets in several bands counts in the
-first. Tasks give link counts and a spanning forest of the links, not the pairs.
-Equal vectors are one class with a weight and aren't compared with each other.
+direction. The turned vector itself is kept in four bits a component, rounded at random
+so that it's right on average. ``<code_x, turned_y> / factor_x`` is then an unbiased
+estimate of ``<x, y>`` with a known spread. Codes, factors and four-bit components are
+stored once and are all that is compared at first: a confidence bound decides which
+pairs may reach the threshold, and only these vectors are fetched and recomputed in
+double precision.
+
+Codes meet in ``bands`` hash tables keyed by sign bits of rotations of their own; the
+number of bits follows the number of vectors, the number of bands the recall asked for
+at the threshold itself (more similar pairs meet more surely). No bucket is capped: one
+with over ``most_bucket`` rows is dealt out as pairs of parts. Pairs that may link make
+components; each component's vectors are compared exactly, once, in parts and pairs of
+parts if there are many. Tasks give link counts and a spanning forest of the links, not
+the pairs. Equal vectors are one class with a weight and aren't compared with each
+other. With ``recall`` 1 all vectors are one component: everything is compared.
 """
 
 from __future__ import annotations
@@ -25,28 +29,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import checkpoint, schema_with, slices, written
+from .common import checkpoint, dealt, slices, starts_of, whole_buckets, written
 from .components import connected_components
-from .simhash import minimum_labels
+from .simhash import codes_of, minimum_labels
 
 
 @dataclass(frozen=True)
 class VectorConfig:
     threshold: float = 0.95
-    #: Recall of pairs exactly at the threshold.
-    recall: float = 0.97
+    #: Recall of pairs exactly at the threshold; 1 compares all vectors with each other.
+    recall: float = 0.98
     #: Vectors that a bucket should have if they fell evenly.
-    even: int = 16
+    even: int = 512
     least_bits: int = 8
     most_bits: int = 30
-    most_bands: int = 64
-    #: Code bits are the dimension times this.
-    widen: int = 2
     #: The bound's number of standard errors.
-    errors: float = 4.0
-    most_bucket: int = 4096
+    errors: float = 4.5
+    #: Codes of a bucket, and vectors of a component, that are compared in one piece.
+    most_bucket: int = 20_000
+    most_part: int = 4096
     seed: int = 7
 
 
@@ -54,11 +56,7 @@ def band_settings(n: int, config: VectorConfig) -> tuple[int, int]:
     """(bits, bands) for n vectors: two at the threshold agree on a bit with 1 - angle/pi."""
     agree = 1 - math.acos(config.threshold) / math.pi
     bits = min(config.most_bits, max(config.least_bits, math.ceil(math.log2(max(1, n / config.even)))))
-    while True:
-        bands = math.ceil(math.log(1 - config.recall) / math.log(1 - agree**bits))
-        if bands <= config.most_bands or bits == 1:
-            return bits, bands
-        bits -= 1
+    return bits, math.ceil(math.log(1 - config.recall) / math.log(1 - agree**bits))
 
 
 def rotation(size: int, seed: int) -> np.ndarray:
@@ -67,23 +65,14 @@ def rotation(size: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encoded(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(turned vectors, sign bits, correction factors) of unit rows."""
-    wide = np.zeros((len(x), len(turn)))
-    wide[:, : x.shape[1]] = x
-    turned = wide @ turn
-    return turned, turned > 0, np.abs(turned).sum(axis=1) / math.sqrt(len(turn))
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component, so that no square overflows or vanishes."""
+    return x / np.abs(x).max(axis=1, keepdims=True)
 
 
-def possible(turned: np.ndarray, bits: np.ndarray, factor: np.ndarray, other: np.ndarray, config: VectorConfig) -> np.ndarray:
-    """Whether the pairs (row, row of other) may reach the threshold by the estimate's upper bound."""
-    size = turned.shape[1]
-    code = np.where(bits, 1.0, -1.0).astype(np.float32) / math.sqrt(size)
-    estimate = (code @ other.astype(np.float32).T) / factor[:, None]
-    # <code, y> / factor = <x, y> + sqrt(1 - <x, y>^2) * sqrt(1 - factor^2) / factor * u with u of
-    # deviation 1 / sqrt(size - 1); pairs at or above the threshold have no more noise than those at it.
-    noise = math.sqrt(1 - config.threshold**2) * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(size - 1)
-    return estimate + config.errors * noise[:, None] >= config.threshold - 1e-6
+def unit(x: np.ndarray) -> np.ndarray:
+    s = scaled(x)
+    return s / np.linalg.norm(s, axis=1, keepdims=True)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -91,107 +80,178 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _keyed(dim: int, bits: int, bands: int, seed: int):
+def code_size(dim: int) -> int:
+    """Components of the turned vector: a multiple of 8 that the vector fits in."""
+    return max(64, -(-dim // 8) * 8)
+
+
+def encoded(x: np.ndarray, turn: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unit rows: codes (bits as bytes), numbers (correction factor, least component and step
+    of the four-bit form) and four-bit components (two a byte)."""
+    wide = np.zeros((len(x), len(turn)))
+    wide[:, : x.shape[1]] = x
+    turned = wide @ turn
+    factor = np.abs(turned).sum(axis=1) / math.sqrt(len(turn))
+    low = turned.min(axis=1)
+    step = np.maximum(turned.max(axis=1) - low, 1e-12) / 15
+    level = np.clip(np.floor((turned - low[:, None]) / step[:, None] + rng.random(turned.shape)), 0, 15).astype(np.uint8)
+    return np.packbits(turned > 0, axis=1), np.stack([factor, low, step], axis=1).astype(np.float32), level[:, ::2] << 4 | level[:, 1::2]
+
+
+class Codes:
+    """Stored codes of some rows, widened for comparing."""
+
+    def __init__(self, code: np.ndarray):
+        size = (len(code[0]) - 12) * 8 // 5  # a bit and four bits a component, three numbers
+        self.size = size
+        self.sign = (np.unpackbits(code[:, : size // 8], axis=1).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(size))
+        numbers = np.ascontiguousarray(code[:, size // 8 : size // 8 + 12]).view("<f4")
+        self.factor, low, step = numbers[:, :1], numbers[:, 1:2], numbers[:, 2:3]
+        packed = code[:, size // 8 + 12 :]
+        level = np.empty((len(code), size), np.float32)
+        level[:, ::2], level[:, 1::2] = packed >> 4, packed & 15
+        self.turned = low + level * step
+        self.step = step
+
+    def bound(self, other: Codes, config: VectorConfig) -> np.ndarray:
+        """Upper bounds of the inner products (row, row of other).
+
+        <code, y> / factor = <x, y> + sqrt(1 - <x, y>^2) * sqrt(1 - factor^2) / factor * u with u of
+        deviation 1 / sqrt(size - 1); pairs at or above the threshold have no more noise than those at
+        it. A component's rounding has a deviation of half a step at most.
+        """
+        estimate = (self.sign @ other.turned.T) / self.factor
+        noise = (1 - config.threshold**2) * np.maximum(1 - self.factor**2, 0) / self.factor**2 / (self.size - 1)
+        return estimate + config.errors * np.sqrt(noise + (other.step.T / 2) ** 2 / self.factor**2)
+
+
+_CODE = "id long, code binary, keys array<int>"
+
+
+def _encode(dim: int, bits: int, bands: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = rotation(code_size(dim), seed)
         turns = [rotation(dim, seed * 1000 + 1 + k) for k in range(-(-bits * bands // dim))]
         weight = (1 << np.arange(bits, dtype=np.int64))[:, None]
         for part in slices(batches, rows=4096):
-            x = _matrix(part.column("v"))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x, ids = unit(_matrix(part.column("v"))), part.column("id").to_numpy()
+            # The rounding goes by the row, so an attempt that is repeated gives the same codes.
+            code, numbers, levels = encoded(x, turn, np.random.Generator(np.random.PCG64([seed, *ids[:1].view(np.uint64).tolist()])))
+            whole = np.concatenate([code, numbers.view(np.uint8).reshape(len(x), 12), levels], axis=1)
             signs = np.concatenate([x @ t > 0 for t in turns], axis=1)[:, : bits * bands]
             keys = (signs.reshape(len(x), bands, bits).astype(np.int64) @ weight)[:, :, 0].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("w"), part.column("v"), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))], ["id", "w", "v", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([r.tobytes() for r in whole], pa.binary()), lists], ["id", "code", "keys"])
 
     return run
 
 
-def _compare(dim: int, bands: int, config: VectorConfig):
-    """Buckets (band, key, low, high) to rows (id, count, other): links counted, links that span."""
-
-    def block(a: dict, b: dict, band: int, turn: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        found_i, found_j = [], []
-        turned_b, _, _ = encoded(b["x"], turn)
-        for at in range(0, len(a["x"]), 1024):
-            xa = a["x"][at : at + 1024]
-            turned, bits, factor = encoded(xa, turn)
-            i, j = np.nonzero(possible(turned, bits, factor, turned_b, config))
-            keep = (at + i < j) if same else np.ones(len(i), bool)
-            i, j = i[keep] + at, j[keep]
-            for s in range(0, len(i), 1 << 16):
-                ii, jj = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                first = (a["keys"][ii] == b["keys"][jj]).argmax(axis=1) == band
-                ii, jj = ii[first], jj[first]
-                dot = np.einsum("ij,ij->i", a["raw"][ii], b["raw"][jj]) / (a["norm"][ii] * b["norm"][jj])
-                found_i.append(ii[dot >= config.threshold])
-                found_j.append(jj[dot >= config.threshold])
-        return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64),) * 2
+def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of the links between rows i and j."""
+    label = minimum_labels(len(ids), i, j)
+    linked = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[linked], ids[label[linked]]
+
+
+_BUCKET = ["band", "key", "low", "high"]
+
+
+def _candidates(config: VectorConfig):
+    """Buckets of codes to links (a, b) that span the pairs which may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [p for p in batches if p.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).combine_chunks()
-        ids, w = t.column("id").to_numpy(), t.column("w").to_numpy()
-        band, key, low, high, part = (t.column(c).to_numpy() for c in ("band", "key", "low", "high", "part"))
-        raw = _matrix(t.column("v").chunk(0))
-        keys = t.column("keys").chunk(0).flatten().to_numpy().reshape(len(raw), -1)
-        norm = np.linalg.norm(raw, axis=1)
-        turn = rotation(dim * config.widen, config.seed)
-        order = np.lexsort((ids, part, high, low, key, band))
-        new = np.ones(len(order), bool)
-        for c in (band, key, low, high):
-            new[1:] &= c[order[1:]] == c[order[:-1]]
-        new[1:] = ~new[1:]
-        starts = np.append(np.flatnonzero(new), len(order))
-        count = np.zeros(len(ids), np.int64)
-        edge_a, edge_b = [], []
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            if e - s < 2:
-                continue
-            rows = order[s:e]
-            pick = lambda r: {"x": raw[r] / norm[r, None], "raw": raw[r], "norm": norm[r], "keys": keys[r]}
-            if low[rows[0]] == high[rows[0]]:
-                ra, rb = rows, rows
-            else:
-                ra, rb = rows[part[rows] == low[rows[0]]], rows[part[rows] != low[rows[0]]]
-            a = pick(ra)
-            i, j = block(a, a if ra is rb else pick(rb), int(band[rows[0]]), turn, ra is rb)
-            if len(i):
-                gi, gj = ra[i], rb[j]
-                np.add.at(count, gi, w[gj])
-                np.add.at(count, gj, w[gi])
-                label = minimum_labels(len(rows), _place(rows, gi), _place(rows, gj))
-                linked = np.flatnonzero(label != np.arange(len(rows)))
-                edge_a.append(ids[rows[linked]])
-                edge_b.append(ids[rows[label[linked]]])
-        counted = np.flatnonzero(count)
-        a = np.concatenate([ids[counted], *edge_a])
-        n = np.concatenate([count[counted], np.zeros(len(a) - len(counted), np.int64)])
-        b = pa.array(np.concatenate([np.zeros(len(counted), np.int64), *edge_b]), mask=np.arange(len(a)) < len(counted))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), b], ["id", "n", "other"])
+        for rows in whole_buckets(batches, _BUCKET):
+            ids, low, high, part = (rows.column(c).to_numpy() for c in ("id", "low", "high", "part"))
+            code, starts = codes_of(rows.column("code")), starts_of(rows, _BUCKET)
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if e - s < 2:
+                    continue
+                two = low[s] != high[s]
+                first = np.flatnonzero(part[s:e] == low[s]) if two else np.arange(e - s)
+                second = np.flatnonzero(part[s:e] != low[s]) if two else first
+                found_i, found_j, label = [], [], np.arange(e - s)
+                for at in range(0, len(first), 512):
+                    a = first[at : at + 512]
+                    left = Codes(code[s:e][a])
+                    for bt in range(0 if two else at, len(second), 4096):
+                        b = second[bt : bt + 4096]
+                        i, j = np.nonzero(left.bound(Codes(code[s:e][b]), config) >= config.threshold)
+                        i, j = a[i], b[j]
+                        apart = label[i] != label[j]  # joined before: no news
+                        found_i.append(i[apart])
+                        found_j.append(j[apart])
+                    if sum(map(len, found_i)) > 1 << 18:
+                        label = minimum_labels(e - s, np.concatenate([np.arange(e - s), *found_i]), np.concatenate([label, *found_j]))
+                        found_i, found_j = [], []
+                if found_i or (label != np.arange(e - s)).any():
+                    a, b = _forest(ids[s:e], np.concatenate([np.arange(e - s), *found_i]), np.concatenate([label, *found_j]))
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def _place(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Index in ``rows`` (distinct numbers) of each of ``of``."""
-    order = np.argsort(rows)
-    return order[np.searchsorted(rows, of, sorter=order)]
+_GROUP = ["root", "low", "high"]
+
+
+def _exact(config: VectorConfig):
+    """Components (or pairs of their parts) to rows (id, n, other): links counted, links that span."""
+
+    def links(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        ua, ub, found = unit(a), unit(b), []
+        for at in range(0, len(a), 512):
+            cosine = ua[at : at + 512] @ ub.T
+            i, j = np.nonzero(cosine >= config.threshold - 1e-9)
+            near = cosine[i, j] < config.threshold + 1e-9
+            if near.any():  # as close as this, the order of the operations tells
+                x, y = scaled(a[i[near] + at]), scaled(b[j[near]])
+                exact = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+                keep = np.ones(len(i), bool)
+                keep[near] = exact >= config.threshold
+                i, j = i[keep], j[keep]
+            i = i + at
+            found.append((i[i < j], j[i < j]) if same else (i, j))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_buckets(batches, _GROUP, 1 << 13):
+            ids, w, low, high, part = (rows.column(c).to_numpy() for c in ("id", "w", "low", "high", "part"))
+            v, starts = rows.column("v"), starts_of(rows, _GROUP)
+            count, edges = np.zeros(len(ids), np.int64), []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                x = _matrix(v.slice(s, e - s))
+                if low[s] == high[s]:
+                    i, j = links(x, x, True)
+                else:
+                    a, b = np.flatnonzero(part[s:e] == low[s]), np.flatnonzero(part[s:e] != low[s])
+                    if not (len(a) and len(b)):
+                        continue
+                    i, j = links(x[a], x[b], False)
+                    i, j = a[i], b[j]
+                np.add.at(count[s:e], i, w[s:e][j])
+                np.add.at(count[s:e], j, w[s:e][i])
+                edges.append(_forest(ids[s:e], i, j))
+            counted = np.flatnonzero(count)
+            a = np.concatenate([ids[counted], *(x for x, _ in edges)])
+            n = np.concatenate([count[counted], np.zeros(len(a) - len(counted), np.int64)])
+            b = pa.array(np.concatenate([np.zeros(len(counted), np.int64), *(y for _, y in edges)]), mask=np.arange(len(a)) < len(counted))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), b], ["id", "n", "other"])
+
+    return run
 
 
 def class_links(classes: DataFrame, n: int, dim: int, config: VectorConfig = VectorConfig()) -> DataFrame:
     """Rows (id, n, other) for classes (id, w, v) of ``dim`` components: counts of linked
     rows (other null; sum them by id) and links that span each component (other set)."""
-    bits, bands = band_settings(n, config)
-    keyed = written(classes.mapInArrow(_keyed(dim, bits, bands, config.seed), schema_with(classes, ("keys", T.ArrayType(T.IntegerType())))), "codes")
-    rows = keyed.select("*", F.posexplode("keys").alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where(F.col("size") > config.most_bucket)
-    large = checkpoint(sizes.select("band", "key", F.ceil(F.col("size") / config.most_bucket).cast("int").alias("parts")))
-    marked = rows.join(large, ["band", "key"], "left") if large.limit(1).count() else rows.withColumn("parts", F.lit(None).cast("int"))
-    marked = marked.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("low"), F.greatest(p, F.col("part")).alias("high")))
-    dealt = marked.withColumn("pair", F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(pairs))).select("id", "w", "v", "keys", "band", "key", "part", "pair.low", "pair.high")
-    return dealt.repartition("band", "key", "low", "high").mapInArrow(_compare(dim, bands, config), "id long, n long, other long")
+    if config.recall >= 1:
+        members = classes.withColumn("root", F.lit(0).cast("long"))
+    else:
+        bits, bands = band_settings(n, config)
+        codes = written(classes.select("id", "v").mapInArrow(_encode(dim, bits, bands, config.seed), _CODE), "codes")
+        rows = dealt(codes.select("id", "code", F.posexplode("keys").alias("band", "key")), ["band", "key"], "id", config.most_bucket)
+        maybe = connected_components(written(rows.mapInArrow(_candidates(config), "a long, b long"), "candidates"))
+        members = classes.join(maybe, classes["id"] == maybe["node"]).select("id", "w", "v", "root")
+    return dealt(members, ["root"], "id", config.most_part).mapInArrow(_exact(config), "id long, n long, other long")
 
 
 def near_duplicates(vectors: DataFrame, config: VectorConfig = VectorConfig()) -> DataFrame:
@@ -201,12 +261,13 @@ def near_duplicates(vectors: DataFrame, config: VectorConfig = VectorConfig()) -
     component_id is the least vec_id that links reach. A vector that is null, empty or
     zero, or has a null, NaN or infinite component, links with nothing. Vectors of
     different length never link. A repeated vec_id is two rows; a null vec_id has its
-    links counted, and gives its component no id. An empty table gives no rows.
+    links counted, and gives its component no id. An empty table gives no rows. Other
+    columns aren't looked at. Equal vectors are told by two 64-bit hashes.
     """
     v = F.col("embedding")
     good = F.col("embedding").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = written(vectors.select("vec_id", F.when(F.coalesce(good, F.lit(False)), v).alias("v")), "vectors")
-    grouped = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"))
+    rows = vectors.select("vec_id", F.when(F.coalesce(good, F.lit(False)), v).alias("v")).select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v", F.lit(1))).alias("k1"), F.xxhash64("v", F.lit(2)).alias("k2"))
+    grouped = rows.where(F.col("v").isNotNull()).groupBy("k1", "k2").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"), F.any_value("v").alias("v"))
     # The ids are stable once written.
     classes = written(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
     found = None
@@ -218,9 +279,9 @@ def near_duplicates(vectors: DataFrame, config: VectorConfig = VectorConfig()) -
     found = written(found, "links")
     counts = found.where(F.col("other").isNull()).groupBy("id").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where(F.col("other").isNotNull()).select("id", "other"))
-    known = checkpoint(classes.join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left").select("v", "w", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "id").alias("root")))
+    known = checkpoint(classes.drop("v").join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left").select("k1", "k2", "w", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "id").alias("root")))
     names = checkpoint(known.groupBy("root").agg(F.min("least").alias("component_id")))
-    told = checkpoint(known.join(names, "root").select("v", (F.col("n") + F.col("w") - 1).alias("n_links"), "component_id"))
-    met = rows.join(told, "v", "left")
-    component = F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    told = checkpoint(known.join(names, "root").select("k1", "k2", (F.col("n") + F.col("w") - 1).alias("n_links"), "component_id"))
+    met = rows.drop("v").join(told, ["k1", "k2"], "left")
+    component = F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return met.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small tables, round trips and edge cases."""
 
+import functools
 import hashlib
 import math
 import re
@@ -450,26 +451,28 @@ def test_best_runs_are_as_many_as_can_be(xs):
 def slow_vectors(rows, least=0.95):
     ok = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     links = defaultdict(set)
-    for a in ok:
-        for b in ok:
-            if a < b and len(rows[a][1]) == len(rows[b][1]):
-                x, y = np.array(rows[a][1], float), np.array(rows[b][1], float)
-                if x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= least:
-                    links[a].add(b)
-                    links[b].add(a)
+    x = {i: np.array(rows[i][1], float) / max(map(abs, rows[i][1])) for i in ok}
+    for size in {len(rows[i][1]) for i in ok}:
+        same = [i for i in ok if len(rows[i][1]) == size]
+        m = np.array([x[i] for i in same])
+        norm = np.linalg.norm(m, axis=1)
+        for k, a in enumerate(same):
+            cosine = m @ m[k] / (norm * norm[k])
+            links[a] = {same[b] for b in np.flatnonzero(cosine >= least).tolist() if b != k}
     return links
 
 
-@pytest.mark.parametrize("most_bucket", [4096, 8])
-def test_vectors_against_all_pairs(spark, most_bucket):
+@pytest.mark.parametrize("limits", [{}, {"most_bucket": 8, "most_part": 5}, {"recall": 1, "most_part": 20}])
+def test_vectors_against_all_pairs(spark, limits):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((60, 24))
     rows = [(i, b.astype(np.float32).tolist()) for i, b in enumerate(base)]
     for i in range(120):
         rows.append((100 + i, (base[i % 7] + rng.standard_normal(24) * 0.08 * np.linalg.norm(base[i % 7]) / 5).astype(np.float32).tolist()))
-    rows += [(300, None), (301, []), (302, [0.0] * 24), (303, [None] + [1.0] * 23), (304, [float("nan")] + [1.0] * 23), (305, rows[0][1]), (306, rows[0][1]), (307, [2 * x for x in rows[0][1]]), (308, [1.0, 0.0]), (309, [1.0, 0.01])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("n_links", F.lit("x"))
-    got = {r["vec_id"]: r for r in vectors.near_duplicates(df, vectors.VectorConfig(most_bucket=most_bucket, recall=0.9999)).collect()}
+    rows += [(300, None), (301, []), (302, [0.0] * 24), (303, [None] + [1.0] * 23), (304, [float("nan")] + [1.0] * 23), (305, rows[0][1]), (306, rows[0][1]), (307, [2 * x for x in rows[0][1]]), (308, [1.0, 0.0]), (309, [1.0, 0.01]), (310, [1e160 * x for x in rows[0][1]]), (311, [1e-170 * x for x in rows[0][1]])]
+    rows = [(i, v if v is None else [x if x is None else float(x) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).withColumn("n_links", F.lit("x"))
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(df, vectors.VectorConfig(**{"recall": 0.9999} | limits)).collect()}
     links = slow_vectors(rows)
     roots = slow_components(range(len(rows)), lambda a, b: b in links[a])
     for i, (vec_id, _) in enumerate(rows):
@@ -479,12 +482,45 @@ def test_vectors_against_all_pairs(spark, most_bucket):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_vectors_recall_at_production_settings(spark):
-    sf = "/root/testdata/sf0.01"
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    want = sum(map(len, slow_vectors(rows).values()))
-    got = sum(r["n_links"] for r in queries.op8_vectors(spark, sf).collect())
-    assert 0.9 * want <= got <= want
+@functools.cache
+def planted_vectors(n=12_000, pairs=1000, dim=64, low=0.95, high=0.96):
+    """Random vectors, and pairs whose cosine lies just above the threshold."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((n, dim))
+    base = x[:pairs] / np.linalg.norm(x[:pairs], axis=1, keepdims=True)
+    other = rng.standard_normal((pairs, dim))
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (pairs, 1))
+    every = np.concatenate([x, c * base + np.sqrt(1 - c**2) * other]).astype(np.float32)
+    return list(enumerate(every.tolist()))
+
+
+@pytest.mark.parametrize("limits", [{}, {"even": 8}])
+def test_vectors_recall_at_production_settings(spark, limits):
+    """Also with the bits and bands of a corpus 64 times as large."""
+    rows = planted_vectors()
+    links = slow_vectors(rows)
+    want = sum(map(len, links.values()))
+    assert want >= 2000
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), vectors.VectorConfig(**limits)).collect()}
+    assert all(n <= len(links[i]) for i, n in got.items())
+    assert 0.95 * want <= sum(got.values()) <= want
+
+
+def test_estimates_are_unbiased_and_bounded():
+    rng = np.random.default_rng(3)
+    x = vectors.unit(rng.standard_normal((400, 64)))
+    y = vectors.unit(x + 0.3 / 8 * rng.standard_normal((400, 64)))
+    config, error, kept = vectors.VectorConfig(), [], []
+    for seed in range(20):
+        turn = vectors.rotation(64, seed)
+        made = [vectors.Codes(np.concatenate([c, n.view(np.uint8).reshape(len(c), 12), q], axis=1)) for c, n, q in (vectors.encoded(v, turn, rng) for v in (x, y))]
+        estimate = np.einsum("ij,ij->i", made[0].sign, made[1].turned) / made[0].factor[:, 0]
+        cosine = (x * y).sum(axis=1)
+        error.append((estimate - cosine).mean())
+        kept.append((np.diag(made[0].bound(made[1], config)) >= config.threshold)[cosine >= config.threshold].mean())
+    assert abs(np.mean(error)) < 0.004 and min(kept) > 0.995
 
 
 # 9 Packing
