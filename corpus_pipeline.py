@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
 kept; its result is written as Parquet and reread as the next one's documents. All but
-the last return the columns of documents.
+the last return the columns of documents, and further columns whatever their names.
+
+A null or empty text has no language, so the first stage drops it. A row without an id
+isn't learned from, is never a duplicate, and is mixed and packed like any other. Rows
+that are alike in id and text are one document after the second stage. Texts may be of
+any length; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -14,13 +19,13 @@ from eventlake.llm.common import table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is told; no letters or no clear language go."""
+    """Keep documents whose language is told and whose words are like those of the languages."""
     return langid.accepted(docs, langid.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (five-word shingles, Jaccard
-    similarity 0.8): the least doc_id."""
+    """Keep one document of each group of near-duplicates: the least doc_id. SimHash tries
+    find candidates; five-word shingles at a Jaccard similarity of 0.8 decide."""
     return neardup.deduplicated(docs)
 
 
