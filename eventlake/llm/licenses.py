@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, texts
 
 SHINGLE = 5
 _WORD = re.compile(r"\w+")
@@ -197,7 +197,7 @@ def _scan(config: LicenseConfig):
         ix = index(config)
         names = [f.name for f in MATCHES.fields]
         for part in slices(batches, "text", chars=4 << 20):
-            each = [shingles(word_hashes(t)) for t in part.column("text").to_pylist()]
+            each = [shingles(word_hashes(t)) for t in texts(part.column("text"))]
             # All texts in one array; a gap of a run's length of zeros keeps them apart.
             rows: list[tuple] = []
             for m in ix.sets:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import renamed, schema_with, slices
+from .common import raw_texts, renamed, schema_with, slices
 
 #: Format tags of the WAV container.
 TAGS = {"alaw": 6, "mulaw": 7, "ima_adpcm": 17}
@@ -98,11 +98,13 @@ def from_wav(media: bytes) -> tuple[str, bytes, int]:
         size = int.from_bytes(media[at + 4 : at + 8], "little")
         found[media[at : at + 4]] = media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
+    if len(found.get(b"fmt ", b"")) < 16 or len(found.get(b"fact", b"")) < 4 or b"data" not in found:
+        raise ValueError("a WAV without format, fact or data chunk")
     tag = struct.unpack_from("<H", found[b"fmt "])[0]
     codec = next((c for c, t in TAGS.items() if t == tag), None)
     if codec is None:
         raise ValueError(f"format tag {tag}")
-    return codec, found[b"data"], struct.unpack("<I", found[b"fact"])[0]
+    return codec, found[b"data"], struct.unpack_from("<I", found[b"fact"])[0]
 
 
 def resampled(pcm: np.ndarray, rate_in: int, rate_out: int) -> np.ndarray:
@@ -131,17 +133,20 @@ def summary(pcm: np.ndarray) -> str:
     """Samples, peak, root mean square and sign changes."""
     if not len(pcm):
         return "0,0,0,0"
-    wide = pcm.astype(np.int64)
-    signs = pcm < 0
-    return f"{len(pcm)},{int(np.abs(wide).max())},{int(np.sqrt(int((wide * wide).sum()) / len(pcm)) * 1000)},{int((signs[1:] != signs[:-1]).sum())}"
+    signs, power = pcm < 0, 0
+    for at in range(0, len(pcm), 1 << 20):  # bounded for a text of any length
+        wide = pcm[at : at + (1 << 20)].astype(np.int64)
+        power += int((wide * wide).sum())
+    peak = max(int(pcm.max()), -int(pcm.min()))
+    return f"{len(pcm)},{peak},{int(np.sqrt(power / len(pcm)) * 1000)},{int((signs[1:] != signs[:-1]).sum())}"
 
 
 def _store(column: str, config: MediaConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column, rows=512, chars=4 << 20):
             made = []
-            for text in part.column(column).to_pylist():
-                raw = (text or "").encode()
+            for text in raw_texts(part.column(column)):
+                raw = text or b""
                 size = max(1, -(-len(raw) // config.block)) * config.block
                 made.append(to_wav(raw.ljust(size, bytes([config.pad])), len(raw), config))
             kept = [c for c in part.schema.names if c != column]
@@ -161,7 +166,17 @@ def stored(df: DataFrame, column: str = "text", config: MediaConfig = MediaConfi
 def _decode(config: MediaConfig, with_pcm: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media", rows=256, chars=4 << 20):
-            read = [None if m is None else from_wav(m) for m in part.column("media").to_pylist()]
+            read, errors = [], []
+            for m in part.column("media").to_pylist():
+                try:
+                    told = None if m is None else from_wav(m)
+                    if told and told[0] == "ima_adpcm" and len(told[1]) % config.block:
+                        raise ValueError(f"ADPCM data of {len(told[1])} bytes, blocks of {config.block}")
+                    read.append(told)
+                    errors.append(None)
+                except ValueError as e:
+                    read.append(None)
+                    errors.append(str(e))
             # The ADPCM reading of all payloads of this slice at once: blocks side by side.
             whole = [r for r in read if r and len(r[1]) % config.block == 0]
             joined = np.frombuffer(b"".join(r[1] for r in whole), np.uint8).reshape(-1, config.block)
@@ -173,15 +188,15 @@ def _decode(config: MediaConfig, with_pcm: bool):
                         c.append(None)
                     continue
                 codec, payload, n = r
-                adpcm = next(blocks).reshape(-1) if len(payload) % config.block == 0 else np.zeros(0, np.int16)
+                adpcm = next(blocks).reshape(-1) if len(payload) % config.block == 0 else None
                 pcm = adpcm if codec == "ima_adpcm" else decoded(codec, payload, config.block)
                 out = resampled(pcm, config.rate_in, config.rate_out).astype("<i2").tobytes()
                 other = decoded("alaw" if codec == "mulaw" else "mulaw", payload, config.block)
-                feature = f"{codec}:{summary(pcm)};pcm{config.rate_out}:{zlib.crc32(out):08x};{'alaw' if codec == 'mulaw' else 'mulaw'}:{summary(other)};adpcm:{summary(adpcm)}"
+                feature = f"{codec}:{summary(pcm)};pcm{config.rate_out}:{zlib.crc32(out):08x};{'alaw' if codec == 'mulaw' else 'mulaw'}:{summary(other)};adpcm:{'no blocks' if adpcm is None else summary(adpcm)}"
                 for c, v in zip(columns, (payload, n, out if with_pcm else None, feature), strict=True):
                     c.append(v)
             kept = [c for c in part.schema.names if c != "media"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), part.column("media"), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary(), pa.string()), strict=True))], [*kept, "media", "payload", "n_bytes", "pcm", "feature"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), part.column("media"), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary(), pa.string()), strict=True)), pa.array(errors, pa.string())], [*kept, "media", "payload", "n_bytes", "pcm", "feature", "media_error"])
 
     return run
 
@@ -189,8 +204,9 @@ def _decode(config: MediaConfig, with_pcm: bool):
 def loaded(df: DataFrame, config: MediaConfig = MediaConfig(), *, with_pcm: bool = True) -> DataFrame:
     """Read ``media`` back: payload, n_bytes (unpadded), pcm (resampled 16-bit samples)
     and feature (of the stored codec, of the resampled PCM, and of the payload's other
-    readings). A null media gives nulls; bytes that are no WAV of ours raise ValueError."""
-    df = renamed(df, ["payload", "n_bytes", "pcm", "feature"])
+    readings). A null media gives nulls; so do bytes that are no WAV of ours, with the reason
+    in media_error. Payloads of other codecs that are no whole blocks have no ADPCM reading."""
+    df = renamed(df, ["payload", "n_bytes", "pcm", "feature", "media_error"])
     kept = T.StructType([*(f for f in df.schema.fields if f.name != "media"), T.StructField("media", T.BinaryType())])
     df = df.select(*(f.name for f in kept.fields))
-    return df.mapInArrow(_decode(config, with_pcm), schema_with(df, ("payload", T.BinaryType()), ("n_bytes", T.LongType()), ("pcm", T.BinaryType()), ("feature", T.StringType())))
+    return df.mapInArrow(_decode(config, with_pcm), schema_with(df, ("payload", T.BinaryType()), ("n_bytes", T.LongType()), ("pcm", T.BinaryType()), ("feature", T.StringType()), ("media_error", T.StringType())))

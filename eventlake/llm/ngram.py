@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, renamed, schema_with, scratch_path, slices, words, written
+from .common import crc_mod, raw_texts, renamed, schema_with, scratch_path, slices, words, written
 from .hasharrays import by_key, bytes_of, cut, pack, runs, save, small, sorted_counts, squeeze, unpack, widen
 
 #: Shards of each table are powers of two by the top bits of a key: one for each this many
@@ -98,13 +98,13 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "n", "keys", "counts"])
 
 
-def word_hashes(text: str | None) -> list[int]:
+def word_hashes(text: str | bytes | None) -> list[int]:
     return [*map(xxhash.xxh64_intdigest, words(text)), END]
 
 
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts of a slice, and where each text ends."""
-    each = [word_hashes(t) for t in part.column("text").to_pylist()]
+    each = [word_hashes(t) for t in raw_texts(part.column("text"))]
     ends = np.cumsum([len(e) for e in each])
     return np.fromiter(chain.from_iterable(each), np.uint64, int(ends[-1]) if len(each) else 0), ends
 
@@ -252,14 +252,15 @@ def _save_stats(folder: str, vocabulary: int, bits: int):
     return run
 
 
-def train(docs: DataFrame) -> Ngrams:
-    """Count all texts of ``docs`` (null: empty) and write the model's files. No rows give a
-    model that calls everything unknown."""
+def train(docs: DataFrame, bits: int | None = None) -> Ngrams:
+    """Count all texts of ``docs`` (null: empty) and write the model's files, ``2 ** bits`` of a
+    kind (else by the bytes of the texts). No rows give a model that calls everything unknown."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "ngrams")
     texts = docs.select("text")
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate from the files
-    bits = min(MOST_BITS, max(LEAST_BITS, (size // SHARD_BYTES).bit_length()))
+    if bits is None:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        bits = min(MOST_BITS, max(LEAST_BITS, (size // SHARD_BYTES).bit_length()))
     found = written(texts.mapInArrow(_count_words(bits), BLOBS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_words(folder), "shard int, path string, n long, total long"), "words").collect()
     by = {r["shard"]: r for r in found}
     base, upto = [], 0

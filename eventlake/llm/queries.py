@@ -10,16 +10,19 @@ from .common import crc_mod, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: 64 bits, three-word shingles, links at three bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
     told = urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
     return told.select("page_id", "host", "path", "rule", "verdict", "block_share")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's stored WAV, of the payload read back, and of features computed from it."""
     kept = media.loaded(media.stored(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return kept.select(
         "doc_id",
@@ -35,10 +38,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document; four fifths of the ids teach."""
     return ngram.split_scores(table(spark, sf_dir, "documents"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted examples of every conversation, and of conversation -1, read back as."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     more = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{tricky}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -46,29 +51,53 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, source size, target and taken words of every document."""
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each place of a licence text in any document."""
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.95."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack_report(table(spark, sf_dir, "documents"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; two thirds of the ids teach."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs)
     told = langid.identify(docs.select("doc_id", "text"), model)
     return told.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "fit")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op2_urls."""
+    return op2_urls(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op6_mixing: sizes and, by source, whether the taken words come near the target."""
+    told = op6_mixing(spark, sf_dir)
+    return told.select("doc_id", "size", "source_size")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op3_media."""
+    return op3_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes")
+
+
 QUERIES = {
+    "url_rules": url_rules,
+    "mixing_targets": mixing_targets,
+    "media_payloads": media_payloads,
     "op1_simhash": op1_simhash,
     "op2_urls": op2_urls,
     "op3_media": op3_media,
@@ -81,5 +110,15 @@ QUERIES = {
     "op10_langid": op10_langid,
 }
 
+#: A word in DuckDB's regular expressions.
+WORD_SQL = r"[^\x20\x09-\x0D]+"
+
 #: Only what SQL can express over whole tables; tests/llm holds the others against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_chat": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat": chat.ORACLE_SQL,
+    "url_rules": urls.RULE_SQL,
+    "mixing_targets": f"""SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size
+FROM (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD_SQL}')), 0) AS BIGINT) AS size FROM documents)""",
+    "media_payloads": """SELECT doc_id, n AS n_bytes, CAST(576 * greatest(1, (n + 575) // 576) AS BIGINT) AS payload_bytes
+FROM (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n FROM documents)""",
+}

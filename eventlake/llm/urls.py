@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Trees, fit
-from .common import lower_ascii, renamed, schema_with, slices
+from .common import lower_ascii, renamed, schema_with, slices, texts
 
 BLOCK, ALLOW = "block", "allow"
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: The production rules.
 RULES = (("net/", BLOCK), ("example.net/en/", ALLOW), ("example.com/de/", BLOCK), ("org/fr/", ALLOW))
 
@@ -81,7 +82,7 @@ def features(url: str | None, stats: np.ndarray) -> list[float]:
     head, sep, rest = url.partition("://")
     rest = rest if sep else ""
     cut = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
-    host, tail = rest[:cut].lower(), rest[cut:]
+    host, tail = rest[:cut].translate(_LOWER), rest[cut:]
     path = tail.split("#")[0].split("?")[0]
     query = tail.split("#")[0].partition("?")[2]
     n = max(1, len(url))
@@ -109,7 +110,7 @@ def _suffix_counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, blocked = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for part in slices(batches, rows=4096):
-            for host, label in zip(part.column("host").to_pylist(), part.column("label").to_pylist(), strict=True):
+            for host, label in zip(texts(part.column("host")), part.column("label").to_pylist(), strict=True):
                 for s in suffixes(host):
                     at = bucket(s, buckets)
                     seen[at] += 1
@@ -141,7 +142,7 @@ def _judge(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: UrlModel = sent.value
         for part in slices(batches, rows=2048):
-            share = model.block_share(part.column("url").to_pylist())
+            share = model.block_share(texts(part.column("url")))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(share, pa.float64())], [*part.schema.names, "block_share"])
 
     return run

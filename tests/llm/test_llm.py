@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import math
+import os
 import re
 import struct
 import zlib
@@ -237,6 +238,29 @@ def test_media_edges(spark):
     assert media.loaded(media.stored(odd(spark, []))).count() == 0
 
 
+def test_media_that_cannot_be_read(spark):
+    good = media.to_wav(b"x" * 576, 3)
+    rows = [(1, good), (2, b"RIFF\0\0\0\0WAVE"), (3, b"junk"), (4, None), (5, media.to_wav(b"y" * 100, 100, media.MediaConfig(codec="ima_adpcm"))), (6, media.to_wav(b"y" * 100, 100))]
+    got = {r["k"]: r for r in media.loaded(spark.createDataFrame([(k, None if m is None else bytearray(m)) for k, m in rows], "k int, media binary")).collect()}
+    assert got[1]["payload"] == b"x" * 576 and got[1]["n_bytes"] == 3 and got[1]["media_error"] is None
+    for k in (2, 3, 5):
+        assert got[k]["payload"] is None and got[k]["feature"] is None and got[k]["media_error"]
+    assert got[4]["media_error"] is None and got[4]["payload"] is None
+    assert got[6]["payload"] == b"y" * 100 and got[6]["feature"].endswith("adpcm:no blocks")
+
+
+def test_texts_that_are_not_utf8(spark):
+    """Bytes that are no UTF-8 crash nothing and are kept where bytes are asked for."""
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text, 'en' AS lang, 's' AS source UNION ALL SELECT 2L, 'plain words', 'en', 's'")
+    assert media.loaded(media.stored(df.select("doc_id", "text"))).where("doc_id = 1").first()["payload"] == b"a\xffb".ljust(576, b"\xff")
+    assert {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in simhash.near_duplicates(df).collect()}[1] == xxhash.xxh64_intdigest(b"a\xffb", 42)
+    assert langid.identify(df, langid.train(df)).count() == 2
+    assert ngram.scored(df.select("doc_id", "text"), ngram.train(df, bits=2)).agg(F.sum("n_tokens")).first()[0] == 5
+    assert licenses.scanned(df).count() == 0
+    assert neardup.deduplicated(df).count() == 2
+    assert mixing.mix_report(df).count() == 2
+
+
 # 4 Language model
 
 
@@ -786,3 +810,13 @@ def test_near_dedup_edges(spark):
     rows = [(1, texts["b"]), (5, texts["a"]), (5, texts["b"]), (9, texts["a"])]
     got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == [(1, texts["b"]), (5, texts["a"])]
+
+
+@pytest.mark.parametrize("name", ["url_rules", "mixing_targets", "media_payloads"])
+def test_what_sql_can_express(spark, sf, name):
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet/*.parquet')" if os.path.isdir(f"{sf}/{t}.parquet") else f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    want = db.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
