@@ -42,12 +42,21 @@ USER_SID = ColumnSpec("user_sid", "User SID", _raw(_SYSTEM + "Security_attribute
 
 
 def quoted_path(name: str) -> str:
-    """A JSON path to a field of EventData; dots go down, as in the viewer."""
+    """A JSON path to one field of EventData; dots, brackets and quotes belong to the name.
+    Spark's paths have no way to write a quote inside of a quoted name, so ``event_data`` reads
+    such names, and those that could be read as a path, from the object."""
     return f"$.Event.EventData.{name}"
 
 
+def _field(name: str) -> Callable[[], Column]:
+    if name.replace("_", "").isalnum():
+        return _raw(quoted_path(name))
+    data = lambda: F.from_json(F.get_json_object("Raw", "$.Event.EventData"), "map<string,string>")
+    return lambda: data()[name]
+
+
 def event_data(name: str) -> ColumnSpec:
-    return ColumnSpec(f"eventData.{name}", name, _raw(quoted_path(name)))
+    return ColumnSpec(f"eventData.{name}", name, _field(name))
 
 
 @dataclass(frozen=True)

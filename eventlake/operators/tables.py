@@ -13,21 +13,28 @@ from ..binxml.reader import CHUNK, HEADER_BLOCK
 from ..functions.scalars import file_id
 from ..schema import LOGS
 
+SESSION = "session_id"
 FILE_CATALOGUE = "file_id string, name string, size long, path string, pinned boolean, last_opened timestamp, chunk_count long"
 
 
 def create_logs(spark: SparkSession, name: str, *, more: T.StructType | None = None, partition_by: str = "Channel") -> None:
     """``CREATE TABLE IF NOT EXISTS`` with the viewer's columns, as Parquet partitioned by channel."""
-    fields = [*LOGS.fields, *(more.fields if more else [])]
+    fields = [*LOGS.fields, *(more.fields if more else []), T.StructField(SESSION, T.StringType())]
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fields)}) USING parquet PARTITIONED BY (`{partition_by}`)")
 
 
-def append_logs(rows: DataFrame, name: str) -> None:
-    """Append the table's columns of decoded rows; rows with an error are left out. Readers
-    see a whole append or nothing of it, so a stale session can't be mixed in."""
+def append_logs(rows: DataFrame, name: str, session: str | None = None) -> None:
+    """Append the table's columns of decoded rows under a session's id; rows with an error are
+    left out. Parquet files of a running append may be seen before it ends, so a reader takes
+    one session (``of_session``) once its append has returned."""
     columns = rows.sparkSession.table(name).columns
     kept = rows.where("error IS NULL") if "error" in rows.columns else rows
-    kept.select(*columns).write.mode("append").insertInto(name)
+    kept.withColumn(SESSION, F.lit(session).cast("string")).select(*columns).write.mode("append").insertInto(name)
+
+
+def of_session(spark: SparkSession, name: str, session: str) -> DataFrame:
+    """The rows that one session appended; those of stale sessions stay out."""
+    return spark.table(name).where(F.col(SESSION) == session)
 
 
 def clear_logs(spark: SparkSession, name: str) -> None:

@@ -38,6 +38,8 @@ def filtered(name: str, filters: Filters, where: str, columns: Columns = Columns
     query(name, sql(f"SELECT {SHOWN_SQL} FROM logs WHERE {where}"))(lambda spark, sf: L.matching(logs(spark, sf), filters, columns).select(*SHOWN))
 
 
+#: The CRC-32 of each byte as a list: eight times, shift right and add the polynomial if a bit falls out.
+CRC_TABLE = "(SELECT list(c ORDER BY i) FROM (WITH RECURSIVE t(i, c, n) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END, n + 1 FROM t WHERE n < 8) SELECT i, c FROM t WHERE n = 8))"
 K = "json_extract_string(Raw, '$.Event.EventData.k')"
 
 # Scans and counts
@@ -151,13 +153,11 @@ def _time_sql(source: str, t: str, where: str) -> str:
 SELECT strftime(date_trunc({UNIT_SQL}, t), '%Y-%m-%d %H:%M') AS v, count(*) AS cnt FROM picked, span GROUP BY 1 ORDER BY 1 LIMIT 250"""
 
 
-def _time_query(name: str, low: int, high: int) -> None:
-    query(name, sql(_time_sql("logs", "ts", f"record_seq BETWEEN {low} AND {high}")))(lambda spark, sf: facets.time_facet(logs(spark, sf).where(F.col("record_seq").between(low, high)), F.col("ts")))
+def _time_query(name: str) -> None:
+    query(name, sql(_time_sql("logs", "ts", "true")))(lambda spark, sf: facets.time_facet(logs(spark, sf), F.col("ts")))
 
 
-_time_query("time_facet_minute", 0, 20)
-_time_query("time_facet_hour", 0, 500)
-_time_query("time_facet_day", 0, 1 << 40)
+_time_query("time_facet_day")
 
 
 def _scaled_time_query(name: str, hours: int) -> None:
@@ -175,6 +175,8 @@ def _scaled_time_query(name: str, hours: int) -> None:
     query(name, sql(scaled + _time_sql("scaled", "ts", "true")))(run)
 
 
+_scaled_time_query("time_facet_minute", 1)
+_scaled_time_query("time_facet_hour", 24)
 _scaled_time_query("time_facet_minute_all", 2)
 _scaled_time_query("time_facet_hour_all", 48)
 
@@ -311,7 +313,9 @@ def guid_text(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", S.guid_text(F.unhex(F.md5("s_name"))).alias("guid"))
 
 
-@query("crc32_col")
+@query("crc32_col", f"""WITH steps AS (SELECT {CRC_TABLE} AS tab),
+bytes AS (SELECT doc_id, text IS NULL AS none, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents)
+SELECT doc_id, CASE WHEN none THEN NULL ELSE xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) END AS crc FROM bytes, steps""")
 def crc32_col(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.crc32("text").alias("crc"))
 

@@ -8,27 +8,30 @@ files that Spark's own ``binaryFile`` reader delivers.
 Options: ``view`` (records, chunks, record_headers, template_instances, files),
 ``mode`` (permissive, dropmalformed, failfast), ``separateAttributes``, ``xml``,
 ``json``, ``indent``, ``ansiCodec``, ``validateChecksums``, ``chunksPerPartition``,
-``recursive``, ``extensions``, ``templateCache``.
+``recursive``, ``extensions``, ``templateCache``, ``recordIds``.
 
-A predicate on ``record_id`` prunes chunks by their first and last id; the predicate
-stays in Spark's plan as well.
+``recordIds`` (``5,120-130``) gives the rows with these ids alone and skips chunks by
+their first and last id. Predicates on ``record_id`` filter rows; they aren't pushed into
+the source, because Spark keeps one pushed state for all uses of a loaded relation, so
+that two filters on one DataFrame would prune each other's chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .. import schema as S
 from ..binxml.reader import CHUNK, Chunk, Settings, chunk_places, decode_chunk, error, file_header, iterate_chunks, safe_time, signed
 from ..binxml.values import DecodeError
+from ..operators.filters import parse_ranges
 
 VIEWS = {"records": S.RECORDS, "chunks": S.CHUNKS, "record_headers": S.HEADERS, "template_instances": S.INSTANCES, "files": S.FILES}
 BATCH = 1024
@@ -53,6 +56,7 @@ class Options:
     recursive: bool = False
     extensions: tuple[str, ...] = ()
     template_cache: str | None = None
+    record_ids: tuple[tuple[int, int], ...] = ()
 
     @staticmethod
     def of(options: dict[str, str]) -> Options:
@@ -65,7 +69,7 @@ class Options:
             raise ValueError(f"mode is permissive, dropmalformed or failfast; not {mode!r}")
         settings = Settings(flag("separateattributes", True), flag("indent", True), o.get("ansicodec", "windows-1252"), flag("validatechecksums", False))
         extensions = tuple(e.strip().lower().lstrip(".") for e in o.get("extensions", "").split(",") if e.strip())
-        return Options(view, mode, settings, flag("xml", False), flag("json", True), int(o.get("chunksperpartition", 256)), flag("recursive", False), extensions, o.get("templatecache"))
+        return Options(view, mode, settings, flag("xml", False), flag("json", True), int(o.get("chunksperpartition", 256)), flag("recursive", False), extensions, o.get("templatecache"), tuple(parse_ranges(o["recordids"])) if o.get("recordids") else ())
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -91,6 +95,15 @@ def expand_paths(paths: list[str], *, recursive: bool = False, extensions: tuple
     return sorted(found.items())
 
 
+def with_templates(o: Options) -> Options:
+    """The options of a worker, which reads the template cache's file if there is one."""
+    if not o.template_cache:
+        return o
+    from ..templates.cache import load
+
+    return replace(o, settings=Settings(**{**o.settings.__dict__, "offline": load(o.template_cache).body}))
+
+
 def rows_of_chunk(path: str, n: int, data: bytes, o: Options, ordinal: int = -1) -> Iterator[dict]:
     """Rows of one chunk in a view; an error is a row with ``error`` set."""
     base = {"file": path, "chunk_no": n}
@@ -148,36 +161,18 @@ def batches(rows: Iterator[dict], schema: StructType) -> Iterator[pa.RecordBatch
 class WinlogReader(DataSourceReader):
     def __init__(self, schema: StructType, paths: list[str], options: Options):
         self.schema, self.paths, self.options = schema, paths, options
-        #: Inclusive ranges of record ids that a row may have; None is any.
-        self.low: int | None = None
-        self.high: int | None = None
-        self.ids: list[int] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if getattr(f, "attribute", None) == ("record_id",):
-                if isinstance(f, EqualTo):
-                    self.ids = [f.value]
-                elif isinstance(f, In):
-                    self.ids = list(f.value)
-                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.low = f.value if self.low is None else max(self.low, f.value)
-                elif isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.high = f.value if self.high is None else min(self.high, f.value)
-            yield f  # Spark filters rows; here only chunks are skipped
 
     def _wanted(self, data: bytes) -> bool:
-        """Whether a chunk may have a wanted id, by its header alone."""
-        if self.low is None and self.high is None and self.ids is None:
-            return True
+        """Whether a chunk may have a wanted id, by its header alone. A header whose checksum
+        doesn't fit tells nothing, nor do ids that a signed number doesn't hold."""
         try:
-            h = Chunk(data).header
+            chunk = Chunk(data)
         except DecodeError:
             return True
-        first, last = h["first_record_id"], h["last_record_id"]
-        if self.low is not None and last < self.low or self.high is not None and first > self.high:
-            return False
-        return self.ids is None or any(i is not None and first <= i <= last for i in self.ids)
+        first, last = chunk.header["first_record_id"], chunk.header["last_record_id"]
+        if not chunk.checksums()[0] or not 0 <= first <= last < 1 << 63:
+            return True
+        return any(low <= last and first <= high for low, high in self.options.record_ids)
 
     def partitions(self) -> list[ChunkRange]:
         out = []
@@ -188,11 +183,7 @@ class WinlogReader(DataSourceReader):
         return out
 
     def _rows(self, part: ChunkRange) -> Iterator[dict]:
-        o = self.options
-        if o.template_cache:
-            from ..templates.cache import load
-
-            o.settings = Settings(**{**o.settings.__dict__, "offline": load(o.template_cache).body})
+        o = with_templates(self.options)
         fs, inner = _open(part.path)
         with fs.open_input_file(inner) as f:
             read = lambda at, n: f.read_at(n, at)
@@ -204,7 +195,7 @@ class WinlogReader(DataSourceReader):
             if o.view == "files":
                 yield {"file": part.path, **{k: signed(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in head.items()}}
                 return
-            pruned = self.low is not None or self.high is not None or self.ids is not None
+            pruned = bool(o.record_ids)
             block = head["header_block_size"] or 4096
             ordinal = 0
             if o.view == "chunks":  # non-empty chunks before this range, by their first bytes
@@ -212,7 +203,9 @@ class WinlogReader(DataSourceReader):
             for n, data in iterate_chunks(lambda at, k: read(at, 512) if pruned and k == CHUNK and not self._wanted(read(at, 512)) else read(at, k), part.size, part.first, part.stop):
                 if len(data) < CHUNK:
                     continue
-                yield from rows_of_chunk(part.path, n, data, o, ordinal)
+                for row in rows_of_chunk(part.path, n, data, o, ordinal):
+                    if not pruned or o.view == "chunks" or any(row.get("record_id") is not None and low <= row["record_id"] <= high for low, high in o.record_ids):
+                        yield row
                 ordinal += 1
 
     def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
@@ -236,7 +229,6 @@ class WinlogSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WinlogSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def read(spark: SparkSession, path: str, **options: object) -> DataFrame:
@@ -280,8 +272,9 @@ def decode_chunks(chunks: DataFrame, *, content: str = "chunk", path: str = "fil
     schema = VIEWS[o.view]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = with_templates(o)
         for batch in it:
             for name, n, data in zip(*(batch.column(c).to_pylist() for c in (path, number, content)), strict=True):
-                yield from batches(handled(rows_of_chunk(name, n, data, o), o.mode), schema)
+                yield from batches(handled(rows_of_chunk(name, n, data, known), o.mode), schema)
 
     return chunks.select(path, number, content).mapInArrow(run, schema)

@@ -26,7 +26,6 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.worker.reuse", "true")
-        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -274,6 +274,9 @@ def test_record_id_prunes_chunks(spark, logs):
     assert rows.where("record_id BETWEEN 10 AND 19").count() == 10
     assert rows.where("record_id IN (3, 1999, 5000)").count() == 2
     assert rows.where("record_id = 3 AND record_id IN (4)").count() == 0
+    asked = winlog.read(spark, f"{logs / 'log0.evtx'},{logs / 'log1.evtx'}", recordIds="3,1990-2010")
+    assert sorted(r["record_id"] for r in asked.collect()) == [3, *range(1990, 2001)]
+    assert sorted(r["record_id"] for r in rows.where("record_id = 7").union(rows.where("record_id = 1500")).collect()) == [7, 1500]
 
 
 def test_streaming_ingest(spark, logs, tmp_path):
