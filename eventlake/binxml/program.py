@@ -19,6 +19,7 @@ from .render import ATTRIBUTE_ESCAPES, TEXT_ESCAPES, Hole, drop_lone, escape_jso
 from .tree import Element, is_empty, resolved
 from .values import Value
 
+_STRING_OR_MARK = re.compile('"(?:[^"\\\\]|\\\\.)*"|\ue000([0-9]+)[at]\ue001')
 _MARK = re.compile("\ue000([0-9]+)([at])\ue001")
 
 
@@ -29,6 +30,19 @@ class Program:
     literals: list[str]
     holes: list[tuple[int, bool]]
     unique: bool
+    #: Of JSON: a document with marks for values, from which the viewer's columns are told.
+    marked: object = None
+    columns: tuple | None = None
+    parts: list[str] | None = None
+
+    def joined(self, texts: list[str]) -> str:
+        """The literals around the holes' texts."""
+        if self.parts is None:
+            self.parts = [""] * (2 * len(self.holes) + 1)
+            self.parts[::2] = self.literals
+        out = self.parts.copy()
+        out[1::2] = texts
+        return "".join(out)
 
     def fill(self, texts: list[tuple[str, str]]) -> str:
         out = [self.literals[0]]
@@ -63,7 +77,7 @@ def compiled(template: Element, values: list[tuple[int, object]], *, xml: bool,
     literals = parts[::3]
     if any("\ue000" in p or "\ue001" in p for p in literals):
         return None
-    unique = False
+    unique, marked = False, None
     if not xml:
         found: list[bool] = []
 
@@ -73,7 +87,10 @@ def compiled(template: Element, values: list[tuple[int, object]], *, xml: bool,
 
         json.loads(re.sub('(?<!")\ue000[0-9]+[at]\ue001', "0", text), object_pairs_hook=hook)
         unique = all(found)
-    return Program(literals, [(int(s), c == "a") for s, c in zip(parts[1::3], parts[2::3], strict=True)], unique)
+        if unique:
+            # A mark outside of any string is a bare number or boolean.
+            marked = json.loads(_STRING_OR_MARK.sub(lambda m: m[0] if m[1] is None else f'"\ue000{m[1]}b\ue001"', text))
+    return Program(literals, [(int(s), c == "a") for s, c in zip(parts[1::3], parts[2::3], strict=True)], unique, marked)
 
 
 def json_texts(values: list[tuple[int, object]]) -> list[tuple[str, str]]:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from .quick import column_slots, columns_of, json_of, slots, system_columns, xml_of
 from .program import Program, compiled, json_texts, shape_of, xml_texts
 from .render import parsed, to_json, to_xml, type_of
 from .tree import Decoder, Element, Instance, name_entry
@@ -129,6 +130,35 @@ class Chunk:
         program = self.programs[key]
         return None if program is None else (program.fill(xml_texts(made.values) if xml else json_texts(made.values)), program.unique)
 
+    def quick(self, at: int, size: int, *, json: bool, xml: bool) -> dict | None:
+        """Raw, the viewer's columns and xml of a record whose shape's programs are known; None if not."""
+        d, start, end = self.data, at + RECORD_HEADER, at + size - 4
+        if end - start < 14 or d[start] != 0x0F or d[start + 4] != 0x0C:
+            return None
+        try:
+            found = slots(d, start + 5, end, start)
+        except DecodeError:
+            return None  # the plain way tells the error
+        if found is None:
+            return None
+        offset, texts, shape, plain = found
+        out: dict = {}
+        if json:
+            program = self.programs.get((offset, False, shape))
+            if program is None or not program.unique:
+                return None
+            if program.marked is not None:
+                program.columns, program.marked = column_slots(program.marked, shape), None
+            if program.columns is None:
+                return None
+            out = {"Raw": json_of(program, texts, plain), **columns_of(program.columns, plain)}
+        if xml:
+            program = self.programs.get((offset, True, shape))
+            if program is None:
+                return None
+            out["xml"] = xml_of(program, texts, plain)
+        return out
+
     def tree(self, at: int, size: int) -> Element:
         return self.decoder.parse(at + RECORD_HEADER, size - RECORD_HEADER - 4, template=False, depth=0)
 
@@ -158,43 +188,6 @@ def safe_time(n: int) -> datetime | None:
         return None
 
 
-def system_columns(document: dict) -> dict:
-    """EventID, Level, Provider and Channel by the viewer's rules."""
-    event = document.get("Event")
-    system = event.get("System") if isinstance(event, dict) else None
-    system = system if isinstance(system, dict) else {}
-
-    def integer(x: object) -> int | None:
-        if isinstance(x, bool):
-            return None
-        if isinstance(x, int):
-            return (x + (1 << 31)) % (1 << 32) - (1 << 31)  # as a cast to 32 bits wraps
-        if isinstance(x, str):
-            try:
-                n = int(x)
-            except ValueError:
-                return None
-            return n if -(1 << 31) <= n < 1 << 31 and x.lstrip("+-").isdigit() else None
-        return None
-
-    event_id = system.get("EventID")
-    if isinstance(event_id, dict):
-        event_id = event_id.get("#text") if isinstance(event_id.get("#text"), str) else None
-    level = system.get("Level")
-
-    def name(x: object) -> str | None:
-        return x["Name"] if isinstance(x, dict) and isinstance(x.get("Name"), str) else None
-
-    provider = system.get("Provider")
-    shown = name(provider)
-    if shown is None:
-        shown = name(system.get("Provider_attributes"))
-    if shown is None and isinstance(provider, dict):
-        shown = name(provider.get("#attributes"))
-    channel = system.get("Channel")
-    return {"EventID": integer(event_id), "Level": integer(level) if isinstance(level, int) and not isinstance(level, bool) else 4, "Provider": shown or "", "Channel": channel if isinstance(channel, str) else ""}
-
-
 def decode_chunk(data: bytes, settings: Settings = Settings(), *, xml: bool = False, json: bool = True, programs: bool = True) -> Iterator[dict]:
     """A dict for each record, or for each error: record_id, ts, row_in_chunk, Raw, the
     viewer's columns, xml, error. Without ``programs`` all records take the plain way."""
@@ -212,6 +205,10 @@ def decode_chunk(data: bytes, settings: Settings = Settings(), *, xml: bool = Fa
         at, size, record_id, time = r
         row = {"row_in_chunk": i, "record_id": signed(record_id), "ts": safe_time(time)}
         try:
+            known = chunk.quick(at, size, json=json, xml=xml) if programs and (json or xml) else None
+            if known is not None and row["record_id"] is not None:
+                yield row | known
+                continue
             made = chunk.single_instance(at, size) if programs else None
             fast_json = chunk.rendered(made, xml=False) if made and json else None
             fast_xml = chunk.rendered(made, xml=True) if made and xml else None

@@ -89,7 +89,7 @@ def real_text(x: float, single: bool) -> str:
 
 
 def time_text(t: datetime) -> str:
-    return t.strftime("%Y-%m-%dT%H:%M:%S.") + f"{t.microsecond:06d}Z" if t.year >= 1000 else f"{t.isoformat(timespec='microseconds')}Z"
+    return f"{t.isoformat(timespec='microseconds')}Z"
 
 
 def guid_text(b: bytes) -> str:

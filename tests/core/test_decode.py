@@ -234,6 +234,28 @@ def test_programs_equal_the_plain_way(records, separate, indent):
     assert list(decode_chunk(data, settings, xml=True)) == list(decode_chunk(data, settings, xml=True, programs=False))
 
 
+COLUMN = st.one_of(
+    SLOT,
+    st.sampled_from(["12", "+7", "-3", "99999999999", "4x", ""]).map(lambda s: (V.STRING, s)),
+    st.integers(-(2**63), 2**63 - 1).map(lambda n: (V.INT64, n)),
+    st.integers(0, 255).map(lambda n: (V.UINT8, n)),
+    st.integers(0, 2**64 - 1).map(lambda n: (V.HEX64, n)),
+    st.integers(0, 2**63).map(lambda n: (V.FILETIME, n)),
+    st.just((V.GUID, G)),
+    st.just((V.SID, "S-1-5-18")),
+)
+
+
+@given(st.lists(st.tuples(COLUMN, COLUMN, COLUMN, COLUMN), min_size=1, max_size=6), st.booleans(), st.sampled_from(["", "x"]))
+def test_quick_columns_equal_the_plain_way(records, separate, fixed):
+    system = E("System", [], [E("Provider", [("Name", [fixed, Sub(0)] if fixed else Sub(0))]), E("EventID", [("Qualifiers", Sub(2))], [Sub(1)]), E("Level", [], [Sub(2)]), E("Channel", [], [Sub(3)]), *([E("Computer", [], [fixed])] if fixed else [])])
+    w = ChunkWriter()
+    for i, values in enumerate([*records, *records]):  # each shape comes again, so its program is known
+        assert w.add(i + 1, T0, Template(G, E("Event", [], [system])), list(values))
+    data, settings = w.finish(), Settings(separate_attributes=separate)
+    assert list(decode_chunk(data, settings, xml=True)) == list(decode_chunk(data, settings, xml=True, programs=False))
+
+
 # The data source
 
 
