@@ -53,9 +53,10 @@ def _settles(parts: list[str], rank: dict[tuple[str, str], int]) -> bool:
 
 
 class LetterPieces:
-    """Ids of many pieces of plain letters in one call."""
+    """Ids of many pieces of plain letters in one call. ``check`` leaves tokens out that no merges
+    lead to; the default vocabulary has none (tests/llm), so its workers save the second."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, *, check: bool = True):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -72,7 +73,7 @@ class LetterPieces:
             body = token.removesuffix(END_OF_WORD)
             symbols = [*body[:-1], body[-1] + END_OF_WORD] if end else list(body)
             known = all(c in inner for c in body[:-1]) and body[-1] in (last if end else inner)
-            if known and _settles(symbols, rank):
+            if known and (not check or _settles(symbols, rank)):
                 ranks["".join(inner[c] for c in body[:-1]).encode() + (last if end else inner)[body[-1]].encode()] = at
                 self.ids[at], self.ends[at] = model["vocab"][token], end
 
@@ -146,10 +147,11 @@ class WordEncoder:
     over ``cached`` (between slices)."""
 
     def __init__(self, path: str | None = None, cached: int = 250_000):
+        own = path is not None
         path = path or public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.cached = self.tokenizer.model, cached
-        self.letters = LetterPieces(path)
+        self.letters = LetterPieces(path, check=own)
         self.pattern = regex.compile(PATTERN + r"|\n")
         self.table = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
         self.words, self.pieces = _Known(), _Known()

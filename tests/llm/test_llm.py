@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from eventlake.llm import boosting, chat, langid, licenses, media, mixing, neardup, ngram, packing, queries, simhash, urls, vectors
 from eventlake.llm.components import connected_components
-from eventlake.llm.tokens import encoder
+from eventlake.llm.tokens import LetterPieces, encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977} tail{i % 13}" for i in range(12_000))
@@ -631,7 +631,10 @@ def test_letter_pieces_are_the_models():
     got = np.split(ids, np.cumsum(size)[:-1])
     assert [g.tolist() for g in got] == [e.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
     # Every token of these letters is in the table, so none was left out as unreachable.
-    assert len(e.letters.coder._mergeable_ranks) > 40_000
+    import public_tokenizers
+
+    checked = LetterPieces(public_tokenizers.path("word_bpe_49k.json"), check=True)
+    assert checked.coder._mergeable_ranks == e.letters.coder._mergeable_ranks and len(checked.coder._mergeable_ranks) > 40_000
 
 
 def test_packing_of_bytes_that_are_no_text(spark):
