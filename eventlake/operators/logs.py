@@ -12,6 +12,8 @@ from .columns import ColumnSpec, Columns
 from .filters import Filters
 
 PAGE = 4000
+#: Rows up to which a page is cut from the sorted rows at once, and ranges counted for a later one.
+DIRECT, RANGES = 10_000, 4096
 
 
 def matching(logs: DataFrame, filters: Filters = Filters(), columns: Columns = Columns()) -> DataFrame:
@@ -22,8 +24,40 @@ def count_records(logs: DataFrame, filters: Filters = Filters(), columns: Column
     return matching(logs, filters, columns).agg(F.count("*").alias("cnt"))
 
 
-def paged(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
-    """A page in record order: sorted by ``record_seq``, so pages neither overlap nor miss rows."""
+def _narrowed(df: DataFrame, limit: int, offset: int, ranges: int) -> tuple[DataFrame, int]:
+    """The rows of the ranges of ``record_seq`` that a page lies in, and the offset among them."""
+    seen = df.agg(F.min("record_seq").alias("low"), F.max("record_seq").alias("high"), F.count_if(F.col("record_seq").isNull()).alias("nulls")).first()
+    if offset < seen["nulls"]:
+        return df, offset
+    df, offset, low, high = df.where("record_seq IS NOT NULL"), offset - seen["nulls"], seen["low"], seen["high"]
+    if low is None:
+        return df, 0
+    while True:
+        width = (high - low) // ranges + 1
+        inside = df.where(F.col("record_seq").between(low, high))
+        counts = inside.groupBy(F.expr(f"(record_seq - {low}L) div {width}L").alias("slot")).count().orderBy("slot").collect()
+        before, hit = 0, []
+        for slot, n in counts:
+            if before + n > offset and before < offset + limit:
+                hit.append((slot, n, before))
+            before += n
+        if not hit:
+            return df.limit(0), 0
+        offset -= hit[0][2]
+        low, high = low + hit[0][0] * width, min(high, low + (hit[-1][0] + 1) * width - 1)
+        if width == 1 or sum(n for _, n, _ in hit) <= 2 * (offset + limit) or len(hit) == len(counts) > 1:
+            return df.where(F.col("record_seq").between(low, high)), offset
+
+
+def paged(df: DataFrame, limit: int | None, offset: int = 0, *, direct: int = DIRECT, ranges: int = RANGES) -> DataFrame:
+    """A page in record order: sorted by ``record_seq`` (nulls first, equal ones in any order).
+
+    A page within the first ``direct`` rows is cut from the sorted rows. For a later one rows are
+    counted by ``ranges`` ranges of ``record_seq``, again within those that the page lies in as
+    long as that helps; only their rows are sorted, so that a late page costs no more than an early one.
+    """
+    if offset and limit is not None and offset + limit > direct:
+        df, offset = _narrowed(df, limit, offset, ranges)
     out = df.orderBy("record_seq")
     out = out.offset(offset) if offset else out
     return out if limit is None else out.limit(limit)
@@ -60,6 +94,8 @@ def chunk_info(records: DataFrame, *, chunk_column: str = "chunk_no", id_column:
     return records.groupBy(chunk_column).agg(F.min(id_column).alias("first_record_id"), F.max(id_column).alias("last_record_id")).withColumn("record_count", F.greatest(F.col("last_record_id") - F.col("first_record_id") + 1, F.lit(0).cast("long")))
 
 
-def export_json(logs: DataFrame, path: str, filters: Filters = Filters(), columns: Columns = Columns()) -> None:
-    """All matching records as JSON lines, in order within and across part files."""
-    matching(logs, filters, columns).where(F.try_parse_json("Raw").isNotNull()).orderBy("record_seq").select("Raw").write.text(path)
+def export_json(logs: DataFrame, path: str, filters: Filters = Filters(), columns: Columns = Columns(), *, ordered: bool = False) -> None:
+    """All matching records as JSON lines. Each task writes its own rows, in order within a part
+    file; ``ordered`` sorts across part files too, which moves all rows."""
+    rows = matching(logs, filters, columns).where(F.try_parse_json("Raw").isNotNull())
+    (rows.orderBy("record_seq") if ordered else rows.sortWithinPartitions("record_seq")).select("Raw").write.text(path)

@@ -197,9 +197,35 @@ def time_facet_month(spark, sf):
     return facets.time_facet(table(spark, sf, "orders"), F.col("o_orderdate"))
 
 
+# Filters as they are set and taken back
+
+
+@query("filter_toggled", sql(f"SELECT {SHOWN_SQL} FROM logs WHERE Level IN (2, 3) AND Channel IN ('Security')"))
+def filter_toggled(spark, sf):
+    """Values set and taken back by toggling; other clauses changed, merged and dropped."""
+    f = Filters(level=(2,), provider=("none",), column_equals={"task": ["1"]})
+    f = f.toggle("level", 4).toggle("level", 3).toggle("level", 4).toggle("event_data", "x", "k").toggle("event_data", "x", "k")
+    f = f.update(channel=("Security",)).without(clause="provider").without(column="task")
+    return L.matching(logs(spark, sf), f).select(*SHOWN)
+
+
+@query("filter_lines", "SELECT * FROM (VALUES (0, 'level: 2'), (1, 'k: a'), (2, '¬k: b'), (3, 'search: x y')) AS t(n, line)")
+def filter_lines(spark, sf):
+    """A line for each active clause, excluded values marked; cleared filters have none."""
+    f = Filters(level=(2,), event_data={"k": ["a"]}, event_data_exclude={"k": ["b"]}, search="x y")
+    return spark.createDataFrame(list(enumerate([*f.describe(), *f.clear().describe()])), "n int, line string")
+
+
 # Pages and columns
 
 
+@query("page_late", sql("SELECT record_seq, Raw FROM (SELECT * FROM logs ORDER BY record_seq LIMIT 100 OFFSET (SELECT count(*) // 2 FROM logs))"))
+def page_late(spark, sf):
+    """A page from the middle: rows are counted by range, only those of its range are sorted."""
+    rows = logs(spark, sf)
+    return L.paged(rows, 100, rows.count() // 2, direct=0).select("record_seq", "Raw")
+
+
 @query("page_raw", sql("SELECT Raw FROM (SELECT * FROM logs WHERE Level IN (2) ORDER BY record_seq LIMIT 50 OFFSET 100)"))
 def page_raw(spark, sf):
     return L.fetch_records(logs(spark, sf), Filters(level=(2,)), limit=50, offset=100)

@@ -12,19 +12,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
+import pyarrow.ipc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..binxml import values as V
-from ..encoder import ChunkWriter, E, Ref, Sub, Template, Tokens, event_template, file_bytes
+from ..encoder import ChunkWriter, E, Ref, Sub, Template, Tokens, event_template, executable, file_bytes
 from ..operators import logs as L
 from ..operators import tables, templates
 from ..operators.columns import event_data
 from ..session import shared_path
 from ..sources import winlog
 from ..streaming.ingest import ingest, live_counts, stream_files
-from ..templates import cache, render
+from ..templates import cache, pe, render
 from ..templates import manifest as M
 from . import manifests
 from .catalogue import query
@@ -132,6 +133,32 @@ def source_chunks(spark, sf):
     return rows.where("header_ok AND events_ok").select(_part(), F.col("chunk_no").cast("long").alias("chunk_no"), "first_record_id", F.col("record_count").cast("long").alias("record_count"))
 
 
+@query("source_limit", "SELECT event_id // 2000 AS part, least(count(*), 100) AS cnt, CAST(100 AS BIGINT) AS first FROM events GROUP BY 1")
+def source_limit(spark, sf):
+    """Each task stops after its hundredth good row (here a task reads a file), or so many rows in all."""
+    folder = written_logs(spark, sf, "checksum")
+    rows = winlog.read(spark, folder, extensions="evtx", view="record_headers", validateChecksums=True, limit=100, chunksPerPartition=40)
+    first = winlog.first_records(spark, folder, 100, extensions="evtx").count()
+    return rows.where("error IS NULL").groupBy(_part()).agg(F.count("*").alias("cnt"), F.lit(first).cast("long").alias("first"))
+
+
+def _read_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, n, stream in zip(*(batch.column(c).to_pylist() for c in ("file", "record_count", "ipc")), strict=True):
+            with pa.ipc.open_stream(stream) as reader:
+                one = reader.read_all()
+            if one.num_rows != n:
+                raise ValueError("a stream doesn't hold its chunk's records")
+            yield from one.select(["record_id", "EventID", "Provider"]).append_column("file", pa.array([file] * n, pa.string())).to_batches()
+
+
+@query("source_arrow", f"WITH {PARTS} SELECT record_id, record_id // 2000 AS part, CAST(eid AS INTEGER) AS \"EventID\", provider AS \"Provider\" FROM parts")
+def source_arrow(spark, sf):
+    """Records of each chunk as an Arrow IPC stream, read back from the streams."""
+    rows = winlog.read(spark, written_logs(spark, sf), extensions="evtx", view="arrow").where("error IS NULL")
+    return rows.mapInArrow(_read_streams, "record_id long, EventID int, Provider string, file string").select("record_id", _part(), "EventID", "Provider")
+
+
 @query("source_binary_files", "SELECT event_id // 2000 AS part, count(*) AS cnt FROM events GROUP BY 1")
 def source_binary_files(spark, sf):
     """Spark's own reader of whole files in front of the decoder."""
@@ -263,7 +290,26 @@ def array_values(spark, sf):
     return xml.select("record_id", F.regexp_count("xml", F.lit('Name="Many"')).alias("items"))
 
 
-# Templates of cache files
+# Executables and templates of cache files
+
+
+@query("executable_resources", "SELECT p_brand AS source, '1' AS name, CAST(1033 AS BIGINT) AS language, CAST(1 AS BIGINT) AS providers, count(DISTINCT p_type) AS templates FROM part GROUP BY 1")
+def executable_resources(spark, sf):
+    """Manifests found in the resources of executables."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([executable(c) for c in b.column("content").to_pylist()], pa.binary())], ["path", "content"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(path, *r) for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for r in pe.resources(data)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.binary()))], ["path", "name", "language", "content"])
+
+    files = manifests.blobs(spark, sf).mapInArrow(wrapped, "path string, content binary")
+    resources = files.mapInArrow(found, "path string, name string, language long, content binary")
+    stats = M.stats(M.manifests(resources.select("path", "content"))).select("source", "providers", "templates")
+    return resources.select(F.col("path").alias("source"), "name", "language").join(stats, "source")
 
 
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:

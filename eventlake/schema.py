@@ -43,6 +43,17 @@ CHUNKS = T.StructType(
     ]
 )
 
+#: Of each chunk, its good records as an Arrow IPC stream with the columns of RECORDS.
+ARROW = T.StructType(
+    [
+        T.StructField("file", T.StringType()),
+        T.StructField("chunk_no", T.IntegerType()),
+        T.StructField("record_count", T.LongType()),
+        T.StructField("ipc", T.BinaryType()),
+        T.StructField("error", ERROR),
+    ]
+)
+
 HEADERS = T.StructType(
     [
         T.StructField("file", T.StringType()),

@@ -5,15 +5,19 @@ are listed and read through pyarrow's file systems (local paths, ``file:`` and t
 schemes that pyarrow knows); where only Spark reaches a store, ``binary_chunks`` cuts
 files that Spark's own ``binaryFile`` reader delivers.
 
-Options: ``view`` (records, chunks, record_headers, template_instances, files),
+Options: ``view`` (records, arrow, chunks, record_headers, template_instances, files),
 ``mode`` (permissive, dropmalformed, failfast), ``separateAttributes``, ``xml``,
 ``json``, ``indent``, ``ansiCodec``, ``validateChecksums``, ``chunksPerPartition``,
-``recursive``, ``extensions``, ``templateCache``, ``recordIds``.
+``recursive``, ``extensions``, ``templateCache``, ``recordIds``, ``limit``.
 
 ``recordIds`` (``5,120-130``) gives the rows with these ids alone and skips chunks by
 their first and last id. Predicates on ``record_id`` filter rows; they aren't pushed into
 the source, because Spark keeps one pushed state for all uses of a loaded relation, so
 that two filters on one DataFrame would prune each other's chunks.
+
+``limit`` stops a task's scan after so many good rows; ``first_records`` gives so many in
+all. The view ``arrow`` has a row for each chunk, with its good records as an uncompressed
+Arrow IPC stream of one batch, and a row for each error.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.ipc
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -33,8 +39,9 @@ from ..binxml.reader import CHUNK, Chunk, Settings, chunk_places, decode_chunk,
 from ..binxml.values import DecodeError
 from ..operators.filters import parse_ranges
 
-VIEWS = {"records": S.RECORDS, "chunks": S.CHUNKS, "record_headers": S.HEADERS, "template_instances": S.INSTANCES, "files": S.FILES}
-BATCH = 1024
+VIEWS = {"records": S.RECORDS, "arrow": S.ARROW, "chunks": S.CHUNKS, "record_headers": S.HEADERS, "template_instances": S.INSTANCES, "files": S.FILES}
+#: Rows of a batch; of the view arrow, where a row is a chunk, fewer.
+BATCH, CHUNK_BATCH = 1024, 16
 
 
 @dataclass
@@ -57,6 +64,7 @@ class Options:
     extensions: tuple[str, ...] = ()
     template_cache: str | None = None
     record_ids: tuple[tuple[int, int], ...] = ()
+    limit: int | None = None
 
     @staticmethod
     def of(options: dict[str, str]) -> Options:
@@ -69,7 +77,7 @@ class Options:
             raise ValueError(f"mode is permissive, dropmalformed or failfast; not {mode!r}")
         settings = Settings(flag("separateattributes", True), flag("indent", True), o.get("ansicodec", "windows-1252"), flag("validatechecksums", False))
         extensions = tuple(e.strip().lower().lstrip(".") for e in o.get("extensions", "").split(",") if e.strip())
-        return Options(view, mode, settings, flag("xml", False), flag("json", True), int(o.get("chunksperpartition", 256)), flag("recursive", False), extensions, o.get("templatecache"), tuple(parse_ranges(o["recordids"])) if o.get("recordids") else ())
+        return Options(view, mode, settings, flag("xml", False), flag("json", True), int(o.get("chunksperpartition", 256)), flag("recursive", False), extensions, o.get("templatecache"), tuple(parse_ranges(o["recordids"])) if o.get("recordids") else (), int(o["limit"]) if o.get("limit") else None)
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -104,13 +112,28 @@ def with_templates(o: Options) -> Options:
     return replace(o, settings=Settings(**{**o.settings.__dict__, "offline": load(o.template_cache).body}))
 
 
-def rows_of_chunk(path: str, n: int, data: bytes, o: Options, ordinal: int = -1) -> Iterator[dict]:
+def ipc_stream(rows: list[dict]) -> bytes:
+    """Rows of the view ``records`` as an Arrow IPC stream of one batch."""
+    batch = pa.RecordBatch.from_pylist(rows, to_arrow_schema(S.RECORDS))
+    with pa.BufferOutputStream() as out:
+        with pa.ipc.new_stream(out, batch.schema) as stream:
+            stream.write_batch(batch)
+        return out.getvalue().to_pybytes()
+
+
+def rows_of_chunk(path: str, n: int, data: bytes, o: Options, ordinal: int | None = None) -> Iterator[dict]:
     """Rows of one chunk in a view; an error is a row with ``error`` set."""
     base = {"file": path, "chunk_no": n}
     if o.view == "records":
         for row in decode_chunk(data, o.settings, xml=o.xml, json=o.json):
             yield base | {"record_seq": (n << 32) + row.pop("row_in_chunk")} | row
         return
+    if o.view == "arrow":
+        rows = list(rows_of_chunk(path, n, data, replace(o, view="records")))
+        good = [r for r in rows if not r.get("error")]
+        yield from (base | {"error": r["error"]} for r in rows if r.get("error"))
+        yield base | {"record_count": len(good), "ipc": ipc_stream(good)}
+        return
     try:
         chunk = Chunk(data, o.settings)
         header_ok, events_ok = chunk.checksums()
@@ -146,12 +169,24 @@ def handled(rows: Iterator[dict], mode: str) -> Iterator[dict]:
         yield row
 
 
+def stopped(rows: Iterator[dict], limit: int | None) -> Iterator[dict]:
+    """Rows until so many good ones have come."""
+    good = 0
+    while limit is None or good < limit:
+        row = next(rows, None)
+        if row is None:
+            return
+        good += not row.get("error")
+        yield row
+
+
 def batches(rows: Iterator[dict], schema: StructType) -> Iterator[pa.RecordBatch]:
     arrow = to_arrow_schema(schema)
+    most = CHUNK_BATCH if schema == S.ARROW else BATCH
     held: list[dict] = []
     for row in rows:
         held.append(row)
-        if len(held) >= BATCH:
+        if len(held) >= most:
             yield pa.RecordBatch.from_pylist(held, arrow)
             held = []
     if held:
@@ -196,20 +231,15 @@ class WinlogReader(DataSourceReader):
                 yield {"file": part.path, **{k: signed(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in head.items()}}
                 return
             pruned = bool(o.record_ids)
-            block = head["header_block_size"] or 4096
-            ordinal = 0
-            if o.view == "chunks":  # non-empty chunks before this range, by their first bytes
-                ordinal = sum(read(block + n * CHUNK, 8) != b"\0" * 8 for n in range(part.first))
             for n, data in iterate_chunks(lambda at, k: read(at, 512) if pruned and k == CHUNK and not self._wanted(read(at, 512)) else read(at, k), part.size, part.first, part.stop):
                 if len(data) < CHUNK:
                     continue
-                for row in rows_of_chunk(part.path, n, data, o, ordinal):
+                for row in rows_of_chunk(part.path, n, data, o):
                     if not pruned or o.view == "chunks" or any(row.get("record_id") is not None and low <= row["record_id"] <= high for low, high in o.record_ids):
                         yield row
-                ordinal += 1
 
     def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
-        yield from batches(handled(self._rows(partition), self.options.mode), self.schema)
+        yield from batches(stopped(handled(self._rows(partition), self.options.mode), self.options.limit), self.schema)
 
 
 class WinlogSource(DataSource):
@@ -236,7 +266,19 @@ def read(spark: SparkSession, path: str, **options: object) -> DataFrame:
     reader = spark.read.format("winlog")
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
-    return reader.load(path)
+    rows = reader.load(path)
+    return with_ordinals(rows) if Options.of({k: str(v) for k, v in options.items()}).view == "chunks" else rows
+
+
+def with_ordinals(chunks: DataFrame) -> DataFrame:
+    """Number the non-empty chunks of each file in ``chunk_ordinal``, once all tasks have read theirs."""
+    place = F.row_number().over(Window.partitionBy("file").orderBy("chunk_no")) - 1
+    return chunks.withColumn("chunk_ordinal", F.when(F.col("error").isNull(), place))
+
+
+def first_records(spark: SparkSession, path: str, n: int, **options: object) -> DataFrame:
+    """``n`` good rows, or all if there are fewer; no task reads on after its n-th."""
+    return read(spark, path, limit=n, **options).where("error IS NULL").limit(n)
 
 
 def decode_files(files: DataFrame, *, content: str = "content", path: str = "path", **options: object) -> DataFrame:

@@ -13,7 +13,7 @@ from eventlake.binxml.reader import CHUNK, Chunk, Settings, decode_chunk, iterat
 from eventlake.binxml.render import escape_json, single_keys, to_json, to_xml
 from eventlake.binxml.tree import Element, Entity, Instruction, expanded
 from eventlake.binxml.values import DecodeError, Value
-from eventlake.encoder import PI, ChunkWriter, E, Raw, Ref, Sub, Template, Tokens, event_template, event_values, file_bytes, inline_name, write_records
+from eventlake.encoder import PI, ChunkWriter, E, Raw, Ref, Sub, Template, Tokens, event_template, event_values, executable, file_bytes, inline_name, write_records
 from eventlake.operators.filters import Filters, parse_ranges
 from eventlake.sources import winlog
 from eventlake.templates import cache, manifest, pe, render
@@ -385,24 +385,6 @@ def crim(root=None, *, template=G, event_id=42):
     return bytes(out)
 
 
-def executable(blob):
-    """A minimal portable executable with one WEVT_TEMPLATE resource."""
-    name = "WEVT_TEMPLATE".encode("utf-16-le")
-    tree = bytearray()
-    tree += struct.pack("<IIHHHH", 0, 0, 0, 0, 1, 0) + struct.pack("<II", 0x80000000 | 96, 0x80000000 | 24)
-    tree += struct.pack("<IIHHHH", 0, 0, 0, 0, 0, 1) + struct.pack("<II", 1, 0x80000000 | 48)
-    tree += struct.pack("<IIHHHH", 0, 0, 0, 0, 0, 1) + struct.pack("<II", 1033, 72)
-    tree = tree.ljust(72, b"\0") + struct.pack("<IIII", 0x1000 + 128, len(blob), 0, 0)
-    tree = tree.ljust(96, b"\0") + struct.pack("<H", 13) + name
-    section = tree.ljust(128, b"\0") + blob
-    optional = bytearray(112 + 16 * 8)
-    struct.pack_into("<H", optional, 0, 0x20B)
-    struct.pack_into("<II", optional, 112 + 16, 0x1000, len(section))
-    head = b"MZ".ljust(60, b"\0") + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x8664, 1, 0, 0, 0, len(optional), 0) + optional
-    head += b".rsrc\0\0\0" + struct.pack("<IIII", len(section), 0x1000, len(section), 512) + b"\0" * 16
-    return head.ljust(512, b"\0") + section
-
-
 def test_manifest_and_resources():
     blob = crim()
     p = manifest.parse(blob)["providers"][0]

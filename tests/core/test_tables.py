@@ -85,3 +85,31 @@ def test_templates_and_arrays(spark):
     assert got == {1: [("A", "x"), ("B", "y")], 2: [(None, "z")]}
     assert templates.last_by(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k int, s int, v string"), ["k"], ["s"]).first()["v"] == "b"
     assert arrays.event_data_fields(spark.createDataFrame([(1, "bad"), (2, '{"a":"1"}')], "id int, j string"), F.col("j")).select("id", "key", "val").collect() == [(2, "a", "1")]
+
+
+def test_pages_meet_and_miss_nothing(spark):
+    seqs = sorted([None] * 3 + [7] * 5 + [(c << 32) + i for c in (0, 1, 900) for i in range(40)] + [-4, (1 << 62) + 1], key=lambda s: (s is not None, s or 0))
+    rows = spark.createDataFrame([(s,) for s in seqs], "record_seq long").repartition(3)
+    for limit, ranges in ((10, 4), (64, 4096)):
+        got = [r[0] for at in range(0, len(seqs) + limit, limit) for r in logs.paged(rows, limit, at, direct=0, ranges=ranges).collect()]
+        assert got == seqs
+    assert logs.paged(rows.limit(0), 5, 5, direct=0).count() == 0
+    assert logs.paged(rows.where("record_seq IS NULL"), 5, 5, direct=0).count() == 0
+
+
+def test_late_page_sorts_its_range_alone(spark):
+    rows = spark.range(100_000).withColumnRenamed("id", "record_seq")
+    narrow, offset = logs._narrowed(rows, 100, 90_000, 4096)
+    assert offset < 30 and narrow.count() < 200
+
+
+def test_export_in_place_and_ordered(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id AS record_seq", "to_json(struct(id)) AS Raw").repartition(4)
+    logs.export_json(rows, str(tmp_path / "a"))
+    logs.export_json(rows, str(tmp_path / "b"), ordered=True)
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "b").glob("part-*"))]
+    assert sum(parts, []) == [f'{{"id":{i}}}' for i in range(1000)]
+    for p in (tmp_path / "a").glob("part-*"):
+        ids = [int(x[6:-1]) for x in p.read_text().splitlines()]
+        assert ids == sorted(ids)
+    assert spark.read.text(str(tmp_path / "a")).count() == 1000
