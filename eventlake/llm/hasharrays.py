@@ -15,22 +15,34 @@ import pyarrow as pa
 import pyarrow.fs
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers compressed byte by byte: all lowest bytes, then the next, so that bytes that are
+    nearly always zero cost nothing and random ones are stored as they are."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
+    return pa.compress(np.ascontiguousarray(raw.T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unplanes(blob: bytes, n: int, dtype) -> np.ndarray:
+    kind = np.dtype(dtype)
+    raw = np.frombuffer(pa.decompress(blob, n * kind.itemsize, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, n).T).view(kind).reshape(n)
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Sorted unsigned keys as compressed differences."""
-    return pa.compress(np.diff(keys, prepend=keys.dtype.type(0)).tobytes(), codec="zstd", asbytes=True)
+    return planes(np.diff(keys, prepend=keys.dtype.type(0)))
 
 
 def unpack(blob: bytes, n: int, dtype) -> np.ndarray:
-    kind = np.dtype(dtype)
-    return np.cumsum(np.frombuffer(pa.decompress(blob, n * kind.itemsize, codec="zstd"), kind), dtype=kind)
+    return np.cumsum(unplanes(blob, n, dtype), dtype=dtype)
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    return pa.compress(values.astype("<u8").tobytes(), codec="zstd", asbytes=True)
+    return planes(values.astype("<u8"))
 
 
 def widen(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob, n * 8, codec="zstd"), "<u8")
+    return unplanes(blob, n, "<u8")
 
 
 def small(counts: np.ndarray) -> np.ndarray:
@@ -84,6 +96,16 @@ def bytes_of(path: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), np.uint8)
 
 
+def parts_of(raw: np.ndarray, kinds: list[tuple[object, int]]) -> list[np.ndarray]:
+    """The arrays of a saved file, by their types and lengths."""
+    out, at = [], 0
+    for kind, n in kinds:
+        size = np.dtype(kind).itemsize * n
+        out.append(raw[at : at + size].view(kind))
+        at += size + -size % 8
+    return out
+
+
 def by_key(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[dict]]]:
     """Rows of one key after another; the partition is sorted by these columns."""
     now, rows = None, []

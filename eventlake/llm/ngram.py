@@ -1,16 +1,18 @@
-"""A bigram model with interpolated modified Kneser-Ney smoothing, for perplexity.
+"""A bigram or trigram model with interpolated modified Kneser-Ney smoothing, for perplexity.
 
 Counting runs in Spark over all training texts. Tasks count in numpy and send sorted
 arrays of keys and counts, cut by the keys' top bits, so a shuffle moves a few large
 values and a frequent word weighs no more than a rare one. The model is a folder of
 sorted hash arrays in the shared folder: words by XXH64 with counts (a word's id is its
 rank), bigrams by a bijective mix of both ids with counts, and dense arrays by word id
-of context totals, types by count and continuation counts. Workers map the files into
-memory and look sorted batches of keys up; nothing is loaded whole or sent by the
-driver. Where the shared folder isn't a mounted file system, shards are read on demand.
-
-The order is two: each further order stores about as many keys again as the corpus has
-words, which the disk limit of this job doesn't hold (README has figures).
+of context totals, types by count and continuation counts. Of the third order, contexts
+by the mix of their two ids, each with its sorted followers and their counts; bigrams
+then count the different words before them. Workers map the files into memory and look
+sorted batches of keys up; nothing is loaded whole or sent by the driver. Where the
+shared folder isn't a mounted file system, shards are read on demand.
+
+Texts begin with as many begin marks as the order needs. A context with a word that
+wasn't learned, or that was never seen, leaves the probability to the next shorter one.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_mod, raw_texts, renamed, schema_with, scratch_path, slices, words, written
-from .hasharrays import by_key, bytes_of, cut, pack, runs, save, small, sorted_counts, squeeze, unpack, widen
+from .hasharrays import by_key, bytes_of, cut, pack, parts_of, planes, runs, save, small, sorted_counts, squeeze, unpack, unplanes, widen
 
 #: Shards of each table are powers of two by the top bits of a key: one for each this many
 #: bytes of input, so that a shard's merge stays in a task's memory at any size; and bounds.
@@ -49,8 +51,11 @@ class Ngrams:
     word_files: dict[int, tuple[str, int]]
     word_base: list[int]
     bits: int = LEAST_BITS
+    order: int = 3
     bigram_files: dict[int, tuple[str, int]] = field(default_factory=dict)
     stat_files: dict[int, tuple[str, int]] = field(default_factory=dict)
+    trigram_files: dict[int, str] = field(default_factory=dict)
+    trigram_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
     bigram_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
     word_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
     bigram_types: int = 0
@@ -172,26 +177,156 @@ def _pairs(ids: np.ndarray, ends: np.ndarray, begin: int) -> np.ndarray:
     return before
 
 
-def _count_bigrams(sent):
+def _both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix((first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64))
+
+
+def _count_ngrams(sent):
+    """Bigrams, or trigrams as (context, follower), of texts whose words are all learned."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Ngrams = sent.value
         table, held = Words(m), []
+
+        def counted() -> pa.RecordBatch:
+            if m.order == 2:
+                return _blobs(*sorted_counts(np.concatenate([k for k, _ in held])), m.bits)
+            return _trigram_blobs(*_sorted_trigrams(*(np.concatenate(x) for x in zip(*held, strict=True))), m.bits)
+
         for part in slices(batches, "text", chars=4 << 20):
             hashes, ends = _tokens(part)
             if not len(hashes):
                 continue
             unique, back = np.unique(hashes, return_inverse=True)
             ids = table.find(unique)[0][back]
-            held.append(mix((_pairs(ids, ends, m.vocabulary).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)))
+            before = _pairs(ids, ends, m.vocabulary)
+            if m.order == 2:
+                held.append((_both(before, ids), None))
+            else:
+                held.append((_both(_pairs(before, ends, m.vocabulary), before), ids.astype("<u4")))
+            if sum(len(k) for k, _ in held) > HELD:
+                yield counted()
+                held.clear()
+        if held:
+            yield counted()
+
+    return run
+
+
+TRIGRAMS = "shard int, n long, keys binary, followers binary, counts binary"
+
+
+def _sorted_trigrams(keys: np.ndarray, followers: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, follower) in order, and the sum of the counts of each (one each if not given)."""
+    order = np.lexsort((followers, keys))
+    keys, followers = keys[order], followers[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (followers[1:] != followers[:-1])))
+    sums = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts[order], first)
+    return keys[first], followers[first], sums
+
+
+def _trigram_blobs(keys: np.ndarray, followers: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    rows = [(s, b - a, pack(keys[a:b]), planes(followers[a:b]), squeeze(counts[a:b])) for s, a, b in cut(keys, bits)]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "n", "keys", "followers", "counts"])
+
+
+#: Bigrams with the number of words before them, as blobs, and of each file of trigrams its path and numbers.
+PAIRS = BLOBS + ", path string, of_counts array<long>"
+_PAIRS = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("path", pa.string()), ("of_counts", pa.list_(pa.int64()))])
+
+
+def _save_trigrams(folder: str, bits: int):
+    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        blobs = _blobs(*sorted_counts(np.concatenate(held)), bits)
+        yield pa.RecordBatch.from_arrays([*blobs.columns, pa.nulls(blobs.num_rows, pa.string()), pa.nulls(blobs.num_rows, pa.list_(pa.int64()))], schema=_PAIRS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for (shard,), rows in by_key(batches, "shard"):
+            keys, followers, counts = _sorted_trigrams(*(np.concatenate(x) for x in zip(*((unpack(r["keys"], r["n"], "<u8"), unplanes(r["followers"], r["n"], "<u4"), widen(r["counts"], r["n"])) for r in rows), strict=True)))
+            path = save(folder, f"trigrams-{shard:03d}", _contexts(keys, followers, counts))
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "of_counts": _of_counts(counts)}], _PAIRS)
+            held.append(mix((unmix(keys) << np.uint64(32)) | followers.astype(np.uint64)))
             if sum(map(len, held)) > HELD:
-                yield _blobs(*sorted_counts(np.concatenate(held)), m.bits)
+                yield from pairs(held)
                 held.clear()
         if held:
-            yield _blobs(*sorted_counts(np.concatenate(held)), m.bits)
+            yield from pairs(held)
 
     return run
 
 
+def _contexts(keys: np.ndarray, followers: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Arrays of a file of trigrams: lengths and sizes; contexts seen once and their followers;
+    the other contexts, where their followers begin, followers, counts, and of each context its
+    total and its followers seen once and twice."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    total = np.add.reduceat(counts, first)
+    seen = [np.add.reduceat((counts == k).astype(np.int64), first) for k in (1, 2)]
+    width = np.diff(np.append(first, len(keys)))
+    more = total > 1
+    inside = np.repeat(more, width)
+    start = np.append(0, np.cumsum(width[more]))
+    narrow = [small(counts[inside]), small(total[more]), small(seen[0][more]), small(seen[1][more])]
+    head = np.array([int((~more).sum()), int(more.sum()), int(inside.sum()), *(x.itemsize for x in narrow)], "<u8")
+    return [head, keys[first][~more], followers[first][~more], keys[first][more], start.astype("<u4"), followers[inside], *narrow]
+
+
+class Trigrams:
+    """Counts of followers of contexts, over mapped shards."""
+
+    def __init__(self, m: Ngrams):
+        self.m, self.shards = m, {}
+
+    def _shard(self, s: int) -> list[np.ndarray]:
+        if s not in self.shards:
+            raw = bytes_of(self.m.trigram_files[s])
+            once, contexts, followers, *sizes = (int(x) for x in raw[:56].view("<u8"))
+            kinds = [("<u8", once), ("<u4", once), ("<u8", contexts), ("<u4", contexts + 1), ("<u4", followers)]
+            self.shards[s] = parts_of(raw[56:], [*kinds, *((f"<u{z}", n) for z, n in zip(sizes, (followers, contexts, contexts, contexts), strict=True))])
+        return self.shards[s]
+
+    def find(self, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Of each context (sorted) and follower: its count, the context's total, and the context's
+        followers seen once, twice and more; zeros where there's none."""
+        out = np.zeros((5, len(keys)), np.int64)
+        for s, a, b in runs(keys, self.m.bits):
+            if s not in self.m.trigram_files:
+                continue
+            once, single, known, start, followers, counts, total, n1, n2 = self._shard(s)
+            asked, word, o = keys[a:b], words[a:b], out[:, a:b]
+            if len(once):
+                at = np.minimum(np.searchsorted(once, asked), len(once) - 1)
+                hit = once[at] == asked
+                o[0][hit] = single[at[hit]] == word[hit]
+                o[1][hit] = o[2][hit] = 1
+            if len(known):
+                at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                hit = np.flatnonzero(known[at] == asked)
+                k, word = at[hit], word[hit]
+                low, end = start[k].astype(np.int64), start[k + 1].astype(np.int64)
+                o[1][hit], o[2][hit], o[3][hit] = total[k], n1[k], n2[k]
+                o[4][hit] = end - low - o[2][hit] - o[3][hit]
+                at = _search(followers, word, low, end)
+                there = at < end
+                there[there] = followers[at[there]] == word[there]
+                o[0][hit[there]] = counts[at[there]]
+        return out
+
+
+def _search(values: np.ndarray, wanted: np.ndarray, low: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each wanted value, its place in its own sorted stretch of ``values``."""
+    low, high = low.copy(), end.copy()
+    left = np.flatnonzero(low < high)
+    while len(left):
+        middle = (low[left] + high[left]) >> 1
+        less = values[middle] < wanted[left]
+        low[left[less]] = middle[less] + 1
+        high[left[~less]] = middle[~less]
+        left = left[low[left] < high[left]]
+    return low
+
+
 #: Of a bigram shard: its file and numbers, or partial sums by word id for a shard of ids.
 PARTIAL = "kind string, shard int, path string, n long, size int, keys binary, a binary, b binary, c binary, d binary, of_counts array<long>"
 _PARTIAL = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("path", pa.string()), ("n", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("of_counts", pa.list_(pa.int64()))])
@@ -220,6 +355,12 @@ def _save_bigrams(folder: str, vocabulary: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard,), rows in by_key(batches, "shard"):
+            above = [_row(kind="trigrams", shard=shard, path=r["path"], of_counts=r["of_counts"]) for r in rows if r.get("path")]
+            if above:
+                yield pa.RecordBatch.from_pylist(above, _PARTIAL)
+            rows = [r for r in rows if not r.get("path")]
+            if not rows:
+                continue
             keys, counts = _merged(rows)
             narrow = small(counts)
             path = save(folder, f"bigrams-{shard:03d}", [keys, narrow])
@@ -252,9 +393,12 @@ def _save_stats(folder: str, vocabulary: int, bits: int):
     return run
 
 
-def train(docs: DataFrame, bits: int | None = None) -> Ngrams:
+def train(docs: DataFrame, bits: int | None = None, order: int = 3) -> Ngrams:
     """Count all texts of ``docs`` (null: empty) and write the model's files, ``2 ** bits`` of a
-    kind (else by the bytes of the texts). No rows give a model that calls everything unknown."""
+    kind (else by the bytes of the texts). The order is 2 or 3. No rows give a model that calls
+    everything unknown."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     folder = scratch_path(spark, "ngrams")
     texts = docs.select("text")
@@ -269,16 +413,22 @@ def train(docs: DataFrame, bits: int | None = None) -> Ngrams:
         upto += by[s]["n"] if s in by else 0
     if upto >= (1 << 32) - 1:
         raise ValueError("more than 2^32 distinct words: ids need a wider key")
-    model = Ngrams(sum(r["total"] for r in found), upto, {s: (r["path"], r["n"]) for s, r in by.items()}, base, bits)
+    model = Ngrams(sum(r["total"] for r in found), upto, {s: (r["path"], r["n"]) for s, r in by.items()}, base, bits, order)
     if not model.tokens:
         return model
     sent = spark.sparkContext.broadcast(model)  # a path for each shard
-    parts = written(texts.mapInArrow(_count_bigrams(sent), BLOBS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_bigrams(folder, upto, bits), PARTIAL), "bigrams")
+    counted = texts.mapInArrow(_count_ngrams(sent), BLOBS if order == 2 else TRIGRAMS).repartition("shard").sortWithinPartitions("shard")
+    if order == 3:
+        counted = counted.mapInArrow(_save_trigrams(folder, bits), PAIRS).repartition("shard").sortWithinPartitions("shard")
+    parts = written(counted.mapInArrow(_save_bigrams(folder, upto, bits), PARTIAL), "bigrams")
     files = parts.where("kind = 'file'").select("shard", "path", "n", "size", "of_counts").collect()
-    stats = written(parts.where("kind != 'file'").repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_stats(folder, upto, bits), PARTIAL), "stats").select("shard", "path", "n", "of_counts").collect()
+    above = parts.where("kind = 'trigrams'").select("shard", "path", "of_counts").collect()
+    stats = written(parts.where("kind IN ('context', 'follower')").repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_stats(folder, upto, bits), PARTIAL), "stats").select("shard", "path", "n", "of_counts").collect()
     total = lambda rows, k: sum(r["of_counts"][k] for r in rows)
     model.bigram_files = {r["shard"]: (r["path"], r["n"], r["size"]) for r in files}
     model.stat_files = {r["shard"]: (r["path"], r["n"]) for r in stats}
+    model.trigram_files = {r["shard"]: r["path"] for r in above}
+    model.trigram_discounts = discounts([total(above, k) for k in range(4)])
     model.bigram_discounts = discounts([total(files, k) for k in range(4)])
     model.word_discounts = discounts([total(stats, k) for k in range(4)])
     d = model.word_discounts
@@ -291,7 +441,7 @@ class Scorer:
     """log10 probabilities over mapped shards; one for each worker."""
 
     def __init__(self, m: Ngrams):
-        self.m, self.words, self.bigrams, self.stats = m, Words(m), {}, {}
+        self.m, self.words, self.trigrams, self.bigrams, self.stats = m, Words(m), Trigrams(m), {}, {}
         self.wide = _wide(m.vocabulary, m.bits)
 
     def _bigram_counts(self, keys: np.ndarray) -> np.ndarray:
@@ -342,16 +492,33 @@ class Scorer:
         types = max(m.bigram_types, 1)
         p = (self._discounted(cont, m.word_discounts) + (m.left_over if m.bigram_types else 1.0) / (m.vocabulary + 1)) / types
         total, n1, n2, n3 = (np.where(before >= 0, stats[k][ctx], 0) for k in range(4))
-        keys = mix((np.maximum(before, 0).astype(np.uint64) << np.uint64(32)) | np.maximum(token, 0).astype(np.uint64))
+        keys = _both(np.maximum(before, 0), np.maximum(token, 0))
         pairs, back = np.unique(keys, return_inverse=True)
         c = np.where((before >= 0) & (token >= 0), self._bigram_counts(pairs)[back], 0)
         d = m.bigram_discounts
         seen = total > 0
         safe = np.where(seen, total, 1)
         p = np.where(seen, (self._discounted(c, d) + (d[0] * n1 + d[1] * n2 + d[2] * n3) * p) / safe, p)
+        if m.order == 3:
+            p = self._third(_pairs(before, ends, m.vocabulary), before, token, p)
         return np.add.reduceat(known.astype(np.int64), begins), np.add.reduceat(base[np.searchsorted(unique, hashes)], begins), np.add.reduceat(np.log10(p), begins)
 
 
+    def _third(self, first: np.ndarray, second: np.ndarray, token: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities after two words, interpolated with those after one."""
+        whole = np.flatnonzero((first >= 0) & (second >= 0))
+        keys, words = _both(first[whole], second[whole]), token[whole]
+        order = np.lexsort((words, keys))
+        whole, keys, words = whole[order], keys[order], words[order]
+        distinct = np.append(True, (keys[1:] != keys[:-1]) | (words[1:] != words[:-1]))[: len(keys)]
+        c, total, n1, n2, n3 = self.trigrams.find(keys[distinct], words[distinct])[:, np.cumsum(distinct) - 1]
+        d, seen = self.m.trigram_discounts, total > 0
+        p = p.copy()
+        at = whole[seen]
+        p[at] = ((self._discounted(c, d) + (d[0] * n1 + d[1] * n2 + d[2] * n3) * p[whole]) / np.maximum(total, 1))[seen]
+        return p
+
+
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
@@ -376,10 +543,10 @@ def scored(docs: DataFrame, model: Ngrams) -> DataFrame:
     return docs.mapInArrow(_score(sent), schema_with(docs, ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))
 
 
-def split_scores(docs: DataFrame) -> DataFrame:
+def split_scores(docs: DataFrame, order: int = 3) -> DataFrame:
     """Learn from rows whose id's crc32 mod 5 isn't 1 and score all rows. A null id is
     neither learned from nor held out."""
     mod = crc_mod(F.col("doc_id"), 5)
-    model = train(docs.where(mod != 1))
+    model = train(docs.where(mod != 1), order=order)
     told = scored(docs.select("doc_id", "text"), model)
     return told.select("doc_id", F.coalesce(mod == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

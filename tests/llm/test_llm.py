@@ -264,41 +264,42 @@ def test_texts_that_are_not_utf8(spark):
 # 4 Language model
 
 
-def test_ngram_against_plain_counting(spark, sf):
+@pytest.mark.parametrize("order", [2, 3])
+def test_ngram_against_plain_counting(spark, sf, order):
     rows = docs_of(spark, sf).collect()
     tok = lambda t: [*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split(), None]
     learn = [tok(r["text"]) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
-    uni, bi = Counter(), Counter()
+    uni, grams = Counter(), {n: Counter() for n in range(1, order + 1)}
     for t in learn:
         uni.update(t)
-        bi.update(zip(["<s>", *t], t))
+        grams[order].update(zip(*(["<s>"] * (order - 1 - i) + t if i < order - 1 else t for i in range(order)), strict=False))
+    for n in range(order - 1, 0, -1):
+        grams[n].update(g[1:] for g in grams[n + 1])
     total, v = sum(uni.values()), len(uni)
-    ctx, kinds, cont = Counter(), defaultdict(Counter), Counter()
-    for (a, b), c in bi.items():
-        ctx[a] += c
-        kinds[a][min(c, 3)] += 1
-        cont[b] += 1
-    d = ngram.discounts([sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])
-    e = ngram.discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
-    cut = lambda c, d: max(c - (0, *d)[min(c, 3)], 0)
-    rest = sum(c - cut(c, e) for c in cont.values())
-
-    def p1(w):
-        return (cut(cont[w], e) + rest / (v + 1)) / len(bi)
-
-    def p2(a, w):
-        return (cut(bi[a, w], d) + sum(x * kinds[a][k + 1] for k, x in enumerate(d)) * p1(w)) / ctx[a] if ctx[a] else p1(w)
-
-    assert sum(map(p1, uni)) + rest / (v + 1) / len(bi) == pytest.approx(1)
-    assert sum(p2("<s>", w) for w in uni) + p2("<s>", "never seen") == pytest.approx(1)
-    got = {r["doc_id"]: r for r in queries.op4_ngram(spark, sf).collect()}
+    ctx, kinds = Counter(), defaultdict(Counter)
+    for n in range(1, order + 1):
+        for g, c in grams[n].items():
+            ctx[g[:-1]] += c
+            kinds[g[:-1]][min(c, 3)] += 1
+    d = {n: ngram.discounts([sum(c == k for c in grams[n].values()) for k in (1, 2, 3, 4)]) for n in grams}
+
+    def p(*g):
+        n, c, below = len(g), grams[len(g)][g], p(*g[1:]) if len(g) > 1 else 1 / (v + 1)
+        if not ctx[g[:-1]]:
+            return below
+        return (max(c - (0, *d[n])[min(c, 3)], 0) + sum(x * kinds[g[:-1]][k + 1] for k, x in enumerate(d[n])) * below) / ctx[g[:-1]]
+
+    start = ("<s>",) * (order - 1)
+    assert sum(p(*start, w) for w in uni) + p(*start, "never seen") == pytest.approx(1)
+    got = {r["doc_id"]: r for r in ngram.split_scores(docs_of(spark, sf), order).collect()}
     assert len(got) == len(rows)
     for r in rows[:60]:
         t, g = tok(r["text"]), got[r["doc_id"]]
         assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
         assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(t), sum(w in uni for w in t), total)
         assert g["base_score"] == pytest.approx(sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (v + 1))) for w in t))
-        assert g["score"] == pytest.approx(sum(math.log10(p2(a, w)) for a, w in zip(["<s>", *t], t)))
+        padded = [*start, *t]
+        assert g["score"] == pytest.approx(sum(math.log10(p(*padded[i : i + order])) for i in range(len(t))))
     held = [g for g in got.values() if g["held_out"]]
     assert sum(g["score"] for g in held) > sum(g["base_score"] for g in held)
 
