@@ -3,8 +3,8 @@
 Counting runs in Spark over all training texts. Tasks count in numpy and send sorted
 arrays of keys and counts, cut by the keys' top bits, so a shuffle moves a few large
 values and a frequent word weighs no more than a rare one. The model is a folder of
-sorted hash arrays in the shared folder: words by XXH64 with counts (a word's id is its
-rank), bigrams by a bijective mix of both ids with counts, and dense arrays by word id
+sorted hash arrays in the shared folder: words by XXH64 with counts (frequent words have
+small ids, so that what is sent by ids compresses well), bigrams by a bijective mix of both ids with counts, and dense arrays by word id
 of context totals, types by count and continuation counts. Of the third order, contexts
 by the mix of their two ids, each with its sorted followers and their counts; bigrams
 then count the different words before them. Workers map the files into memory and look
@@ -38,6 +38,8 @@ SHARD_BYTES = 16 << 20
 LEAST_BITS, MOST_BITS = 6, 18
 #: Hash of the token that ends every text.
 END = xxhash.xxh64_intdigest(b"</s>", 1)
+#: Words are numbered by the power of two below their count, the most frequent first; so many classes.
+CLASSES = 16
 #: Tokens that a counting task holds before it sends what it has.
 HELD = 1 << 21
 
@@ -49,7 +51,8 @@ class Ngrams:
     tokens: int
     vocabulary: int
     word_files: dict[int, tuple[str, int]]
-    word_base: list[int]
+    #: First id of each class of counts and shard.
+    word_base: np.ndarray
     bits: int = LEAST_BITS
     order: int = 3
     bigram_files: dict[int, tuple[str, int]] = field(default_factory=dict)
@@ -132,12 +135,21 @@ def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return sorted_counts(np.concatenate([unpack(r["keys"], r["n"], "<u8") for r in rows]), np.concatenate([widen(r["counts"], r["n"]) for r in rows]))
 
 
+def _classes(counts: np.ndarray) -> np.ndarray:
+    """0 for counts of 2 ** 15 and more, down to 15 for 1."""
+    return CLASSES - 1 - np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), CLASSES - 1)
+
+
 def _save_words(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard,), rows in by_key(batches, "shard"):
             keys, counts = _merged(rows)
-            path = save(folder, f"words-{shard:03d}", [keys, counts.astype("<u8")])
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "n": len(keys), "total": int(counts.sum())}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n", pa.int64()), ("total", pa.int64())]))
+            of = _classes(counts)
+            rank = np.zeros(len(keys), "<u4")
+            for k in range(CLASSES):
+                rank[of == k] = np.arange((of == k).sum())
+            path = save(folder, f"words-{shard:03d}", [keys, counts.astype("<u8"), rank])
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "n": len(keys), "total": int(counts.sum()), "of_class": np.bincount(of, minlength=CLASSES).tolist()}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("of_class", pa.list_(pa.int64()))]))
 
     return run
 
@@ -148,11 +160,10 @@ class Words:
     def __init__(self, m: Ngrams):
         self.m, self.shards = m, {}
 
-    def _shard(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+    def _shard(self, s: int) -> list[np.ndarray]:
         if s not in self.shards:
             path, n = self.m.word_files[s]
-            raw = bytes_of(path)
-            self.shards[s] = raw[: 8 * n].view("<u8"), raw[8 * n : 16 * n].view("<u8")
+            self.shards[s] = parts_of(bytes_of(path), [("<u8", n), ("<u8", n), ("<u4", n)])
         return self.shards[s]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,11 +171,11 @@ class Words:
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         for s, a, b in runs(hashes, self.m.bits):
             if s in self.m.word_files:
-                keys, c = self._shard(s)
+                keys, c, rank = self._shard(s)
                 at = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
                 hit = keys[at] == hashes[a:b]
-                ids[a:b][hit] = self.m.word_base[s] + at[hit]
                 counts[a:b][hit] = c[at[hit]]
+                ids[a:b][hit] = self.m.word_base[_classes(c[at[hit]]), s] + rank[at[hit]]
         return ids, counts
 
 
@@ -178,7 +189,29 @@ def _pairs(ids: np.ndarray, ends: np.ndarray, begin: int) -> np.ndarray:
 
 
 def _both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix((first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64))
+    return (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+
+
+GRAMS = "shard int, n long, first binary, second binary, followers binary, counts binary"
+_GRAMS = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("followers", pa.binary()), ("counts", pa.binary())])
+
+
+def _grams(both: np.ndarray, followers: np.ndarray | None, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted pairs of ids, or contexts with followers, cut by the top bits of the pairs' mix and
+    sorted by ids within: differences of the first ids, and the small ids of frequent words."""
+    shard = mix(both) >> np.uint64(64 - bits)
+    order = np.argsort(shard.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
+    shard, both, counts = shard[order], both[order], counts[order]
+    starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    rows = []
+    for a, b in zip(starts, np.append(starts[1:], len(both)), strict=True):
+        first, second = (both[a:b] >> np.uint64(32)).astype("<u4"), both[a:b].astype("<u4")
+        rows.append({"shard": int(shard[a]), "n": int(b - a), "first": pack(first), "second": planes(second), "followers": None if followers is None else planes(followers[order[a:b]]), "counts": squeeze(counts[a:b])})
+    return pa.RecordBatch.from_pylist(rows, _GRAMS)
+
+
+def _keys_of(row: dict) -> np.ndarray:
+    return mix(_both(unpack(row["first"], row["n"], "<u4"), unplanes(row["second"], row["n"], "<u4")))
 
 
 def _count_ngrams(sent):
@@ -190,8 +223,9 @@ def _count_ngrams(sent):
 
         def counted() -> pa.RecordBatch:
             if m.order == 2:
-                return _blobs(*sorted_counts(np.concatenate([k for k, _ in held])), m.bits)
-            return _trigram_blobs(*_sorted_trigrams(*(np.concatenate(x) for x in zip(*held, strict=True))), m.bits)
+                both, counts = sorted_counts(np.concatenate([k for k, _ in held]))
+                return _grams(both, None, counts, m.bits)
+            return _grams(*_sorted_trigrams(*(np.concatenate(x) for x in zip(*held, strict=True))), m.bits)
 
         for part in slices(batches, "text", chars=4 << 20):
             hashes, ends = _tokens(part)
@@ -203,7 +237,7 @@ def _count_ngrams(sent):
             if m.order == 2:
                 held.append((_both(before, ids), None))
             else:
-                held.append((_both(_pairs(before, ends, m.vocabulary), before), ids.astype("<u4")))
+                held.append((_both(before, _pairs(before, ends, m.vocabulary)), ids.astype("<u4")))
             if sum(len(k) for k, _ in held) > HELD:
                 yield counted()
                 held.clear()
@@ -213,9 +247,6 @@ def _count_ngrams(sent):
     return run
 
 
-TRIGRAMS = "shard int, n long, keys binary, followers binary, counts binary"
-
-
 def _sorted_trigrams(keys: np.ndarray, followers: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (context, follower) in order, and the sum of the counts of each (one each if not given)."""
     order = np.lexsort((followers, keys))
@@ -225,28 +256,24 @@ def _sorted_trigrams(keys: np.ndarray, followers: np.ndarray, counts: np.ndarray
     return keys[first], followers[first], sums
 
 
-def _trigram_blobs(keys: np.ndarray, followers: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    rows = [(s, b - a, pack(keys[a:b]), planes(followers[a:b]), squeeze(counts[a:b])) for s, a, b in cut(keys, bits)]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "n", "keys", "followers", "counts"])
-
-
 #: Bigrams with the number of words before them, as blobs, and of each file of trigrams its path and numbers.
-PAIRS = BLOBS + ", path string, of_counts array<long>"
-_PAIRS = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("path", pa.string()), ("of_counts", pa.list_(pa.int64()))])
+PAIRS = GRAMS + ", path string, of_counts array<long>"
+_PAIRS = pa.schema([*_GRAMS, ("path", pa.string()), ("of_counts", pa.list_(pa.int64()))])
 
 
 def _save_trigrams(folder: str, bits: int):
     def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        blobs = _blobs(*sorted_counts(np.concatenate(held)), bits)
+        both, counts = sorted_counts(np.concatenate(held))
+        blobs = _grams(both, None, counts, bits)
         yield pa.RecordBatch.from_arrays([*blobs.columns, pa.nulls(blobs.num_rows, pa.string()), pa.nulls(blobs.num_rows, pa.list_(pa.int64()))], schema=_PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for (shard,), rows in by_key(batches, "shard"):
-            keys, followers, counts = _sorted_trigrams(*(np.concatenate(x) for x in zip(*((unpack(r["keys"], r["n"], "<u8"), unplanes(r["followers"], r["n"], "<u4"), widen(r["counts"], r["n"])) for r in rows), strict=True)))
+            keys, followers, counts = _sorted_trigrams(*(np.concatenate(x) for x in zip(*((_keys_of(r), unplanes(r["followers"], r["n"], "<u4"), widen(r["counts"], r["n"])) for r in rows), strict=True)))
             path = save(folder, f"trigrams-{shard:03d}", _contexts(keys, followers, counts))
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "of_counts": _of_counts(counts)}], _PAIRS)
-            held.append(mix((unmix(keys) << np.uint64(32)) | followers.astype(np.uint64)))
+            held.append(_both(unmix(keys) >> np.uint64(32), followers))
             if sum(map(len, held)) > HELD:
                 yield from pairs(held)
                 held.clear()
@@ -257,19 +284,20 @@ def _save_trigrams(folder: str, bits: int):
 
 
 def _contexts(keys: np.ndarray, followers: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Arrays of a file of trigrams: lengths and sizes; contexts seen once and their followers;
-    the other contexts, where their followers begin, followers, counts, and of each context its
-    total and its followers seen once and twice."""
+    """Arrays of a file of trigrams: contexts seen once and their followers; then those seen fewer
+    than 256 times and those seen more: contexts, where their followers begin, followers, counts,
+    and of each context its total and its followers seen once and twice. Lengths and sizes first."""
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     total = np.add.reduceat(counts, first)
     seen = [np.add.reduceat((counts == k).astype(np.int64), first) for k in (1, 2)]
     width = np.diff(np.append(first, len(keys)))
-    more = total > 1
-    inside = np.repeat(more, width)
-    start = np.append(0, np.cumsum(width[more]))
-    narrow = [small(counts[inside]), small(total[more]), small(seen[0][more]), small(seen[1][more])]
-    head = np.array([int((~more).sum()), int(more.sum()), int(inside.sum()), *(x.itemsize for x in narrow)], "<u8")
-    return [head, keys[first][~more], followers[first][~more], keys[first][more], start.astype("<u4"), followers[inside], *narrow]
+    head, arrays = [int((total == 1).sum())], [keys[first][total == 1], followers[first][total == 1]]
+    for these in ((total > 1) & (total < 256), total >= 256):
+        inside = np.repeat(these, width)
+        narrow = [small(x) for x in (counts[inside], total[these], seen[0][these], seen[1][these])]
+        head += [int(these.sum()), int(inside.sum()), *(x.itemsize for x in narrow)]
+        arrays += [keys[first][these], np.append(0, np.cumsum(width[these])).astype("<u4"), followers[inside], *narrow]
+    return [np.array(head, "<u8"), *arrays]
 
 
 class Trigrams:
@@ -281,9 +309,11 @@ class Trigrams:
     def _shard(self, s: int) -> list[np.ndarray]:
         if s not in self.shards:
             raw = bytes_of(self.m.trigram_files[s])
-            once, contexts, followers, *sizes = (int(x) for x in raw[:56].view("<u8"))
-            kinds = [("<u8", once), ("<u4", once), ("<u8", contexts), ("<u4", contexts + 1), ("<u4", followers)]
-            self.shards[s] = parts_of(raw[56:], [*kinds, *((f"<u{z}", n) for z, n in zip(sizes, (followers, contexts, contexts, contexts), strict=True))])
+            once, *more = (int(x) for x in raw[: 8 * 13].view("<u8"))
+            kinds = [("<u8", once), ("<u4", once)]
+            for n, inside, *sizes in (more[:6], more[6:]):
+                kinds += [("<u8", n), ("<u4", n + 1), ("<u4", inside), *((f"<u{z}", k) for z, k in zip(sizes, (inside, n, n, n), strict=True))]
+            self.shards[s] = parts_of(raw[8 * 13 :], kinds)
         return self.shards[s]
 
     def find(self, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -293,17 +323,19 @@ class Trigrams:
         for s, a, b in runs(keys, self.m.bits):
             if s not in self.m.trigram_files:
                 continue
-            once, single, known, start, followers, counts, total, n1, n2 = self._shard(s)
-            asked, word, o = keys[a:b], words[a:b], out[:, a:b]
+            once, single, *more = self._shard(s)
+            asked, words_asked, o = keys[a:b], words[a:b], out[:, a:b]
             if len(once):
                 at = np.minimum(np.searchsorted(once, asked), len(once) - 1)
                 hit = once[at] == asked
-                o[0][hit] = single[at[hit]] == word[hit]
+                o[0][hit] = single[at[hit]] == words_asked[hit]
                 o[1][hit] = o[2][hit] = 1
-            if len(known):
+            for known, start, followers, counts, total, n1, n2 in (more[:7], more[7:]):
+                if not len(known):
+                    continue
                 at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
                 hit = np.flatnonzero(known[at] == asked)
-                k, word = at[hit], word[hit]
+                k, word = at[hit], words_asked[hit]
                 low, end = start[k].astype(np.int64), start[k + 1].astype(np.int64)
                 o[1][hit], o[2][hit], o[3][hit] = total[k], n1[k], n2[k]
                 o[4][hit] = end - low - o[2][hit] - o[3][hit]
@@ -341,17 +373,20 @@ def _of_counts(counts: np.ndarray) -> list[int]:
 
 
 def _wide(vocabulary: int, bits: int) -> int:
-    """Word ids of a shard of statistics."""
+    """Word ids of a shard of statistics, which are those with the same lowest bits."""
     return -(-(vocabulary + 1) // (1 << bits))
 
 
-def _save_bigrams(folder: str, vocabulary: int, bits: int):
-    wide = _wide(vocabulary, bits)
+def _save_bigrams(folder: str, bits: int):
+    low = (1 << bits) - 1
 
     def partial(kind: str, ids: np.ndarray, values: list[np.ndarray]) -> Iterator[dict]:
-        for s in np.unique(ids // wide):
-            a, b = np.searchsorted(ids, [s * wide, (s + 1) * wide])
-            yield _row(kind=kind, shard=int(s), n=int(b - a), keys=pack(ids[a:b].astype("<u8")), **{c: squeeze(v[a:b]) for c, v in zip("abcd", values, strict=False)})
+        order = np.argsort(ids & low, kind="stable")
+        shard = (ids & low)[order]
+        starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True):
+            at = order[a:b]
+            yield _row(kind=kind, shard=int(shard[a]), n=int(b - a), keys=pack((ids[at] >> bits).astype("<u8")), **{c: squeeze(v[at]) for c, v in zip("abcd", values, strict=False)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard,), rows in by_key(batches, "shard"):
@@ -361,7 +396,7 @@ def _save_bigrams(folder: str, vocabulary: int, bits: int):
             rows = [r for r in rows if not r.get("path")]
             if not rows:
                 continue
-            keys, counts = _merged(rows)
+            keys, counts = sorted_counts(np.concatenate([_keys_of(r) for r in rows]), np.concatenate([widen(r["counts"], r["n"]) for r in rows]))
             narrow = small(counts)
             path = save(folder, f"bigrams-{shard:03d}", [keys, narrow])
             both = unmix(keys)
@@ -383,7 +418,7 @@ def _save_stats(folder: str, vocabulary: int, bits: int):
         for (shard,), rows in by_key(batches, "shard"):
             total = np.zeros((5, wide), "<i8")  # context total, types seen once, twice, more; continuation count
             for r in rows:
-                at = unpack(r["keys"], r["n"], "<u8").astype(np.int64) - shard * wide
+                at = unpack(r["keys"], r["n"], "<u8").astype(np.int64)
                 for k, c in zip((0, 1, 2, 3) if r["kind"] == "context" else (4,), "abcd", strict=False):
                     total[k][at] += widen(r[c], r["n"]).astype(np.int64)
             path = save(folder, f"stats-{shard:03d}", [total])
@@ -405,22 +440,23 @@ def train(docs: DataFrame, bits: int | None = None, order: int = 3) -> Ngrams:
     if bits is None:
         size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         bits = min(MOST_BITS, max(LEAST_BITS, (size // SHARD_BYTES).bit_length()))
-    found = written(texts.mapInArrow(_count_words(bits), BLOBS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_words(folder), "shard int, path string, n long, total long"), "words").collect()
+    found = written(texts.mapInArrow(_count_words(bits), BLOBS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_words(folder), "shard int, path string, n long, total long, of_class array<long>"), "words").collect()
     by = {r["shard"]: r for r in found}
-    base, upto = [], 0
-    for s in range(1 << bits):
-        base.append(upto)
-        upto += by[s]["n"] if s in by else 0
+    sizes = np.zeros((CLASSES, 1 << bits), np.int64)
+    for s, r in by.items():
+        sizes[:, s] = r["of_class"]
+    upto = int(sizes.sum())
+    base = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
     if upto >= (1 << 32) - 1:
         raise ValueError("more than 2^32 distinct words: ids need a wider key")
     model = Ngrams(sum(r["total"] for r in found), upto, {s: (r["path"], r["n"]) for s, r in by.items()}, base, bits, order)
     if not model.tokens:
         return model
     sent = spark.sparkContext.broadcast(model)  # a path for each shard
-    counted = texts.mapInArrow(_count_ngrams(sent), BLOBS if order == 2 else TRIGRAMS).repartition("shard").sortWithinPartitions("shard")
+    counted = texts.mapInArrow(_count_ngrams(sent), GRAMS).repartition("shard").sortWithinPartitions("shard")
     if order == 3:
         counted = counted.mapInArrow(_save_trigrams(folder, bits), PAIRS).repartition("shard").sortWithinPartitions("shard")
-    parts = written(counted.mapInArrow(_save_bigrams(folder, upto, bits), PARTIAL), "bigrams")
+    parts = written(counted.mapInArrow(_save_bigrams(folder, bits), PARTIAL), "bigrams")
     files = parts.where("kind = 'file'").select("shard", "path", "n", "size", "of_counts").collect()
     above = parts.where("kind = 'trigrams'").select("shard", "path", "of_counts").collect()
     stats = written(parts.where("kind IN ('context', 'follower')").repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_stats(folder, upto, bits), PARTIAL), "stats").select("shard", "path", "n", "of_counts").collect()
@@ -459,16 +495,20 @@ class Scorer:
         return out
 
     def _stats(self, ids: np.ndarray) -> np.ndarray:
-        """Five statistics of each id (sorted, from 0)."""
+        """Five statistics of each id (from 0)."""
         out = np.zeros((5, len(ids)), np.int64)
-        shard = ids // self.wide
-        starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(ids) else np.zeros(0, np.int64)
+        if not len(ids):
+            return out
+        low = (1 << self.m.bits) - 1
+        order = np.argsort(ids & low, kind="stable")
+        shard = (ids & low)[order]
+        starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
         for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True):
-            s = int(shard[a])
+            s, at = int(shard[a]), order[a:b]
             if s in self.m.stat_files:
                 if s not in self.stats:
                     self.stats[s] = bytes_of(self.m.stat_files[s][0]).view("<i8").reshape(5, self.wide)
-                out[:, a:b] = self.stats[s][:, ids[a:b] - s * self.wide]
+                out[:, at] = self.stats[s][:, ids[at] >> self.m.bits]
         return out
 
     @staticmethod
@@ -492,7 +532,7 @@ class Scorer:
         types = max(m.bigram_types, 1)
         p = (self._discounted(cont, m.word_discounts) + (m.left_over if m.bigram_types else 1.0) / (m.vocabulary + 1)) / types
         total, n1, n2, n3 = (np.where(before >= 0, stats[k][ctx], 0) for k in range(4))
-        keys = _both(np.maximum(before, 0), np.maximum(token, 0))
+        keys = mix(_both(np.maximum(before, 0), np.maximum(token, 0)))
         pairs, back = np.unique(keys, return_inverse=True)
         c = np.where((before >= 0) & (token >= 0), self._bigram_counts(pairs)[back], 0)
         d = m.bigram_discounts
@@ -507,7 +547,7 @@ class Scorer:
     def _third(self, first: np.ndarray, second: np.ndarray, token: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Probabilities after two words, interpolated with those after one."""
         whole = np.flatnonzero((first >= 0) & (second >= 0))
-        keys, words = _both(first[whole], second[whole]), token[whole]
+        keys, words = mix(_both(second[whole], first[whole])), token[whole]
         order = np.lexsort((words, keys))
         whole, keys, words = whole[order], keys[order], words[order]
         distinct = np.append(True, (keys[1:] != keys[:-1]) | (words[1:] != words[:-1]))[: len(keys)]
