@@ -154,6 +154,12 @@ def starts_of(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), batch.num_rows)
 
 
+def small_side(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """A materialised table to join with: broadcast if it has at most ``most`` rows (of a few
+    numbers each); a larger one meets by a shuffle, whose skewed partitions Spark splits."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that the table doesn't have."""
     taken, name = {c.lower() for c in df.columns}, stem

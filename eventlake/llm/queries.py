@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, media, mixing, ngram, packing, simhash, urls, vectors
+from . import audit, chat, codebooks, langid, licenses, media, mixing, ngram, packing, quality, simhash, urls, vectors
 from .common import crc_mod, table
 
 
@@ -78,6 +78,21 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "fit")
 
 
+def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, errors and the digest of the final codebooks of every vector that can be coded."""
+    return codebooks.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, what the base rules say, and whether its group's thresholds keep it."""
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of all 120 orders, by source."""
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op2_urls."""
     return op2_urls(spark, sf_dir).select("page_id", "host", "path", "rule")
@@ -108,6 +123,9 @@ QUERIES = {
     "op8_vectors": op8_vectors,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
+    "op11_codebooks": op11_codebooks,
+    "op12_quality": op12_quality,
+    "op13_audit": op13_audit,
 }
 
 #: A word in DuckDB's regular expressions.
@@ -116,6 +134,9 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 #: Only what SQL can express over whole tables; tests/llm holds the others against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": chat.ORACLE_SQL,
+    "op11_codebooks": codebooks.ORACLE_SQL,
+    "op12_quality": quality.ORACLE_SQL,
+    "op13_audit": audit.ORACLE_SQL,
     "url_rules": urls.RULE_SQL,
     "mixing_targets": f"""SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size
 FROM (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD_SQL}')), 0) AS BIGINT) AS size FROM documents)""",
