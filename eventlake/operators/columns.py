@@ -41,16 +41,11 @@ DEFAULT = (
 USER_SID = ColumnSpec("user_sid", "User SID", _raw(_SYSTEM + "Security_attributes.UserID", _SYSTEM + "Security.UserID"))
 
 
-def quoted_path(name: str) -> str:
-    """A JSON path to one field of EventData; dots, brackets and quotes belong to the name.
-    Spark's paths have no way to write a quote inside of a quoted name, so ``event_data`` reads
-    such names, and those that could be read as a path, from the object."""
-    return f"$.Event.EventData.{name}"
-
-
 def _field(name: str) -> Callable[[], Column]:
+    """One field of EventData, whatever its name. Spark's JSON paths can't quote every name, so one
+    that could be read as more than a name is looked up in the object itself."""
     if name.replace("_", "").isalnum():
-        return _raw(quoted_path(name))
+        return _raw(f"$.Event.EventData.{name}")
     data = lambda: F.from_json(F.get_json_object("Raw", "$.Event.EventData"), "map<string,string>")
     return lambda: data()[name]
 

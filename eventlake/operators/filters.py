@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.scalars import event_time
-from .columns import Columns, quoted_path
+from .columns import Columns, event_data
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,9 @@ class Filters:
         out += [f"{k}: {v}" for k, vs in self.column_equals.items() for v in vs]
         return [*out, *([f"search: {self.search}"] if self.search.strip() else [])]
 
-    def condition(self, columns: Columns = Columns()) -> Column:
+    def condition(self, columns: Columns = Columns(), ts: Column | None = None) -> Column:
+        """The clauses as one expression. ``ts`` is the table's own time column if it has one: time
+        clauses then compare it, so that they can be pushed into a scan; else the time in Raw is read."""
         parts: list[Column] = []
         if self.provider:
             parts.append(F.col("Provider").isin(*self.provider))
@@ -72,8 +74,8 @@ class Filters:
             parts.append(F.col("Level").isin(*map(int, self.level)))
         if self.event_id:
             parts.append(F.col("EventID").isin(*map(int, self.event_id)))
-        parts += [F.get_json_object("Raw", quoted_path(k)).isin(*vs) for k, vs in self.event_data.items() if vs]
-        parts += [~F.get_json_object("Raw", quoted_path(k)).isin(*vs) for k, vs in self.event_data_exclude.items() if vs]
+        parts += [event_data(k).expr().isin(*vs) for k, vs in self.event_data.items() if vs]
+        parts += [~event_data(k).expr().isin(*vs) for k, vs in self.event_data_exclude.items() if vs]
         if self.search.strip():
             parts.append(searched(self.search))
         for id, values in self.column_equals.items():
@@ -81,11 +83,12 @@ class Filters:
             if spec is None or not values:
                 continue
             if spec.temporal and self.time_unit:
-                parts.append(F.date_trunc(self.time_unit, event_time(spec.expr())).isin(*[F.lit(v).cast("timestamp") for v in values]))
+                time = ts if ts is not None and spec.id == "time" else event_time(spec.expr())
+                parts.append(F.date_trunc(self.time_unit, time).isin(*[F.lit(v).cast("timestamp") for v in values]))
             else:
                 parts.append(spec.expr().cast("string").isin(*map(str, values)))
         if self.time_range:
-            time = event_time(columns.get("time").expr())
+            time = event_time(columns.get("time").expr()) if ts is None else ts
             low, high = self.time_range
             parts += [time >= F.lit(low)] if low else []
             parts += [time <= F.lit(high)] if high else []

@@ -17,7 +17,7 @@ DIRECT, RANGES = 10_000, 4096
 
 
 def matching(logs: DataFrame, filters: Filters = Filters(), columns: Columns = Columns()) -> DataFrame:
-    return logs.where(filters.condition(columns))
+    return logs.where(filters.condition(columns, F.col("ts") if "ts" in logs.columns else None))
 
 
 def count_records(logs: DataFrame, filters: Filters = Filters(), columns: Columns = Columns()) -> DataFrame:
@@ -49,16 +49,40 @@ def _narrowed(df: DataFrame, limit: int, offset: int, ranges: int) -> tuple[Data
             return df.where(F.col("record_seq").between(low, high)), offset
 
 
+def _of_files(df: DataFrame, limit: int, offset: int) -> tuple[DataFrame, int, bool]:
+    """The rows of the files that a page lies in, the offset among them, and whether it's one file."""
+    sizes = df.groupBy("file").agg(F.count("*").alias("n"))
+    ends = sizes.select("file", "n", F.sum("n").over(Window.orderBy(F.col("file").asc_nulls_first())).alias("end"))  # a row for each file
+    hit = ends.where((F.col("end") > offset) & (F.col("end") - F.col("n") < offset + limit))
+    found = hit.agg(F.min("file").alias("low"), F.max("file").alias("high"), F.min(F.col("end") - F.col("n")).alias("before"), F.count_if(F.col("file").isNull()).alias("nulls"), F.count("*").alias("files")).first()
+    if not found["files"]:
+        return df.limit(0), 0, False
+    inside = F.col("file").between(found["low"], found["high"]) if found["low"] is not None else F.lit(False)
+    return df.where(inside | F.col("file").isNull() if found["nulls"] else inside), offset - found["before"], found["files"] == 1
+
+
+def record_order(df: DataFrame) -> list[str]:
+    """The columns of record order: the file, if the rows have one, and the place in it."""
+    return ["file", "record_seq"] if "file" in df.columns else ["record_seq"]
+
+
 def paged(df: DataFrame, limit: int | None, offset: int = 0, *, direct: int = DIRECT, ranges: int = RANGES) -> DataFrame:
-    """A page in record order: sorted by ``record_seq`` (nulls first, equal ones in any order).
+    """A page in record order: sorted by ``file`` where rows have one, then by ``record_seq`` (nulls
+    first). That order is total over decoded rows, so pages meet and miss nothing.
 
     A page within the first ``direct`` rows is cut from the sorted rows. For a later one rows are
-    counted by ``ranges`` ranges of ``record_seq``, again within those that the page lies in as
-    long as that helps; only their rows are sorted, so that a late page costs no more than an early one.
+    counted by file, and in the file that it lies in by ``ranges`` ranges of ``record_seq``, again
+    within those that the page lies in as long as that helps; only their rows are sorted, so that
+    a late page costs no more than an early one.
     """
+    order = record_order(df)
     if offset and limit is not None and offset + limit > direct:
-        df, offset = _narrowed(df, limit, offset, ranges)
-    out = df.orderBy("record_seq")
+        one = True
+        if len(order) > 1:
+            df, offset, one = _of_files(df, limit, offset)
+        if one:
+            df, offset = _narrowed(df, limit, offset, ranges)
+    out = df.orderBy(*order)
     out = out.offset(offset) if offset else out
     return out if limit is None else out.limit(limit)
 
@@ -83,8 +107,8 @@ def record_by_id(records: DataFrame, record_id: int) -> DataFrame:
 
 
 def chunk_window(records: DataFrame, chunk: int, start: int = 0, limit: int | None = None, *, chunk_column: str = "chunk_no") -> DataFrame:
-    """Records of one chunk from the start-th on, in order; one task sorts one chunk."""
-    rows = records.where(F.col(chunk_column) == chunk).withColumn("row_in_chunk", F.row_number().over(Window.partitionBy(chunk_column).orderBy("record_seq")) - 1)
+    """Records of one chunk (of each file, if there are several) from the start-th on, in order; one task sorts one chunk."""
+    rows = records.where(F.col(chunk_column) == chunk).withColumn("row_in_chunk", F.row_number().over(Window.partitionBy(*record_order(records)[:-1], chunk_column).orderBy("record_seq")) - 1)
     rows = rows.where(F.col("row_in_chunk") >= start)
     return rows if limit is None else rows.where(F.col("row_in_chunk") < start + limit)
 
@@ -98,4 +122,4 @@ def export_json(logs: DataFrame, path: str, filters: Filters = Filters(), column
     """All matching records as JSON lines. Each task writes its own rows, in order within a part
     file; ``ordered`` sorts across part files too, which moves all rows."""
     rows = matching(logs, filters, columns).where(F.try_parse_json("Raw").isNotNull())
-    (rows.orderBy("record_seq") if ordered else rows.sortWithinPartitions("record_seq")).select("Raw").write.text(path)
+    (rows.orderBy(*record_order(rows)) if ordered else rows.sortWithinPartitions(*record_order(rows))).select("Raw").write.text(path)

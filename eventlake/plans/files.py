@@ -65,11 +65,13 @@ def _write(folder: str, damage: str):
     return run
 
 
-def written_logs(spark: SparkSession, sf_dir: str, damage: str = "") -> str:
-    """A folder with a log file for each 2000 events, the same under another extension, and copies below."""
-    folder = shared_path(spark, "logs")
+def written_logs(spark: SparkSession, sf_dir: str, damage: str = "", *, folder: str | None = None, only: str = "true") -> str:
+    """A folder with a log file for each 2000 events, the same under another extension, and copies
+    below. ``only`` picks events by ``event_id`` and ``part``, the number of their file; files that
+    a given folder has already are written anew."""
+    folder = folder or shared_path(spark, "logs")
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    events.groupBy(F.floor(F.col("event_id") / IN_FILE).alias("part")).applyInPandas(_write(folder, damage), "name string").agg(F.count("*")).collect()
+    events.withColumn("part", F.floor(F.col("event_id") / IN_FILE)).where(only).groupBy("part").applyInPandas(_write(folder, damage), "name string").agg(F.count("*")).collect()
     return folder
 
 

@@ -54,6 +54,19 @@ ARROW = T.StructType(
     ]
 )
 
+#: Of each chunk what is kept to skip it or to count by it. ``untimed``: good records without a time.
+STATES = T.StructType(
+    [
+        T.StructField("file", T.StringType()),
+        T.StructField("chunk_no", T.IntegerType()),
+        *(T.StructField(n, T.LongType()) for n in ("records", "errors", "untimed", "first_id", "last_id")),
+        T.StructField("first_ts", T.TimestampType()),
+        T.StructField("last_ts", T.TimestampType()),
+        T.StructField("facets", T.ArrayType(T.StructType([T.StructField("facet", T.StringType()), T.StructField("key", T.StringType()), T.StructField("cnt", T.LongType())]))),
+        T.StructField("error", ERROR),
+    ]
+)
+
 HEADERS = T.StructType(
     [
         T.StructField("file", T.StringType()),

@@ -2,18 +2,20 @@
 
 A partition is a range of chunks of one file, so a large file is many tasks. The files
 are listed and read through pyarrow's file systems (local paths, ``file:`` and the
-schemes that pyarrow knows); where only Spark reaches a store, ``binary_chunks`` cuts
+schemes that pyarrow knows); where only Spark reaches a store, ``decode_files`` decodes
 files that Spark's own ``binaryFile`` reader delivers.
 
-Options: ``view`` (records, arrow, chunks, record_headers, template_instances, files),
+Options: ``view`` (records, arrow, chunks, record_headers, template_instances, states, files),
 ``mode`` (permissive, dropmalformed, failfast), ``separateAttributes``, ``xml``,
-``json``, ``indent``, ``ansiCodec``, ``validateChecksums``, ``chunksPerPartition``,
-``recursive``, ``extensions``, ``templateCache``, ``recordIds``, ``limit``.
+``json``, ``indent``, ``ansiCodec``, ``validateChecksums``, ``chunksPerPartition`` (256, or
+more so that a scan has at most 50,000 tasks), ``recursive``, ``extensions``,
+``templateCache``, ``recordIds``, ``limit``.
 
 ``recordIds`` (``5,120-130``) gives the rows with these ids alone and skips chunks by
 their first and last id. Predicates on ``record_id`` filter rows; they aren't pushed into
 the source, because Spark keeps one pushed state for all uses of a loaded relation, so
-that two filters on one DataFrame would prune each other's chunks.
+that two filters on one DataFrame would prune each other's chunks. ``sources.zones`` prunes
+chunks by ids, times, providers and other columns for each filter of its own.
 
 ``limit`` stops a task's scan after so many good rows; ``first_records`` gives so many in
 all. The view ``arrow`` has a row for each chunk, with its good records as an uncompressed
@@ -22,7 +24,8 @@ Arrow IPC stream of one batch, and a row for each error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -30,18 +33,24 @@ import pyarrow.fs as pafs
 import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .. import schema as S
-from ..binxml.reader import CHUNK, Chunk, Settings, chunk_places, decode_chunk, error, file_header, iterate_chunks, safe_time, signed
+from ..binxml.reader import CHUNK, HEADER_BLOCK, Chunk, Settings, chunk_places, decode_chunk, error, file_header, iterate_chunks, safe_time, signed
 from ..binxml.values import DecodeError
 from ..operators.filters import parse_ranges
 
-VIEWS = {"records": S.RECORDS, "arrow": S.ARROW, "chunks": S.CHUNKS, "record_headers": S.HEADERS, "template_instances": S.INSTANCES, "files": S.FILES}
+VIEWS = {"records": S.RECORDS, "states": S.STATES, "arrow": S.ARROW, "chunks": S.CHUNKS, "record_headers": S.HEADERS, "template_instances": S.INSTANCES, "files": S.FILES}
 #: Rows of a batch; of the view arrow, where a row is a chunk, fewer.
 BATCH, CHUNK_BATCH = 1024, 16
+#: Chunks of a task unless an option says more or less, tasks of a scan, and bytes read at once.
+PER_TASK, MOST_TASKS, READ = 256, 50_000, 1 << 20
+
+
+#: Facets that a chunk's state counts, and their columns.
+STATE_FACETS = {"level": "Level", "provider": "Provider", "channel": "Channel", "event_id": "EventID"}
 
 
 @dataclass
@@ -59,7 +68,7 @@ class Options:
     settings: Settings = field(default_factory=Settings)
     xml: bool = False
     json: bool = True
-    chunks_per_partition: int = 256
+    chunks_per_partition: int | None = None
     recursive: bool = False
     extensions: tuple[str, ...] = ()
     template_cache: str | None = None
@@ -77,7 +86,7 @@ class Options:
             raise ValueError(f"mode is permissive, dropmalformed or failfast; not {mode!r}")
         settings = Settings(flag("separateattributes", True), flag("indent", True), o.get("ansicodec", "windows-1252"), flag("validatechecksums", False))
         extensions = tuple(e.strip().lower().lstrip(".") for e in o.get("extensions", "").split(",") if e.strip())
-        return Options(view, mode, settings, flag("xml", False), flag("json", True), int(o.get("chunksperpartition", 256)), flag("recursive", False), extensions, o.get("templatecache"), tuple(parse_ranges(o["recordids"])) if o.get("recordids") else (), int(o["limit"]) if o.get("limit") else None)
+        return Options(view, mode, settings, flag("xml", False), flag("json", True), int(o["chunksperpartition"]) if o.get("chunksperpartition") else None, flag("recursive", False), extensions, o.get("templatecache"), tuple(parse_ranges(o["recordids"])) if o.get("recordids") else (), int(o["limit"]) if o.get("limit") else None)
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -121,6 +130,27 @@ def ipc_stream(rows: list[dict]) -> bytes:
         return out.getvalue().to_pybytes()
 
 
+def chunk_state(rows: Iterator[dict]) -> dict:
+    """What is kept of a chunk's records to skip it or to count by it: bounds of ids and times,
+    and counts by facet."""
+    counts: Counter = Counter()
+    ids, times, good, errors = [], [], 0, 0
+    for r in rows:
+        if r.get("error"):
+            errors += 1
+            continue
+        good += 1
+        ids.append(r["record_id"])
+        times += [r["ts"]] if r["ts"] is not None else []
+        for facet, column in STATE_FACETS.items():
+            value = r.get(column)
+            counts[facet, None if value is None else str(value)] += 1
+    span = lambda v: (min(v), max(v)) if v else (None, None)
+    (low, high), (first, last) = span(ids), span(times)
+    facets = [{"facet": f, "key": k, "cnt": n} for (f, k), n in sorted(counts.items(), key=str)]
+    return {"records": good, "errors": errors, "untimed": good - len(times), "first_id": low, "last_id": high, "first_ts": first, "last_ts": last, "facets": facets}
+
+
 def rows_of_chunk(path: str, n: int, data: bytes, o: Options, ordinal: int | None = None) -> Iterator[dict]:
     """Rows of one chunk in a view; an error is a row with ``error`` set."""
     base = {"file": path, "chunk_no": n}
@@ -128,6 +158,9 @@ def rows_of_chunk(path: str, n: int, data: bytes, o: Options, ordinal: int | Non
         for row in decode_chunk(data, o.settings, xml=o.xml, json=o.json):
             yield base | {"record_seq": (n << 32) + row.pop("row_in_chunk")} | row
         return
+    if o.view == "states":
+        yield base | chunk_state(rows_of_chunk(path, n, data, replace(o, view="records", json=True, xml=False)))
+        return
     if o.view == "arrow":
         rows = list(rows_of_chunk(path, n, data, replace(o, view="records")))
         good = [r for r in rows if not r.get("error")]
@@ -169,6 +202,30 @@ def handled(rows: Iterator[dict], mode: str) -> Iterator[dict]:
         yield row
 
 
+def ahead(read: Callable[[int, int], bytes], part: ChunkRange) -> Callable[[int, int], bytes]:
+    """Reads one after another, taken from blocks of READ bytes that don't go beyond the task's chunks."""
+    block, start = b"", 0
+    end = min(part.size, 2 * HEADER_BLOCK + part.stop * CHUNK)
+
+    def get(at: int, n: int) -> bytes:
+        nonlocal block, start
+        if at < start or at + n > start + len(block):
+            block, start = read(at, min(max(n, READ), max(n, end - at))), at
+        return block[at - start : at - start + n]
+
+    return get
+
+
+def wanted(rows: Iterator[dict], o: Options) -> Iterator[dict]:
+    """The rows with ids that were asked for, if any were; chunks and files have none."""
+    if not o.record_ids or o.view in ("chunks", "files", "states", "arrow"):
+        yield from rows
+        return
+    for row in rows:
+        if row.get("record_id") is not None and any(low <= row["record_id"] <= high for low, high in o.record_ids):
+            yield row
+
+
 def stopped(rows: Iterator[dict], limit: int | None) -> Iterator[dict]:
     """Rows until so many good ones have come."""
     good = 0
@@ -211,8 +268,9 @@ class WinlogReader(DataSourceReader):
 
     def partitions(self) -> list[ChunkRange]:
         out = []
-        step = self.options.chunks_per_partition
-        for path, size in expand_paths(self.paths, recursive=self.options.recursive, extensions=self.options.extensions):
+        files = expand_paths(self.paths, recursive=self.options.recursive, extensions=self.options.extensions)
+        step = self.options.chunks_per_partition or max(PER_TASK, sum(chunk_places(size) for _, size in files) // MOST_TASKS)
+        for path, size in files:
             n = max(1, chunk_places(size))
             out += [ChunkRange(path, size, a, min(a + step, n)) for a in range(0, n if self.options.view != "files" else 1, step)]
         return out
@@ -231,12 +289,10 @@ class WinlogReader(DataSourceReader):
                 yield {"file": part.path, **{k: signed(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in head.items()}}
                 return
             pruned = bool(o.record_ids)
-            for n, data in iterate_chunks(lambda at, k: read(at, 512) if pruned and k == CHUNK and not self._wanted(read(at, 512)) else read(at, k), part.size, part.first, part.stop):
-                if len(data) < CHUNK:
-                    continue
-                for row in rows_of_chunk(part.path, n, data, o):
-                    if not pruned or o.view == "chunks" or any(row.get("record_id") is not None and low <= row["record_id"] <= high for low, high in o.record_ids):
-                        yield row
+            get = (lambda at, k: read(at, 512) if k == CHUNK and not self._wanted(read(at, 512)) else read(at, k)) if pruned else ahead(read, part)
+            for n, data in iterate_chunks(get, part.size, part.first, part.stop):
+                if len(data) == CHUNK:
+                    yield from wanted(rows_of_chunk(part.path, n, data, o), o)
 
     def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
         yield from batches(stopped(handled(self._rows(partition), self.options.mode), self.options.limit), self.schema)
@@ -256,6 +312,11 @@ class WinlogSource(DataSource):
             raise ValueError("winlog needs a path")
         return WinlogReader(schema, paths, Options.of(self.options))
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        from .stream import WinlogStreamReader
+
+        return WinlogStreamReader(schema, [p.strip() for p in self.options["path"].split(",") if p.strip()], Options.of(self.options))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WinlogSource)
@@ -282,11 +343,12 @@ def first_records(spark: SparkSession, path: str, n: int, **options: object) ->
 
 
 def decode_files(files: DataFrame, *, content: str = "content", path: str = "path", **options: object) -> DataFrame:
-    """Decode whole files in a BINARY column (as ``binaryFile`` gives them) in a view."""
+    """Decode whole files in a BINARY column (as ``binaryFile`` gives them) in a view. All options
+    of the source hold that say how chunks are read (``limit`` for each task, as there)."""
     o = Options.of({k: str(v) for k, v in options.items()})
     schema = VIEWS[o.view]
 
-    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    def rows(batch: pa.RecordBatch, known: Options) -> Iterator[dict]:
         for name, data in zip(batch.column(path).to_pylist(), batch.column(content).to_pylist(), strict=True):
             try:
                 if data is None:
@@ -296,27 +358,27 @@ def decode_files(files: DataFrame, *, content: str = "content", path: str = "pat
                     yield {"file": name, **{k: signed(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in head.items()}}
                     continue
                 for i, (n, chunk) in enumerate(iterate_chunks(lambda at, k: data[at : at + k], len(data))):  # noqa: B023
-                    yield from rows_of_chunk(name, n, chunk, o, i)
+                    yield from wanted(rows_of_chunk(name, n, chunk, known, i), o)
             except DecodeError as e:
                 yield {"file": name, "error": error(e)}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for i in range(batch.num_rows):
-                yield from batches(handled(rows(batch.slice(i, 1)), o.mode), schema)
+        known = with_templates(o)
+        every = (row for batch in it for i in range(batch.num_rows) for row in rows(batch.slice(i, 1), known))
+        yield from batches(stopped(handled(every, o.mode), o.limit), schema)
 
     return files.select(path, content).mapInArrow(run, schema)
 
 
 def decode_chunks(chunks: DataFrame, *, content: str = "chunk", path: str = "file", number: str = "chunk_no", **options: object) -> DataFrame:
-    """Decode a column of 64 KiB chunks."""
+    """Decode a column of 64 KiB chunks; options hold as for ``decode_files``."""
     o = Options.of({k: str(v) for k, v in options.items()})
     schema = VIEWS[o.view]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = with_templates(o)
-        for batch in it:
-            for name, n, data in zip(*(batch.column(c).to_pylist() for c in (path, number, content)), strict=True):
-                yield from batches(handled(rows_of_chunk(name, n, data, known), o.mode), schema)
+        chunks = (c for batch in it for c in zip(*(batch.column(c).to_pylist() for c in (path, number, content)), strict=True))
+        every = (row for name, n, data in chunks for row in wanted(rows_of_chunk(name, n, data, known), o))
+        yield from batches(stopped(handled(every, o.mode), o.limit), schema)
 
     return chunks.select(path, number, content).mapInArrow(run, schema)

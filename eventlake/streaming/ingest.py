@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..sources import winlog
 from ..sources.winlog import decode_files
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -19,6 +20,16 @@ def stream_files(spark: SparkSession, folder: str, *, pattern: str = "*", files_
     return decode_files(raw, **options)
 
 
+def stream_chunks(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """A stream of decoded rows of log files that come into a folder or grow there, chunk by chunk;
+    its offsets are places inside of files (``sources.stream``)."""
+    winlog.register(spark)
+    reader = spark.readStream.format("winlog")
+    for k, v in options.items():
+        reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
+    return reader.load(path)
+
+
 def ingest(rows: DataFrame, table_path: str, checkpoint: str, *, partition_by: str | None = None) -> StreamingQuery:
     """Append what is there to a Parquet table and stop; a later call takes what is new."""
     writer = rows.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True)

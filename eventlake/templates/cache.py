@@ -9,6 +9,7 @@ from functools import lru_cache
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import udtf
 
 from ..binxml.values import DecodeError, need
 from .manifest import parse
@@ -91,3 +92,19 @@ def blobs(files: DataFrame, *, content: str = "content", path: str = "path") ->
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.binary())], ["path", "content"])
 
     return files.select(path, content).mapInArrow(run, "path string, content binary")
+
+
+@udtf(returnType="entry int, blob binary")
+class CacheBlobs:
+    """Table function (content) to (entry, blob): the manifests of a cache file, for lateral joins
+    in SQL. A null gives no rows, damage an error."""
+
+    def eval(self, content: bytes) -> Iterator[tuple[int, bytes]]:
+        if content is not None:
+            yield from enumerate(read(bytes(content)))
+
+
+def packed_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, content): each blob as a cache file of two entries, for fixtures."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([write([c, c]) for c in b.column("content").to_pylist()], pa.binary())], ["path", "content"])

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from eventlake.plans import catalogue, decode, files, manifests  # noqa: F401
+from eventlake.plans import catalogue, decode, files, manifests, storage  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
