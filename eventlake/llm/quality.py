@@ -48,7 +48,7 @@ class QualityConfig:
         Rule("symbols", "n_symbols", "n_words", 1_000),
         Rule("word_length", "word_chars", "n_words", 5_000, low=True),
         Rule("dup_lines", "n_dup_lines", "n_lines", 4_000),
-        Rule("repeats", "n_repeat_words", "n_words", 3_000),
+        Rule("repeats", "n_repeat_words", "n_words", 4_000),
     )
     keys: tuple[str, ...] = ("lang", "source")
     least_docs: int = 200
