@@ -199,33 +199,35 @@ def decode_chunk(data: bytes, settings: Settings = Settings(), *, xml: bool = Fa
         yield {"row_in_chunk": 0, "error": error(e)}
         return
     for i, r in enumerate(chunk.records()):
-        if isinstance(r, DecodeError):
-            yield {"row_in_chunk": i, "error": error(r)}
-            continue
-        at, size, record_id, time = r
-        row = {"row_in_chunk": i, "record_id": signed(record_id), "ts": safe_time(time)}
-        try:
-            known = chunk.quick(at, size, json=json, xml=xml) if programs and (json or xml) else None
-            if known is not None and row["record_id"] is not None:
-                yield row | known
-                continue
-            made = chunk.single_instance(at, size) if programs else None
-            fast_json = chunk.rendered(made, xml=False) if made and json else None
-            fast_xml = chunk.rendered(made, xml=True) if made and xml else None
-            tree = None if (not json or fast_json) and (not xml or fast_xml) else chunk.tree(at, size)
-            if json:
-                if fast_json and fast_json[1]:
-                    raw, document = fast_json[0], codec.loads(fast_json[0])
-                else:
-                    raw, document = parsed(fast_json[0] if fast_json else to_json(tree, separate=settings.separate_attributes))
-                row |= {"Raw": raw, **system_columns(document)}
-            if xml:
-                row["xml"] = fast_xml[0] if fast_xml else to_xml(tree, indent=settings.indent)
-        except (DecodeError, struct.error, RecursionError) as e:
-            row["error"] = error(e if isinstance(e, DecodeError) else DecodeError("Deserialization", str(e), at))
-        if row["record_id"] is None:
-            row["error"] = {"code": "RecordId", "message": f"record id {record_id} doesn't fit in a signed long", "offset": at}
-        yield row
+        yield {"row_in_chunk": i, "error": error(r)} if isinstance(r, DecodeError) else plain_row(chunk, i, r, json=json, xml=xml, programs=programs)
+
+
+def plain_row(chunk: Chunk, i: int, r: tuple[int, int, int, int], *, json: bool, xml: bool, programs: bool = True) -> dict:
+    """The row of one record of a chunk: (offset, size, id, FILETIME) as ``records`` gives them."""
+    at, size, record_id, time = r
+    settings = chunk.settings
+    row = {"row_in_chunk": i, "record_id": signed(record_id), "ts": safe_time(time)}
+    try:
+        known = chunk.quick(at, size, json=json, xml=xml) if programs and (json or xml) else None
+        if known is not None and row["record_id"] is not None:
+            return row | known
+        made = chunk.single_instance(at, size) if programs else None
+        fast_json = chunk.rendered(made, xml=False) if made and json else None
+        fast_xml = chunk.rendered(made, xml=True) if made and xml else None
+        tree = None if (not json or fast_json) and (not xml or fast_xml) else chunk.tree(at, size)
+        if json:
+            if fast_json and fast_json[1]:
+                raw, document = fast_json[0], codec.loads(fast_json[0])
+            else:
+                raw, document = parsed(fast_json[0] if fast_json else to_json(tree, separate=settings.separate_attributes))
+            row |= {"Raw": raw, **system_columns(document)}
+        if xml:
+            row["xml"] = fast_xml[0] if fast_xml else to_xml(tree, indent=settings.indent)
+    except (DecodeError, struct.error, RecursionError) as e:
+        row["error"] = error(e if isinstance(e, DecodeError) else DecodeError("Deserialization", str(e), at))
+    if row["record_id"] is None:
+        row["error"] = {"code": "RecordId", "message": f"record id {record_id} doesn't fit in a signed long", "offset": at}
+    return row
 
 
 def iterate_chunks(read: Callable[[int, int], bytes], size: int, first: int = 0, stop: int | None = None) -> Iterator[tuple[int, bytes]]:

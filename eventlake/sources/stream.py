@@ -98,10 +98,10 @@ class WinlogStreamReader(DataSourceStreamReader):
         step = self.options.chunks_per_partition or PER_TASK
         return [p for path, place in sorted(end.items()) for p in pieces(path, tuple(start.get(path, (0, 0))), tuple(place), step)]
 
-    def _rows(self, part: Piece) -> Iterator[dict]:
-        from .winlog import _open, rows_of_chunk, wanted, with_templates
+    def _items(self, part: Piece, o) -> Iterator[dict | tuple[str, int, bytes]]:
+        """Whole chunks, and the rows of those that the task has a part of."""
+        from .winlog import _open, rows_of_chunk, wanted
 
-        o = with_templates(self.options)
         fs, inner = _open(part.path)
         with fs.open_input_file(inner) as f:
             try:
@@ -115,15 +115,19 @@ class WinlogStreamReader(DataSourceStreamReader):
                     continue
                 low = part.skip if n == part.first else 0
                 high = part.until if n == part.stop - 1 and part.until is not None else 1 << 62
+                if not low and high == 1 << 62:
+                    yield part.path, n, data
+                    continue
                 for k, row in enumerate(rows_of_chunk(part.path, n, data, o)):
                     # An error that ends a chunk comes after its last record, and goes with it.
                     if low <= k < high or k == high and row.get("error") and row.get("record_id") is None:
                         yield from wanted(iter([row]), o)
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        from .winlog import batches, handled
+        from .winlog import decoded, with_templates
 
-        yield from batches(handled(self._rows(partition), self.options.mode), self.schema)
+        o = with_templates(self.options)
+        yield from decoded(self._items(partition, o), o, self.schema)
 
     def commit(self, end: dict) -> None: ...
 

@@ -27,8 +27,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs as pafs
 import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,6 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .. import schema as S
+from ..binxml.columnar import BlockDecoder
 from ..binxml.reader import CHUNK, HEADER_BLOCK, Chunk, Settings, chunk_places, decode_chunk, error, file_header, iterate_chunks, safe_time, signed
 from ..binxml.values import DecodeError
 from ..operators.filters import parse_ranges
@@ -47,6 +50,8 @@ VIEWS = {"records": S.RECORDS, "states": S.STATES, "arrow": S.ARROW, "chunks": S
 BATCH, CHUNK_BATCH = 1024, 16
 #: Chunks of a task unless an option says more or less, tasks of a scan, and bytes read at once.
 PER_TASK, MOST_TASKS, READ = 256, 50_000, 1 << 20
+#: Chunks decoded together, and rows of a batch that they give.
+BLOCK, ROWS = 32, 4096
 
 
 #: Facets that a chunk's state counts, and their columns.
@@ -250,6 +255,57 @@ def batches(rows: Iterator[dict], schema: StructType) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pylist(held, arrow)
 
 
+def decoded(items: Iterator[dict | tuple[str, int, bytes]], o: Options, schema: StructType) -> Iterator[pa.RecordBatch]:
+    """Batches in any view from chunks and from rows that are ready."""
+    if columnar(o):
+        yield from record_batches(items, o)
+        return
+    rows = (row for item in items for row in ([item] if isinstance(item, dict) else wanted(rows_of_chunk(*item[:3], o, *item[3:]), o)))
+    yield from batches(stopped(handled(rows, o.mode), o.limit), schema)
+
+
+def columnar(o: Options) -> bool:
+    """Whether rows can be made by columns: records with a text, and no scan that stops early."""
+    return o.view == "records" and o.limit is None and (o.json or o.xml)
+
+
+def record_batches(items: Iterator[dict | tuple[str, int, bytes]], o: Options) -> Iterator[pa.RecordBatch]:
+    """Batches of the view ``records`` from chunks (file, number, bytes), some decoded together,
+    and from rows that are ready; mode and ids as the options say."""
+    arrow = to_arrow_schema(S.RECORDS)
+    decoder = BlockDecoder(arrow, o.settings, o.json, o.xml)
+    ids = pa.compute.field("record_id")
+
+    def picked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if o.record_ids:
+            hit = reduce(lambda a, b: a | b, [(ids >= low) & (ids <= min(high, (1 << 63) - 1)) for low, high in o.record_ids if low < 1 << 63] or [pa.compute.scalar(False)])
+            batch = pa.Table.from_batches([batch]).filter(hit).combine_chunks().to_batches(max_chunksize=None)
+            batch = batch[0] if batch else pa.RecordBatch.from_pylist([], arrow)
+        if o.mode != "permissive" and batch.column("error").null_count < batch.num_rows:
+            if o.mode == "failfast":
+                list(handled((r for r in batch.to_pylist()), o.mode))
+            batch = batch.filter(batch.column("error").is_null())
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+    held: list[tuple[int, bytes]] = []
+    path = None
+    for item in items:
+        whole = isinstance(item, tuple) and isinstance(item[2], bytes) and len(item[2]) == CHUNK
+        if held and (not whole or item[0] != path or len(held) >= BLOCK):
+            yield from picked(decoder.decode(path, held))
+            held = []
+        if whole:
+            path = item[0]
+            held.append(item[1:3])
+        elif isinstance(item, dict):
+            yield from picked(pa.RecordBatch.from_pylist([item], arrow))
+        else:
+            yield from picked(pa.RecordBatch.from_pylist(list(rows_of_chunk(*item[:3], o)), arrow))
+    if held:
+        yield from picked(decoder.decode(path, held))
+
+
 class WinlogReader(DataSourceReader):
     def __init__(self, schema: StructType, paths: list[str], options: Options):
         self.schema, self.paths, self.options = schema, paths, options
@@ -275,8 +331,8 @@ class WinlogReader(DataSourceReader):
             out += [ChunkRange(path, size, a, min(a + step, n)) for a in range(0, n if self.options.view != "files" else 1, step)]
         return out
 
-    def _rows(self, part: ChunkRange) -> Iterator[dict]:
-        o = with_templates(self.options)
+    def _items(self, part: ChunkRange, o: Options) -> Iterator[dict | tuple[str, int, bytes]]:
+        """A task's chunks, or a row that tells why there are none."""
         fs, inner = _open(part.path)
         with fs.open_input_file(inner) as f:
             read = lambda at, n: f.read_at(n, at)
@@ -288,14 +344,14 @@ class WinlogReader(DataSourceReader):
             if o.view == "files":
                 yield {"file": part.path, **{k: signed(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in head.items()}}
                 return
-            pruned = bool(o.record_ids)
-            get = (lambda at, k: read(at, 512) if k == CHUNK and not self._wanted(read(at, 512)) else read(at, k)) if pruned else ahead(read, part)
+            get = (lambda at, k: read(at, 512) if k == CHUNK and not self._wanted(read(at, 512)) else read(at, k)) if o.record_ids else ahead(read, part)
             for n, data in iterate_chunks(get, part.size, part.first, part.stop):
                 if len(data) == CHUNK:
-                    yield from wanted(rows_of_chunk(part.path, n, data, o), o)
+                    yield part.path, n, data
 
     def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
-        yield from batches(stopped(handled(self._rows(partition), self.options.mode), self.options.limit), self.schema)
+        o = with_templates(self.options)
+        yield from decoded(self._items(partition, o), o, self.schema)
 
 
 class WinlogSource(DataSource):
@@ -348,7 +404,7 @@ def decode_files(files: DataFrame, *, content: str = "content", path: str = "pat
     o = Options.of({k: str(v) for k, v in options.items()})
     schema = VIEWS[o.view]
 
-    def rows(batch: pa.RecordBatch, known: Options) -> Iterator[dict]:
+    def items(batch: pa.RecordBatch) -> Iterator[dict | tuple[str, int, bytes, int]]:
         for name, data in zip(batch.column(path).to_pylist(), batch.column(content).to_pylist(), strict=True):
             try:
                 if data is None:
@@ -358,14 +414,12 @@ def decode_files(files: DataFrame, *, content: str = "content", path: str = "pat
                     yield {"file": name, **{k: signed(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in head.items()}}
                     continue
                 for i, (n, chunk) in enumerate(iterate_chunks(lambda at, k: data[at : at + k], len(data))):  # noqa: B023
-                    yield from wanted(rows_of_chunk(name, n, chunk, known, i), o)
+                    yield name, n, chunk, i
             except DecodeError as e:
                 yield {"file": name, "error": error(e)}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = with_templates(o)
-        every = (row for batch in it for i in range(batch.num_rows) for row in rows(batch.slice(i, 1), known))
-        yield from batches(stopped(handled(every, o.mode), o.limit), schema)
+        yield from decoded((item for batch in it for i in range(batch.num_rows) for item in items(batch.slice(i, 1))), with_templates(o), schema)
 
     return files.select(path, content).mapInArrow(run, schema)
 
@@ -377,8 +431,6 @@ def decode_chunks(chunks: DataFrame, *, content: str = "chunk", path: str = "fil
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = with_templates(o)
-        chunks = (c for batch in it for c in zip(*(batch.column(c).to_pylist() for c in (path, number, content)), strict=True))
-        every = (row for name, n, data in chunks for row in wanted(rows_of_chunk(name, n, data, known), o))
-        yield from batches(stopped(handled(every, o.mode), o.limit), schema)
+        yield from decoded((c for batch in it for c in zip(*(batch.column(c).to_pylist() for c in (path, number, content)), strict=True)), known, schema)
 
     return chunks.select(path, number, content).mapInArrow(run, schema)

@@ -58,7 +58,7 @@ def scan(chunks: DataFrame, *, tasks: int | None = None, **options: object) -> D
     if o.view == "files":
         raise ValueError("the view files has no chunks")
 
-    def rows(todo: Iterator[tuple[str, int, int]], known: winlog.Options) -> Iterator[dict]:
+    def items(todo: Iterator[tuple[str, int, int]]) -> Iterator[dict | tuple[str, int, bytes]]:
         at, f, block = None, None, HEADER_BLOCK
         try:
             for path, size, n in todo:
@@ -76,14 +76,14 @@ def scan(chunks: DataFrame, *, tasks: int | None = None, **options: object) -> D
                     continue
                 data = f.read_at(CHUNK, block + n * CHUNK) if block + (n + 1) * CHUNK <= size else b""
                 if len(data) == CHUNK and data.count(0) != CHUNK:
-                    yield from winlog.wanted(winlog.rows_of_chunk(path, n, data, known), o)
+                    yield path, n, data
         finally:
             if f is not None:
                 f.close()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         todo = (c for b in batches for c in zip(*(b.column(k).to_pylist() for k in ("file", "size", "chunk_no")), strict=True))
-        yield from winlog.batches(winlog.stopped(winlog.handled(rows(todo, winlog.with_templates(o)), o.mode), o.limit), winlog.VIEWS[o.view])
+        yield from winlog.decoded(items(todo), winlog.with_templates(o), winlog.VIEWS[o.view])
 
     n = tasks or chunks.sparkSession.sparkContext.defaultParallelism * 4
     return chunks.select("file", "size", "chunk_no").repartitionByRange(n, "file", "chunk_no").sortWithinPartitions("file", "chunk_no").mapInArrow(run, winlog.VIEWS[o.view])
