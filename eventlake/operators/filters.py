@@ -62,9 +62,10 @@ class Filters:
         out += [f"{k}: {v}" for k, vs in self.column_equals.items() for v in vs]
         return [*out, *([f"search: {self.search}"] if self.search.strip() else [])]
 
-    def condition(self, columns: Columns = Columns(), ts: Column | None = None) -> Column:
+    def condition(self, columns: Columns = Columns(), ts: Column | None = None, data: Column | None = None) -> Column:
         """The clauses as one expression. ``ts`` is the table's own time column if it has one: time
-        clauses then compare it, so that they can be pushed into a scan; else the time in Raw is read."""
+        clauses then compare it, so that they can be pushed into a scan; else the time in Raw is read.
+        ``data`` likewise is a map of the event data, which is else read from Raw."""
         parts: list[Column] = []
         if self.provider:
             parts.append(F.col("Provider").isin(*self.provider))
@@ -74,8 +75,8 @@ class Filters:
             parts.append(F.col("Level").isin(*map(int, self.level)))
         if self.event_id:
             parts.append(F.col("EventID").isin(*map(int, self.event_id)))
-        parts += [event_data(k).expr().isin(*vs) for k, vs in self.event_data.items() if vs]
-        parts += [~event_data(k).expr().isin(*vs) for k, vs in self.event_data_exclude.items() if vs]
+        parts += [event_data(k, data).expr().isin(*vs) for k, vs in self.event_data.items() if vs]
+        parts += [~event_data(k, data).expr().isin(*vs) for k, vs in self.event_data_exclude.items() if vs]
         if self.search.strip():
             parts.append(searched(self.search))
         for id, values in self.column_equals.items():

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .columns import ColumnSpec, Columns
+from .columns import ColumnSpec, Columns, shown
 from .filters import Filters
 
 PAGE = 4000
@@ -17,7 +18,8 @@ DIRECT, RANGES = 10_000, 4096
 
 
 def matching(logs: DataFrame, filters: Filters = Filters(), columns: Columns = Columns()) -> DataFrame:
-    return logs.where(filters.condition(columns, F.col("ts") if "ts" in logs.columns else None))
+    data = F.col("event_data") if "event_data" in logs.columns and isinstance(logs.schema["event_data"].dataType, MapType) else None
+    return logs.where(filters.condition(columns, F.col("ts") if "ts" in logs.columns else None, data))
 
 
 def count_records(logs: DataFrame, filters: Filters = Filters(), columns: Columns = Columns()) -> DataFrame:
@@ -90,7 +92,7 @@ def paged(df: DataFrame, limit: int | None, offset: int = 0, *, direct: int = DI
 def fetch_tabular(logs: DataFrame, specs: Sequence[ColumnSpec], filters: Filters = Filters(), *, limit: int | None = PAGE, offset: int = 0, columns: Columns = Columns()) -> DataFrame:
     """The columns and Raw of a page. The page is cut before the JSON paths are read."""
     page = paged(matching(logs, filters, columns), limit, offset)
-    return page.select(*[s.expr().alias(s.id) for s in specs], "Raw")
+    return shown(page, specs, "Raw")
 
 
 def fetch_records(logs: DataFrame, filters: Filters = Filters(), *, limit: int | None = None, offset: int = 0, columns: Columns = Columns()) -> DataFrame:

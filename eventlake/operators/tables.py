@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..binxml.reader import CHUNK, HEADER_BLOCK
 from ..functions.scalars import file_id
 from ..schema import LOGS
+from .columns import system_of
 
 SESSION = "session_id"
 FILE_CATALOGUE = "file_id string, name string, size long, path string, pinned boolean, last_opened timestamp, chunk_count long"
@@ -78,6 +79,14 @@ def event_data_map(records: DataFrame) -> DataFrame:
     return records.withColumn("event_data", F.from_json(F.get_json_object("Raw", "$.Event.EventData"), "map<string,string>"))
 
 
+def shredded(records: DataFrame) -> DataFrame:
+    """Records with Raw read once, at ingest: ``system`` (typed fields of the System object),
+    ``event_data`` (MAP<STRING, STRING>) and ``value`` (the whole record as VARIANT). Filters on event
+    data, shown columns and pages take these where a table has them and leave Raw unread."""
+    data = F.from_json(F.get_json_object("Raw", "$.Event.EventData"), "map<string,string>")
+    return records.select("*", system_of(F.col("Raw")).alias("system"), data.alias("event_data"), F.try_parse_json("Raw").alias("value"))
+
+
 def map_records(records: DataFrame, f: Callable[[dict], dict | None], schema: T.StructType | str) -> DataFrame:
     """A user function over each record (a dict with ``error`` set where it's damaged), in
     Arrow batches; None drops the record."""

@@ -1,29 +1,37 @@
 """Joins of template instances, events and provider templates.
 
-A corpus has few templates next to its records: the template side is broadcast when a
-count shows that it has at most ``BROADCAST_ROWS`` rows, and joined by shuffle beyond.
+A corpus has few templates next to its records: the template side is written once in the
+shared folder, uncompressed, and broadcast if that took at most ``BROADCAST_BYTES``; beyond, it's
+joined by shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalised_guid
+from ..session import shared_path
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the table has at most ``rows`` rows (counted, at most rows + 1 of them)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Run a side once, and hint a broadcast if its rows take at most ``most`` bytes."""
+    path = shared_path(df.sparkSession, "side")
+    df.write.mode("overwrite").option("compression", "none").parquet(path)
+    side = df.sparkSession.read.schema(df.schema).parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).getContentSummary(at).getLength()
+    return F.broadcast(side) if size <= most else side
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key: the first source wins."""
-    return df.withColumn("nth_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("nth_ = 1").drop("nth_")
+    """The first row of each key: the first source wins. Combines before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first_")).select(*keys, *[F.col(f"first_.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

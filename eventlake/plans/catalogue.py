@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import arrays, facets, templates
 from ..operators import logs as L
-from ..operators.columns import DEFAULT, Columns, event_data
+from ..operators.columns import DEFAULT, Columns, event_data, shown
 from ..operators.filters import Filters, facet_search, in_ranges, parse_ranges
 from .view import logs, sql, table
 
@@ -186,10 +186,17 @@ def time_facet_from_json(spark, sf):
     return facets.time_facet(logs(spark, sf), S.event_time(Columns().get("time").expr()), Filters(level=(2,)))
 
 
-@query("time_facet_week", "WITH dummy AS (SELECT 1)" + _time_sql("orders", "o_orderdate", "o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-10-01'"))
+_YEAR = 365 * 24 * 3_600_000_000
+
+
+@query("time_facet_week", f"""WITH dummy AS (SELECT 1), scaled AS (SELECT make_timestamp(low + (epoch_us(o_orderdate) - low) // ratio) AS t
+  FROM orders, (SELECT min(epoch_us(o_orderdate)) AS low, greatest((max(epoch_us(o_orderdate)) - min(epoch_us(o_orderdate)) + {_YEAR - 1}) // {_YEAR}, 1) AS ratio FROM orders))""" + _time_sql("scaled", "t", "true"))
 def time_facet_week(spark, sf):
-    orders = table(spark, sf, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1996-01-01' AND o_orderdate < TIMESTAMP_NTZ '1996-10-01'")
-    return facets.time_facet(orders, F.col("o_orderdate"))
+    """All orders, the times since the first divided so that they span a year at most."""
+    orders = table(spark, sf, "orders").select(F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("t"))
+    span = orders.agg(F.min("t").alias("low"), F.max("t").alias("high")).selectExpr("low", f"greatest((high - low + {_YEAR - 1}) div {_YEAR}, 1) AS ratio")
+    scaled = orders.crossJoin(F.broadcast(span)).withColumn("t", F.timestamp_micros(F.expr("low + (t - low) div ratio")))
+    return facets.time_facet(scaled, F.col("t"))
 
 
 @query("time_facet_month", "WITH dummy AS (SELECT 1)" + _time_sql("orders", "o_orderdate", "true"))
@@ -209,11 +216,15 @@ def filter_toggled(spark, sf):
     return L.matching(logs(spark, sf), f).select(*SHOWN)
 
 
-@query("filter_lines", "SELECT * FROM (VALUES (0, 'level: 2'), (1, 'k: a'), (2, '¬k: b'), (3, 'search: x y')) AS t(n, line)")
+@query("filter_lines", sql("SELECT 'level: ' || Level AS line, count(*) AS cnt FROM logs GROUP BY Level UNION ALL SELECT 'provider: ' || Provider, count(*) FROM logs GROUP BY Provider UNION ALL SELECT '¬k: ' || k, count(*) FROM (SELECT " + K + " AS k FROM logs) WHERE k IN ('1', '2') GROUP BY k"))
 def filter_lines(spark, sf):
-    """A line for each active clause, excluded values marked; cleared filters have none."""
-    f = Filters(level=(2,), event_data={"k": ["a"]}, event_data_exclude={"k": ["b"]}, search="x y")
-    return spark.createDataFrame(list(enumerate([*f.describe(), *f.clear().describe()])), "n int, line string")
+    """A line for each active clause, excluded values marked, with the rows that have its value."""
+    rows = logs(spark, sf)
+    levels, providers = (tuple(r["key"] for r in facets.facet(rows, name).orderBy("key").limit(facets.TOP).collect()) for name in ("level", "provider"))
+    f = Filters(level=levels, provider=providers, event_data_exclude={"k": ["1", "2"]})
+    each = F.array(F.concat(F.lit("level: "), F.col("Level").cast("string")), F.concat(F.lit("provider: "), F.col("Provider")), F.concat(F.lit("¬k: "), event_data("k").expr()))
+    counts = rows.select(F.explode(each).alias("line")).groupBy("line").agg(F.count("*").alias("cnt"))
+    return counts.join(F.broadcast(spark.createDataFrame([(x,) for x in f.describe()], "line string")), "line", "left_semi")
 
 
 # Pages and columns
@@ -250,7 +261,7 @@ def page_last(spark, sf):
 
 @query("default_columns", sql(f"SELECT {_DEFAULT_SQL} FROM logs"))
 def default_columns(spark, sf):
-    return logs(spark, sf).select(*[s.expr().alias(s.id) for s in DEFAULT])
+    return shown(logs(spark, sf), DEFAULT)
 
 
 @query("dynamic_column", sql(f"SELECT record_seq, {K} AS k, json_extract_string(Raw, '$.Event.EventData.UserId') AS user_id FROM logs"))

@@ -253,21 +253,29 @@ KINDS = [("When", V.SYSTIME), ("Who", V.SID), ("Flag", V.BOOL), ("Ansi", V.ANSI)
 
 def _typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = Template(GUID, E("Event", [], [E("EventData", [], [*(E("Data", [("Name", n)], [Sub(i, k)]) for i, (n, k) in enumerate(KINDS)), E("Data", [("Name", "Entity")], ["a", Ref("amp"), "b"])]), E("UserData", [], [Sub(len(KINDS), V.BINXML)])]))
+    def filled(writers: list[ChunkWriter]) -> pa.RecordBatch:
+        made = [w.finish() for w in writers]
+        return pa.RecordBatch.from_arrays([pa.array(["typed"] * len(made)), pa.array(range(len(made)), pa.int32()), pa.array(made, pa.binary())], ["file", "chunk_no", "chunk"])
+
+    def added(w: ChunkWriter, key: int, values: list) -> bool:
+        # The fragment's names are inlined where they stand, so its place has to be known: it's the last value.
+        at = 512 + len(w.body) + 28
+        probe = w.instance(at, t, [*values, (V.BINXML, b"")], dict(w.names), dict(w.defined))
+        inner = Tokens(at + len(probe), {}, template=False).fragment(E("In", [], [f"side {key}"]))
+        return w.add(key, 0, t, [*values, (V.BINXML, inner)])
+
     for batch in batches:
-        chunks = []
+        writers = [ChunkWriter()]
         for key, user in zip(batch.column("event_id").to_pylist(), batch.column("user_id").to_pylist(), strict=True):
             values = [(V.SYSTIME, (2000 + key % 30, 1 + key % 12, 0, 1 + key % 28, key % 24, key % 60, 7, key % 1000)), (V.SID, f"S-1-5-21-{user}-500"), (V.BOOL, key % 3), (V.ANSI, f"é{user}"), (V.REAL64, user / 4), (V.UINT16 | V.ARRAY, [key % 7, user % 9]), (V.GUID, GUID), (V.HEX64, user)]
-            w = ChunkWriter()
-            # The fragment's names are inlined where they stand, so its place has to be known: it's the last value.
-            probe = w.instance(512 + 28, t, [*values, (V.BINXML, b"")], {}, {})
-            inner = Tokens(512 + 28 + len(probe), {}, template=False).fragment(E("In", [], [f"side {key}"]))
-            if not w.add(key, 0, t, [*values, (V.BINXML, inner)]):
-                raise ValueError("a record is larger than a chunk")
-            chunks.append(w.finish())
-            if len(chunks) == 64:
-                yield pa.RecordBatch.from_arrays([pa.array(["typed"] * len(chunks)), pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], ["file", "chunk_no", "chunk"])
-                chunks = []
-        yield pa.RecordBatch.from_arrays([pa.array(["typed"] * len(chunks)), pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], ["file", "chunk_no", "chunk"])
+            if not added(writers[-1], key, values):
+                writers.append(ChunkWriter())
+                if not added(writers[-1], key, values):
+                    raise ValueError("a record is larger than a chunk")
+            if len(writers) > 64:
+                yield filled(writers[:-1])
+                writers = writers[-1:]
+        yield filled([w for w in writers if w.ids])
 
 
 _AT = "$.Event.EventData."
@@ -284,12 +292,13 @@ def value_types(spark, sf):
     return out.select("record_id", *[F.get_json_object("Raw", _AT + n).alias(n) for n in shown], F.get_json_object("Raw", "$.Event.UserData.In").alias("nested"))
 
 
-@query("array_values", "SELECT event_id AS record_id, 2 AS items FROM events")
+@query("array_values", "SELECT event_id AS record_id, event_id % 7 AS first, user_id % 9 AS second, 2 AS items FROM events")
 def array_values(spark, sf):
-    """An array repeats its element: so many lines of the XML."""
+    """An array repeats its element, once for each item: the XML's lines have the items in order."""
     rows = table(spark, sf, "events").select("event_id", "user_id").mapInArrow(_typed, "file string, chunk_no int, chunk binary")
     xml = winlog.decode_chunks(rows, xml=True, json=False)
-    return xml.select("record_id", F.regexp_count("xml", F.lit('Name="Many"')).alias("items"))
+    found = F.regexp_extract_all("xml", F.lit('<Data Name="Many">([0-9]+)</Data>'), 1)
+    return xml.select("record_id", found[0].cast("long").alias("first"), found[1].cast("long").alias("second"), F.size(found).alias("items"))
 
 
 # Executables and templates of cache files
@@ -379,18 +388,25 @@ def template_fallback(spark, sf):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunks = []
-            for key, user in zip(batch.column("event_id").to_pylist(), batch.column("user_id").to_pylist(), strict=True):
-                w = ChunkWriter()
-                w.add(key, 0, t, [(V.STRING, f"user {user}")])
-                data = bytearray(w.finish())
-                if key // 50 % 10 == 7:
+            # Whether a record's own template is damaged goes by chunk, so the two kinds have chunks of their own.
+            done, open_ = [], {False: ChunkWriter(), True: ChunkWriter()}
+
+            def close(hurt: bool) -> None:
+                data = bytearray(open_[hurt].finish())  # noqa: B023
+                if hurt:
                     data[512 + 28 + 10 + 24 + 4] = 0x77
-                chunks.append(bytes(data))
-                if len(chunks) == 64:
-                    yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary())], ["chunk"])
-                    chunks = []
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary())], ["chunk"])
+                done.append(bytes(data))  # noqa: B023
+                open_[hurt] = ChunkWriter()  # noqa: B023
+
+            for key, user in zip(batch.column("event_id").to_pylist(), batch.column("user_id").to_pylist(), strict=True):
+                hurt = key // 50 % 10 == 7
+                if not open_[hurt].add(key, 0, t, [(V.STRING, f"user {user}")]):
+                    close(hurt)
+                    open_[hurt].add(key, 0, t, [(V.STRING, f"user {user}")])
+            for hurt in (False, True):
+                if open_[hurt].ids:
+                    close(hurt)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], ["chunk"])
 
     rows = table(spark, sf, "events").select("event_id", "user_id").mapInArrow(encode, "chunk binary").select(F.lit("x").alias("file"), F.lit(0).alias("chunk_no"), "chunk")
     out = winlog.decode_chunks(rows, templateCache=f"{folder}/t.wevtcache").where("error IS NULL")

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import json
+import time
 from datetime import datetime
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalised_guid
 from ..operators import logs as L
-from ..operators.columns import event_data
+from ..operators import tables, templates
+from ..operators.catalogue import Catalogue
+from ..operators.columns import DEFAULT, Columns, event_data, shown
 from ..operators.filters import Filters
 from ..session import shared_path
-from ..sources import dump, winlog, zones
-from ..streaming.ingest import ingest, stream_chunks
-from ..templates import cache
+from ..sources import dump, windows, winlog, zones
+from ..streaming.ingest import Progress, ingest, stream_chunks
+from ..templates import cache, render
 from ..templates import manifest as M
 from . import manifests
-from .catalogue import query
+from .catalogue import ORACLE_SQL, K, query
 from .decode import PARTS
 from .files import _part, written_logs
-from .view import table
+from .view import logs, sql, table
 
 #: Of each event its file and chunk in a written folder.
 PLACED = f"WITH {PARTS}, placed AS (SELECT *, record_id // 2000 AS part, record_id % 2000 // 50 AS chunk FROM parts)"
@@ -105,8 +111,6 @@ def dump_order(spark, sf):
         raise AssertionError("a dump that failed has left files")
     dump.write(rows, to, kind="jsonl")
     lines = dump.text(spark, to).select("part", "nth", F.get_json_object("value", "$.Event.System.EventRecordID").cast("long").alias("record_id"))
-    from pyspark.sql import Window
-
     before = F.lag("record_id").over(Window.partitionBy("part").orderBy("nth"))
     return lines.select("record_id", F.regexp_extract("part", r"part-(\d+)", 1).cast("long").alias("part"), before.alias("before"))
 
@@ -170,3 +174,120 @@ def cache_table_function(spark, sf):
     rows = M.table(made, "templates").select("source", F.upper(normalised_guid(F.col("guid"))).alias("guid"))
     parts = F.split("source", r"\|")
     return rows.select(parts[0].alias("source"), "guid", parts[1].cast("int").alias("entry")).distinct()
+
+
+@query("window_cache", f"""{PLACED} SELECT record_id, part, pass, CASE pass WHEN 1 THEN 2 ELSE 0 END AS decoded FROM placed, (SELECT unnest([1, 2]) AS pass)
+WHERE part = 0 AND (chunk = 3 AND record_id % 50 >= 10 AND record_id % 50 < 30 OR chunk = 8)""")
+def window_cache(spark, sf):
+    """Windows of chunks, read twice: the second time nothing is decoded."""
+    folder = written_logs(spark, sf)
+    path, cached = f"{folder}/00000000.evtx", windows.WindowCache(spark, shared_path(spark, "windows"))
+    out = None
+    for turn in (1, 2):
+        before = cached.decoded
+        rows = cached.window(path, 3, 10, 20).union(cached.window(path, 8))
+        rows = rows.select("record_id", _part(), F.lit(turn).alias("pass"), F.lit(cached.decoded - before).alias("decoded"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("catalogue_commits", "SELECT p_name || '_' || p_size AS file_id, max(p_partkey) AS chunk_count, p_name || '_' || p_size IN (SELECT max(p_name || '_' || p_size) FROM part UNION ALL SELECT min(p_name || '_' || p_size) FROM part) AS pinned, CAST(4 AS BIGINT) AS version FROM part GROUP BY p_name, p_size")
+def catalogue_commits(spark, sf):
+    """Two writers pin different files at once, after each other's commits or not: no pin is lost, and every commit is a version."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = table(spark, sf, "part").select(F.concat(F.lit("/d/"), "p_name").alias("path"), F.col("p_size").cast("long").alias("length"), "p_partkey")
+    known = Catalogue(spark, f"{shared_path(spark, 'catalogue')}/t")
+    known.commit(lambda old: tables.merged_catalogue(old, tables.catalogue_entry(files.groupBy("path", "length").agg(F.max("p_partkey").alias("n")), chunks=F.col("n"))))
+    ends = known.read().agg(F.min("file_id"), F.max("file_id")).first()
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(known.pin, ends))
+    known.touch(ends[0])
+    return known.read().select("file_id", "chunk_count", "pinned", F.lit(known.version()).cast("long").alias("version"))
+
+
+@query("columns_registry", sql(f"SELECT Level AS level, EventID AS \"eventId\", json_extract_string(Raw, '$.Event.System.Computer') AS computer, {K} AS \"eventData.k\" FROM logs"))
+def columns_registry(spark, sf):
+    """Columns added (twice, the second changes nothing) and removed."""
+    columns = Columns()
+    for id in ("time", "provider", "task", "user", "opcode", "keywords", "none"):
+        columns = columns.remove(id)
+    return shown(logs(spark, sf), columns.add(event_data("k")).add(event_data("k")).add(DEFAULT[0]).specs)
+
+
+@query("apply_templates", f"""SELECT p_brand AS source, p_partkey % 65536 AS identifier, '<EventData>' || array_to_string(list_transform(range(0, len(string_split(p_type, ' '))), lambda i: '<Data Name="' || string_split(p_type, ' ')[i + 1] || '">' || [CAST(p_size AS VARCHAR), p_name, 'a&amp;b'][i + 1] || '</Data>'), '') || '</EventData>' AS xml
+FROM part WHERE p_partkey % 5 <> 0""")
+def apply_templates(spark, sf):
+    """Events' values filled into the templates that provider, event id and version lead to."""
+    made = M.manifests(manifests.blobs(spark, sf))
+    index = M.event_templates(made).where("template_guid IS NOT NULL").select(F.col("provider").alias("provider_guid"), F.col("identifier").alias("event_id"), F.lit(1).alias("version"), "template_guid", F.lit(0).alias("insert_seq"))
+    bodies = templates.first_by(M.table(made, "templates"), ["guid"], ["source", "offset"]).select(F.col("guid").alias("template_guid"), "body")
+    part = table(spark, sf, "part")
+    providers = M.event_templates(made).select("source", F.col("provider").alias("provider_guid")).distinct()
+    events = part.select(F.col("p_brand").alias("source"), (F.col("p_partkey") % 65536).alias("event_id"), F.lit(1).alias("version"), F.to_json(F.array(F.col("p_size").cast("string"), "p_name", F.lit("a&b"))).alias("given")).join(providers, "source")
+    resolved = templates.resolve_template(events, index).where("template_guid IS NOT NULL").join(bodies, "template_guid")
+    return resolved.select("source", F.col("event_id").alias("identifier"), "body", "given").mapInArrow(_applied, "source string, identifier long, xml string")
+
+
+def _applied(batches):
+    for b in batches:
+        out = [render.with_values(body, render.json_values(json.loads(values)), indent=False) for body, values in zip(b.column("body").to_pylist(), b.column("given").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("source"), b.column("identifier").cast(pa.int64()), pa.array(out, pa.string())], ["source", "identifier", "xml"])
+
+
+@query("dump_json", f"""{PLACED} SELECT 'Record ' || record_id AS line FROM placed WHERE record_id % 2000 BETWEEN 90 AND 120 UNION ALL SELECT CAST(count(*) AS VARCHAR) || ' records' FROM placed WHERE record_id % 2000 BETWEEN 90 AND 120""")
+def dump_json(spark, sf):
+    """A JSON dump with banners of some id ranges, the chunks of which alone are opened, and what its summary says."""
+    folder, to = written_logs(spark, sf), f"{shared_path(spark, 'dump')}/out"
+    files = table(spark, sf, "events").agg(F.max("event_id")).first()[0] // 2000 + 1
+    rows = winlog.read(spark, folder, extensions="evtx", recordIds=",".join(f"{2000 * k + 90}-{2000 * k + 120}" for k in range(files)))
+    dump.write(rows, to, kind="json")
+    lines = dump.text(spark, to).where("value LIKE 'Record %'").select(F.col("value").alias("line"))
+    return lines.union(spark.createDataFrame([(f"{dump.summary(to)['records']} records",)], "line string"))
+
+
+@query("ingest_progress", "SELECT count(*) AS rows, CAST(1.0 AS DOUBLE) AS done FROM events")
+def ingest_progress(spark, sf):
+    """What a listener hears of an ingest in several batches: all rows, and the share of files at the end."""
+    folder, heard = written_logs(spark, sf), []
+    progress = Progress(lambda batch, rows: heard.append(rows))
+    spark.streams.addListener(progress)
+    try:
+        to = f"{shared_path(spark, 'ingested')}/rows"
+        ingest(stream_chunks(spark, folder, extensions="evtx", view="record_headers"), to, shared_path(spark, "progress")).awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(100):
+            if sum(heard):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(progress)
+    files = spark.read.parquet(to).select("file").distinct().count()
+    total = zones.listing(spark, folder, extensions="evtx").count()
+    return spark.createDataFrame([(sum(heard), tables.progress(files - 1, total))], "rows long, done double")
+
+
+def _shredded(spark, sf):
+    """The logs table with Raw read once, as Parquet."""
+    to = f"{shared_path(spark, 'shredded')}/t"
+    tables.shredded(logs(spark, sf)).write.parquet(to)
+    return spark.read.parquet(to)
+
+
+@query("shredded_columns", ORACLE_SQL["default_columns"])
+def shredded_columns(spark, sf):
+    """The viewer's columns from typed fields that were read at ingest; Raw isn't read."""
+    return shown(_shredded(spark, sf), DEFAULT)
+
+
+@query("shredded_filters", sql(f"SELECT record_seq FROM logs WHERE {K} IN ('1', '2', '3') AND json_extract_string(Raw, '$.Event.EventData.UserId') NOT IN ('7')"))
+def shredded_filters(spark, sf):
+    """Event-data filters over the map that was read at ingest."""
+    return L.matching(_shredded(spark, sf), Filters(event_data={"k": ["1", "2", "3"]}, event_data_exclude={"UserId": ["7"]})).select("record_seq")
+
+
+@query("shredded_values", sql("SELECT record_seq, CAST(json_extract_string(Raw, '$.Event.System.Task') AS INTEGER) AS task, json_extract_string(Raw, '$.Event.System.Computer') AS computer FROM logs"))
+def shredded_values(spark, sf):
+    """Typed values out of the stored VARIANT."""
+    get = lambda path, kind: F.try_variant_get("value", path, kind)
+    return _shredded(spark, sf).select("record_seq", get("$.Event.System.Task", "int").alias("task"), get("$.Event.System.Computer", "string").alias("computer"))

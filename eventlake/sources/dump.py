@@ -143,10 +143,10 @@ def write(records: DataFrame, path: str, *, kind: str = "xml", banner: bool = Tr
 
 def parts(path: str) -> list[str]:
     """The parts of a finished dump in order; FileNotFoundError if there's no finished one."""
-    return [f"{path.rstrip('/')}/{n}" for n in json_of(path)["parts"]]
+    return [f"{path.rstrip('/')}/{n}" for n in summary(path)["parts"]]
 
 
-def json_of(path: str) -> dict:
+def summary(path: str) -> dict:
     """What ``_SUCCESS`` says of a finished dump: records, errors, parts, side files."""
     fs, inner = _open(path.rstrip("/"))
     with fs.open_input_file(f"{inner}/_SUCCESS") as f:
@@ -162,6 +162,6 @@ def text(spark: SparkSession, path: str) -> DataFrame:
 def errors(spark: SparkSession, path: str) -> DataFrame:
     """(file, record_seq, record_id, error) of a finished dump's error rows."""
     schema = StructType([f for f in spark.createDataFrame([], ROWS).schema.fields if f.name != "data"])
-    if not json_of(path)["errors"]:
+    if not summary(path)["errors"]:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json([f"{path.rstrip('/')}/{n}" for n in json_of(path)["side"]])
+    return spark.read.schema(schema).json([f"{path.rstrip('/')}/{n}" for n in summary(path)["side"]])

@@ -1,14 +1,18 @@
 """Chunk index, stream source and dump sink."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
 from eventlake.binxml import values as V
 from eventlake.encoder import ChunkWriter, E, Sub, Template, file_bytes
-from eventlake.operators import logs
+from eventlake.operators import catalogue, logs, tables
+from eventlake.operators.columns import DEFAULT, shown
 from eventlake.operators.filters import Filters
-from eventlake.sources import dump, stream, winlog, zones
+from eventlake.plans.view import logs as view
+from eventlake.sources import dump, stream, windows, winlog, zones
 from eventlake.streaming.ingest import ingest, stream_chunks
 
 T = Template("0B5C5F1A-30D4-4F1C-9C1E-7A4F5B2D9E10", E("Event", [], [E("System", [], [E("Provider", [("Name", [Sub(0)])]), E("EventID", [], [Sub(1, V.UINT16)]), E("Level", [], [Sub(2, V.UINT8)]), E("Channel", [], ["C"])])]))
@@ -105,12 +109,12 @@ def test_dump_order_errors_and_modes(spark, tmp_path):
     dump.write(rows, to, kind="json")
     text = "".join(pafs.LocalFileSystem().open_input_stream(p).read().decode() for p in dump.parts(to))
     assert [int(x.split()[1]) for x in text.splitlines() if x.startswith("Record ")] == list(range(60))
-    assert dump.json_of(to)["records"] == 60 and dump.json_of(to)["errors"] == 1 and len(dump.parts(to)) == 4
+    assert dump.summary(to)["records"] == 60 and dump.summary(to)["errors"] == 1 and len(dump.parts(to)) == 4
     assert [r["error"]["code"] for r in dump.errors(spark, to).collect()] == ["InvalidChunkMagic"]
     with pytest.raises(Exception, match="isn't empty"):
         dump.write(rows, to, kind="json")
     dump.write(rows.where("record_id < 15"), to, kind="jsonl", overwrite=True)
-    assert dump.json_of(to)["records"] == 15 and dump.errors(spark, to).count() == 0
+    assert dump.summary(to)["records"] == 15 and dump.errors(spark, to).count() == 0
     # What has been shuffled isn't in order: nothing becomes visible, unless order isn't asked for.
     other = str(tmp_path / "other")
     mixed = rows.where("error IS NULL").repartition(3, F.xxhash64("record_id"))
@@ -118,7 +122,7 @@ def test_dump_order_errors_and_modes(spark, tmp_path):
         dump.write(mixed, other)
     assert not [p for p in (tmp_path / "other").glob("*")]
     dump.write(mixed, other, ordered=False, kind="jsonl")
-    assert dump.json_of(other)["records"] == 60
+    assert dump.summary(other)["records"] == 60
 
 
 def test_pages_over_files_meet(spark):
@@ -137,3 +141,57 @@ def test_time_filters_use_the_time_column(spark, sf):
     rows = spark.read.parquet(path).select(F.col("ts"), F.lit("{}").alias("Raw"))
     plan = logs.matching(rows, Filters(time_range=(datetime(2024, 1, 5), datetime(2024, 1, 6))))._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(ts," in plan and "LessThanOrEqual(ts," in plan
+
+
+def test_window_cache_keeps_its_budget_and_sees_changes(spark, tmp_path):
+    put(tmp_path / "a.evtx", [chunk(range(10 * k, 10 * k + 10)) for k in range(4)])
+    path, cached = str(tmp_path / "a.evtx"), windows.WindowCache(spark, str(tmp_path / "cache"))
+    ids = lambda *a: [r["record_id"] for r in cached.window(path, *a).collect()]
+    assert ids(1, 2, 3) == [12, 13, 14] and ids(1, 2, 3) == [12, 13, 14] and ids(3, 8) == [38, 39]
+    assert (cached.decoded, cached.hits) == (2, 1)
+    again = windows.WindowCache(spark, str(tmp_path / "cache"))
+    assert [r["record_id"] for r in again.window(path, 3, 8).collect()] == [38, 39] and again.decoded == 0
+    put(tmp_path / "a.evtx", [chunk(range(100 * k, 100 * k + 10)) for k in range(5)])
+    assert ids(1, 2, 3) == [102, 103, 104] and cached.decoded == 3
+    one = max(cached.kept.values())
+    small = windows.WindowCache(spark, str(tmp_path / "cache"), budget=2 * one)
+    assert sum(small.kept.values()) <= 2 * one
+    for k in range(5):
+        assert small.window(path, k, 0, 1).count() == 1
+    assert sum(small.kept.values()) <= 2 * one and len(list((tmp_path / "cache").iterdir())) == len(small.kept)
+
+
+def test_catalogue_loses_no_commit(spark, tmp_path):
+    known = catalogue.Catalogue(spark, str(tmp_path / "t"))
+    assert known.read().count() == 0 and known.version() == 0
+    files = spark.createDataFrame([(f"/d/f{k}", k) for k in range(6)], "path string, length long")
+    known.opened(files)
+    with ThreadPoolExecutor(6) as pool:
+        made = list(pool.map(known.pin, [f"f{k}_{k}" for k in range(6)]))
+    assert sorted(made) == list(range(2, 8)) and known.read().where("pinned").count() == 6
+    assert known.read(1).where("pinned").count() == 0  # older versions stay
+    known.delete("f0_0")
+    known.opened(files.where("length = 0"))
+    assert {(r["file_id"], r["pinned"]) for r in known.read().collect()} == {(f"f{k}_{k}", k > 0) for k in range(6)}
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("data-")]) == known.version()
+
+
+def test_shredded_tables_leave_raw_unread(spark, sf, tmp_path):
+    to = str(tmp_path / "t")
+    tables.shredded(view(spark, sf)).write.parquet(to)
+    rows = spark.read.parquet(to)
+    for df in (shown(rows, DEFAULT), logs.matching(rows, Filters(event_data={"k": ["1"]})).select("record_seq")):
+        plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        scan = plan[plan.index("ReadSchema"):]
+        assert "Raw:" not in scan and "from_json" not in plan and "get_json_object(Raw" not in plan
+    plan = shown(view(spark, sf), DEFAULT)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 or plan.count("JsonToStructs") == 1 or plan.count("$.Event.System") == 1
+
+
+@pytest.mark.parametrize("raw", ['{"Event":{"System":{"TimeCreated":{"SystemTime":"2024"},"Task":7,"Computer":"c","Keywords":"0x1","Security":{"UserID":"S-1"}}}}', '{"Event":{"System":{"TimeCreated_attributes":{"SystemTime":"t"},"Task":"x","Opcode":1.5,"Security":null}}}', "no json", '{"Event":null}', None, '{"Event":{"System":{"Task":{"a":[1]},"TimeCreated":"2"}}}'])
+def test_one_parse_gives_what_the_paths_give(spark, raw):
+    from eventlake.operators.columns import USER_SID
+
+    df = spark.createDataFrame([(raw, 1, 2, "p")], "Raw string, Level int, EventID int, Provider string")
+    specs = [*DEFAULT, USER_SID]
+    assert shown(df, specs).first() == df.select(*[s.expr().alias(s.id) for s in specs]).first()
