@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from . import values as V
 from .program import compiled, shape_of
 from .quick import _JSON_ODD, _guid, _sid, column_slots, integer
-from .reader import CHUNK, RECORD_HEADER, Chunk, Settings, error, plain_row
+from .reader import CHUNK, RECORD_HEADER, RECORD_MAGIC, RECORDS_AT, Chunk, Settings, error, plain_row
 from .render import escape_json
 from .values import DecodeError
 
@@ -35,6 +35,8 @@ _SIZES[[V.GUID, V.STRING, V.NULL, V.SID]] = 16, -1, -2, -3
 #: FILETIME of 1970 in microseconds, and microseconds of the last moment of the year 9999.
 _UNIX, _LAST = 11_644_473_600_000_000, 253_402_300_799_999_999
 _MOST_TEMPLATES = 4096
+RECORD = int.from_bytes(RECORD_MAGIC, "little")
+_WEIGHTS = np.random.Generator(np.random.PCG64(1)).integers(1 << 40, 1 << 62, 1024) | 1
 
 
 def _gather(buf: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
@@ -155,32 +157,43 @@ class BlockDecoder:
         """Rows of chunks (number, bytes of CHUNK), in order."""
         made: list[Chunk | None] = []
         plain: list[tuple[int, dict]] = []
-        walk: list[tuple[int, int, int, int, int, int, int]] = []
-        n_rows = 0
+        failed: dict[int, dict] = {}
         for k, (number, data) in enumerate(chunks):
             made.append(None)
             try:
                 c = Chunk(data, self.settings)
                 if self.settings.validate_checksums and not all(c.checksums()):
                     raise DecodeError("ChecksumMismatch", "a chunk's checksum doesn't fit")
+                made[k] = c
             except DecodeError as e:
-                plain.append((n_rows, {"chunk_no": number, "record_seq": number << 32, "error": error(e)}))
-                n_rows += 1
-                continue
-            made[k] = c
-            for i, r in enumerate(c.records()):
+                failed[k] = {"chunk_no": number, "record_seq": number << 32, "error": error(e)}
+        buf = np.frombuffer(b"".join(d for _, d in chunks), np.uint8)
+        walk, odd = self._walk(buf, made)
+        counts = np.bincount(walk[:, 1], minlength=len(chunks)) if len(walk) else np.zeros(len(chunks), np.int64)
+        slow = {k: list(made[k].records()) for k in odd}
+        for k in failed:
+            counts[k] = 1
+        for k, found in slow.items():
+            counts[k] = len(found)
+        first = np.cumsum(counts) - counts
+        plain += [(int(first[k]), row) for k, row in failed.items()]
+        more = []
+        for k, found in slow.items():
+            for i, r in enumerate(found):
+                o, number = int(first[k]) + i, chunks[k][0]
                 if isinstance(r, DecodeError):
-                    plain.append((n_rows, {"chunk_no": number, "record_seq": (number << 32) + i, "error": error(r)}))
+                    plain.append((o, {"chunk_no": number, "record_seq": (number << 32) + i, "error": error(r)}))
                 elif r[2] < 1 << 63 and r[3] < 1 << 63:
-                    walk.append((n_rows, k, i, *r))
+                    more.append((o, k, i, *r))
                 else:
-                    plain.append((n_rows, self._plain(c, number, i, r)))
-                n_rows += 1
+                    plain.append((o, self._plain(made[k], number, i, r)))
+        if len(walk):
+            walk[:, 0] = first[walk[:, 1]] + walk[:, 2]
+            walk = walk[np.argsort(walk[:, 0])]
+        rows = np.concatenate([walk, np.array(more, np.int64)]) if more else walk
         batches, orders = [], []
-        if walk:
-            rows = np.array(walk, np.int64)
+        if len(rows):
             left = np.ones(len(rows), bool)
-            buf = np.frombuffer(b"".join(d for _, d in chunks), np.uint8)
             for at, batch in self._groups(buf, rows, chunks, made):
                 left[at] = False
                 batches.append(batch)
@@ -198,6 +211,29 @@ class BlockDecoder:
         batch = out[0] if out else pa.RecordBatch.from_pylist([], self.schema)
         return batch.set_column(0, self.schema.field(0), pa.repeat(pa.scalar(path, pa.string()), batch.num_rows))
 
+    def _walk(self, buf: np.ndarray, made: list[Chunk | None]) -> tuple[np.ndarray, list[int]]:
+        """Records of all chunks, a step in each chunk at a time: rows (0, chunk, row, offset, size, id,
+        FILETIME), and the chunks with anything unusual, which have no rows here."""
+        live = np.array([k for k, c in enumerate(made) if c is not None], np.int64)
+        end = np.array([min(c.header["free_space_offset"], CHUNK) if c else 0 for c in made], np.int64)
+        last = np.array([c.header["last_record_id"] if c else 0 for c in made], np.uint64)
+        at = np.full(len(made), RECORDS_AT, np.int64)
+        steps, odd = [], np.zeros(len(made), bool)
+        head = np.arange(RECORD_HEADER)
+        while len(live):
+            live = live[at[live] + RECORD_HEADER <= end[live]]
+            raw = np.ascontiguousarray(buf[(live * CHUNK + at[live])[:, None] + head])
+            magic, size = raw[:, :4].copy().view("<u4")[:, 0], raw[:, 4:8].copy().view("<u4")[:, 0].astype(np.int64)
+            ids = raw[:, 8:24].copy().view("<u8")
+            fine = (magic == RECORD) & (size >= RECORD_HEADER + 4) & (at[live] + size <= CHUNK) & (ids < 1 << 63).all(axis=1)
+            odd[live[~fine & (magic != 0)]] = True
+            live, size, ids = live[fine], size[fine], ids[fine]
+            steps.append(np.stack([np.zeros_like(live), live, np.full_like(live, len(steps)), at[live], size, *ids.astype(np.int64).T], axis=1))
+            at[live] += size
+            live = live[ids[:, 0] != last[live]]
+        rows = np.concatenate(steps) if steps else np.zeros((0, 7), np.int64)
+        return rows[~odd[rows[:, 1]]], np.flatnonzero(odd).tolist()
+
     def _plain(self, c: Chunk, number: int, i: int, r: tuple) -> dict:
         row = plain_row(c, i, r, json=self.json, xml=self.xml)
         return {"chunk_no": number, "record_seq": (number << 32) + row.pop("row_in_chunk"), **row}
@@ -299,7 +335,11 @@ class BlockDecoder:
         if not len(idx):
             return
         if n:
-            _, first, which = np.unique(np.ascontiguousarray(shape).view(np.dtype((np.void, 2 * n)))[:, 0], return_index=True, return_inverse=True)
+            # Shapes are told apart by a sum with odd weights, which is then held against the shapes themselves.
+            mixed = (shape.astype(np.int64) * _WEIGHTS[:n]).sum(axis=1)
+            _, first, which = np.unique(mixed, return_index=True, return_inverse=True)
+            if not np.array_equal(shape[first[which]], shape):
+                _, first, which = np.unique(shape, axis=0, return_index=True, return_inverse=True)
         else:
             first, which = np.zeros(1, np.int64), np.zeros(len(idx), np.int64)
         for g, f in enumerate(first.tolist()):

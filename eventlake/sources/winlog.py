@@ -51,7 +51,7 @@ BATCH, CHUNK_BATCH = 1024, 16
 #: Chunks of a task unless an option says more or less, tasks of a scan, and bytes read at once.
 PER_TASK, MOST_TASKS, READ = 256, 50_000, 1 << 20
 #: Chunks decoded together, and rows of a batch that they give.
-BLOCK, ROWS = 32, 4096
+BLOCK, ROWS = 64, 4096
 
 
 #: Facets that a chunk's state counts, and their columns.
