@@ -2,10 +2,11 @@
 
 Each source's documents form one stream of words, in the order of a hash bucket of
 the id and then the id; the stream is cut into blocks of ``block`` words. The mix has
-as many block slots as the corpus has blocks. They're split among output shards; for
-each shard a multinomial draw says how many of its slots each source fills, and the
-last shard takes what is left, so that a source's total hits its target to within
-half a block. Slot k of a source stands for block ``perm(k mod n)`` of its n blocks,
+as many block slots as the corpus has blocks. They're split among output shards by a
+binary tree: at each node a multinomial draw says how many of the left half's slots each
+source fills, and the right half takes what is left, so that a source's total hits its
+target to within half a block. A node's draw has a seed of its own, so each task draws the
+nodes above its own shards and no table of draws passes through the driver. Slot k of a source stands for block ``perm(k mod n)`` of its n blocks,
 where a keyed Feistel permutation (a new one for each pass over the source) shuffles
 the indexes without a table. Slots and blocks meet in a join by (source, block).
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, renamed, written
@@ -33,9 +34,11 @@ class MixConfig:
     block: int = 128
     #: Slots of an output shard, and the number of shards at which shards grow instead.
     shard_slots: int = 8192
-    max_shards: int = 1024
-    #: Hash buckets of a source's stream: a source of any size is ordered in so many tasks.
+    max_shards: int = 1 << 20
+    #: Hash buckets of a source's stream: so many at least, and one for each ``bucket_words`` of the
+    #: corpus, so that a source of any size is ordered in bounded tasks.
     buckets: int = 1024
+    bucket_words: int = 1 << 25
     seed: int = 20240101
     #: Above this many sources the per-source table is joined, not broadcast.
     broadcast_sources: int = 10_000
@@ -44,40 +47,54 @@ class MixConfig:
 def targets(sizes: list[int], weights: tuple[float, ...], most: float) -> list[float]:
     """Share sum(sizes) by repeating weights; none above ``most`` times its size, the
     excess going to the others by weight until none is above."""
-    n, w = len(sizes), [weights[i % len(weights)] for i in range(len(sizes))]
-    out, free, left = [0.0] * n, set(range(n)), float(sum(sizes))
-    while free:
-        total = sum(w[i] for i in sorted(free))
-        over = [i for i in sorted(free) if left * w[i] / total > most * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * w[i] / total
+    size = np.array(sizes, np.float64)
+    w = np.resize(np.array(weights, np.float64), len(sizes))
+    out, free, left = np.zeros(len(sizes)), np.ones(len(sizes), bool), float(sum(sizes))
+    while free.any():
+        share = left * w / w[free].sum()
+        over = free & (share > most * size)
+        if not over.any():
+            out[free] = share[free]
             break
-        for i in over:
-            out[i] = float(most * sizes[i])
-        free -= set(over)
-        left = float(sum(sizes)) - sum(out)
-    return out
-
-
-def shard_counts(slots: list[int], config: MixConfig) -> list[list[int]]:
-    """Slots by shard and source. A shard's counts are a multinomial draw by what the
-    sources have left; no source is overdrawn, and the totals are exactly ``slots``."""
-    left = np.array(slots, dtype=np.int64)
-    total = int(left.sum())
-    shards = int(min(config.max_shards, max(1, -(-total // config.shard_slots))))
-    rng, out = np.random.Generator(np.random.PCG64(config.seed)), []
-    for s in range(shards - 1):
-        want = total * (s + 1) // shards - total * s // shards
-        got = np.zeros_like(left)
-        while want:
-            free = left - got
-            draw = np.minimum(rng.multinomial(want, free / free.sum()), free)
-            got += draw
-            want -= int(draw.sum())
-        left -= got
-        out.append(got.tolist())
-    return [*out, left.tolist()]
+        out[over] = most * size[over]
+        free &= ~over
+        left = float(sum(sizes)) - float(out.sum())
+    return out.tolist()
+
+
+def shard_number(total: int, config: MixConfig) -> int:
+    return int(min(config.max_shards, max(1, -(-total // config.shard_slots))))
+
+
+def drawn(left: np.ndarray, want: int, rng: np.random.Generator) -> np.ndarray:
+    """``want`` of the sources' slots by multinomial draws of what they have left; none is overdrawn."""
+    got = np.zeros_like(left)
+    while want:
+        free = left - got
+        draw = np.minimum(rng.multinomial(want, free / free.sum()), free)
+        got += draw
+        want -= int(draw.sum())
+    return got
+
+
+def shard_counts(slots: np.ndarray, shards: int, low: int, high: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source, slots of each source in earlier shards) of the shards from ``low``
+    to before ``high``; over all shards the totals are exactly ``slots``. A shard has the same
+    counts whichever shards are asked for."""
+    total = int(slots.sum())
+
+    def visit(a: int, b: int, counts: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if b <= low or a >= high:
+            return
+        if b - a == 1:
+            yield a, counts, first
+            return
+        mid = (a + b) // 2
+        got = drawn(counts, total * mid // shards - total * a // shards, np.random.Generator(np.random.PCG64([seed, a, b])))
+        yield from visit(a, mid, got, first)
+        yield from visit(mid, b, counts - got, first + got)
+
+    yield from visit(0, shards, slots, np.zeros_like(slots))
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -96,25 +113,41 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _blocks_of_slots(seed: int, chunk: int = 1 << 16):
-    """Rows (src, n, first, count, shard, before, slots) to one row (shard, slot, src, block) for
-    each slot. A keyed permutation of the shard's slots mixes its sources."""
+def _blocks_of_slots(known, shards: int, step: int, seed: int, chunk: int = 1 << 16):
+    """Numbers of groups of ``step`` shards to one row (shard, slot, src, block) for each slot. A keyed
+    permutation of a shard's slots mixes its sources."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots_of, blocks_of = known.value
         for batch in batches:
-            for src, n, first, count, shard, before, slots in zip(*(batch.column(c).to_pylist() for c in ("src", "n", "first", "count", "shard", "before", "slots")), strict=True):
-                at = first
-                while at < first + count:
-                    turn = at // n
-                    stop = min(at + chunk, first + count, (turn + 1) * n)
-                    block = permuted(np.arange(at, stop) - turn * n, n, seed * 1_000_003 + src * 31 + turn)
-                    slot = permuted(np.arange(at, stop) - first + before, slots, seed * 1_000_003 + 500_009 + shard)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), shard, np.int32)), pa.array(slot), pa.array(np.full(len(block), src, np.int32)), pa.array(block)], ["shard", "slot", "src", "block"])
-                    at = stop
+            for group in batch.column("id").to_pylist():
+                for shard, counts, first in shard_counts(slots_of, shards, group * step, min((group + 1) * step, shards), seed):
+                    here, before, held, rows = int(counts.sum()), 0, [], 0
+                    for src in np.flatnonzero(counts).tolist():
+                        n, at, stop_at = int(blocks_of[src]), int(first[src]), int(first[src] + counts[src])
+                        while at < stop_at:
+                            turn = at // n
+                            stop = min(at + chunk, stop_at, (turn + 1) * n)
+                            block = permuted(np.arange(at, stop) - turn * n, n, seed * 1_000_003 + src * 31 + turn)
+                            slot = permuted(np.arange(at, stop) - int(first[src]) + before, here, seed * 1_000_003 + 500_009 + shard)
+                            held.append((slot, np.full(len(block), src, np.int32), block))
+                            rows += len(block)
+                            at = stop
+                            if rows >= chunk:
+                                yield _slot_batch(shard, held)
+                                held, rows = [], 0
+                        before += int(counts[src])
+                    if held:
+                        yield _slot_batch(shard, held)
 
     return run
 
 
+def _slot_batch(shard: int, held: list[tuple]) -> pa.RecordBatch:
+    slot, src, block = (np.concatenate(c) for c in zip(*held, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), shard, np.int32)), pa.array(slot), pa.array(src), pa.array(block)], ["shard", "slot", "src", "block"])
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words, and a hash of the text that tells repeated ids apart."""
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("hash"))
@@ -130,20 +163,20 @@ def _dealt(docs: DataFrame, config: MixConfig) -> tuple[DataFrame, DataFrame]:
     want = targets(sizes, config.weights, config.most)
     n_blocks = [-(-s // config.block) for s in sizes]
     slots = [min(int(config.most * n), round(t * n / s)) if s else 0 for n, s, t in zip(n_blocks, sizes, want, strict=True)]
-    draws, first = [], [0] * len(sizes)
-    for number, shard in enumerate(shard_counts(slots, config)):
-        for i, c in enumerate(shard):
-            if c:
-                draws.append(Row(src=i, n=n_blocks[i], first=first[i], count=c, shard=number, before=sum(shard[:i]), slots=sum(shard)))
-                first[i] += c
-    sources = spark.createDataFrame([Row(source=name, src=i, source_size=sizes[i], target=want[i]) for i, (name, _) in enumerate(found)], "source string, src int, source_size long, target double")
+    total = sum(slots)
+    shards = shard_number(total, config)
+    groups = min(shards, 4 * spark.sparkContext.defaultParallelism + shards // 64)
+    # Two numbers a source go to the tasks; what they draw goes nowhere else.
+    shared = spark.sparkContext.broadcast((np.array(slots, np.int64), np.array(n_blocks, np.int64)))
+    slots_of = spark.range(0, -(-shards // -(-shards // groups)), 1, groups).mapInArrow(_blocks_of_slots(shared, shards, -(-shards // groups), config.seed), "shard int, slot long, src int, block long")
+    names = pa.table({"source": pa.array([name for name, _ in found], pa.string()), "src": pa.array(range(len(found)), pa.int32()), "source_size": pa.array(sizes, pa.int64()), "target": pa.array(want, pa.float64())})
+    sources = spark.createDataFrame(names)
     if len(found) <= config.broadcast_sources:
         sources = F.broadcast(sources)
-    drawn = spark.createDataFrame(draws, "src int, n long, first long, count long, shard int, before long, slots long")
-    slots_of = drawn.repartition(max(1, min(len(draws), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(_blocks_of_slots(config.seed), "shard int, slot long, src int, block long")
+    buckets = max(config.buckets, sum(sizes) // config.bucket_words)
 
     # The place of each row in its source's stream: sums of whole buckets, then sums inside one.
-    known = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(config.buckets)).cast("int"))
+    known = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(buckets)).cast("int"))
     bucket_sums = known.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = bucket_sums.select("src", "bucket", (F.sum("bucket_size").over(Window.partitionBy("src").orderBy("bucket")) - F.col("bucket_size")).alias("before"))
     inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -205,8 +238,10 @@ def mixed_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFra
     keys = Window.partitionBy("doc_id", "hash", "source").orderBy("size")
     # Rows alike in id, source and text differ only in their place: number them on both sides.
     plan = plan.where(F.col("taken") > 0).withColumn("nth_", F.row_number().over(keys)).select(F.col("doc_id").alias("id_"), F.col("hash").alias("hash_"), F.col("source").alias("source_"), "nth_", F.col("size").alias("size_"), F.col("spans").alias("spans_"))
-    mine = Window.partitionBy("doc_id", F.col("hash_in_"), "source").orderBy(F.lit(1))
-    rows = docs.withColumn("hash_in_", F.xxhash64("text")).withColumn("nth_in_", F.row_number().over(mine))
+    # In the order of their other columns, so that a rerun repeats the same ones.
+    others = [F.col(c) for c in columns if c not in ("doc_id", "text", "source")]
+    mine = Window.partitionBy("doc_id", F.col("hash_in_"), "source").orderBy("other_in_")
+    rows = docs.withColumn("hash_in_", F.xxhash64("text")).withColumn("other_in_", F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)).withColumn("nth_in_", F.row_number().over(mine))
     met = rows.join(plan, rows["doc_id"].eqNullSafe(plan["id_"]) & (rows["hash_in_"] == plan["hash_"]) & rows["source"].eqNullSafe(plan["source_"]) & (rows["nth_in_"] == plan["nth_"]))
     whole = F.when(F.aggregate("spans_", F.lit(0).cast("long"), lambda acc, s: acc + s["to"] - s["from"]) == F.col("size_"), F.array_min(F.transform("spans_", lambda s: s["times"]))).otherwise(F.lit(0).cast("long"))
     most = F.array_max(F.transform("spans_", lambda s: s["times"]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import audit, chat, codebooks, langid, licenses, media, mixing, ngram, packing, quality, simhash, urls, vectors
@@ -99,9 +99,12 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can express of op6_mixing: sizes and, by source, whether the taken words come near the target."""
-    told = op6_mixing(spark, sf_dir)
-    return told.select("doc_id", "size", "source_size")
+    """What SQL can express of op6_mixing: sizes, targets, that no document exceeds three times its
+    size, and that the words taken of its source come within a block or 2% of the target."""
+    docs = table(spark, sf_dir, "documents")
+    told = mixing.mix_plan(docs)
+    near = F.abs(F.sum("taken").over(Window.partitionBy("source")) - F.col("target")) <= F.greatest(F.lit(float(mixing.MixConfig().block)), F.col("target") * 0.02)
+    return told.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("bounded"), near.alias("near"))
 
 
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +141,14 @@ ORACLE_SQL: dict[str, str] = {
     "op12_quality": quality.ORACLE_SQL,
     "op13_audit": audit.ORACLE_SQL,
     "url_rules": urls.RULE_SQL,
-    "mixing_targets": f"""SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size
-FROM (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD_SQL}')), 0) AS BIGINT) AS size FROM documents)""",
+    "mixing_targets": f"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD_SQL}')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+r AS (SELECT 0 AS k, source, size, w, false AS cap, true AS go FROM s
+  UNION ALL SELECT k + 1, source, size, w, cap OR over, bool_or(over AND NOT cap) OVER () FROM (
+    SELECT *, coalesce((sum(size) OVER () - coalesce(sum(3 * size) FILTER (WHERE cap) OVER (), 0)) * w / sum(w) FILTER (WHERE NOT cap) OVER () > 3 * size, false) AS over FROM r WHERE go)),
+t AS (SELECT source, size, CASE WHEN cap THEN 3 * size ELSE (sum(size) OVER () - coalesce(sum(3 * size) FILTER (WHERE cap) OVER (), 0)) * w / sum(w) FILTER (WHERE NOT cap) OVER () END AS target
+  FROM r WHERE k = (SELECT max(k) FROM r))
+SELECT doc_id, d.size, t.size::BIGINT AS source_size, round(target, 3) AS target, true AS bounded, true AS near FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
     "media_payloads": """SELECT doc_id, n AS n_bytes, CAST(576 * greatest(1, (n + 575) // 576) AS BIGINT) AS payload_bytes
 FROM (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n FROM documents)""",
 }

@@ -416,6 +416,36 @@ def test_mixed_blocks_by_shard(spark):
     assert all(same[r["source"], r["block"]] == r["words"] and len(r["words"]) <= 16 for r in got)
 
 
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=30), st.integers(1, 40), st.integers(0, 9))
+def test_shards_draw_exact_totals_whoever_asks(slots, shards, seed):
+    slots = np.array(slots)
+    whole = list(mixing.shard_counts(slots, shards, 0, shards, seed))
+    assert [s for s, _, _ in whole] == list(range(shards))
+    assert sum(c for _, c, _ in whole).tolist() == slots.tolist()
+    total, before = int(slots.sum()), np.zeros_like(slots)
+    for s, counts, first in whole:
+        assert counts.sum() == total * (s + 1) // shards - total * s // shards and (counts >= 0).all()
+        assert first.tolist() == before.tolist()
+        before = before + counts
+        again = list(mixing.shard_counts(slots, shards, s, s + 1, seed))
+        assert len(again) == 1 and again[0][1].tolist() == counts.tolist() and again[0][2].tolist() == first.tolist()
+
+
+def test_mixing_of_very_many_sources(spark):
+    """100,000 sources of a few words: their totals are exact to a block, and the driver makes no table of draws."""
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 7 + 1).cast("int"))).alias("text"), F.concat(F.lit("s"), F.pmod("id", F.lit(100_000)).cast("string")).alias("source"))
+    config = mixing.MixConfig(block=2, shard_slots=4096)
+    by = mixing.mix_plan(docs, config).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("size"))
+    row = by.agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.max(F.abs(F.col("taken") - F.col("target"))).alias("off"), F.max(F.col("taken") / F.col("size")).alias("most")).first()
+    assert row["n"] == 100_000 and row["most"] <= 3 and row["off"] <= 7 and abs(row["taken"] - row["size"]) < 0.05 * row["size"]
+
+
+def test_mix_repeats_the_same_of_rows_alike(spark):
+    rows = [(1, "a b c d e", "x", i) for i in range(20)] + [(k, "f g h i j", "y", 0) for k in range(2, 9)]
+    one = lambda n: sorted(map(tuple, mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, more long").repartition(n, "more"), mixing.MixConfig(block=5)).collect()))
+    assert one(2) == one(5)
+
+
 # 7 Licenses
 
 
