@@ -2,9 +2,10 @@
 
 A rule fits its host and all subdomains if the path starts with the rule's path; the
 longest rule wins. URLs that no rule fits are judged by gradient-boosted trees on
-lexical features, trained from the URLs that rules label. The trees are a classifier
-and are fitted on at most ``max_rows`` labelled URLs, those with the least hashes; the
-suffix statistics count all labelled URLs, in ``suffix_buckets`` hash buckets.
+lexical features, trained from labelled URLs: those of a label column (``train``), or
+those that the rules label. The trees are a classifier and are fitted on at most ``max_rows``
+different labelled URLs, those with the least hashes, a repeated one with more weight; the
+suffix statistics count all labelled rows, in ``suffix_buckets`` hash buckets.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ RULES = (("net/", BLOCK), ("example.net/en/", ALLOW), ("example.com/de/", BLOCK)
 @dataclass(frozen=True)
 class UrlConfig:
     rules: tuple[tuple[str, str], ...] = RULES
-    #: Labelled URLs that the trees are fitted on, at most.
+    #: Different labelled URLs that the trees are fitted on, at most.
     max_rows: int = 20_000
     suffix_buckets: int = 4096
     rounds: int = 40
@@ -121,21 +122,28 @@ def _suffix_counts(buckets: int):
     return run
 
 
-def train(ruled: DataFrame, config: UrlConfig = UrlConfig()) -> UrlModel:
-    """Fit on the rows that rules label (output of ``with_rule``). Without any, the odds are even."""
-    labelled = ruled.where(F.col("rule_verdict").isNotNull()).select("url", "host", (F.col("rule_verdict") == BLOCK).cast("int").alias("label"))
+def train(labelled: DataFrame, config: UrlConfig = UrlConfig()) -> UrlModel:
+    """Fit on rows (url, label); label is 1 for URLs to block, 0 for others, and rows without one
+    teach nothing. Labels of a repeated URL are averaged; it weighs 1 + log2 of its rows, so that one
+    with very many doesn't drown the rest. Without any label the odds are even."""
+    known = labelled.where(F.col("label").isNotNull()).select("url", host_of(F.col("url")).alias("host"), F.col("label").cast("int").alias("label"))
     stats = np.zeros((config.suffix_buckets, 2))
-    for r in labelled.select("host", "label").mapInArrow(_suffix_counts(config.suffix_buckets), "bucket int, seen long, blocked long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("blocked").alias("blocked")).collect():
+    for r in known.select("host", "label").mapInArrow(_suffix_counts(config.suffix_buckets), "bucket int, seen long, blocked long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("blocked").alias("blocked")).collect():
         stats[r["bucket"]] = r["seen"], r["blocked"]
-    hashed = labelled.select("url", "label", F.xxhash64("url").alias("h"))
-    least = lambda df: df.orderBy("h", "url").limit(config.max_rows).collect()
-    share = 1.5 * config.max_rows / max(1.0, stats[:, 0].sum() / 2)  # a URL counts in two buckets
-    # Few more rows than are taken pass the hash, so tasks don't each send that many. If one
-    # URL is so frequent that none passes, all may.
-    rows = least(hashed.where(F.col("h") < int((1 << 64) * share) - (1 << 63))) if share < 1 else []
-    rows = rows or least(hashed)
+    hashed = known.select("url", "label", F.xxhash64("url").alias("h"))
+    # Few more URLs than are taken pass the hash, so what is grouped and sent is bounded.
+    different = max(1, hashed.agg(F.approx_count_distinct("h", 0.02).alias("n")).first()["n"])
+    share = 1.5 * config.max_rows / different
+    some = hashed.where(F.col("h") < int((1 << 64) * share) - (1 << 63)) if share < 1 else hashed
+    rows = some.groupBy("h", "url").agg(F.avg("label").alias("label"), F.count("*").alias("n")).orderBy("h", "url").limit(config.max_rows).collect()
     x = np.array([features(r["url"], stats) for r in rows], np.float64).reshape(-1, len(FEATURES))
-    return UrlModel(fit(x, np.array([r["label"] for r in rows], np.float64), rounds=config.rounds, depth=config.depth), stats)
+    weight = 1 + np.log2(np.array([r["n"] for r in rows], np.float64))
+    return UrlModel(fit(x, np.array([r["label"] for r in rows], np.float64), weight, rounds=config.rounds, depth=config.depth), stats)
+
+
+def rule_labels(ruled: DataFrame) -> DataFrame:
+    """(url, label) of the rows of ``with_rule`` that rules label."""
+    return ruled.where(F.col("rule_verdict").isNotNull()).select("url", (F.col("rule_verdict") == BLOCK).cast("int").alias("label"))
 
 
 def _judge(sent):
@@ -148,16 +156,17 @@ def _judge(sent):
     return run
 
 
-def judged(pages: DataFrame, config: UrlConfig = UrlConfig()) -> DataFrame:
+def judged(pages: DataFrame, config: UrlConfig = UrlConfig(), model: UrlModel | None = None) -> DataFrame:
     """Add host, path, rule (null if none fits), verdict (the rule's, else the trees') and
-    block_share (the trees' probability) to every row.
+    block_share (the trees' probability) to every row. ``model`` comes from labels of one's own
+    (``train``); without it the URLs that rules label teach the trees.
 
     An even chance is allowed. Columns with these names become ``<name>_in``; repeated
     rows get equal answers; an empty table gives no rows.
     """
     pages = renamed(pages, ["host", "path", "rule", "rule_verdict", "block_share", "verdict"])
     ruled = with_rule(pages, config)
-    sent = pages.sparkSession.sparkContext.broadcast(train(ruled, config))  # trees and suffix_buckets rows
+    sent = pages.sparkSession.sparkContext.broadcast(model or train(rule_labels(ruled), config))  # trees and suffix_buckets rows
     scored = ruled.mapInArrow(_judge(sent), schema_with(ruled, ("block_share", T.DoubleType())))
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_share") > 0.5, BLOCK).otherwise(ALLOW))
     return scored.withColumn("verdict", verdict).drop("rule_verdict")

@@ -1,7 +1,9 @@
 """Operators 11 to 13 against plain versions, and their edge cases."""
 
 import itertools
+import math
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -13,7 +15,7 @@ from hypothesis.extra import numpy as arrays
 from pyspark.sql import functions as F
 from test_llm import DOCS, LONG, ODD, docs_of, odd
 
-from eventlake.llm import audit, codebooks, quality, queries
+from eventlake.llm import audit, boosting, codebooks, media, quality, queries, urls
 
 # 11 Codebooks
 
@@ -236,3 +238,145 @@ def test_queries_against_sql(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     want = db.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+
+
+# 2 URL filters: the trees
+
+
+def slow_features(url):
+    """Features without the suffix rates, from their definitions."""
+    url = url or ""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    m = re.match(r"([^/?#]*)([^?#]*)(?:\?([^#]*))?(#?)", rest, re.S)
+    host, path, query, mark = re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2], m[3] or "", m[4]
+    n = max(1, len(url))
+    entropy = -sum(url.count(c) / n * math.log2(url.count(c) / n) for c in set(url))
+    return [len(url), len(host), len(path), path.count("/"), len(host.split(".")), sum(map(str.isdigit, url)) / n, sum(map(str.isupper, url)) / n, entropy, len(query.split("&")) if query else 0, max(map(len, path.split("/"))), host.count("-"), float(bool(mark))]
+
+
+@given(st.text(alphabet="aZ0-./?#&:é\n", max_size=30).map(lambda t: f"http://{t}") | st.none() | st.text(max_size=9))
+def test_features_against_their_definitions(url):
+    got = urls.features(url, np.zeros((16, 2)))
+    assert got[:12] == pytest.approx(slow_features(url)) and got[12:] == [0.5, 0.5]
+
+
+def test_suffix_rates_count_every_labelled_row(spark):
+    rows = [("http://a.bad.org/x", 1)] * 30 + [("http://b.bad.org/y", 0)] * 10 + [("http://c.good.org/z", 0)] * 50 + [("http://q.org", None)] * 9 + [(None, 1)]
+    model = urls.train(spark.createDataFrame(rows, "url string, label int"), urls.UrlConfig(rounds=2))
+    got = urls.features("http://zz.bad.org/other", model.stats)[12:]
+    assert got == [(30 + 10) / (90 + 20), (30 + 10) / (40 + 20)]
+    assert (model.stats.sum(axis=0) == [2 * 91, 2 * 31]).all()
+
+
+def slow_boost(x, y, w, rounds, depth, rate=0.2, bins=32, penalty=1.0):
+    """The same boosting, one node and threshold at a time: scores of the training rows."""
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for j in range(x.shape[1])]
+    mean = ((w * y).sum() + 0.5) / (w.sum() + 1)
+    score = np.full(len(y), math.log(mean / (1 - mean)))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-score))
+        g, h = w * (y - p), w * p * (1 - p)
+        nodes = [np.arange(len(y))]
+        for _ in range(depth):
+            after = []
+            for rows in nodes:
+                best, split = 1e-9, None
+                gain = lambda r: g[r].sum() ** 2 / (h[r].sum() + penalty)  # noqa: B023, E731
+                for j, e in enumerate(edges):
+                    for t in e:
+                        left, right = rows[x[rows, j] <= t], rows[x[rows, j] > t]
+                        value = gain(left) + gain(right) - gain(rows)
+                        if value > best + 1e-9:
+                            best, split = value, (left, right)
+                after += split or (rows, rows[:0])
+            nodes = after
+        for rows in nodes:
+            score[rows] += rate * g[rows].sum() / (h[rows].sum() + penalty)
+    return score
+
+
+def test_boosting_against_a_plain_version():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((120, 3)), 2)
+    y, w = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.1, 120) > 0.7).astype(float), rng.integers(1, 5, 120).astype(float)
+    trees = boosting.fit(x, y, w, rounds=4, depth=3)
+    assert trees.score(x) == pytest.approx(slow_boost(x, y, w, 4, 3), abs=1e-6)
+
+
+def labelled_urls(n=4000):
+    """URLs whose label follows from digits in the host and parameters; some of them very often."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(n):
+        bad = int(rng.random() < 0.4)
+        host = "".join(rng.choice(list("0123456789" if bad else "abcdefgh"), 9)) + f".s{rng.integers(0, 40)}.org"
+        query = "?" + "&".join(f"p{k}={rng.integers(0, 999)}" for k in range(rng.integers(3, 9))) if bad and rng.random() < 0.8 else ""
+        rows.append((i, f"http://{host}/{'a/' * int(rng.integers(0, 4))}x{query}", bad))
+    return rows
+
+
+def test_trees_learn_held_out_urls_from_a_label_column(spark):
+    rows = labelled_urls()
+    hot = [(10_000 + i, "http://hot.s1.org/again", 0) for i in range(2000)]  # a third of the training rows
+    train = spark.createDataFrame([r for r in rows if r[0] % 2 == 0] + hot, "page_id long, url string, label int")
+    config = urls.UrlConfig(rules=(), max_rows=1500)
+    model = urls.train(train, config)
+    held = [r for r in rows if r[0] % 2]
+    got = {r["page_id"]: r["verdict"] for r in urls.judged(spark.createDataFrame(held, "page_id long, url string, label int"), config, model).collect()}
+    said = [r for r in held if got[r[0]] == "block"]
+    assert sum(r[2] for r in said) / len(said) > 0.95 and sum(r[2] for r in said) / sum(r[2] for r in held) > 0.95
+    assert not model.block_share(["http://hot.s1.org/again"])[0] > 0.5
+
+
+def test_url_query_is_its_operator(spark, sf):
+    got = {r["page_id"]: tuple(r)[1:] for r in queries.op2_urls(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    ruled = urls.with_rule(pages)
+    model = urls.train(urls.rule_labels(ruled))
+    for r in ruled.collect():
+        share = float(model.block_share([r["url"]])[0])
+        assert got[r["page_id"]] == (r["host"], r["path"], r["rule"], r["rule_verdict"] or ("block" if share > 0.5 else "allow"), pytest.approx(share))
+
+
+# 3 Media: features
+
+
+def test_resampling_by_its_definition():
+    rng = np.random.default_rng(2)
+    x = rng.integers(-32768, 32768, 501).astype(np.int16)
+    twice = media.resampled(x, 8000, 16000).tolist()
+    assert twice[::2] == x.tolist() and twice[-1] == x[-1]
+    assert twice[1:-1:2] == [(int(a) + int(b)) // 2 for a, b in zip(x, x[1:], strict=False)]
+    for low, high in ((8000, 11025), (8000, 4000)):
+        got = media.resampled(x, low, high)
+        assert len(got) == len(x) * high // low
+        for k, v in enumerate(got.tolist()):
+            at = k * low / high
+            a, b = int(x[int(at)]), int(x[min(int(at) + 1, len(x) - 1)])
+            assert abs(v - (a + (b - a) * (at - int(at)))) <= 0.5 + 1e-6
+    assert media.resampled(x[:0], 8000, 16000).tolist() == [] and media.resampled(x, 8000, 8000) is x
+
+
+@given(st.lists(st.integers(-32768, 32767), max_size=50))
+def test_summary_by_its_definition(xs):
+    n, peak, rms, changes = map(int, media.summary(np.array(xs, np.int16)).split(","))
+    assert (n, peak, changes) == (len(xs), max(map(abs, xs), default=0), sum((a < 0) != (b < 0) for a, b in zip(xs, xs[1:], strict=False)))
+    assert rms == (int((sum(x * x for x in xs) / len(xs)) ** 0.5 * 1000) if xs else 0)
+
+
+def test_media_query_features_are_the_stored_forms(spark, sf):
+    rows = queries.op3_media(spark, sf).join(docs_of(spark, sf).select("doc_id", "text"), "doc_id").collect()
+    config = media.MediaConfig()
+    for r in rows[:60]:
+        raw = (r["text"] or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")
+        pcm = media.mulaw_table()[np.frombuffer(payload, np.uint8)]
+        out = media.resampled(pcm, config.rate_in, config.rate_out).astype("<i2").tobytes()
+        assert r["pcm_crc32"] == zlib.crc32(out) and f"pcm{config.rate_out}:{zlib.crc32(out):08x}" in r["feature"]
+        assert r["feature"].startswith(f"mulaw:{media.summary(pcm)};") and f"alaw:{media.summary(media.alaw_table()[np.frombuffer(payload, np.uint8)])};" in r["feature"]
+
+
+def test_media_longer_than_a_slice(spark):
+    text = "telephone " * 900_000
+    r = media.loaded(media.stored(spark.createDataFrame([(1, "a"), (2, text), (3, None)], "doc_id long, text string"))).where("doc_id = 2").first()
+    assert bytes(r["payload"])[: len(text)].decode() == text and r["n_bytes"] == len(text)
