@@ -2,11 +2,15 @@
 
 Words are runs of letters, digits and underscores, lower-cased; shingles have five
 words. A template with m shingles is there where a run of m + m // 4 + 1 shingles holds
-``containment`` (0.8) of its distinct shingles or more. Windows of 2 m + m // 4 + 1
-shingles every m shingles hold any such run whole, whatever its place, so a window's
-Jaccard similarity to the template has a lower bound; the number of bands is the least
-at which two sets that similar share a band with probability ``retrieval``. Windows
-that share a band with a template are candidates, and every run near them is verified.
+``containment`` (0.8) of its distinct shingles or more. Templates of similar lengths, up to
+M shingles, are a class: windows of 2 M + M // 4 + 1 shingles every M shingles hold any such
+run of theirs whole, whatever its place, so a window's Jaccard similarity to the template has
+a lower bound; a class has as many bands as two sets that similar need to share one with
+probability ``retrieval``. The shingles' permuted values are made once and serve the windows
+of all classes; a class keeps its templates' values sorted by band, and windows look theirs
+up there, so that work grows with classes (the logarithm of the lengths) and with hits, not
+with templates. Windows that share a band with a template are candidates, and every run
+near them is verified.
 """
 
 from __future__ import annotations
@@ -49,6 +53,8 @@ class LicenseConfig:
     #: Rows of a band.
     rows: int = 1
     seed: int = 11
+    #: Longest template of a class by its shortest.
+    spread: float = 1.25
     templates: tuple[tuple[str, str], ...] = tuple(sorted(TEMPLATES.items()))
 
 
@@ -56,16 +62,29 @@ def slack(m: int) -> int:
     return m // 4 + 1
 
 
-def bands_needed(m: int, config: LicenseConfig) -> int:
-    """Bands at which a window that holds a run with the template is retrieved."""
+def bands_needed(m: int, longest: int, config: LicenseConfig) -> int:
+    """Bands at which a window of a class is retrieved that holds a run with a template of m shingles."""
     held = math.ceil(config.containment * m)
-    jaccard = held / (2 * m + slack(m) + m - held)
+    jaccard = held / (2 * longest + slack(longest) + m - held)
     return math.ceil(math.log(1 - config.retrieval) / math.log(1 - jaccard**config.rows)) if jaccard < 1 else 1
 
 
+class _Hashes(dict):
+    """Hashes of words, each computed once in a worker; emptied when it has very many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     w = _WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    return np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w))
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -80,62 +99,119 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Class:
+    """Templates of similar lengths: their sets of shingles, and their values by band, sorted."""
+
+    names: list[str]
+    sets: list[np.ndarray]
+    bands: int
+    values: list[np.ndarray]
+    order: list[np.ndarray]
+
+    @property
+    def longest(self) -> int:
+        return max(map(len, self.sets))
+
+
 class Index:
-    """Templates by number of shingles, with their signatures in bands."""
+    """Templates in classes by length, with their signatures."""
 
     def __init__(self, config: LicenseConfig):
         self.config = config
-        sets: dict[int, list[tuple[str, np.ndarray]]] = {}
+        made = []
         for name, text in config.templates:
             s = np.unique(shingles(word_hashes(text)))
             if not len(s):
                 raise ValueError(f"template {name} has fewer than {SHINGLE} words")
-            sets.setdefault(len(s), []).append((name, s))
-        self.sets = sets
-        self.bands = {m: bands_needed(m, config) for m in sets}
-        n = max(self.bands.values(), default=0) * config.rows
+            made.append((len(s), name, s))
+        groups: list[list[tuple]] = []
+        for t in sorted(made, key=lambda t: t[:2]):
+            if groups and t[0] <= config.spread * groups[-1][0][0]:
+                groups[-1].append(t)
+            else:
+                groups.append([t])
+        needed = [bands_needed(g[0][0], g[-1][0], config) for g in groups]
+        n = max(needed, default=0) * config.rows
         rng = np.random.Generator(np.random.PCG64(config.seed))
         self.factors = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.classes = []
+        for g, bands in zip(groups, needed, strict=True):
+            signatures = [self.joined([np.array([self.values(t, k).min() for _, _, t in g]) for k in range(b * config.rows, (b + 1) * config.rows)]) for b in range(bands)]
+            order = [np.argsort(v, kind="stable") for v in signatures]
+            self.classes.append(Class([name for _, name, _ in g], [t for _, _, t in g], bands, [v[o] for v, o in zip(signatures, order, strict=True)], order))
 
     def values(self, s: np.ndarray, k: int) -> np.ndarray:
         """The k-th permutation of shingle hashes, 32 bits."""
         return ((s * self.factors[k]) >> np.uint64(32)).astype(np.uint32)
 
-    def candidates(self, s: np.ndarray, m: int) -> list[tuple[int, int]]:
-        """(window, template of m shingles) pairs that share a band."""
+    def joined(self, least: list[np.ndarray]) -> np.ndarray:
+        """The key of a band: its rows' least values as one number."""
+        if len(least) == 1:
+            return least[0]
+        out = np.zeros(len(least[0]), np.uint64)
+        for v in least:
+            out = (out ^ v.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return out
+
+    def candidates(self, s: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """Of texts' shingles one after another (``ends``: where each text's stop): the windows
+        (text, start, stop) that share a band with a template, by (class, template)."""
         if not len(s):
-            return []
-        wide = 2 * m + slack(m)
-        starts = np.arange(0, len(s), m)
-        stops = np.minimum(starts + wide, len(s))
-        edges = np.stack([starts, stops], axis=1).ravel()
-        hits: set[tuple[int, int]] = set()
-        r, empty = self.config.rows, s == 0
-        for band in range(self.bands[m]):
-            alike = [np.ones(len(starts), bool) for _ in self.sets[m]]
-            for k in range(band * r, band * r + r):
-                v = np.append(self.values(s, k), np.uint32(0xFFFFFFFF))  # so that the last stop is an index
-                v[:-1][empty] = 0xFFFFFFFF
-                least = np.minimum.reduceat(v, edges)[::2]
-                for a, (_, t) in zip(alike, self.sets[m], strict=True):
-                    a &= least == self.values(t, k).min()
-            hits.update((int(w), i) for i, a in enumerate(alike) for w in np.flatnonzero(a))
-        return sorted(hits)
-
-    def places(self, s: np.ndarray, candidates: list[tuple[int, int]], m: int) -> list[tuple[str, int, int, float]]:
-        """(template, first shingle, shingles, containment) of the best runs near candidates, disjoint."""
+            return {}
+        begins, sizes = np.append(0, ends[:-1]), np.diff(np.append(0, ends))
+        windows, levels = [], []
+        for c in self.classes:
+            m = c.longest
+            n = -(-sizes // m)
+            text = np.repeat(np.arange(len(sizes)), n)
+            start = begins[text] + m * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
+            stop = np.minimum(start + 2 * m + slack(m), ends[text])
+            windows.append(np.stack([text, start, stop], axis=1))
+            # The least of a window is that of two runs of a power of two: its first and its last.
+            size = np.frexp(stop - start)[1] - 1
+            levels.append([(k, here, start[here], stop[here] - (1 << k)) for k in np.unique(size).tolist() for here in [np.flatnonzero(size == k)]])
+        hits: dict[tuple[int, int], list[int]] = {}
+        r, top = self.config.rows, max(k for each in levels for k, *_ in each)
+        for band in range(max(c.bands for c in self.classes)):
+            tables = []
+            for i in range(band * r, band * r + r):
+                runs = [self.values(s, i)]
+                for k in range(top):
+                    runs.append(np.minimum(runs[k][: -(1 << k)], runs[k][1 << k :]))
+                tables.append(runs)
+            for x, c in enumerate(self.classes):
+                if band >= c.bands:
+                    continue
+                least = [np.empty(len(windows[x]), np.uint32) for _ in tables]
+                for out, runs in zip(least, tables, strict=True):
+                    for k, here, first, last in levels[x]:
+                        out[here] = np.minimum(runs[k][first], runs[k][last])
+                key, known = self.joined(least), c.values[band]
+                low = np.minimum(np.searchsorted(known, key), len(known) - 1) if len(known) > 1 else np.zeros(len(key), np.int64)
+                found = np.flatnonzero(known[low] == key)
+                high = np.searchsorted(known, key[found], "right")
+                for w, a, b in zip(found.tolist(), low[found].tolist(), high.tolist(), strict=True):
+                    for t in c.order[band][a:b].tolist():
+                        hits.setdefault((x, t), []).append(w)
+        return {(x, t): windows[x][np.unique(w)] for (x, t), w in hits.items()}
+
+    def places(self, s: np.ndarray, ends: np.ndarray) -> list[tuple[int, str, int, int, float]]:
+        """(text, template, first shingle, shingles, containment) of the best runs near candidates, disjoint."""
         out = []
-        run, wide = m + slack(m), 2 * m + slack(m)
-        for i, (name, t) in enumerate(self.sets[m]):
+        begins = np.append(0, ends[:-1])
+        for (x, t), windows in self.candidates(s, ends).items():
+            template = self.classes[x].sets[t]
+            run = len(template) + slack(len(template))
             regions: list[list[int]] = []
-            for w in sorted(w for w, j in candidates if j == i):
-                a, b = max(0, w * m - run), min(len(s), w * m + wide + run)
-                if regions and a <= regions[-1][1]:
-                    regions[-1][1] = max(regions[-1][1], b)
+            for text, start, stop in windows.tolist():
+                a, b = max(int(begins[text]), start - run), min(int(ends[text]), stop + run)
+                if regions and regions[-1][0] == text and a <= regions[-1][2]:
+                    regions[-1][2] = max(regions[-1][2], b)
                 else:
-                    regions.append([a, b])
-            for a, b in regions:
-                out += [(name, first, n, share) for first, n, share in best_runs(s[a:b], t, run, self.config.containment, a)]
+                    regions.append([text, a, b])
+            for text, a, b in regions:
+                out += [(text, self.classes[x].names[t], first - int(begins[text]), n, share) for first, n, share in best_runs(s[a:b], template, run, self.config.containment, a)]
         return out
 
 
@@ -198,18 +274,8 @@ def _scan(config: LicenseConfig):
         names = [f.name for f in MATCHES.fields]
         for part in slices(batches, "text", chars=4 << 20):
             each = [shingles(word_hashes(t)) for t in texts(part.column("text"))]
-            # All texts in one array; a gap of a run's length of zeros keeps them apart.
-            rows: list[tuple] = []
-            for m in ix.sets:
-                gap = 3 * m + 2 * slack(m)
-                starts = np.cumsum([0, *(len(e) + gap for e in each)])[:-1]
-                joined = np.zeros(int(starts[-1]) + len(each[-1]) + gap, np.uint64) if len(each) else np.zeros(0, np.uint64)
-                for a, e in zip(starts, each, strict=True):
-                    joined[a : a + len(e)] = e
-                for name, first, n, share in ix.places(joined, ix.candidates(joined, m), m):
-                    doc = int(np.searchsorted(starts, first, side="right")) - 1
-                    rows.append((doc, name, first - int(starts[doc]), n + SHINGLE - 1, share))
-            rows.sort(key=lambda r: (r[0], r[2], r[1]))
+            rows = ix.places(np.concatenate(each), np.cumsum([len(e) for e in each])) if each else []
+            rows = sorted(((text, name, first, n + SHINGLE - 1, share) for text, name, first, n, share in rows), key=lambda r: (r[0], r[2], r[1]))
             taken = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(taken), *(pa.array([r[i + 1] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.float64())))], ["doc_id", *names])
 

@@ -475,6 +475,35 @@ def test_licenses_against_every_run(spark):
     assert licenses.scanned(odd(spark)).count() == 0 and licenses.scanned(odd(spark, [])).count() == 0
 
 
+def many_templates(n):
+    """Invented templates of many lengths, which share a third of their text."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    shared = " ".join(rng.choice(words, 40))
+    return tuple((f"t{i:03d}", " ".join(rng.choice(words, int(6 + 300 * rng.random() ** 2))) + (f" {shared}" if i % 3 == 0 else "")) for i in range(n))
+
+
+def test_licenses_of_a_library_of_templates():
+    """Every planted template is found, edited or not; the windows looked at are few, and so are the classes."""
+    config = licenses.LicenseConfig(templates=many_templates(300))
+    ix, rng = licenses.index(config), np.random.default_rng(6)
+    assert len(ix.classes) <= 24 and sum(len(c.names) for c in ix.classes) == 300
+    texts_, want = [], []
+    for i, (name, text) in enumerate(config.templates):
+        w = text.split()
+        if len(w) > 60:
+            w[len(w) // 2] = "edited"
+        filler = lambda: [f"x{k}" for k in rng.integers(0, 5000, 200)]
+        texts_.append(" ".join([*filler(), *w, *filler()]))
+        want.append((i, name))
+    each = [licenses.shingles(licenses.word_hashes(t)) for t in texts_]
+    s, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
+    got = {(text, name) for text, name, *_ in ix.places(s, ends)}
+    assert set(want) <= got
+    windows = sum(map(len, ix.candidates(s, ends).values()))
+    assert windows < 0.3 * 300 * len(texts_)  # a third of the templates share a part
+
+
 @pytest.mark.parametrize("gap", [0, 2])
 def test_licenses_gives_each_of_adjacent_places(spark, gap):
     names = sorted(licenses.TEMPLATES)
