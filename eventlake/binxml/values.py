@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 #: Type bytes. An array has bit 0x80 set.
 NULL, STRING, ANSI, INT8, UINT8, INT16, UINT16, INT32, UINT32, INT64, UINT64 = range(0x00, 0x0B)
@@ -75,17 +76,35 @@ class Value:
         return None
 
 
+#: Powers of ten from and up to which a number is written without exponent, by its width.
+_PLAIN = {True: (-6, 13), False: (-5, 16)}
+
+
 def real_text(x: float, single: bool) -> str:
-    """Shortest digits that read back as the same number."""
+    """Shortest digits that read back as the same number, always with a point or an exponent."""
+    if x != x or x in (float("inf"), float("-inf")):
+        return "NaN" if x != x else "inf" if x > 0 else "-inf"
+    text = repr(float(x))
     if single:
         for digits in range(1, 10):
             text = f"{x:.{digits}g}"
             if struct.pack("<f", float(text)) == struct.pack("<f", x):
-                x = float(text)
                 break
-    text = repr(float(x))
-    head, e, exponent = text.partition("e")
-    return f"{head}e{int(exponent)}" if e else text
+    negative, all_digits, exponent = Decimal(text).as_tuple()
+    shown = "".join(map(str, all_digits)).strip("0") or "0"
+    exponent += len(all_digits) - len("".join(map(str, all_digits)).rstrip("0") or "0") if any(all_digits) else 0
+    sign = "-" if negative else ""
+    if shown == "0":
+        return f"{sign}0.0"
+    low, high = _PLAIN[single]
+    point = len(shown) + exponent
+    if exponent >= 0 and point <= high:
+        return f"{sign}{shown}{'0' * exponent}.0"
+    if 0 < point <= high:
+        return f"{sign}{shown[:point]}.{shown[point:]}"
+    if low < point <= 0:
+        return f"{sign}0.{'0' * -point}{shown}"
+    return f"{sign}{shown[0]}{'.' if len(shown) > 1 else ''}{shown[1:]}e{point - 1}"
 
 
 def time_text(t: datetime) -> str:

@@ -76,6 +76,27 @@ def decode_roundtrip_json(spark, sf):
     return decode_chunks(encoded(spark, sf)).select("record_id", "EventID", "Level", "Provider", "Channel", "Raw")
 
 
+@query("decode_joined_json", f"""WITH {PARTS}
+SELECT record_id, provider AS "Provider",
+  '{{"Event":{{"#attributes":{{"xmlns":"{XMLNS}"}},"System":{{"Provider":{{"#attributes":{{"Name":"' || provider || '"}}}},"EventID":' || eid || ',"Version":0,"Level":' || lvl || ',"Task":' || task
+  || ',"Keywords":"' || keywords || '","TimeCreated":{{"#attributes":{{"SystemTime":"' || time || '"}}}},"EventRecordID":' || record_id || ',"Channel":"' || channel || '","Computer":"HOST","Security":null}},"EventData":{{"UserId":' || user_id
+  || ',"Props":"' || replace(props, '"', '\\"') || '","Half":"' || half || '"}}}}}}' AS "Raw"
+FROM parts""")
+def decode_joined_json(spark, sf):
+    """Attributes inside of their elements, as ``#attributes``."""
+    return decode_chunks(encoded(spark, sf), separateAttributes=False).select("record_id", "Provider", "Raw")
+
+
+@query("decode_plain_xml", f"""WITH {PARTS}
+SELECT record_id, '<?xml version="1.0" encoding="utf-8"?><Event xmlns="{XMLNS}"><System><Provider Name="' || provider || '"></Provider><EventID>' || eid || '</EventID><Version>0</Version><Level>' || lvl || '</Level><Task>' || task || '</Task><Keywords>' || keywords
+  || '</Keywords><TimeCreated SystemTime="' || time || '"></TimeCreated><EventRecordID>' || record_id || '</EventRecordID><Channel>' || channel || '</Channel><Computer>HOST</Computer><Security></Security></System><EventData><Data Name="UserId">' || user_id
+  || '</Data><Data Name="Props">' || props || '</Data><Data Name="Half">' || half || '</Data></EventData></Event>' AS xml
+FROM parts""")
+def decode_plain_xml(spark, sf):
+    """XML without indentation, JSON beside it."""
+    return decode_chunks(encoded(spark, sf), xml=True, indent=False).select("record_id", F.regexp_replace("xml", "\n", "").alias("xml"))
+
+
 @query("decode_roundtrip_xml", f"""WITH {PARTS}, n AS (SELECT chr(10) AS nl)
 SELECT record_id, '<?xml version="1.0" encoding="utf-8"?>' || nl || '<Event xmlns="{XMLNS}">' || nl || '  <System>' || nl
   || '    <Provider Name="' || provider || '">' || nl || '    </Provider>' || nl || '    <EventID>' || eid || '</EventID>' || nl || '    <Version>0</Version>' || nl || '    <Level>' || lvl || '</Level>' || nl

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..binxml import values as V
-from ..encoder import ChunkWriter, E, Ref, Sub, Template, Tokens, event_template, executable, file_bytes
+from ..encoder import ChunkWriter, E, Ref, Sub, Template, Tokens, event_template, executable, file_bytes, write_records
 from ..operators import logs as L
 from ..operators import tables, templates
 from ..operators.columns import event_data
@@ -301,6 +301,23 @@ def array_values(spark, sf):
     return xml.select("record_id", found[0].cast("long").alias("first"), found[1].cast("long").alias("second"), F.size(found).alias("items"))
 
 
+def _reals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    t = Template(GUID, E("Event", [], [E("EventData", [], [E("Data", [("Name", "Real")], [Sub(0, V.REAL64)])])]))
+    for batch in batches:
+        rows = ((key, 0, t, [(V.REAL64, float(f"{user}e{key % 41 - 20}"))]) for key, user in zip(batch.column("event_id").to_pylist(), batch.column("user_id").to_pylist(), strict=True))
+        made = write_records(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(["reals"] * len(made)), pa.array(range(len(made)), pa.int32()), pa.array(made, pa.binary())], ["file", "chunk_no", "chunk"])
+
+
+@query("real_values", """WITH d AS (SELECT event_id, rtrim(CAST(user_id AS VARCHAR), '0') AS d, event_id % 41 - 20 + len(CAST(user_id AS VARCHAR)) - len(rtrim(CAST(user_id AS VARCHAR), '0')) AS k FROM events), p AS (SELECT *, len(d) + k AS p FROM d)
+SELECT event_id AS record_id, CASE WHEN d = '' THEN '0.0' WHEN k >= 0 AND p <= 16 THEN d || repeat('0', k) || '.0' WHEN p BETWEEN 1 AND 16 THEN d[1:p] || '.' || d[p + 1:]
+  WHEN p BETWEEN -4 AND 0 THEN '0.' || repeat('0', -p) || d ELSE d[1] || CASE WHEN len(d) > 1 THEN '.' || d[2:] ELSE '' END || 'e' || (p - 1) END AS real FROM p""")
+def real_values(spark, sf):
+    """Reals from 1e-20 to 1e24 and more, with the fewest digits that tell them; large and small ones with an exponent."""
+    rows = table(spark, sf, "events").select("event_id", "user_id").mapInArrow(_reals, "file string, chunk_no int, chunk binary")
+    return winlog.decode_chunks(rows).select("record_id", F.get_json_object("Raw", _AT + "Real").alias("real"))
+
+
 # Executables and templates of cache files
 
 

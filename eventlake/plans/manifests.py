@@ -71,3 +71,10 @@ def manifest_event_index(spark, sf):
 def manifest_first_wins(spark, sf):
     known = M.table(M.manifests(blobs(spark, sf)), "templates").select(normalised_guid(F.col("guid")).alias("guid"), "source", "offset")
     return templates.first_by(known, ["guid"], ["source", "offset"]).select("guid", "source")
+
+
+@query("manifest_maps", "SELECT DISTINCT p_brand AS source, 'VMAP' AS kind, nth AS size, v AS identifier FROM part, (VALUES (CAST(2 AS INTEGER), CAST(1 AS BIGINT)), (2, 2), (1, 3)) AS t(nth, v)")
+def manifest_maps(spark, sf):
+    """The values of each map, and how many its map has."""
+    rows = M.table(M.manifests(blobs(spark, sf)), "maps")
+    return rows.select("source", "kind", F.size("entries").alias("size"), F.explode("entries").alias("e")).select("source", "kind", "size", "e.identifier")

@@ -527,3 +527,15 @@ def test_columns_give_the_rows_of_the_plain_way(form, skip):
     for batch in got:
         assert batch.schema == arrow
         assert batch.to_pylist() == pa.RecordBatch.from_pylist(want, arrow).to_pylist()
+
+
+@pytest.mark.parametrize("x, double, single", [(0.0, "0.0", "0.0"), (-0.0, "-0.0", "-0.0"), (1e15, "1000000000000000.0", "1e15"), (1e16, "1e16", "1e16"), (1.5e-5, "0.000015", "0.000015"), (1.5e-6, "1.5e-6", "0.0000015"), (1.5e-7, "1.5e-7", "1.5e-7"), (-12.25, "-12.25", "-12.25"), (100.0, "100.0", "100.0"), (1e300, "1e300", None), (-1.25e-300, "-1.25e-300", None), (float("nan"), "NaN", "NaN"), (float("-inf"), "-inf", "-inf"), (123456789.0, "123456789.0", "123456790.0")])
+def test_real_texts(x, double, single):
+    assert V.real_text(x, False) == double
+    if single is not None:
+        assert V.real_text(struct.unpack("<f", struct.pack("<f", x))[0], True) == single
+
+
+@given(st.floats(allow_nan=False, allow_infinity=False))
+def test_real_texts_read_back(x):
+    assert float(V.real_text(x, False)) == x
