@@ -36,12 +36,18 @@ from .hasharrays import by_key, bytes_of, cut, pack, parts_of, planes, runs, sav
 #: bytes of input, so that a shard's merge stays in a task's memory at any size; and bounds.
 SHARD_BYTES = 16 << 20
 LEAST_BITS, MOST_BITS = 6, 18
+#: Top bits by which a counting task cuts what it sends. More shards are reached in a second step, in
+#: which tasks combine what many others have sent before they cut it finer: a row then still holds
+#: thousands of keys, and compresses as well as for a small corpus.
+FIRST_BITS = 10
 #: Hash of the token that ends every text.
 END = xxhash.xxh64_intdigest(b"</s>", 1)
 #: Words are numbered by the power of two below their count, the most frequent first; so many classes.
 CLASSES = 16
 #: Tokens that a counting task holds before it sends what it has.
 HELD = 1 << 21
+#: Keys that a task of the second step combines before it cuts them.
+COMBINED = 1 << 22
 
 
 @dataclass
@@ -135,6 +141,59 @@ def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return sorted_counts(np.concatenate([unpack(r["keys"], r["n"], "<u8") for r in rows]), np.concatenate([widen(r["counts"], r["n"]) for r in rows]))
 
 
+def _finer(cut_rows, bits: int):
+    """Rows of coarse shards, sorted by shard and salt, to rows of finer ones: what a shard has is
+    combined, about COMBINED keys at a time. Rows that tell of files pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, now = [], 0, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = row["shard"], row.pop("salt")
+                if row.get("path"):
+                    yield pa.RecordBatch.from_pylist([row], _PAIRS)
+                    continue
+                if held and (key != now or size > COMBINED):
+                    yield cut_rows(held, bits)
+                    held, size = [], 0
+                now = key
+                held.append(row)
+                size += row["n"]
+        if held:
+            yield cut_rows(held, bits)
+
+    return run
+
+
+def _finer_words(rows: list[dict], bits: int) -> pa.RecordBatch:
+    return _blobs(*_merged(rows), bits)
+
+
+def _ids_of(row: dict) -> np.ndarray:
+    return _both(unpack(row["first"], row["n"], "<u4"), unplanes(row["second"], row["n"], "<u4"))
+
+
+def _finer_grams(rows: list[dict], bits: int) -> pa.RecordBatch:
+    both, counts = np.concatenate([_ids_of(r) for r in rows]), np.concatenate([widen(r["counts"], r["n"]) for r in rows])
+    if rows[0]["followers"] is None:
+        both, counts = sorted_counts(both, counts)
+        return _grams(both, None, counts, bits)
+    return _grams(*_sorted_trigrams(both, np.concatenate([unplanes(r["followers"], r["n"], "<u4") for r in rows]), counts), bits)
+
+
+def _finer_pairs(rows: list[dict], bits: int) -> pa.RecordBatch:
+    return _with_files(_finer_grams(rows, bits))
+
+
+def _by_shard(rows: DataFrame, first: int, bits: int, cut_rows, schema: str) -> DataFrame:
+    """Rows cut by the top ``first`` bits (or ``bits``, if these are fewer), by shards of ``bits`` bits."""
+    if bits > first:
+        # A coarse shard is combined by several tasks, each with the rows of some of those that counted.
+        salt = F.pmod(F.spark_partition_id(), F.lit(1 << max(0, bits - first - 2)))
+        rows = rows.withColumn("salt", salt).repartition("shard", "salt").sortWithinPartitions("shard", "salt").mapInArrow(_finer(cut_rows, bits), schema)
+    return rows.repartition("shard").sortWithinPartitions("shard")
+
+
 def _classes(counts: np.ndarray) -> np.ndarray:
     """0 for counts of 2 ** 15 and more, down to 15 for 1."""
     return CLASSES - 1 - np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), CLASSES - 1)
@@ -211,10 +270,10 @@ def _grams(both: np.ndarray, followers: np.ndarray | None, counts: np.ndarray, b
 
 
 def _keys_of(row: dict) -> np.ndarray:
-    return mix(_both(unpack(row["first"], row["n"], "<u4"), unplanes(row["second"], row["n"], "<u4")))
+    return mix(_ids_of(row))
 
 
-def _count_ngrams(sent):
+def _count_ngrams(sent, bits: int):
     """Bigrams, or trigrams as (context, follower), of texts whose words are all learned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +283,8 @@ def _count_ngrams(sent):
         def counted() -> pa.RecordBatch:
             if m.order == 2:
                 both, counts = sorted_counts(np.concatenate([k for k, _ in held]))
-                return _grams(both, None, counts, m.bits)
-            return _grams(*_sorted_trigrams(*(np.concatenate(x) for x in zip(*held, strict=True))), m.bits)
+                return _grams(both, None, counts, bits)
+            return _grams(*_sorted_trigrams(*(np.concatenate(x) for x in zip(*held, strict=True))), bits)
 
         for part in slices(batches, "text", chars=4 << 20):
             hashes, ends = _tokens(part)
@@ -261,11 +320,14 @@ PAIRS = GRAMS + ", path string, of_counts array<long>"
 _PAIRS = pa.schema([*_GRAMS, ("path", pa.string()), ("of_counts", pa.list_(pa.int64()))])
 
 
+def _with_files(blobs: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*blobs.columns, pa.nulls(blobs.num_rows, pa.string()), pa.nulls(blobs.num_rows, pa.list_(pa.int64()))], schema=_PAIRS)
+
+
 def _save_trigrams(folder: str, bits: int):
     def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         both, counts = sorted_counts(np.concatenate(held))
-        blobs = _grams(both, None, counts, bits)
-        yield pa.RecordBatch.from_arrays([*blobs.columns, pa.nulls(blobs.num_rows, pa.string()), pa.nulls(blobs.num_rows, pa.list_(pa.int64()))], schema=_PAIRS)
+        yield _with_files(_grams(both, None, counts, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -428,9 +490,9 @@ def _save_stats(folder: str, vocabulary: int, bits: int):
     return run
 
 
-def train(docs: DataFrame, bits: int | None = None, order: int = 3) -> Ngrams:
+def train(docs: DataFrame, bits: int | None = None, order: int = 3, first_bits: int = FIRST_BITS) -> Ngrams:
     """Count all texts of ``docs`` (null: empty) and write the model's files, ``2 ** bits`` of a
-    kind (else by the bytes of the texts). The order is 2 or 3. No rows give a model that calls
+    kind (else by the bytes of the texts); counting tasks cut by ``first_bits`` at most. The order is 2 or 3. No rows give a model that calls
     everything unknown."""
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
@@ -440,7 +502,8 @@ def train(docs: DataFrame, bits: int | None = None, order: int = 3) -> Ngrams:
     if bits is None:
         size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         bits = min(MOST_BITS, max(LEAST_BITS, (size // SHARD_BYTES).bit_length()))
-    found = written(texts.mapInArrow(_count_words(bits), BLOBS).repartition("shard").sortWithinPartitions("shard").mapInArrow(_save_words(folder), "shard int, path string, n long, total long, of_class array<long>"), "words").collect()
+    cut_bits = min(bits, first_bits)
+    found = written(_by_shard(texts.mapInArrow(_count_words(cut_bits), BLOBS), first_bits, bits, _finer_words, BLOBS).mapInArrow(_save_words(folder), "shard int, path string, n long, total long, of_class array<long>"), "words").collect()
     by = {r["shard"]: r for r in found}
     sizes = np.zeros((CLASSES, 1 << bits), np.int64)
     for s, r in by.items():
@@ -453,9 +516,9 @@ def train(docs: DataFrame, bits: int | None = None, order: int = 3) -> Ngrams:
     if not model.tokens:
         return model
     sent = spark.sparkContext.broadcast(model)  # a path for each shard
-    counted = texts.mapInArrow(_count_ngrams(sent), GRAMS).repartition("shard").sortWithinPartitions("shard")
+    counted = _by_shard(texts.mapInArrow(_count_ngrams(sent, cut_bits), GRAMS), first_bits, bits, _finer_grams, GRAMS)
     if order == 3:
-        counted = counted.mapInArrow(_save_trigrams(folder, bits), PAIRS).repartition("shard").sortWithinPartitions("shard")
+        counted = _by_shard(counted.mapInArrow(_save_trigrams(folder, cut_bits), PAIRS), first_bits, bits, _finer_pairs, PAIRS)
     parts = written(counted.mapInArrow(_save_bigrams(folder, bits), PARTIAL), "bigrams")
     files = parts.where("kind = 'file'").select("shard", "path", "n", "size", "of_counts").collect()
     above = parts.where("kind = 'trigrams'").select("shard", "path", "of_counts").collect()

@@ -304,6 +304,18 @@ def test_ngram_against_plain_counting(spark, sf, order):
     assert sum(g["score"] for g in held) > sum(g["base_score"] for g in held)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_ngram_counts_combined_in_two_steps(spark, sf, order, monkeypatch):
+    """The same model, whether tasks cut by all bits at once or by few and then finer; rows stay large."""
+    monkeypatch.setattr(ngram, "COMBINED", 5000)
+    docs = docs_of(spark, sf).select("doc_id", "text").repartition(6)
+    one, two = (ngram.train(docs, bits=7, order=order, first_bits=k) for k in (7, 3))
+    assert (one.tokens, one.vocabulary, one.bigram_types, one.left_over) == (two.tokens, two.vocabulary, two.bigram_types, two.left_over)
+    assert (one.word_base == two.word_base).all() and set(one.trigram_files) == set(two.trigram_files)
+    scores = [{r["doc_id"]: r["score"] for r in ngram.scored(docs, m).collect()} for m in (one, two)]
+    assert scores[0] == scores[1]
+
+
 def test_ngram_edges(spark):
     got = ngram.split_scores(odd(spark))
     assert got.count() == len(ODD) and all(math.isfinite(r["score"]) for r in got.collect())
