@@ -17,7 +17,6 @@ wasn't learned, or that was never seen, leaves the probability to the next short
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
