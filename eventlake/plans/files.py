@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..binxml import values as V
-from ..encoder import ChunkWriter, E, Ref, Sub, Template, Tokens, event_template, executable, file_bytes, write_records
+from ..encoder import ChunkWriter, E, Ref, Sub, Template, Tokens, executable, file_bytes, write_records
 from ..operators import logs as L
 from ..operators import tables, templates
 from ..operators.columns import event_data
@@ -29,7 +29,7 @@ from ..templates import cache, pe, render
 from ..templates import manifest as M
 from . import manifests
 from .catalogue import query
-from .decode import GUID, PARTS, TEMPLATE, XMLNS, _values
+from .decode import GUID, PARTS, TEMPLATE, _values
 from .view import logs, sql, table
 
 IN_FILE, IN_CHUNK = 2000, 50

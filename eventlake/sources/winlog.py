@@ -24,7 +24,6 @@ Arrow IPC stream of one batch, and a row for each error.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -126,51 +125,45 @@ def with_templates(o: Options) -> Options:
     return replace(o, settings=Settings(**{**o.settings.__dict__, "offline": load(o.template_cache).body}))
 
 
-def ipc_stream(rows: list[dict]) -> bytes:
-    """Rows of the view ``records`` as an Arrow IPC stream of one batch."""
-    batch = pa.RecordBatch.from_pylist(rows, to_arrow_schema(S.RECORDS))
+def ipc_stream(batch: pa.RecordBatch) -> bytes:
+    """A batch of the view ``records`` as an Arrow IPC stream."""
     with pa.BufferOutputStream() as out:
         with pa.ipc.new_stream(out, batch.schema) as stream:
             stream.write_batch(batch)
         return out.getvalue().to_pybytes()
 
 
-def chunk_state(rows: Iterator[dict]) -> dict:
+def chunk_state(batch: pa.RecordBatch) -> dict:
     """What is kept of a chunk's records to skip it or to count by it: bounds of ids and times,
     and counts by facet."""
-    counts: Counter = Counter()
-    ids, times, good, errors = [], [], 0, 0
-    for r in rows:
-        if r.get("error"):
-            errors += 1
-            continue
-        good += 1
-        ids.append(r["record_id"])
-        times += [r["ts"]] if r["ts"] is not None else []
-        for facet, column in STATE_FACETS.items():
-            value = r.get(column)
-            counts[facet, None if value is None else str(value)] += 1
-    span = lambda v: (min(v), max(v)) if v else (None, None)
-    (low, high), (first, last) = span(ids), span(times)
-    facets = [{"facet": f, "key": k, "cnt": n} for (f, k), n in sorted(counts.items(), key=str)]
-    return {"records": good, "errors": errors, "untimed": good - len(times), "first_id": low, "last_id": high, "first_ts": first, "last_ts": last, "facets": facets}
-
-
-def rows_of_chunk(path: str, n: int, data: bytes, o: Options, ordinal: int | None = None) -> Iterator[dict]:
-    """Rows of one chunk in a view; an error is a row with ``error`` set."""
+    good = batch.filter(batch.column("error").is_null())
+    span = lambda c: pa.compute.min_max(good.column(c)).as_py().values()
+    (low, high), (first, last) = span("record_id"), span("ts")
+    facets = []
+    for facet, column in STATE_FACETS.items():
+        counts = pa.compute.value_counts(good.column(column).cast(pa.string()))
+        facets += sorted(({"facet": facet, "key": c["values"], "cnt": c["counts"]} for c in counts.to_pylist()), key=lambda f: (f["key"] is not None, f["key"]))
+    return {"records": good.num_rows, "errors": batch.num_rows - good.num_rows, "untimed": good.column("ts").null_count, "first_id": low, "last_id": high, "first_ts": first, "last_ts": last, "facets": facets}
+
+
+def rows_of_chunk(path: str, n: int, data: bytes, o: Options, ordinal: int | None = None, decoder: BlockDecoder | None = None) -> Iterator[dict]:
+    """Rows of one chunk in a view; an error is a row with ``error`` set. A decoder that has met the
+    templates before spares their parsing."""
     base = {"file": path, "chunk_no": n}
     if o.view == "records":
         for row in decode_chunk(data, o.settings, xml=o.xml, json=o.json):
             yield base | {"record_seq": (n << 32) + row.pop("row_in_chunk")} | row
         return
-    if o.view == "states":
-        yield base | chunk_state(rows_of_chunk(path, n, data, replace(o, view="records", json=True, xml=False)))
-        return
-    if o.view == "arrow":
-        rows = list(rows_of_chunk(path, n, data, replace(o, view="records")))
-        good = [r for r in rows if not r.get("error")]
-        yield from (base | {"error": r["error"]} for r in rows if r.get("error"))
-        yield base | {"record_count": len(good), "ipc": ipc_stream(good)}
+    if o.view in ("states", "arrow"):
+        decoder = decoder or BlockDecoder(to_arrow_schema(S.RECORDS), o.settings, o.json or o.view == "states", o.xml and o.view == "arrow")
+        batch = decoder.decode(path, [(n, data)]) if len(data) == CHUNK and (decoder.json or decoder.xml) else pa.RecordBatch.from_pylist(list(rows_of_chunk(path, n, data, replace(o, view="records", json=decoder.json, xml=decoder.xml))), decoder.schema)
+        if o.view == "states":
+            yield base | chunk_state(batch)
+            return
+        bad = batch.column("error").is_valid()
+        yield from (base | {"error": e} for e in batch.column("error").filter(bad).to_pylist())
+        good = batch.filter(pa.compute.invert(bad))
+        yield base | {"record_count": good.num_rows, "ipc": ipc_stream(good)}
         return
     try:
         chunk = Chunk(data, o.settings)
@@ -260,7 +253,8 @@ def decoded(items: Iterator[dict | tuple[str, int, bytes]], o: Options, schema:
     if columnar(o):
         yield from record_batches(items, o)
         return
-    rows = (row for item in items for row in ([item] if isinstance(item, dict) else wanted(rows_of_chunk(*item[:3], o, *item[3:]), o)))
+    decoder = BlockDecoder(to_arrow_schema(S.RECORDS), o.settings, o.json or o.view == "states", o.xml and o.view == "arrow") if o.view in ("states", "arrow") else None
+    rows = (row for item in items for row in ([item] if isinstance(item, dict) else wanted(rows_of_chunk(*item[:3], o, *item[3:], **{"decoder": decoder}), o)))
     yield from batches(stopped(handled(rows, o.mode), o.limit), schema)
 
 

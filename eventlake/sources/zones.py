@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..binxml.reader import CHUNK, HEADER_BLOCK, error, file_header
 from ..binxml.values import DecodeError
 from ..operators.columns import Columns
