@@ -169,6 +169,15 @@ def system_columns(document: dict) -> dict:
     return {"EventID": integer(event_id), "Level": integer(level) if isinstance(level, int) and not isinstance(level, bool) else 4, "Provider": shown, "Channel": channel if isinstance(channel, str) else ""}
 
 
+def _bare_text(marked: dict) -> bool:
+    """Whether the marked document's EventID is an object whose text is a bare number."""
+    node = marked
+    for key in ("Event", "System", "EventID"):
+        node = node.get(key) if isinstance(node, dict) else None
+    m = _ONE_MARK.fullmatch(node["#text"]) if isinstance(node, dict) and isinstance(node.get("#text"), str) else None
+    return bool(m) and m[2] == "b"
+
+
 def column_slots(marked: dict, shape: tuple) -> tuple | None:
     """How a shape's columns are found: for each of EventID, Level, Provider and Channel (a
     constant, None) or (None, slot); None if the document has to be read."""
@@ -181,6 +190,8 @@ def column_slots(marked: dict, shape: tuple) -> tuple | None:
         return (int(m[1]), m[2] == "b") if m else False
 
     event_id, level, names, channel = system_nodes(marked)
+    if _bare_text(marked):
+        event_id = None  # a number beside attributes isn't a text
     number = range(V.INT8, V.UINT64 + 1)
     out: list[tuple] = []
     at = found(event_id)

@@ -257,6 +257,20 @@ def test_quick_columns_equal_the_plain_way(records, separate, fixed):
     assert list(decode_chunk(data, settings, xml=True)) == list(decode_chunk(data, settings, xml=True, programs=False))
 
 
+@pytest.mark.parametrize("separate", [False, True])
+def test_event_id_with_qualifiers_is_the_same_by_all_ways(separate):
+    """A number beside attributes: joined with them it's an object, apart it's a number."""
+    system = E("System", [], [E("Provider", [("Name", "p")]), E("EventID", [("Qualifiers", Sub(0, V.UINT16))], [Sub(1, V.UINT16)]), E("Level", [], [Sub(2, V.UINT8)])])
+    w, t = ChunkWriter(), Template(G, E("Event", [], [system]))
+    for i in range(6):
+        assert w.add(i, T0, t, [(V.UINT16, 7), (V.UINT16, 4600 + i), (V.UINT8, 2)])
+    data, settings = w.finish(), Settings(separate_attributes=separate)
+    want = [r["EventID"] for r in decode_chunk(data, settings, programs=False)]
+    assert want == ([4600 + i for i in range(6)] if separate else [None] * 6)
+    assert [r["EventID"] for r in decode_chunk(data, settings)] == want
+    assert all(b.column("EventID").to_pylist() == want for b in _blocks([(0, data)], settings=settings)[1])
+
+
 # The data source
 
 
