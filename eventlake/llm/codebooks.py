@@ -7,7 +7,7 @@ distance of an entry already looked at. For any cut of a part into blocks,
     |x - c|^2 >= sum over blocks of length * (mean(x) - mean(c))^2 + (rest(x) - rest(c))^2,
 
 ``rest`` being the norm of what the block means leave. The bound is taken with one block,
-then with finer blocks for the entries that are left; what survives gets exact integer
+then with finer and finer blocks, each leaving out more; what survives gets exact integer
 distances. Bounds are in double precision and are lowered by more than their rounding,
 so an entry is never left out wrongly, ties included.
 
@@ -40,6 +40,10 @@ class CodebookConfig:
     blocks: tuple[int, ...] = (1, 2, 4, 8)
 
 
+#: Entries of the least bounds whose distances are computed before the finest level filters.
+LOOKS = 8
+
+
 class Bounds:
     """Block means and residual norms of rows, at every fineness: rows of numbers whose squared
     distance is at most that of the rows themselves."""
@@ -58,35 +62,39 @@ class Bounds:
 
 
 def _distances(x: np.ndarray, i: np.ndarray, c: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact squared distances of row pairs, some at a time."""
+    """Exact squared distances of row pairs, some at a time: integers, held as doubles where these
+    hold all numbers that come up."""
+    largest = max(int(np.abs(x).max(initial=0)), int(np.abs(c).max(initial=0)))
+    if 4 * largest * largest * x.shape[1] < 1 << 53:
+        x, c = x.astype(np.float64), c.astype(np.float64)
     out = np.empty(len(i), np.int64)
-    step = max(1, (1 << 21) // x.shape[1])
+    step = max(1, (1 << 17) // x.shape[1])
     for at in range(0, len(i), step):
-        d = x[i[at : at + step]] - c[j[at : at + step]]
+        d = np.take(x, i[at : at + step], axis=0)
+        d -= np.take(c, j[at : at + step], axis=0)
         out[at : at + step] = np.einsum("ij,ij->i", d, d)
     return out
 
 
 def assigned(x: np.ndarray, book: Bounds, blocks: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
     """Of integer rows: the index of the nearest entry (the lower of equals), its squared
-    distance, and how many distances were computed exactly."""
-    rows, n = Bounds(x, blocks), len(x)
-    bound = sum((rows.levels[0][:, k, None] - book.levels[0][None, :, k]) ** 2 for k in range(rows.levels[0].shape[1]))
-    # More than the rounding of the bounds: each is a short sum of squares of numbers this large.
+    distance, and how many distances were computed exactly. A level's bounds are one matrix
+    product for all rows; an entry that a coarser level has left out stays out."""
+    rows, exact, best = Bounds(x, blocks), 0, None
+    # More than the rounding of the bounds and of their sums, which are of numbers this large.
     slack = 1e-11 * (rows.norm[:, None] + book.norm[None, :])
-    nearest = bound.argmin(axis=1)
-    best, exact = _distances(x, np.arange(n), book.x, nearest), n
-    i, j = np.nonzero(bound - slack <= best[:, None])
-    for mine, theirs in zip(rows.levels[1:], book.levels[1:], strict=True):
-        bound = ((mine[i] - theirs[j]) ** 2).sum(axis=1) - slack[i, j]
-        # A row's entry of the least bound is looked at, so that the next filter is sharper.
-        starts = np.flatnonzero(np.diff(i, prepend=-1))
-        least = np.flatnonzero(bound == np.repeat(np.minimum.reduceat(bound, starts), np.diff(np.append(starts, len(i)))))
-        least = least[np.flatnonzero(np.diff(i[least], prepend=-1))]
-        best = np.minimum(best, _distances(x, i[least], book.x, j[least]))
-        exact += n
-        keep = bound <= best[i]
-        i, j = i[keep], j[keep]
+    kept = np.ones(slack.shape, bool)
+    for mine, theirs in zip(rows.levels, book.levels, strict=True):
+        bound = (mine * mine).sum(axis=1)[:, None] + (theirs * theirs).sum(axis=1)[None, :] - 2 * (mine @ theirs.T) - slack
+        bound[~kept] = np.inf
+        # A row's entries of the least bounds are looked at: the nearest so far makes the filter sharp.
+        looks = min(LOOKS if mine is rows.levels[-1] else 1, bound.shape[1])
+        at = np.argpartition(bound, looks - 1, axis=1)[:, :looks] if looks > 1 else bound.argmin(axis=1)[:, None]
+        found = _distances(x, np.repeat(np.arange(len(x)), looks), book.x, at.ravel()).reshape(-1, looks).min(axis=1)
+        exact += looks * len(x)
+        best = found if best is None else np.minimum(best, found)
+        kept = bound <= best[:, None]
+    i, j = np.nonzero(kept)
     found = _distances(x, i, book.x, j)
     starts = np.flatnonzero(np.diff(i, prepend=-1))
     smallest = np.minimum.reduceat(found, starts)
