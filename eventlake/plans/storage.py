@@ -219,7 +219,9 @@ def columns_registry(spark, sf):
 FROM part WHERE p_partkey % 5 <> 0""")
 def apply_templates(spark, sf):
     """Events' values filled into the templates that provider, event id and version lead to."""
-    made = M.manifests(manifests.blobs(spark, sf))
+    to = f"{shared_path(spark, 'manifests')}/t"
+    M.manifests(manifests.blobs(spark, sf)).write.parquet(to)  # read three times below
+    made = spark.read.parquet(to)
     index = M.event_templates(made).where("template_guid IS NOT NULL").select(F.col("provider").alias("provider_guid"), F.col("identifier").alias("event_id"), F.lit(1).alias("version"), "template_guid", F.lit(0).alias("insert_seq"))
     bodies = templates.first_by(M.table(made, "templates"), ["guid"], ["source", "offset"]).select(F.col("guid").alias("template_guid"), "body")
     part = table(spark, sf, "part")
