@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from . import values as V
 from .program import compiled, shape_of
 from .quick import _JSON_ODD, _guid, _sid, column_slots, integer
-from .reader import CHUNK, RECORD_HEADER, RECORD_MAGIC, RECORDS_AT, Chunk, Settings, error, plain_row
+from .reader import CHUNK, RECORD_HEADER, RECORD_MAGIC, RECORDS_AT, Chunk, Settings, error, plain_row, safe_time, signed
 from .render import escape_json
 from .values import DecodeError
 
@@ -155,18 +155,9 @@ class BlockDecoder:
 
     def decode(self, path: str | None, chunks: list[tuple[int, bytes]]) -> pa.RecordBatch:
         """Rows of chunks (number, bytes of CHUNK), in order."""
-        made: list[Chunk | None] = []
+        made, errors = self._opened(chunks)
         plain: list[tuple[int, dict]] = []
-        failed: dict[int, dict] = {}
-        for k, (number, data) in enumerate(chunks):
-            made.append(None)
-            try:
-                c = Chunk(data, self.settings)
-                if self.settings.validate_checksums and not all(c.checksums()):
-                    raise DecodeError("ChecksumMismatch", "a chunk's checksum doesn't fit")
-                made[k] = c
-            except DecodeError as e:
-                failed[k] = {"chunk_no": number, "record_seq": number << 32, "error": error(e)}
+        failed = {k: {"chunk_no": chunks[k][0], "record_seq": chunks[k][0] << 32, "error": e} for k, e in errors.items()}
         buf = np.frombuffer(b"".join(d for _, d in chunks), np.uint8)
         walk, odd = self._walk(buf, made)
         counts = np.bincount(walk[:, 1], minlength=len(chunks)) if len(walk) else np.zeros(len(chunks), np.int64)
@@ -211,6 +202,44 @@ class BlockDecoder:
         batch = out[0] if out else pa.RecordBatch.from_pylist([], self.schema)
         return batch.set_column(0, self.schema.field(0), pa.repeat(pa.scalar(path, pa.string()), batch.num_rows))
 
+    def _opened(self, chunks: list[tuple[int, bytes]]) -> tuple[list[Chunk | None], dict[int, dict]]:
+        """The chunks, None for those that can't be read, and the errors of these."""
+        made: list[Chunk | None] = []
+        errors: dict[int, dict] = {}
+        for k, (_, data) in enumerate(chunks):
+            made.append(None)
+            try:
+                c = Chunk(data, self.settings)
+                if self.settings.validate_checksums and not all(c.checksums()):
+                    raise DecodeError("ChecksumMismatch", "a chunk's checksum doesn't fit")
+                made[k] = c
+            except DecodeError as e:
+                errors[k] = error(e)
+        return made, errors
+
+    def headers(self, path: str | None, chunks: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        """Rows of the view ``record_headers``, in order."""
+        made, errors = self._opened(chunks)
+        walk, odd = self._walk(np.frombuffer(b"".join(d for _, d in chunks), np.uint8), made)
+        number = np.array([n for n, _ in chunks], np.int64)[walk[:, 1]]
+        micros = walk[:, 6] // 10 - _UNIX
+        out = {"chunk_no": number.astype(np.int32), "record_seq": (number << 32) + walk[:, 2], "record_id": walk[:, 5], "offset": walk[:, 3], "size": walk[:, 4]}
+        columns = {k: pa.array(v) for k, v in out.items()} | {"ts": pa.array(micros, mask=micros > _LAST).cast(self.schema.field("ts").type)}
+        batches = [pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(walk), f.type) for f in self.schema], schema=self.schema)]
+        order = [walk[:, 1] << 32 | walk[:, 2]]
+        rows = [(k << 32, {"chunk_no": chunks[k][0], "error": e}) for k, e in errors.items()]
+        for k in odd:
+            n = chunks[k][0]
+            for i, r in enumerate(made[k].records()):
+                told = {"error": error(r)} if isinstance(r, DecodeError) else {"record_seq": (n << 32) + i, "record_id": signed(r[2]), "ts": safe_time(r[3]), "offset": r[0], "size": r[1]}
+                rows.append((k << 32 | i, {"chunk_no": n, **told}))
+        if rows:
+            batches.append(pa.RecordBatch.from_pylist([r for _, r in rows], self.schema))
+            order.append(np.array([o for o, _ in rows], np.int64))
+        table = pa.Table.from_batches(batches).take(pa.array(np.argsort(np.concatenate(order), kind="stable"))).combine_chunks()
+        batch = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], self.schema)
+        return batch.set_column(0, self.schema.field(0), pa.repeat(pa.scalar(path, pa.string()), batch.num_rows))
+
     def _walk(self, buf: np.ndarray, made: list[Chunk | None]) -> tuple[np.ndarray, list[int]]:
         """Records of all chunks, a step in each chunk at a time: rows (0, chunk, row, offset, size, id,
         FILETIME), and the chunks with anything unusual, which have no rows here."""

@@ -259,15 +259,16 @@ def decoded(items: Iterator[dict | tuple[str, int, bytes]], o: Options, schema:
 
 
 def columnar(o: Options) -> bool:
-    """Whether rows can be made by columns: records with a text, and no scan that stops early."""
-    return o.view == "records" and o.limit is None and (o.json or o.xml)
+    """Whether rows can be made by columns: records with a text or record headers, and no scan that stops early."""
+    return o.limit is None and (o.view == "records" and (o.json or o.xml) or o.view == "record_headers")
 
 
 def record_batches(items: Iterator[dict | tuple[str, int, bytes]], o: Options) -> Iterator[pa.RecordBatch]:
-    """Batches of the view ``records`` from chunks (file, number, bytes), some decoded together,
-    and from rows that are ready; mode and ids as the options say."""
-    arrow = to_arrow_schema(S.RECORDS)
+    """Batches of the views ``records`` and ``record_headers`` from chunks (file, number, bytes), some
+    decoded together, and from rows that are ready; mode and ids as the options say."""
+    arrow = to_arrow_schema(VIEWS[o.view])
     decoder = BlockDecoder(arrow, o.settings, o.json, o.xml)
+    decode = decoder.decode if o.view == "records" else decoder.headers
     ids = pa.compute.field("record_id")
 
     def picked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -287,7 +288,7 @@ def record_batches(items: Iterator[dict | tuple[str, int, bytes]], o: Options) -
     for item in items:
         whole = isinstance(item, tuple) and isinstance(item[2], bytes) and len(item[2]) == CHUNK
         if held and (not whole or item[0] != path or len(held) >= BLOCK):
-            yield from picked(decoder.decode(path, held))
+            yield from picked(decode(path, held))
             held = []
         if whole:
             path = item[0]
@@ -297,7 +298,7 @@ def record_batches(items: Iterator[dict | tuple[str, int, bytes]], o: Options) -
         else:
             yield from picked(pa.RecordBatch.from_pylist(list(rows_of_chunk(*item[:3], o)), arrow))
     if held:
-        yield from picked(decoder.decode(path, held))
+        yield from picked(decode(path, held))
 
 
 class WinlogReader(DataSourceReader):

@@ -543,6 +543,34 @@ def test_columns_give_the_rows_of_the_plain_way(form, skip):
         assert batch.to_pylist() == pa.RecordBatch.from_pylist(want, arrow).to_pylist()
 
 
+def test_headers_by_columns_are_those_of_the_plain_way():
+    """Damage, errors, ids and times beyond their range, checksums."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from eventlake import schema
+    from eventlake.binxml.columnar import BlockDecoder
+
+    t = Template(G, E("Event", [], [E("A", [], [Sub(0)])]))
+
+    def made(ids, times=(), **change):
+        w = ChunkWriter()
+        for k, i in enumerate(ids):
+            assert w.add(i, times[k] if k < len(times) else T0, t, [(V.STRING, "x")])
+        return bytearray(w.finish(**change))
+
+    chunks = [made(range(5)), made([1, 2**63 + 5, 3], last_record_id=3), made(range(4), [2**62, 2**63 + 1]), made(range(9)), bytearray(b"\1" * CHUNK), made(range(7), events_crc=1), made(range(3), free_space_offset=600), made([]), made(range(6))]
+    size = struct.unpack_from("<I", chunks[3], 516)[0]
+    chunks[3][512 + 2 * size : 516 + 2 * size] = b"bad!"
+    chunks[8][516:520] = struct.pack("<I", 20)
+    arrow = to_arrow_schema(schema.HEADERS)
+    for checked in (False, True):
+        o = winlog.Options(view="record_headers", settings=Settings(validate_checksums=checked))
+        numbered = [(2 * n, bytes(c)) for n, c in enumerate(chunks)]
+        want = [r for n, c in numbered for r in winlog.rows_of_chunk("f", n, c, o)]
+        got = BlockDecoder(arrow, o.settings).headers("f", numbered)
+        assert got.to_pylist() == pa.RecordBatch.from_pylist(want, arrow).to_pylist() and len(want) > 10
+
+
 @pytest.mark.parametrize("x, double, single", [(0.0, "0.0", "0.0"), (-0.0, "-0.0", "-0.0"), (1e15, "1000000000000000.0", "1e15"), (1e16, "1e16", "1e16"), (1.5e-5, "0.000015", "0.000015"), (1.5e-6, "1.5e-6", "0.0000015"), (1.5e-7, "1.5e-7", "1.5e-7"), (-12.25, "-12.25", "-12.25"), (100.0, "100.0", "100.0"), (1e300, "1e300", None), (-1.25e-300, "-1.25e-300", None), (float("nan"), "NaN", "NaN"), (float("-inf"), "-inf", "-inf"), (123456789.0, "123456789.0", "123456790.0")])
 def test_real_texts(x, double, single):
     assert V.real_text(x, False) == double
