@@ -329,13 +329,8 @@ def executable_resources(spark, sf):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([executable(c) for c in b.column("content").to_pylist()], pa.binary())], ["path", "content"])
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(path, *r) for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for r in pe.resources(data)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.binary()))], ["path", "name", "language", "content"])
-
     files = manifests.blobs(spark, sf).mapInArrow(wrapped, "path string, content binary")
-    resources = files.mapInArrow(found, "path string, name string, language long, content binary")
+    resources = pe.manifests_of(files).where("error IS NULL")
     stats = M.stats(M.manifests(resources.select("path", "content"))).select("source", "providers", "templates")
     return resources.select(F.col("path").alias("source"), "name", "language").join(stats, "source")
 

@@ -17,9 +17,18 @@ from .manifest import parse
 MAGIC, VERSION, CRIM = b"WEVTCACH", 1, 1
 
 
+def header(n: int) -> bytes:
+    """What a cache file of n entries begins with."""
+    return MAGIC + struct.pack("<II", VERSION, n)
+
+
+def entry(blob: bytes) -> bytes:
+    return struct.pack("<BQ", CRIM, len(blob)) + blob
+
+
 def write(blobs: Iterable[bytes]) -> bytes:
     blobs = list(blobs)
-    return MAGIC + struct.pack("<II", VERSION, len(blobs)) + b"".join(struct.pack("<BQ", CRIM, len(b)) + b for b in blobs)
+    return header(len(blobs)) + b"".join(map(entry, blobs))
 
 
 def read(data: bytes) -> Iterator[bytes]:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from ..binxml.values import DecodeError, need
 
 TYPE = "WEVT_TEMPLATE"
@@ -76,3 +79,19 @@ def resources(data: bytes) -> Iterator[tuple[str, int, bytes]]:
                 place = offset_of(address)
                 need(data, place, size, "resource data")
                 yield str(name), language if isinstance(language, int) else 0, bytes(data[place : place + size])
+
+
+def manifests_of(files: DataFrame) -> DataFrame:
+    """(path, nth, name, language, content, error) of the resources of executables (path, content), as
+    ``binaryFile`` gives them; a file that can't be read is one row with its error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    rows = [{"path": path, "nth": k, "name": str(name), "language": language, "content": blob, "error": None} for k, (name, language, blob) in enumerate(resources(data or b""))]
+                except DecodeError as e:
+                    rows = [{"path": path, "nth": 0, "name": None, "language": None, "content": None, "error": str(e)}]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("nth", pa.int32()), ("name", pa.string()), ("language", pa.int64()), ("content", pa.binary()), ("error", pa.string())]))
+
+    return files.select("path", "content").mapInArrow(run, "path string, nth int, name string, language long, content binary, error string")

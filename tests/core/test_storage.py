@@ -1,5 +1,6 @@
 """Chunk index, stream source and dump sink."""
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow.fs as pafs
@@ -195,3 +196,30 @@ def test_one_parse_gives_what_the_paths_give(spark, raw):
     df = spark.createDataFrame([(raw, 1, 2, "p")], "Raw string, Level int, EventID int, Provider string")
     specs = [*DEFAULT, USER_SID]
     assert shown(df, specs).first() == df.select(*[s.expr().alias(s.id) for s in specs]).first()
+
+
+def test_commands_that_write_by_tasks(spark, tmp_path, capsys):
+    from eventlake import cli
+    from eventlake.encoder import executable, manifest
+    from eventlake.templates import cache
+
+    put(tmp_path / "a.evtx", [chunk(range(10 * k, 10 * k + 10)) for k in range(3)])
+    out = tmp_path / "i.jsonl"
+    assert cli.main(["template-instances", str(tmp_path / "a.evtx"), "-f", str(out)]) == 0
+    rows = [json.loads(x) for x in out.read_text().splitlines()]
+    assert [r["record_id"] for r in rows] == list(range(30))
+    assert cli.main(["template-instances", str(tmp_path / "a.evtx"), "--record", "7", "-f", str(out), "--no-confirm-overwrite"]) == 0
+    assert [json.loads(x)["record_id"] for x in out.read_text().splitlines()] == [7]
+    blobs = [manifest(T.guid, templates=[(T.guid, E("EventData", [], [E("Data", [], [Sub(k)])]), ["n"])]) for k in range(2)]
+    for k, b in enumerate(blobs):
+        (tmp_path / f"x{k}.exe").write_bytes(executable(b))
+    (tmp_path / "x2.exe").write_bytes(b"no executable")
+    made = tmp_path / "t.wevtcache"
+    assert cli.main(["extract-templates", str(tmp_path), "--extensions", "exe", "-f", str(made)]) == 0
+    assert list(cache.read(made.read_bytes())) == blobs
+    told = capsys.readouterr().err
+    assert "2 manifests" in told and "x2.exe" in told
+    with pytest.raises(SystemExit):
+        cli.main(["extract-templates", str(tmp_path), "--extensions", "exe", "-f", str(made)])
+    assert cli.main(["dump", str(tmp_path / "a.evtx"), "-o", "json", "-f", str(tmp_path / "d.json"), "--events", "28-29"]) == 0
+    assert (tmp_path / "d.json").read_text().splitlines()[::2] == ["Record 28", "Record 29"]
