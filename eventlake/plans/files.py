@@ -329,7 +329,7 @@ def executable_resources(spark, sf):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([executable(c) for c in b.column("content").to_pylist()], pa.binary())], ["path", "content"])
 
-    files = manifests.blobs(spark, sf).mapInArrow(wrapped, "path string, content binary")
+    files = manifests.blobs(spark, sf, whole=True).mapInArrow(wrapped, "path string, content binary")
     resources = pe.manifests_of(files).where("error IS NULL")
     stats = M.stats(M.manifests(resources.select("path", "content"))).select("source", "providers", "templates")
     return resources.select(F.col("path").alias("source"), "name", "language").join(stats, "source")

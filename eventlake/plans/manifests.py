@@ -26,20 +26,31 @@ def _guid_sql(text: str) -> str:
     return f"({h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32])"
 
 
-def _build(key, frame):
-    import pandas as pd
+#: An event's identifier has 16 bits: a manifest has parts of one such range of keys, so that no two of its events share one.
+SLICE, VERSIONS = 65536, 256
 
-    brand, rows = key[0], frame.sort_values("p_partkey")
-    types = sorted(rows.p_type.unique())
-    made = [(_guid(brand + t), E("EventData", [], [E("Data", [("Name", n)], [Sub(i, V.STRING)]) for i, n in enumerate(t.split())]), t.split()) for t in types]
-    events = [{"identifier": int(r.p_partkey % 65536), "version": 1, "level": int(r.p_size % 6), "task": int(r.p_size), "template": types.index(r.p_type) if r.p_partkey % 5 else None} for r in rows.itertuples()]
-    blob = manifest(_guid(brand), channels=[(16, brand), (17, "Other")], levels=[(int(n), f"level {n}") for n in sorted({e["level"] for e in events})], templates=made, events=events, value_maps=[[1, 2], [3]])
-    return pd.DataFrame({"path": [brand], "content": [blob]})
 
+def _build(versions: bool):
+    def run(key, frame):
+        import pandas as pd
 
-def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): a manifest for each brand."""
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size").groupBy("p_brand").applyInPandas(_build, "path string, content binary")
+        brand, nth, rows = key[0], int(key[1]), frame.sort_values("p_partkey")
+        version, source = (nth % VERSIONS, f"{brand}|{nth // VERSIONS}") if versions else (1, brand)
+        types = sorted(rows.p_type.unique())
+        made = [(_guid(brand + t), E("EventData", [], [E("Data", [("Name", n)], [Sub(i, V.STRING)]) for i, n in enumerate(t.split())]), t.split()) for t in types]
+        events = [{"identifier": int(r.p_partkey % SLICE), "version": version, "level": int(r.p_size % 6), "task": int(r.p_size), "template": types.index(r.p_type) if r.p_partkey % 5 else None} for r in rows.itertuples()]
+        blob = manifest(_guid(source), channels=[(16, brand), (17, "Other")], levels=[(int(n), f"level {n}") for n in sorted({e["level"] for e in events})], templates=made, events=events, value_maps=[[1, 2], [3]])
+        return pd.DataFrame({"path": [source], "content": [blob]})
+
+    return run
+
+
+def blobs(spark: SparkSession, sf_dir: str, *, whole: bool = False, versions: bool = False) -> DataFrame:
+    """(path, content): manifests of each brand, one for each 65536 part keys (``whole``: one for all).
+    With ``versions`` each has a version of its own, and each 256 of them a provider and a path (brand|number)."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    nth = F.lit(0) if whole else F.floor(F.col("p_partkey") / SLICE)
+    return part.groupBy("p_brand", nth.cast("long").alias("nth")).applyInPandas(_build(versions), "path string, content binary")
 
 
 @query("manifest_events", f"SELECT p_brand AS source, {_guid_sql('p_brand')} AS provider, p_partkey % 65536 AS identifier, CAST(p_size % 6 AS BIGINT) AS level, CASE WHEN p_partkey % 5 <> 0 THEN {_guid_sql('p_brand || p_type')} END AS template_guid FROM part")
@@ -49,17 +60,17 @@ def manifest_events(spark, sf):
 
 @query("manifest_table_stats", "SELECT p_brand AS source, CAST(1 AS BIGINT) AS providers, count(DISTINCT p_type) AS templates, count(*) AS events, CAST(2 AS BIGINT) AS maps, CAST(2 AS BIGINT) AS channels, count(DISTINCT p_size % 6) AS levels, CAST(0 AS BIGINT) AS opcodes, CAST(0 AS BIGINT) AS tasks, CAST(0 AS BIGINT) AS keywords FROM part GROUP BY 1")
 def manifest_table_stats(spark, sf):
-    return M.stats(M.manifests(blobs(spark, sf)))
+    return M.stats(M.manifests(blobs(spark, sf, whole=True)))
 
 
 @query("manifest_template_items", f"SELECT DISTINCT {_guid_sql('p_brand || p_type')} AS guid, array_to_string(string_split(p_type, ' '), '|') AS names FROM part")
 def manifest_template_items(spark, sf):
-    return M.table(M.manifests(blobs(spark, sf)), "templates").select("guid", F.array_join(F.transform("items", lambda i: i["name"]), "|").alias("names"))
+    return M.table(M.manifests(blobs(spark, sf)), "templates").select("guid", F.array_join(F.transform("items", lambda i: i["name"]), "|").alias("names")).distinct()
 
 
 @query("manifest_channels", "SELECT DISTINCT p_brand AS source, u.identifier, CASE u.identifier WHEN 16 THEN p_brand ELSE 'Other' END AS name FROM part, (VALUES (CAST(16 AS BIGINT)), (CAST(17 AS BIGINT))) u(identifier)")
 def manifest_channels(spark, sf):
-    return M.table(M.manifests(blobs(spark, sf)), "channels").select("source", "identifier", "name")
+    return M.table(M.manifests(blobs(spark, sf)), "channels").select("source", "identifier", "name").distinct()
 
 
 @query("manifest_event_index", f"SELECT provider, identifier, task, array_to_string(list_sort(list(DISTINCT g)), '|') AS guids FROM (SELECT {_guid_sql('p_brand')} AS provider, p_partkey % 65536 AS identifier, CAST(p_size AS BIGINT) AS task, p_size % 6 AS level, {_guid_sql('p_brand || p_type')} AS g FROM part WHERE p_partkey % 5 <> 0) GROUP BY provider, identifier, task, level")
@@ -77,4 +88,4 @@ def manifest_first_wins(spark, sf):
 def manifest_maps(spark, sf):
     """The values of each map, and how many its map has."""
     rows = M.table(M.manifests(blobs(spark, sf)), "maps")
-    return rows.select("source", "kind", F.size("entries").alias("size"), F.explode("entries").alias("e")).select("source", "kind", "size", "e.identifier")
+    return rows.select("source", "kind", F.size("entries").alias("size"), F.explode("entries").alias("e")).select("source", "kind", "size", "e.identifier").distinct()

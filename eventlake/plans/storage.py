@@ -220,15 +220,16 @@ FROM part WHERE p_partkey % 5 <> 0""")
 def apply_templates(spark, sf):
     """Events' values filled into the templates that provider, event id and version lead to."""
     to = f"{shared_path(spark, 'manifests')}/t"
-    M.manifests(manifests.blobs(spark, sf)).write.parquet(to)  # read three times below
+    M.manifests(manifests.blobs(spark, sf, versions=True)).write.parquet(to)  # read three times below
     made = spark.read.parquet(to)
-    index = M.event_templates(made).where("template_guid IS NOT NULL").select(F.col("provider").alias("provider_guid"), F.col("identifier").alias("event_id"), F.lit(1).alias("version"), "template_guid", F.lit(0).alias("insert_seq"))
+    index = M.event_templates(made).where("template_guid IS NOT NULL").select(F.col("provider").alias("provider_guid"), F.col("identifier").alias("event_id"), "version", "template_guid", F.lit(0).alias("insert_seq"))
     bodies = templates.first_by(M.table(made, "templates"), ["guid"], ["source", "offset"]).select(F.col("guid").alias("template_guid"), "body")
-    part = table(spark, sf, "part")
-    providers = M.event_templates(made).select("source", F.col("provider").alias("provider_guid")).distinct()
-    events = part.select(F.col("p_brand").alias("source"), (F.col("p_partkey") % 65536).alias("event_id"), F.lit(1).alias("version"), F.to_json(F.array(F.col("p_size").cast("string"), "p_name", F.lit("a&b"))).alias("given")).join(providers, "source")
+    providers = M.providers(made).select("source", F.col("guid").alias("provider_guid")).distinct()
+    nth = F.floor(F.col("p_partkey") / manifests.SLICE).cast("long")
+    source = F.concat_ws("|", "p_brand", F.floor(nth / manifests.VERSIONS).cast("long"))
+    events = table(spark, sf, "part").select(source.alias("source"), (F.col("p_partkey") % manifests.SLICE).alias("event_id"), (nth % manifests.VERSIONS).alias("version"), F.to_json(F.array(F.col("p_size").cast("string"), "p_name", F.lit("a&b"))).alias("given")).join(providers, "source")
     resolved = templates.resolve_template(events, index).where("template_guid IS NOT NULL").join(bodies, "template_guid")
-    return resolved.select("source", F.col("event_id").alias("identifier"), "body", "given").mapInArrow(_applied, "source string, identifier long, xml string")
+    return resolved.select(F.split("source", r"\|")[0].alias("source"), F.col("event_id").alias("identifier"), "body", "given").mapInArrow(_applied, "source string, identifier long, xml string")
 
 
 def _applied(batches):

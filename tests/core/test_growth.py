@@ -1,0 +1,33 @@
+"""Results and bounds of the written-file queries on tables larger than the given ones."""
+
+from collections import Counter
+
+import duckdb
+import pytest
+
+from eventlake.plans import catalogue, files, manifests, storage  # noqa: F401
+
+
+def same_as_sql(spark, folder, name, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    cursor = con.execute(catalogue.ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
+    got = catalogue.QUERIES[name](spark, folder)
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(cursor.fetchall())
+
+
+@pytest.fixture(scope="module")
+def far_parts(sf, tmp_path_factory):
+    """Parts whose keys meet modulo 65536, and again modulo 65536 * 256, under one brand."""
+    folder = str(tmp_path_factory.mktemp("parts"))
+    duckdb.sql(f"""COPY (SELECT s.* REPLACE (s.p_partkey + o AS p_partkey, 'Brand#' || (s.p_partkey % 2) AS p_brand, CASE WHEN o = 0 THEN p_type ELSE 'NEW ' || o || ' TYPE' END AS p_type)
+      FROM read_parquet('{sf}/part.parquet') s, (SELECT unnest([0, 65536, 16777216]) AS o) WHERE s.p_partkey < 60) TO '{folder}/part.parquet' (FORMAT parquet)""")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["apply_templates", "manifest_events", "manifest_event_index", "manifest_channels", "manifest_maps", "manifest_table_stats", "manifest_template_items", "manifest_first_wins", "template_values", "template_placeholders", "executable_resources", "cache_table_function"])
+def test_parts_with_equal_identifiers(spark, far_parts, name):
+    same_as_sql(spark, far_parts, name, "part")
