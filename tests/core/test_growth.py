@@ -31,3 +31,9 @@ def far_parts(sf, tmp_path_factory):
 @pytest.mark.parametrize("name", ["apply_templates", "manifest_events", "manifest_event_index", "manifest_channels", "manifest_maps", "manifest_table_stats", "manifest_template_items", "manifest_first_wins", "template_values", "template_placeholders", "executable_resources", "cache_table_function"])
 def test_parts_with_equal_identifiers(spark, far_parts, name):
     same_as_sql(spark, far_parts, name, "part")
+
+
+def test_manifests_are_bounded(spark, far_parts):
+    """A manifest has the parts of one range of keys, however many its brand has."""
+    made = manifests.blobs(spark, far_parts).groupBy("path").count().collect()
+    assert {r["path"]: r["count"] for r in made} == {"Brand#0": 3, "Brand#1": 3}
