@@ -92,11 +92,12 @@ class WinlogStreamReader(DataSourceStreamReader):
                     found[path] = [0, 1]  # not a log, or not one yet: one error row
         return found
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        from .winlog import PER_TASK
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        from .winlog import PER_TASK, packed
 
         step = self.options.chunks_per_partition or PER_TASK
-        return [p for path, place in sorted(end.items()) for p in pieces(path, tuple(start.get(path, (0, 0))), tuple(place), step)]
+        found = [p for path, place in sorted(end.items()) for p in pieces(path, tuple(start.get(path, (0, 0))), tuple(place), step)]
+        return packed(found, max(PER_TASK, step) if self.options.packed else 0)
 
     def _items(self, part: Piece, o) -> Iterator[dict | tuple[str, int, bytes]]:
         """Whole chunks, and the rows of those that the task has a part of."""
@@ -123,11 +124,15 @@ class WinlogStreamReader(DataSourceStreamReader):
                     if low <= k < high or k == high and row.get("error") and row.get("record_id") is None:
                         yield from wanted(iter([row]), o)
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         from .winlog import decoded, with_templates
 
         o = with_templates(self.options)
-        yield from decoded(self._items(partition, o), o, self.schema)
+        if o.limit is None:
+            yield from decoded((item for part in partition.ranges for item in self._items(part, o)), o, self.schema)
+            return
+        for part in partition.ranges:
+            yield from decoded(self._items(part, o), o, self.schema)
 
     def commit(self, end: dict) -> None: ...
 

@@ -9,7 +9,11 @@ Options: ``view`` (records, arrow, chunks, record_headers, template_instances, s
 ``mode`` (permissive, dropmalformed, failfast), ``separateAttributes``, ``xml``,
 ``json``, ``indent``, ``ansiCodec``, ``validateChecksums``, ``chunksPerPartition`` (256, or
 more so that a scan has at most 50,000 tasks), ``recursive``, ``extensions``,
-``templateCache``, ``recordIds``, ``limit``.
+``templateCache``, ``recordIds``, ``limit``, ``packed``, ``firstRanges``.
+
+A scan's ranges of chunks are tasks. With ``packed`` (the default unless ``chunksPerPartition`` is given)
+neighbouring ranges, of one or several files, share a task of at most 256 chunks, because a task
+of Python costs as much as the decoding of some files. ``firstRanges`` reads so many ranges only.
 
 ``recordIds`` (``5,120-130``) gives the rows with these ids alone and skips chunks by
 their first and last id. Predicates on ``record_id`` filter rows; they aren't pushed into
@@ -17,17 +21,18 @@ the source, because Spark keeps one pushed state for all uses of a loaded relati
 that two filters on one DataFrame would prune each other's chunks. ``sources.zones`` prunes
 chunks by ids, times, providers and other columns for each filter of its own.
 
-``limit`` stops a task's scan after so many good rows; ``first_records`` gives so many in
+``limit`` stops the scan of a range after so many good rows; ``first_records`` gives so many in
 all. The view ``arrow`` has a row for each chunk, with its good records as an uncompressed
 Arrow IPC stream of one batch, and a row for each error.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs as pafs
@@ -65,6 +70,42 @@ class ChunkRange(InputPartition):
     stop: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that a task reads one after another."""
+
+    ranges: list[ChunkRange]
+
+
+class Ids:
+    """Sorted ranges of ids without overlaps: a lookup doesn't grow with their number."""
+
+    def __init__(self, ranges: tuple[tuple[int, int], ...]):
+        self.lows: list[int] = []
+        self.highs: list[int] = []
+        for low, high in sorted(r for r in ranges if r[0] <= r[1]):
+            if self.highs and low <= self.highs[-1] + 1:
+                self.highs[-1] = max(self.highs[-1], high)
+            else:
+                self.lows.append(low)
+                self.highs.append(high)
+        fit = [(low, min(high, (1 << 63) - 1)) for low, high in zip(self.lows, self.highs, strict=True) if low < 1 << 63]
+        self._bounds = np.array(fit, np.int64).reshape(-1, 2)
+
+    def meets(self, first: int, last: int) -> bool:
+        """Whether any of the ids from first to last is in a range."""
+        at = bisect_left(self.highs, first)
+        return at < len(self.lows) and self.lows[at] <= last
+
+    def among(self, ids: pa.Array) -> pa.Array:
+        """For each id (signed, or null) whether it is in a range."""
+        known = pa.compute.fill_null(ids, -1).to_numpy(zero_copy_only=False)
+        if not len(self._bounds):
+            return pa.array(np.zeros(len(known), bool))
+        at = np.searchsorted(self._bounds[:, 1], known)
+        return pa.array((at < len(self._bounds)) & (self._bounds[np.minimum(at, len(self._bounds) - 1), 0] <= known))
+
+
 @dataclass
 class Options:
     view: str = "records"
@@ -78,6 +119,8 @@ class Options:
     template_cache: str | None = None
     record_ids: tuple[tuple[int, int], ...] = ()
     limit: int | None = None
+    packed: bool = True
+    first_ranges: int | None = None
 
     @staticmethod
     def of(options: dict[str, str]) -> Options:
@@ -90,7 +133,7 @@ class Options:
             raise ValueError(f"mode is permissive, dropmalformed or failfast; not {mode!r}")
         settings = Settings(flag("separateattributes", True), flag("indent", True), o.get("ansicodec", "windows-1252"), flag("validatechecksums", False))
         extensions = tuple(e.strip().lower().lstrip(".") for e in o.get("extensions", "").split(",") if e.strip())
-        return Options(view, mode, settings, flag("xml", False), flag("json", True), int(o["chunksperpartition"]) if o.get("chunksperpartition") else None, flag("recursive", False), extensions, o.get("templatecache"), tuple(parse_ranges(o["recordids"])) if o.get("recordids") else (), int(o["limit"]) if o.get("limit") else None)
+        return Options(view, mode, settings, flag("xml", False), flag("json", True), int(o["chunksperpartition"]) if o.get("chunksperpartition") else None, flag("recursive", False), extensions, o.get("templatecache"), tuple(parse_ranges(o["recordids"])) if o.get("recordids") else (), int(o["limit"]) if o.get("limit") else None, flag("packed", not o.get("chunksperpartition")), int(o["firstranges"]) if o.get("firstranges") else None)
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -157,13 +200,7 @@ def rows_of_chunk(path: str, n: int, data: bytes, o: Options, ordinal: int | Non
     if o.view in ("states", "arrow"):
         decoder = decoder or BlockDecoder(to_arrow_schema(S.RECORDS), o.settings, o.json or o.view == "states", o.xml and o.view == "arrow")
         batch = decoder.decode(path, [(n, data)]) if len(data) == CHUNK and (decoder.json or decoder.xml) else pa.RecordBatch.from_pylist(list(rows_of_chunk(path, n, data, replace(o, view="records", json=decoder.json, xml=decoder.xml))), decoder.schema)
-        if o.view == "states":
-            yield base | chunk_state(batch)
-            return
-        bad = batch.column("error").is_valid()
-        yield from (base | {"error": e} for e in batch.column("error").filter(bad).to_pylist())
-        good = batch.filter(pa.compute.invert(bad))
-        yield base | {"record_count": good.num_rows, "ipc": ipc_stream(good)}
+        yield from rows_of_batch(base, batch, o)
         return
     try:
         chunk = Chunk(data, o.settings)
@@ -191,6 +228,47 @@ def rows_of_chunk(path: str, n: int, data: bytes, o: Options, ordinal: int | Non
             yield base | {"record_id": signed(record_id), "error": error(e)}
 
 
+def rows_of_batch(base: dict, batch: pa.RecordBatch, o: Options) -> Iterator[dict]:
+    """Rows of the views ``states`` and ``arrow`` from a chunk's records."""
+    if o.view == "states":
+        yield base | chunk_state(batch)
+        return
+    bad = batch.column("error").is_valid()
+    yield from (base | {"error": e} for e in batch.column("error").filter(bad).to_pylist())
+    good = batch.filter(pa.compute.invert(bad))
+    yield base | {"record_count": good.num_rows, "ipc": ipc_stream(good)}
+
+
+def rows_of_blocks(items: Iterator[dict | tuple[str, int, bytes]], o: Options) -> Iterator[dict]:
+    """Rows of the views ``states`` and ``arrow``: chunks of a file are decoded together, and their
+    records dealt to the chunks again."""
+    decoder = BlockDecoder(to_arrow_schema(S.RECORDS), o.settings, o.json or o.view == "states", o.xml and o.view == "arrow")
+    held: list[tuple[int, bytes]] = []
+    path = None
+
+    def made() -> Iterator[dict]:
+        batch = decoder.decode(path, held)
+        numbers = [n for n, _ in held]
+        at = np.searchsorted(batch.column("chunk_no").to_numpy(), [*numbers, numbers[-1] + 1]).tolist()
+        for n, a, b in zip(numbers, at, at[1:], strict=False):
+            yield from rows_of_batch({"file": path, "chunk_no": n}, batch.slice(a, b - a), o)
+
+    for item in items:
+        whole = isinstance(item, tuple) and isinstance(item[1], int) and isinstance(item[2], bytes) and len(item[2]) == CHUNK and (decoder.json or decoder.xml)
+        if held and (not whole or item[0] != path or item[1] <= held[-1][0] or len(held) >= BLOCK):
+            yield from made()
+            held = []
+        if whole:
+            path = item[0]
+            held.append(item[1:3])
+        elif isinstance(item, dict):
+            yield item
+        else:
+            yield from rows_of_chunk(*item[:3], o, *item[3:], decoder=decoder)
+    if held:
+        yield from made()
+
+
 def handled(rows: Iterator[dict], mode: str) -> Iterator[dict]:
     for row in rows:
         if row.get("error") and mode != "permissive":
@@ -214,13 +292,14 @@ def ahead(read: Callable[[int, int], bytes], part: ChunkRange) -> Callable[[int,
     return get
 
 
-def wanted(rows: Iterator[dict], o: Options) -> Iterator[dict]:
+def wanted(rows: Iterator[dict], o: Options, ids: Ids | None = None) -> Iterator[dict]:
     """The rows with ids that were asked for, if any were; chunks and files have none."""
     if not o.record_ids or o.view in ("chunks", "files", "states", "arrow"):
         yield from rows
         return
+    ids = ids or Ids(o.record_ids)
     for row in rows:
-        if row.get("record_id") is not None and any(low <= row["record_id"] <= high for low, high in o.record_ids):
+        if row.get("record_id") is not None and ids.meets(row["record_id"], row["record_id"]):
             yield row
 
 
@@ -253,8 +332,11 @@ def decoded(items: Iterator[dict | tuple[str, int, bytes]], o: Options, schema:
     if columnar(o):
         yield from record_batches(items, o)
         return
-    decoder = BlockDecoder(to_arrow_schema(S.RECORDS), o.settings, o.json or o.view == "states", o.xml and o.view == "arrow") if o.view in ("states", "arrow") else None
-    rows = (row for item in items for row in ([item] if isinstance(item, dict) else wanted(rows_of_chunk(*item[:3], o, *item[3:], **{"decoder": decoder}), o)))
+    if o.view in ("states", "arrow"):
+        rows = rows_of_blocks(items, o)
+    else:
+        ids = Ids(o.record_ids)
+        rows = (row for item in items for row in ([item] if isinstance(item, dict) else wanted(rows_of_chunk(*item[:3], o, *item[3:]), o, ids)))
     yield from batches(stopped(handled(rows, o.mode), o.limit), schema)
 
 
@@ -269,13 +351,11 @@ def record_batches(items: Iterator[dict | tuple[str, int, bytes]], o: Options) -
     arrow = to_arrow_schema(VIEWS[o.view])
     decoder = BlockDecoder(arrow, o.settings, o.json, o.xml)
     decode = decoder.decode if o.view == "records" else decoder.headers
-    ids = pa.compute.field("record_id")
+    ids = Ids(o.record_ids)
 
     def picked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if o.record_ids:
-            hit = reduce(lambda a, b: a | b, [(ids >= low) & (ids <= min(high, (1 << 63) - 1)) for low, high in o.record_ids if low < 1 << 63] or [pa.compute.scalar(False)])
-            batch = pa.Table.from_batches([batch]).filter(hit).combine_chunks().to_batches(max_chunksize=None)
-            batch = batch[0] if batch else pa.RecordBatch.from_pylist([], arrow)
+            batch = batch.filter(ids.among(batch.column("record_id")))
         if o.mode != "permissive" and batch.column("error").null_count < batch.num_rows:
             if o.mode == "failfast":
                 list(handled((r for r in batch.to_pylist()), o.mode))
@@ -301,11 +381,26 @@ def record_batches(items: Iterator[dict | tuple[str, int, bytes]], o: Options) -
         yield from picked(decode(path, held))
 
 
+def packed(ranges: list, most: int) -> list[Ranges]:
+    """Tasks of neighbouring ranges with ``most`` chunks at most, or of a larger range alone."""
+    out: list[Ranges] = []
+    room = 0
+    for r in ranges:
+        n = r.stop - r.first
+        if out and n <= room:
+            out[-1].ranges.append(r)
+        else:
+            out.append(Ranges([r]))
+            room = most
+        room -= n
+    return out
+
+
 class WinlogReader(DataSourceReader):
     def __init__(self, schema: StructType, paths: list[str], options: Options):
         self.schema, self.paths, self.options = schema, paths, options
 
-    def _wanted(self, data: bytes) -> bool:
+    def _wanted(self, data: bytes, ids: Ids) -> bool:
         """Whether a chunk may have a wanted id, by its header alone. A header whose checksum
         doesn't fit tells nothing, nor do ids that a signed number doesn't hold."""
         try:
@@ -315,19 +410,19 @@ class WinlogReader(DataSourceReader):
         first, last = chunk.header["first_record_id"], chunk.header["last_record_id"]
         if not chunk.checksums()[0] or not 0 <= first <= last < 1 << 63:
             return True
-        return any(low <= last and first <= high for low, high in self.options.record_ids)
+        return ids.meets(first, last)
 
-    def partitions(self) -> list[ChunkRange]:
+    def partitions(self) -> list[Ranges]:
         out = []
         files = expand_paths(self.paths, recursive=self.options.recursive, extensions=self.options.extensions)
         step = self.options.chunks_per_partition or max(PER_TASK, sum(chunk_places(size) for _, size in files) // MOST_TASKS)
         for path, size in files:
             n = max(1, chunk_places(size))
             out += [ChunkRange(path, size, a, min(a + step, n)) for a in range(0, n if self.options.view != "files" else 1, step)]
-        return out
+        return packed(out[: self.options.first_ranges], max(PER_TASK, step) if self.options.packed else 0)
 
-    def _items(self, part: ChunkRange, o: Options) -> Iterator[dict | tuple[str, int, bytes]]:
-        """A task's chunks, or a row that tells why there are none."""
+    def _items(self, part: ChunkRange, o: Options, ids: Ids) -> Iterator[dict | tuple[str, int, bytes]]:
+        """A range's chunks, or a row that tells why there are none."""
         fs, inner = _open(part.path)
         with fs.open_input_file(inner) as f:
             read = lambda at, n: f.read_at(n, at)
@@ -339,14 +434,18 @@ class WinlogReader(DataSourceReader):
             if o.view == "files":
                 yield {"file": part.path, **{k: signed(v) if isinstance(v, int) and not isinstance(v, bool) else v for k, v in head.items()}}
                 return
-            get = (lambda at, k: read(at, 512) if k == CHUNK and not self._wanted(read(at, 512)) else read(at, k)) if o.record_ids else ahead(read, part)
+            get = (lambda at, k: read(at, 512) if k == CHUNK and not self._wanted(read(at, 512), ids) else read(at, k)) if o.record_ids else ahead(read, part)
             for n, data in iterate_chunks(get, part.size, part.first, part.stop):
                 if len(data) == CHUNK:
                     yield part.path, n, data
 
-    def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
-        o = with_templates(self.options)
-        yield from decoded(self._items(partition, o), o, self.schema)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        o, ids = with_templates(self.options), Ids(self.options.record_ids)
+        if o.limit is None:
+            yield from decoded((item for part in partition.ranges for item in self._items(part, o, ids)), o, self.schema)
+            return
+        for part in partition.ranges:
+            yield from decoded(self._items(part, o, ids), o, self.schema)
 
 
 class WinlogSource(DataSource):
@@ -389,8 +488,18 @@ def with_ordinals(chunks: DataFrame) -> DataFrame:
 
 
 def first_records(spark: SparkSession, path: str, n: int, **options: object) -> DataFrame:
-    """``n`` good rows, or all if there are fewer; no task reads on after its n-th."""
-    return read(spark, path, limit=n, **options).where("error IS NULL").limit(n)
+    """``n`` good rows, or all if there are fewer; no task reads on after its n-th. As few of the first
+    ranges are read as hold so many rows: one, then four times as many."""
+    ranges = 1
+    while True:
+        rows = read(spark, path, limit=n, firstRanges=ranges, **options).where("error IS NULL")
+        if rows.count() >= n:
+            return rows.limit(n)
+        o = {k: str(v) for k, v in options.items()}
+        most = len(WinlogReader(None, [p.strip() for p in path.split(",") if p.strip()], replace(Options.of(o), packed=False)).partitions())
+        if ranges >= most:
+            return rows
+        ranges *= 4
 
 
 def decode_files(files: DataFrame, *, content: str = "content", path: str = "path", **options: object) -> DataFrame:

@@ -1,11 +1,19 @@
 """Results and bounds of the written-file queries on tables larger than the given ones."""
 
 from collections import Counter
+from datetime import datetime
+from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 
+from eventlake.encoder import ChunkWriter, file_bytes
 from eventlake.plans import catalogue, files, manifests, storage  # noqa: F401
+from eventlake.plans.decode import TEMPLATE, _values
+from eventlake.sources import winlog
+
+EPOCH = datetime(2024, 1, 1)
 
 
 def same_as_sql(spark, folder, name, *tables):
@@ -37,3 +45,66 @@ def test_manifests_are_bounded(spark, far_parts):
     """A manifest has the parts of one range of keys, however many its brand has."""
     made = manifests.blobs(spark, far_parts).groupBy("path").count().collect()
     assert {r["path"]: r["count"] for r in made} == {"Brand#0": 3, "Brand#1": 3}
+
+
+def test_ids_by_lookup():
+    """Picking ids doesn't grow with the number of ranges, and is what each range alone says."""
+    ranges = [(5, 9), (7, 12), (20, 20), (30, 25), (13, 13), ((1 << 63) - 1, (1 << 64) + 5)] + [(100 * k, 100 * k + 3) for k in range(1, 20_000)]
+    ids = winlog.Ids(tuple(ranges))
+    assert len(ids.lows) == 20_002
+    asked = [*range(40), 99, 100, 103, 104, 1_999_903, 1_999_904, (1 << 63) - 1]
+    want = [any(low <= i <= high for low, high in ranges) for i in asked]
+    assert [ids.meets(i, i) for i in asked] == want
+    assert ids.among(pa.array([*asked, None, -3], pa.int64())).to_pylist() == [*want, False, False]
+    assert ids.meets(104, 200) and not ids.meets(104, 199) and not winlog.Ids(()).meets(0, 9) and winlog.Ids(()).among(pa.array([1])).to_pylist() == [False]
+
+
+def test_ranges_share_tasks(tmp_path):
+    for k in range(30):
+        (tmp_path / f"{k:02d}.evtx").write_bytes(file_bytes([bytes(65536)] * 40))
+    tasks = lambda **o: [[(r.path[-7:-5], r.first, r.stop) for r in t.ranges] for t in winlog.WinlogReader(None, [str(tmp_path)], winlog.Options.of(o)).partitions()]
+    assert [len(t) for t in tasks()] == [6] * 5
+    assert [len(t) for t in tasks(chunksPerPartition="7")] == [1] * 180
+    few = tasks(chunksPerPartition="7", packed="true")
+    assert len(few) == 5 and [r for t in few for r in t] == [t[0] for t in tasks(chunksPerPartition="7")]
+    assert [r for t in tasks(firstRanges="2") for r in t] == [("00", 0, 40), ("01", 0, 40)]
+
+
+def test_chunks_of_a_file_are_decoded_together(monkeypatch):
+    """Also in the views that have a row for each chunk; numbers may repeat where chunks come as a column."""
+    calls, decode = [], winlog.BlockDecoder.decode
+    monkeypatch.setattr(winlog.BlockDecoder, "decode", lambda self, path, chunks: calls.append(len(chunks)) or decode(self, path, chunks))
+    made = []
+    for n in range(40):
+        w = ChunkWriter()
+        for k in range(n % 4):
+            w.add(10 * n + k, 0, TEMPLATE, _values(10 * n + k, EPOCH, n, "error", "{}"))
+        made.append(bytearray(w.finish()) if n != 6 else bytearray(b"x" * 65536))
+    items = [("a", n, bytes(c)) for n, c in enumerate(made)] + [("a", 3, bytes(made[3])), ("b", 0, bytes(made[2]))]
+    for view in ("states", "arrow"):
+        o = winlog.Options.of({"view": view})
+        calls.clear()
+        got = [r for b in winlog.decoded(iter(items), o, winlog.VIEWS[view]) for r in b.to_pylist()]
+        assert calls == [40, 1, 1]
+        alone = [r for i in items for b in winlog.decoded(iter([i]), o, winlog.VIEWS[view]) for r in b.to_pylist()]
+        assert got == alone and len(got) == (42 if view == "states" else 43)
+
+
+def test_first_records_opens_few_ranges(spark, tmp_path, monkeypatch):
+    for k in range(30):
+        w = ChunkWriter()
+        for i in range(10 if k else 0):
+            w.add(100 * k + i, 0, TEMPLATE, _values(i, EPOCH, i, "error", "{}"))
+        (tmp_path / f"{k:02d}.evtx").write_bytes(file_bytes([w.finish()] if k else [b"x" * 65536]))
+    asked, read = [], winlog.read
+    monkeypatch.setattr(winlog, "read", lambda *a, **o: asked.append(o["firstRanges"]) or read(*a, **o))
+    assert winlog.first_records(spark, str(tmp_path), 25).count() == 25 and asked == [1, 4]
+    asked.clear()
+    assert winlog.first_records(spark, str(tmp_path), 1000).count() == 290 and asked == [1, 4, 16, 64]
+
+
+def test_written_logs_are_not_copied(spark, sf):
+    """Files that a query has to leave out hold one chunk; the recursive query's are whole."""
+    sizes = lambda folder: {x: sum(f.stat().st_size for f in Path(folder.removeprefix("file:")).rglob(f"*.{x}")) for x in ("evtx", "txt", "EVTX")}
+    one, whole = sizes(files.written_logs(spark, sf)), sizes(files.written_logs(spark, sf, copies=True))
+    assert one["evtx"] == whole["evtx"] == whole["EVTX"] and 0 < one["txt"] == one["EVTX"] < one["evtx"] / 10
