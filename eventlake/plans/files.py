@@ -37,7 +37,7 @@ IN_FILE, IN_CHUNK = 2000, 50
 DAMAGED = "event_id // 50 % 10 = 7"
 
 
-def _write(folder: str, damage: str):
+def _write(folder: str, damage: str, copies: bool):
     def run(key, frame):
         import pandas as pd
 
@@ -57,21 +57,22 @@ def _write(folder: str, damage: str):
         fs, inner = pa.fs.FileSystem.from_uri(folder) if ":/" in folder else (pa.fs.LocalFileSystem(), folder)
         fs.create_dir(f"{inner}/old")
         names = [f"{int(key[0]):08d}.evtx", f"{int(key[0]):08d}.txt", f"old/{int(key[0]):08d}.EVTX"]
+        first = data if copies else file_bytes(made[:1])
         for name in names:
             with fs.open_output_stream(f"{inner}/{name}") as out:
-                out.write(data)
+                out.write(data if name == names[0] else first)
         return pd.DataFrame({"name": names})
 
     return run
 
 
-def written_logs(spark: SparkSession, sf_dir: str, damage: str = "", *, folder: str | None = None, only: str = "true") -> str:
-    """A folder with a log file for each 2000 events, the same under another extension, and copies
-    below. ``only`` picks events by ``event_id`` and ``part``, the number of their file; files that
+def written_logs(spark: SparkSession, sf_dir: str, damage: str = "", *, folder: str | None = None, only: str = "true", copies: bool = False) -> str:
+    """A folder with a log file for each 2000 events, and beside it one under another extension and one below
+    that a query has to leave out: with the first chunk, or whole with ``copies``. ``only`` picks events by ``event_id`` and ``part``, the number of their file; files that
     a given folder has already are written anew."""
     folder = folder or shared_path(spark, "logs")
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    events.withColumn("part", F.floor(F.col("event_id") / IN_FILE)).where(only).groupBy("part").applyInPandas(_write(folder, damage), "name string").agg(F.count("*")).collect()
+    events.withColumn("part", F.floor(F.col("event_id") / IN_FILE)).where(only).groupBy("part").applyInPandas(_write(folder, damage, copies), "name string").agg(F.count("*")).collect()
     return folder
 
 
@@ -86,14 +87,14 @@ def _part() -> Column:
 @query("source_records", f"WITH {PARTS} SELECT record_id, record_id // 2000 AS part, record_id % 2000 // 50 AS chunk_no, CAST(eid AS INTEGER) AS \"EventID\", provider AS \"Provider\" FROM parts")
 def source_records(spark, sf):
     """The files of one folder with one extension, read by the data source."""
-    rows = winlog.read(spark, written_logs(spark, sf), extensions="evtx", chunksPerPartition=16)
+    rows = winlog.read(spark, written_logs(spark, sf), extensions="evtx", chunksPerPartition=16, packed=True)
     return rows.where("error IS NULL").select("record_id", _part(), F.col("chunk_no").cast("long").alias("chunk_no"), "EventID", "Provider")
 
 
 @query("source_recursive", "SELECT event_id // 2000 AS part, 2 * count(*) AS cnt, CAST(2 AS BIGINT) AS files FROM events GROUP BY 1")
 def source_recursive(spark, sf):
     """Folders below too; extensions without regard to case."""
-    rows = winlog.read(spark, written_logs(spark, sf), extensions=".EVTX", recursive=True, view="record_headers")
+    rows = winlog.read(spark, written_logs(spark, sf, copies=True), extensions=".EVTX", recursive=True, view="record_headers")
     return rows.groupBy(_part()).agg(F.count("*").alias("cnt"), F.countDistinct("file").alias("files"))
 
 
@@ -130,16 +131,16 @@ def source_files(spark, sf):
 
 @query("source_chunks", f"SELECT part, chunk_no, min(event_id) AS first_record_id, count(*) AS record_count FROM (SELECT event_id, {PLACE} FROM events) GROUP BY 1, 2")
 def source_chunks(spark, sf):
-    """Chunk headers, a few chunks in a task."""
-    rows = winlog.read(spark, written_logs(spark, sf), extensions="evtx", view="chunks", chunksPerPartition=7)
+    """Chunk headers, a few chunks in a range."""
+    rows = winlog.read(spark, written_logs(spark, sf), extensions="evtx", view="chunks", chunksPerPartition=7, packed=True)
     return rows.where("header_ok AND events_ok").select(_part(), F.col("chunk_no").cast("long").alias("chunk_no"), "first_record_id", F.col("record_count").cast("long").alias("record_count"))
 
 
 @query("source_limit", "SELECT event_id // 2000 AS part, least(count(*), 100) AS cnt, CAST(100 AS BIGINT) AS first FROM events GROUP BY 1")
 def source_limit(spark, sf):
-    """Each task stops after its hundredth good row (here a task reads a file), or so many rows in all."""
+    """Each range's scan stops after its hundredth good row (here a range is a file), or so many rows in all."""
     folder = written_logs(spark, sf, "checksum")
-    rows = winlog.read(spark, folder, extensions="evtx", view="record_headers", validateChecksums=True, limit=100, chunksPerPartition=40)
+    rows = winlog.read(spark, folder, extensions="evtx", view="record_headers", validateChecksums=True, limit=100, chunksPerPartition=40, packed=True)
     first = winlog.first_records(spark, folder, 100, extensions="evtx").count()
     return rows.where("error IS NULL").groupBy(_part()).agg(F.count("*").alias("cnt"), F.lit(first).cast("long").alias("first"))
 

@@ -83,7 +83,7 @@ def stream_growth(spark, sf):
     folder = written_logs(spark, sf, only="event_id % 2000 < 1010")
     first = None
     for run in (1, 2):
-        rows = stream_chunks(spark, folder, extensions="evtx", view="record_headers", chunksPerPartition=7)
+        rows = stream_chunks(spark, folder, extensions="evtx", view="record_headers", chunksPerPartition=7, packed=True)
         ingest(rows, f"{to}/rows", state).awaitTermination()
         if run == 1:
             first = [f.replace("file:///", "/") for f in spark.read.parquet(f"{to}/rows").inputFiles()]
