@@ -528,6 +528,12 @@ def decode_files(files: DataFrame, *, content: str = "content", path: str = "pat
     return files.select(path, content).mapInArrow(run, schema)
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """A batch's rows, made when they're asked for: Spark's batches hold 64 MB of chunks, which would stand in memory twice."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def decode_chunks(chunks: DataFrame, *, content: str = "chunk", path: str = "file", number: str = "chunk_no", **options: object) -> DataFrame:
     """Decode a column of 64 KiB chunks; options hold as for ``decode_files``."""
     o = Options.of({k: str(v) for k, v in options.items()})
@@ -535,6 +541,6 @@ def decode_chunks(chunks: DataFrame, *, content: str = "chunk", path: str = "fil
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = with_templates(o)
-        yield from decoded((c for batch in it for c in zip(*(batch.column(c).to_pylist() for c in (path, number, content)), strict=True)), known, schema)
+        yield from decoded((c for batch in it for c in one_by_one(batch.select([path, number, content]))), known, schema)
 
     return chunks.select(path, number, content).mapInArrow(run, schema)

@@ -108,3 +108,16 @@ def test_written_logs_are_not_copied(spark, sf):
     sizes = lambda folder: {x: sum(f.stat().st_size for f in Path(folder.removeprefix("file:")).rglob(f"*.{x}")) for x in ("evtx", "txt", "EVTX")}
     one, whole = sizes(files.written_logs(spark, sf)), sizes(files.written_logs(spark, sf, copies=True))
     assert one["evtx"] == whole["evtx"] == whole["EVTX"] and 0 < one["txt"] == one["EVTX"] < one["evtx"] / 10
+
+
+def test_chunks_of_a_batch_are_not_held_twice():
+    import tracemalloc
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 200), pa.array(range(200)), pa.array([bytes([k]) * 65536 for k in range(200)])], ["file", "chunk_no", "chunk"])
+    tracemalloc.start()
+    try:
+        for k, (file, number, data) in enumerate(winlog.one_by_one(batch)):
+            assert (file, number, data[:1], len(data)) == ("x", k, bytes([k]), 65536)
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    finally:
+        tracemalloc.stop()
