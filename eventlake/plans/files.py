@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..binxml import values as V
-from ..encoder import ChunkWriter, E, Ref, Sub, Template, Tokens, executable, file_bytes, write_records
+from ..encoder import ChunkWriter, E, Ref, Sub, Template, Tokens, encode, executable, file_bytes, write_records
 from ..operators import logs as L
 from ..operators import tables, templates
 from ..operators.columns import event_data
@@ -260,10 +260,14 @@ def _typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def added(w: ChunkWriter, key: int, values: list) -> bool:
         # The fragment's names are inlined where they stand, so its place has to be known: it's the last value.
+        coded = [(k, encode(k, x)) for k, x in values]
         at = 512 + len(w.body) + 28
-        probe = w.instance(at, t, [*values, (V.BINXML, b"")], dict(w.names), dict(w.defined))
-        inner = Tokens(at + len(probe), {}, template=False).fragment(E("In", [], [f"side {key}"]))
-        return w.add(key, 0, t, [*values, (V.BINXML, inner)])
+        if t.guid in w.defined:  # a token with the definition's place, a count, descriptors and values
+            before = 10 + 4 + 4 * (len(coded) + 1) + sum(len(b) for _, b in coded)
+        else:
+            before = len(w.instance(at, t, [*coded, (V.BINXML, b"")], dict(w.names), dict(w.defined)))
+        inner = Tokens(at + before, {}, template=False).fragment(E("In", [], [f"side {key}"]))
+        return w.add(key, 0, t, [*coded, (V.BINXML, inner)])
 
     for batch in batches:
         writers = [ChunkWriter()]
