@@ -29,7 +29,7 @@ from ..templates import cache, pe, render
 from ..templates import manifest as M
 from . import manifests
 from .catalogue import query
-from .decode import GUID, PARTS, TEMPLATE, _values
+from .decode import GUID, PARTS, TEMPLATE, _values, spread
 from .view import logs, sql, table
 
 IN_FILE, IN_CHUNK = 2000, 50
@@ -291,7 +291,7 @@ _AT = "$.Event.EventData."
   'a&b' AS "Entity", 'side ' || event_id AS nested FROM events""")
 def value_types(spark, sf):
     """System times, SIDs, booleans, ANSI text, reals, GUIDs, hexadecimal numbers, entities and a nested fragment."""
-    rows = table(spark, sf, "events").select("event_id", "user_id").mapInArrow(_typed, "file string, chunk_no int, chunk binary")
+    rows = spread(table(spark, sf, "events").select("event_id", "user_id")).mapInArrow(_typed, "file string, chunk_no int, chunk binary")
     shown = [n for n, _ in KINDS if n != "Many"] + ["Entity"]
     out = winlog.decode_chunks(rows)
     return out.select("record_id", *[F.get_json_object("Raw", _AT + n).alias(n) for n in shown], F.get_json_object("Raw", "$.Event.UserData.In").alias("nested"))
@@ -300,7 +300,7 @@ def value_types(spark, sf):
 @query("array_values", "SELECT event_id AS record_id, event_id % 7 AS first, user_id % 9 AS second, 2 AS items FROM events")
 def array_values(spark, sf):
     """An array repeats its element, once for each item: the XML's lines have the items in order."""
-    rows = table(spark, sf, "events").select("event_id", "user_id").mapInArrow(_typed, "file string, chunk_no int, chunk binary")
+    rows = spread(table(spark, sf, "events").select("event_id", "user_id")).mapInArrow(_typed, "file string, chunk_no int, chunk binary")
     xml = winlog.decode_chunks(rows, xml=True, json=False)
     found = F.regexp_extract_all("xml", F.lit('<Data Name="Many">([0-9]+)</Data>'), 1)
     return xml.select("record_id", found[0].cast("long").alias("first"), found[1].cast("long").alias("second"), F.size(found).alias("items"))

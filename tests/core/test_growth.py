@@ -121,3 +121,8 @@ def test_chunks_of_a_batch_are_not_held_twice():
         assert tracemalloc.get_traced_memory()[1] < 1 << 20
     finally:
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize("name", ["array_values", "value_types"])
+def test_one_file_is_dealt_to_all_cores(spark, sf, name):
+    assert catalogue.QUERIES[name](spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
