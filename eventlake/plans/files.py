@@ -330,22 +330,11 @@ def real_values(spark, sf):
 def executable_resources(spark, sf):
     """Manifests found in the resources of executables."""
 
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([executable(c) for c in b.column("content").to_pylist()], pa.binary())], ["path", "content"])
-
-    files = manifests.blobs(spark, sf, whole=True).mapInArrow(wrapped, "path string, content binary")
-    resources = pe.manifests_of(files).where("error IS NULL")
+    resources = pe.manifests_of(manifests.blobs(spark, sf, whole=True, form=executable)).where("error IS NULL")
     stats = M.stats(M.manifests(resources.select("path", "content"))).select("source", "providers", "templates")
     return resources.select(F.col("path").alias("source"), "name", "language").join(stats, "source")
 
 
-def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): the manifests of all brands, packed in cache files and read from them again."""
-    packed = manifests.blobs(spark, sf_dir).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column("path"), pa.array([cache.write([c, c]) for c in b.column("content").to_pylist()], pa.binary())], ["path", "content"]) for b in batches), "path string, content binary")
-    return cache.blobs(packed)
-
-
 def _rendered(names: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,7 +347,7 @@ def _rendered(names: bool):
 
 
 def _templates(spark: SparkSession, sf_dir: str, given: str | None) -> DataFrame:
-    found = M.table(M.manifests(_cached(spark, sf_dir)), "templates")
+    found = M.table(M.manifests(manifests.blobs(spark, sf_dir, form=cache.twice)), "templates")
     return templates.first_by(found, ["guid"], ["source", "offset"]).select("guid", "body", F.transform("items", lambda i: i["name"]).alias("names"), F.lit(given).cast("string").alias("given"))
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,27 +32,27 @@ def _guid_sql(text: str) -> str:
 SLICE, VERSIONS = 65536, 256
 
 
-def _build(versions: bool):
-    def run(key, frame):
-        import pandas as pd
-
-        brand, nth, rows = key[0], int(key[1]), frame.sort_values("p_partkey")
+def _build(versions: bool, form: Callable[[bytes], bytes]):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        brand, nth = key[0].as_py(), key[1].as_py()
+        parts = sorted(zip(*(rows.column(c).to_pylist() for c in ("p_partkey", "p_type", "p_size")), strict=True))
         version, source = (nth % VERSIONS, f"{brand}|{nth // VERSIONS}") if versions else (1, brand)
-        types = sorted(rows.p_type.unique())
+        types = sorted({t for _, t, _ in parts})
         made = [(_guid(brand + t), E("EventData", [], [E("Data", [("Name", n)], [Sub(i, V.STRING)]) for i, n in enumerate(t.split())]), t.split()) for t in types]
-        events = [{"identifier": int(r.p_partkey % SLICE), "version": version, "level": int(r.p_size % 6), "task": int(r.p_size), "template": types.index(r.p_type) if r.p_partkey % 5 else None} for r in rows.itertuples()]
+        events = [{"identifier": k % SLICE, "version": version, "level": size % 6, "task": size, "template": types.index(t) if k % 5 else None} for k, t, size in parts]
         blob = manifest(_guid(source), channels=[(16, brand), (17, "Other")], levels=[(int(n), f"level {n}") for n in sorted({e["level"] for e in events})], templates=made, events=events, value_maps=[[1, 2], [3]])
-        return pd.DataFrame({"path": [source], "content": [blob]})
+        return pa.table({"path": [source], "content": [form(blob)]})
 
     return run
 
 
-def blobs(spark: SparkSession, sf_dir: str, *, whole: bool = False, versions: bool = False) -> DataFrame:
-    """(path, content): manifests of each brand, one for each 65536 part keys (``whole``: one for all).
-    With ``versions`` each has a version of its own, and each 256 of them a provider and a path (brand|number)."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    nth = F.lit(0) if whole else F.floor(F.col("p_partkey") / SLICE)
-    return part.groupBy("p_brand", nth.cast("long").alias("nth")).applyInPandas(_build(versions), "path string, content binary")
+def blobs(spark: SparkSession, sf_dir: str, *, whole: bool = False, versions: bool = False, form: Callable[[bytes], bytes] = bytes) -> DataFrame:
+    """(path, content): manifests of each brand, one for each 65536 part keys (``whole``: one for all), in the ``form`` of a file that holds them.
+    With ``versions`` each has a version of its own, and each 256 of them a provider and a path (brand|number).
+    A task makes those of some 65536 parts, and all cores have tasks, so what its workers hold doesn't grow with the table."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", (F.lit(0) if whole else F.floor(F.col("p_partkey") / SLICE)).cast("long").alias("nth"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-part.count() // SLICE))
+    return part.repartition(tasks, "p_brand", "nth").groupBy("p_brand", "nth").applyInArrow(_build(versions, form), "path string, content binary")
 
 
 @query("manifest_events", f"SELECT p_brand AS source, {_guid_sql('p_brand')} AS provider, p_partkey % 65536 AS identifier, CAST(p_size % 6 AS BIGINT) AS level, CASE WHEN p_partkey % 5 <> 0 THEN {_guid_sql('p_brand || p_type')} END AS template_guid FROM part")

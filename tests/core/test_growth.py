@@ -1,5 +1,8 @@
 """Results and bounds of the written-file queries on tables larger than the given ones."""
 
+import re
+import struct
+import tracemalloc
 from collections import Counter
 from datetime import datetime
 from pathlib import Path
@@ -8,10 +11,12 @@ import duckdb
 import pyarrow as pa
 import pytest
 
-from eventlake.encoder import ChunkWriter, file_bytes
+from eventlake.encoder import ChunkWriter, E, file_bytes, manifest
 from eventlake.plans import catalogue, files, manifests, storage  # noqa: F401
-from eventlake.plans.decode import TEMPLATE, _values
+from eventlake.plans.decode import GUID, TEMPLATE, _values
 from eventlake.sources import winlog
+from eventlake.templates import cache
+from eventlake.templates import manifest as M
 
 EPOCH = datetime(2024, 1, 1)
 
@@ -126,3 +131,53 @@ def test_chunks_of_a_batch_are_not_held_twice():
 @pytest.mark.parametrize("name", ["array_values", "value_types"])
 def test_one_file_is_dealt_to_all_cores(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def python_steps(df):
+    """The steps of a query's plan that have Python workers of their own."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return re.findall(r"\b(MapInArrow|FlatMapGroupsInArrow|FlatMapGroupsInPandas|BatchEvalPythonUDTF|ArrowEvalPythonUDTF)\b", plan)
+
+
+def test_template_values_opens_cache_files_in_one_step(spark, sf):
+    assert len(python_steps(catalogue.QUERIES["template_values"](spark, sf))) == 3
+
+
+def test_manifests_are_dealt_to_tasks(spark, sf, monkeypatch):
+    """All cores have some, and a task those of one range's parts, however many there are."""
+    assert manifests.blobs(spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(manifests, "SLICE", 10)
+    assert manifests.blobs(spark, sf).rdd.getNumPartitions() == 20
+
+
+def test_manifests_in_cache_files(spark):
+    """Entries before a damaged one are read."""
+    one, other = manifest(GUID, channels=[(16, "a")]), manifest(GUID, channels=[(16, "b")])
+    files = spark.createDataFrame([("whole", cache.write([one, other])), ("hurt", cache.write([one, other])[:-1]), ("bare", one)], "path string, content binary")
+    found = M.manifests(files).persist()
+    assert Counter(tuple(r) for r in M.table(found, "channels").select("source", "name").collect()) == Counter([("whole", "a"), ("whole", "b"), ("hurt", "a"), ("bare", "a")])
+    assert [r["source"] for r in found.where("error IS NOT NULL").collect()] == ["hurt"]
+
+
+class Steps:
+    """In place of a DataFrame: gives the function that a step would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("step, form", [(M.manifests, bytes), (M.manifests, cache.twice), (cache.blobs, cache.twice)])
+def test_files_of_a_batch_are_opened_one_by_one(step, form):
+    made = manifest(GUID, channels=[(16, "a")])
+    blob = made[:4] + struct.pack("<I", 1 << 20) + made[8:].ljust((1 << 20) - 8, b"\0")
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(30)]), pa.array([form(blob)] * 30, pa.binary())], ["path", "content"])
+    run = step(Steps())
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == (30 if form is bytes else 60)
+        assert tracemalloc.get_traced_memory()[1] < 10 << 20
+    finally:
+        tracemalloc.stop()
