@@ -166,8 +166,7 @@ def decode_files_with_cache(spark, sf):
 @query("cache_table_function", f"SELECT DISTINCT p_brand AS source, {manifests._guid_sql('p_brand || p_type')} AS guid, CAST(nth AS INTEGER) AS entry FROM part, (SELECT unnest([0, 1]) AS nth)")
 def cache_table_function(spark, sf):
     """Cache files opened in SQL: a lateral join with a table function gives the manifests in them."""
-    packed = manifests.blobs(spark, sf).mapInArrow(cache.packed_twice, "path string, content binary")
-    packed.createOrReplaceTempView("cache_files")
+    manifests.blobs(spark, sf, form=cache.twice).createOrReplaceTempView("cache_files")
     spark.udtf.register("wevt_cache_blobs", cache.CacheBlobs)
     found = spark.sql("SELECT path, b.entry, b.blob AS content FROM cache_files, LATERAL wevt_cache_blobs(content) b")
     made = M.manifests(found.select(F.concat_ws("|", "path", "entry").alias("path"), "content"))

@@ -181,3 +181,8 @@ def test_files_of_a_batch_are_opened_one_by_one(step, form):
         assert tracemalloc.get_traced_memory()[1] < 10 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_cache_table_function_has_three_steps(spark, sf):
+    """Cache files are made where manifests are."""
+    assert len(python_steps(catalogue.QUERIES["cache_table_function"](spark, sf))) == 3
