@@ -329,10 +329,9 @@ def real_values(spark, sf):
 @query("executable_resources", "SELECT p_brand AS source, '1' AS name, CAST(1033 AS BIGINT) AS language, CAST(1 AS BIGINT) AS providers, count(DISTINCT p_type) AS templates FROM part GROUP BY 1")
 def executable_resources(spark, sf):
     """Manifests found in the resources of executables."""
-
-    resources = pe.manifests_of(manifests.blobs(spark, sf, whole=True, form=executable)).where("error IS NULL")
-    stats = M.stats(M.manifests(resources.select("path", "content"))).select("source", "providers", "templates")
-    return resources.select(F.col("path").alias("source"), "name", "language").join(stats, "source")
+    resources = pe.manifests_of(manifests.blobs(spark, sf, form=executable)).where("error IS NULL")
+    stats = M.stats(M.manifests(resources.select("path", "content")), parts=True).select("source", "providers", "templates")
+    return resources.select(F.col("path").alias("source"), "name", "language").distinct().join(stats, "source")
 
 
 def _rendered(names: bool):

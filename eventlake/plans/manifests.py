@@ -46,11 +46,11 @@ def _build(versions: bool, form: Callable[[bytes], bytes]):
     return run
 
 
-def blobs(spark: SparkSession, sf_dir: str, *, whole: bool = False, versions: bool = False, form: Callable[[bytes], bytes] = bytes) -> DataFrame:
-    """(path, content): manifests of each brand, one for each 65536 part keys (``whole``: one for all), in the ``form`` of a file that holds them.
+def blobs(spark: SparkSession, sf_dir: str, *, versions: bool = False, form: Callable[[bytes], bytes] = bytes) -> DataFrame:
+    """(path, content): manifests of each brand, one for each 65536 part keys, in the ``form`` of a file that holds them.
     With ``versions`` each has a version of its own, and each 256 of them a provider and a path (brand|number).
     A task makes those of some 65536 parts, and all cores have tasks, so what its workers hold doesn't grow with the table."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", (F.lit(0) if whole else F.floor(F.col("p_partkey") / SLICE)).cast("long").alias("nth"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", F.floor(F.col("p_partkey") / SLICE).cast("long").alias("nth"))
     tasks = max(spark.sparkContext.defaultParallelism, -(-part.count() // SLICE))
     return part.repartition(tasks, "p_brand", "nth").groupBy("p_brand", "nth").applyInArrow(_build(versions, form), "path string, content binary")
 
@@ -62,7 +62,7 @@ def manifest_events(spark, sf):
 
 @query("manifest_table_stats", "SELECT p_brand AS source, CAST(1 AS BIGINT) AS providers, count(DISTINCT p_type) AS templates, count(*) AS events, CAST(2 AS BIGINT) AS maps, CAST(2 AS BIGINT) AS channels, count(DISTINCT p_size % 6) AS levels, CAST(0 AS BIGINT) AS opcodes, CAST(0 AS BIGINT) AS tasks, CAST(0 AS BIGINT) AS keywords FROM part GROUP BY 1")
 def manifest_table_stats(spark, sf):
-    return M.stats(M.manifests(blobs(spark, sf, whole=True)))
+    return M.stats(M.manifests(blobs(spark, sf)), parts=True)
 
 
 @query("manifest_template_items", f"SELECT DISTINCT {_guid_sql('p_brand || p_type')} AS guid, array_to_string(string_split(p_type, ' '), '|') AS names FROM part")

@@ -186,3 +186,22 @@ def test_files_of_a_batch_are_opened_one_by_one(step, form):
 def test_cache_table_function_has_three_steps(spark, sf):
     """Cache files are made where manifests are."""
     assert len(python_steps(catalogue.QUERIES["cache_table_function"](spark, sf))) == 3
+
+
+def test_parts_of_a_manifest_are_counted_once(spark):
+    """What parts repeat counts once, their events always; providers are told apart."""
+    tree = E("EventData", [], [])
+    one = manifest(GUID, channels=[(16, "a")], levels=[(1, "x"), (2, "y")], templates=[(GUID, tree, [])], events=[{"identifier": 1}, {"identifier": 2}], value_maps=[[1, 2], [3]])
+    other = manifest(GUID, channels=[(16, "a"), (17, "b")], levels=[(2, "y")], templates=[(GUID, tree, []), ("00000000" + GUID[8:], tree, [])], events=[{"identifier": 1}], value_maps=[[1, 2], [4]])
+    foreign = manifest("00000000" + GUID[8:], channels=[(16, "a")])
+    files = spark.createDataFrame([("s", one), ("s", other), ("s", foreign), ("t", one)], "path string, content binary")
+    got = M.stats(M.manifests(files), parts=True).select("source", "providers", "templates", "events", "maps", "channels", "levels", "opcodes", "tasks", "keywords").orderBy("source").collect()
+    assert [tuple(r) for r in got] == [("s", 2, 2, 3, 3, 3, 2, 0, 0, 0), ("t", 1, 1, 2, 2, 1, 2, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("name", ["manifest_channels", "manifest_table_stats", "executable_resources"])
+def test_no_manifest_holds_a_whole_brand(spark, far_parts, monkeypatch, name):
+    counted, step = [], M.manifests
+    monkeypatch.setattr(M, "manifests", lambda files, **o: counted.append(files.count()) or step(files, **o))
+    catalogue.QUERIES[name](spark, far_parts)
+    assert counted == [6]
